@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeflow.llm import quality_rules
+from wakeflow.llm import kneser_ney, langid_crf, mixing, quality_rules
 from wakeflow.llm.common import read
 
 
@@ -13,20 +13,37 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_crf.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "n_words")
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op5_mix_sources": op5_mix_sources,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
+}
 
 ORACLE_SQL = {
     "op7_quality_rules": r"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
-     w as (select doc_id, source, t, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), x -> x <> '') as words,
-                  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \x09-\x0D]')) as lines from d),
+     w as (select doc_id, source, t, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda x: x <> '') as words,
+                  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) as lines from d),
      base as (select doc_id, source, t, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
                      length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
                      len(lines) - len(list_distinct(lines)) as n_dup_lines, words from w),
      win as (select doc_id, i, array_to_string(words[i:i+4], ' ') as g from (select doc_id, words, unnest(range(1, n_words - 3)) as i from base where n_words >= 5)),
      again as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from win) where n > 1),
      rep as (select doc_id, sum(least(5, coalesce(nxt - i, 5))) as n_repeat_words from (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt from again) group by doc_id),
-     ln as (select doc_id, source, t, unnest(list_filter(list_transform(string_split(lower(t), chr(10)), x -> trim(x)), x -> x <> '')) as line from d),
+     ln as (select doc_id, source, t, unnest(list_filter(list_transform(string_split(lower(t), chr(10)), lambda x: trim(x)), lambda x: x <> '')) as line from d),
      hosts as (select source, count(distinct t) as n from d group by source),
      freq as (select f.source, f.line from (select source, line, count(distinct t) as n from ln group by 1, 2) f
               join hosts h on f.source is not distinct from h.source where f.n > 20 and f.n > 0.01 * h.n),

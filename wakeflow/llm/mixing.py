@@ -106,18 +106,17 @@ def plan(docs: DataFrame, shards: int = 8, seed: int = 17, max_repeats: int = 3)
     )
     # at most BLOCKS rows per source, whatever the number of documents
     at = at.join(sums, (F.col("number") == F.col("n")) & (F.col("block") == F.col("b")), "left")
-    # the part of one block per source: its documents by key while they fit, then twice the one that fits best
+    # the part of one block per source: its documents by key while they fit, then, four times, the one that fits best
     part = at.filter("extra = 'part' and size > 0").select("number", "doc_id", "text_hash", "key", "size", "left")
     fill = Window.partitionBy("number").orderBy("key", "doc_id", "text_hash")
     part = part.withColumn("through", F.sum("size").over(fill)).withColumn("in1", F.col("through") <= F.col("left"))
     one = Window.partitionBy("number")
-    for step in ("in2", "in3"):
-        taken = "in1" if step == "in2" else "in2"
+    for taken, step in (("in1", "in2"), ("in2", "in3"), ("in3", "in4"), ("in4", "in5")):
         part = part.withColumn("short", F.col("left") - F.coalesce(F.sum(F.when(F.col(taken), F.col("size"))).over(one), F.lit(0)))
         gap = F.when(~F.col(taken), F.abs(F.col("short") - F.col("size")))
         part = part.withColumn("rank", F.row_number().over(one.orderBy(gap.asc_nulls_last(), "key", "doc_id", "text_hash")))
         part = part.withColumn(step, F.col(taken) | ((F.col("rank") == 1) & (gap < F.abs("short"))))
-    part = part.filter("in3").groupBy(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), F.col("number").alias("p_number")).agg(F.count("*").alias("p_rows"))
+    part = part.filter("in5").groupBy(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), F.col("number").alias("p_number")).agg(F.count("*").alias("p_rows"))
     # the boundary blocks' documents are 1 / blocks of the rows
     at = at.join(part, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_hash") == F.col("p_hash")) & (F.col("number") == F.col("p_number")), "left")
     more = (F.col("extra") == "all") | ((F.col("extra") == "part") & F.col("p_rows").isNotNull())

@@ -5,34 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeflow.llm import kneser_ney, langid_crf, mixing, quality_rules
+from wakeflow.llm import decontaminate, kneser_ney, langid_crf, lattice_lm, line_dedup, mixing, quality_rules, toxicity_gru
 from wakeflow.llm.common import read
 
 
+def op6_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_crf.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "n_words")
 
 
+def op4_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_held_out(read(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_gru.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
+    "op4_lattice_likelihood": op4_lattice_likelihood,
     "op5_mix_sources": op5_mix_sources,
+    "op6_benchmark_matches": op6_benchmark_matches,
     "op7_quality_rules": op7_quality_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL = {
+    "op6_benchmark_matches": op6_benchmark_matches,
     "op7_quality_rules": r"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
      w as (select doc_id, source, t, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda x: x <> '') as words,

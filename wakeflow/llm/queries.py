@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeflow.llm import decontaminate, kneser_ney, langid_crf, lattice_lm, line_dedup, mixing, quality_rules, toxicity_gru
+from wakeflow.llm import decontaminate, jaccard_join, kneser_ney, langid_crf, lattice_lm, line_dedup, mixing, quality_rules, toxicity_gru
 from wakeflow.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_gru.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_benchmark_matches": op6_benchmark_matches,
     "op7_quality_rules": op7_quality_rules,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
 }

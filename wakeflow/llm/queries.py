@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeflow.llm import decontaminate, jaccard_join, kneser_ney, langid_crf, lattice_lm, line_dedup, mixing, quality_rules, toxicity_gru
+from wakeflow.llm import decontaminate, jaccard_join, kneser_ney, langid_crf, lattice_lm, line_dedup, mixing, quality_rules, substring_dedup, toxicity_gru
 from wakeflow.llm.common import read
 
 
@@ -17,6 +17,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed_lines", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("kept_sha256"))
@@ -47,6 +51,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_lattice_likelihood": op4_lattice_likelihood,

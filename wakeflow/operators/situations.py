@@ -65,7 +65,7 @@ def prolonged_presence(rows: DataFrame, t: ReasoningThresholds) -> DataFrame:
     inner = rows.filter(F.col("event_type") == "LOITER").select(F.col("mmsi").alias("l_mmsi"), F.col("seq").alias("l_seq"), F.col("as_event").alias("l_event"))
     met = entries.join(inner, (F.col("mmsi") == F.col("l_mmsi")) & (F.col("l_seq") > F.col("seq")) & (F.col("_end").isNull() | (F.col("l_seq") < F.col("_end"))))
     met = met.groupBy("mmsi", "seq").agg(F.first("as_event").alias("as_event"), F.first("exit_event").alias("exit_event"), F.first("_exit_first").alias("_x"), F.sort_array(F.collect_list(F.struct("l_seq", "l_event"))).alias("l"))
-    support = F.concat(F.array("as_event"), F.transform("l", lambda x: x["l_event"]), F.when(F.col("_x"), F.array("exit_event")).otherwise(F.array().cast("array<void>").cast(rows.select(F.array("as_event")).schema[0].dataType)))
+    support = F.concat(F.array("as_event"), F.transform("l", lambda x: x["l_event"]), F.filter(F.array(F.when(F.col("_x"), F.col("exit_event"))), lambda e: e.isNotNull()))
     return _situation(met.withColumn("_support", support), "Prolonged Boundary Presence", 1, t.prolonged_confidence, F.col("_support"), "Entry followed by loitering before the next exit")
 
 

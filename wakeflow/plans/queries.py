@@ -1,4 +1,248 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, with their SQL in :mod:`wakeflow.plans.oracle`.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The ``events`` table is the only time series: users stand for vessels, and place, speed
+and heading follow from its value and props. Its points are hours apart, so thresholds
+are scaled; the defaults in :mod:`wakeflow.config` are for real position reports.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wakeflow.config import EventThresholds, LabelThresholds, ReasoningThresholds, SegmentConfig
+from wakeflow.functions import geometry
+from wakeflow.operators import analytics, clean, events, features, fishing, geofence, labels, reports, segment, situations
+from wakeflow.plans.oracle import ORACLE_SQL
+
+EVENTS = EventThresholds(
+    anchor_speed_knots=2.0, anchor_min_duration_minutes=60, loiter_speed_knots=4.0, loiter_radius_km=100.0, loiter_min_duration_minutes=120, max_gap_minutes=1440,
+    maneuver_window_minutes=10080, maneuver_min_points=10, maneuver_min_coverage_ratio=0.5, maneuver_circular_variance=0.5, repeated_crossing_count=3, repeated_crossing_window_hours=24,
+)
+SEGMENTS = SegmentConfig(windows=(10080, 20160), min_points=10, track_keys=("MMSI",))
+LABELS = LabelThresholds(anchorage_min_minutes=600, boundary_crossing_min_count=6, prolonged_max_distance_km=400, prolonged_min_loiter_minutes=600, transit_max_speed_variance=8.0, transit_max_curvature=30.0)
+REASONING = ReasoningThresholds(transit_max_hours=12, anchorage_min_minutes=600)
+ZONE = (9.0, 54.5, 11.1, 55.5)
+
+_ADAPTER = """
+select user_id as MMSI, cast(ts as timestamp) as timestamp, 54 + (k % 10) * cast(0.2 as double) as latitude, 8 + floor(k / 10) * cast(0.4 as double) as longitude,
+       value / 10 as speed, k * cast(3.6 as double) as heading
+from (select *, cast(regexp_extract(props, '[0-9]+', 0) as bigint) as k from {table}) e
+"""
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.sql(_ADAPTER.format(table="{table}"), table=table)
+
+
+def _edges(spark: SparkSession) -> DataFrame:
+    return geometry.edges_of(spark, [geometry.rectangle(*ZONE)])
+
+
+def _boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geofence.boundary_events(points(spark, sf_dir), _edges(spark))
+
+
+def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.event_sequence(points(spark, sf_dir), _boundary(spark, sf_dir), EVENTS)
+
+
+def _segment_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segment_points(points(spark, sf_dir), SEGMENTS)
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.segment_features(_segment_points(spark, sf_dir), _boundary(spark, sf_dir), _sequence(spark, sf_dir), _edges(spark))
+
+
+def _effort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy(F.col("user_id").alias("ssvid"), F.to_date("ts").alias("date")).agg((F.round(F.sum("value"), 6) / 100).alias("fishing_hours"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.situation_labels(_features(spark, sf_dir), fishing.effort_to_labels(_effort(spark, sf_dir), 3.0), LABELS)
+
+
+def _situations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return situations.reason(_sequence(spark, sf_dir), REASONING)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, as sums in another order differ in their last bits."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    """Events with the numbers of their details as columns."""
+    return rounded(df.select("event_type", "event_timestamp", "mmsi", "start_timestamp", "end_timestamp", "duration_minutes", "details.mean_speed_knots", F.coalesce("details.number_of_points", F.lit(0)).alias("number_of_points"), "details.observed_radius_km", "details.heading_circular_variance", "details.point_coverage_ratio", F.coalesce("details.crossing_count", F.lit(0)).alias("crossing_count")))
+
+
+def q_clean_points(spark, sf_dir):
+    raw = points(spark, sf_dir)
+    # as a raw file would hold them: text, under other names, and every tenth row twice
+    text = raw.select(F.col("MMSI").cast("string").alias("vessel id"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("BaseDateTime"), F.col("latitude").alias("LAT"), F.col("longitude").alias("LON"), F.col("speed").alias("SOG"), F.col("heading").alias("COG"))
+    return rounded(clean.clean(clean.standardize(text.unionByName(text.filter(F.col("LAT") > 55.5)))))
+
+
+def q_cleaning_stats(spark, sf_dir):
+    raw = points(spark, sf_dir)
+    twice = raw.unionByName(raw.filter(F.col("latitude") > 55.5)).unionByName(raw.filter(F.col("longitude") > 11).withColumn("latitude", F.lit(95.0)))
+    return clean.cleaning_stats(twice)
+
+
+def q_segments(spark, sf_dir):
+    return rounded(segment.segments(points(spark, sf_dir), SEGMENTS))
+
+
+def q_segment_points(spark, sf_dir):
+    days = SegmentConfig(windows=(720,), min_points=2)
+    return rounded(segment.segment_points(points(spark, sf_dir), days).select("segment_id", "MMSI", "timestamp", "window_minutes", "segment_start", "segment_end", "duration_seconds", "number_of_points", "trajectory_date"))
+
+
+def q_anchor_events(spark, sf_dir):
+    return _numbers(events.anchor_events(events.prepare_points(points(spark, sf_dir)), EVENTS))
+
+
+def q_loiter_events(spark, sf_dir):
+    p = events.prepare_points(points(spark, sf_dir))
+    return _numbers(events.loiter_events(p, events.anchor_events(p, EVENTS), EVENTS))
+
+
+def q_maneuver_events(spark, sf_dir):
+    return _numbers(events.maneuver_events(events.prepare_points(points(spark, sf_dir)), EVENTS))
+
+
+def q_repeated_crossings(spark, sf_dir):
+    return _numbers(events.repeated_crossings(events.boundary_sequence(_boundary(spark, sf_dir)), EVENTS))
+
+
+def q_event_sequence(spark, sf_dir):
+    return _numbers(_sequence(spark, sf_dir))
+
+
+def q_segment_motion_features(spark, sf_dir):
+    f = features.motion_features(_segment_points(spark, sf_dir))
+    return rounded(f.select("segment_id", "mmsi", "number_of_points", "avg_speed", "max_speed", "speed_variance", "path_length", "displacement", "heading_variance", "mean_heading_change", "loop_count", "turn_density", "stationary_ratio"), 5)
+
+
+def q_crossing_counts(spark, sf_dir):
+    base = segment.segments(points(spark, sf_dir), SEGMENTS).withColumnRenamed("MMSI", "mmsi")
+    return features.crossing_counts(base, _boundary(spark, sf_dir))
+
+
+def q_event_overlap_minutes(spark, sf_dir):
+    base = segment.segments(points(spark, sf_dir), SEGMENTS).withColumnRenamed("MMSI", "mmsi")
+    return rounded(features.event_overlap_minutes(base, _sequence(spark, sf_dir)))
+
+
+def q_distance_to_boundary(spark, sf_dir):
+    base = features.motion_features(_segment_points(spark, sf_dir))
+    return rounded(geometry.distance_km(base, _edges(spark), "segment_id", "centroid_longitude", "centroid_latitude"), 5)
+
+
+def q_segment_features(spark, sf_dir):
+    return rounded(_features(spark, sf_dir), 5)
+
+
+def q_fishing_intervals(spark, sf_dir):
+    return rounded(fishing.effort_to_labels(_effort(spark, sf_dir), 0.5), 9)
+
+
+def q_situation_labels(spark, sf_dir):
+    return _labels(spark, sf_dir).drop("rule_details")
+
+
+def q_reasoned_situations(spark, sf_dir):
+    s = _situations(spark, sf_dir)
+    return s.select("situation", "confidence", "mmsi", "start_timestamp", "end_timestamp", "extent_start", "extent_end", F.size("supporting_events").cast("long").alias("n_support"))
+
+
+def q_event_distribution(spark, sf_dir):
+    return rounded(analytics.event_distribution(_sequence(spark, sf_dir)))
+
+
+def q_event_reduction(spark, sf_dir):
+    return rounded(analytics.reduction(points(spark, sf_dir), _sequence(spark, sf_dir)))
+
+
+def q_segment_compression(spark, sf_dir):
+    return rounded(analytics.compression(_segment_points(spark, sf_dir)))
+
+
+def q_top_vessels(spark, sf_dir):
+    return analytics.top_vessels(points(spark, sf_dir), 10)
+
+
+def q_track_bounds(spark, sf_dir):
+    return rounded(analytics.bounds(points(spark, sf_dir)))
+
+
+def q_track_downsample(spark, sf_dir):
+    return rounded(analytics.downsample(points(spark, sf_dir), 20))
+
+
+def q_nearest_point_asof(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("mmsi"), F.col("o_orderdate").cast("timestamp").alias("event_timestamp"))
+    return rounded(analytics.nearest_points(o, points(spark, sf_dir)).filter("point_timestamp is not null"))
+
+
+def q_segment_best_situation(spark, sf_dir):
+    base = segment.segments(points(spark, sf_dir), SEGMENTS).withColumnRenamed("MMSI", "mmsi")
+    return analytics.best_situation(base, _situations(spark, sf_dir), ["Anchorage", "Repeated Crossing", "Prolonged Boundary Presence"])
+
+
+def _predictions(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderpriority").alias("truth"), F.when(F.col("o_totalprice") % 3 < 1, F.col("o_orderpriority")).when(F.col("o_totalprice") % 3 < 2, "2-HIGH").otherwise("5-LOW").alias("predicted"))
+
+
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def q_class_metrics(spark, sf_dir):
+    return rounded(analytics.class_metrics(_predictions(spark, sf_dir), "truth", "predicted", PRIORITIES).select("class", "support", "precision", "recall", "f1"))
+
+
+def q_confusion_metrics(spark, sf_dir):
+    return rounded(analytics.overall_metrics(_predictions(spark, sf_dir), "truth", "predicted", PRIORITIES))
+
+
+def q_confusion_matrix(spark, sf_dir):
+    m = analytics.confusion(_predictions(spark, sf_dir), "truth", "predicted", PRIORITIES)
+    return m.select(F.col("truth"), *[F.col(f"`{c}`").alias(f"n{i}") for i, c in enumerate(PRIORITIES, 1)])
+
+
+def q_chord_deviation(spark, sf_dir):
+    return rounded(analytics.chord_deviation(_segment_points(spark, sf_dir)), 5)
+
+
+def q_track_simplification(spark, sf_dir):
+    return analytics.simplified(points(spark, sf_dir), [0.1, 0.2, 0.5])
+
+
+def q_vessel_paths(spark, sf_dir):
+    p = analytics.vessel_paths(points(spark, sf_dir))
+    return p.select("MMSI", F.size("path").cast("long").alias("n"), F.round(F.element_at("path", 1)["latitude"], 6).alias("first_latitude"), F.round(F.element_at("path", -1)["longitude"], 6).alias("last_longitude"))
+
+
+def q_situation_reports(spark, sf_dir):
+    return reports.report_lines(_situations(spark, sf_dir))
+
+
+def q_inside_zone(spark, sf_dir):
+    p = geofence.classify(points(spark, sf_dir), _edges(spark))
+    return p.groupBy("inside_eez", "outside_eez").agg(F.count("*").alias("n"))
+
+
+def q_label_counts(spark, sf_dir):
+    return labels.label_counts(_labels(spark, sf_dir))
+
+
+def q_boundary_events(spark, sf_dir):
+    return _boundary(spark, sf_dir)
+
+
+QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
+__all__ = ["ORACLE_SQL", "QUERIES", "points"]

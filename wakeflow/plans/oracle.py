@@ -151,7 +151,7 @@ ORACLE_SQL = {
     "crossing_counts": with_(f"{POINTS}, {BOUNDARY}, {SEGS}, {COUNTS}", "select * from xcount"),
     "event_overlap_minutes": with_(f"{SEQUENCE}, {SEGS}, {OVERLAP}", "select segment_id, " + rounded("anchor_duration; loiter_duration") + " from overlap"),
     "distance_to_boundary": with_(f"{POINTS}, {SEGS}, {MOTION}, {DISTANCE}", "select segment_id, round(distance_to_boundary, 5) as distance_to_boundary from dist"),
-    "segment_features": with_(FEATURES, "select segment_id, mmsi, w as window_minutes, s as segment_start, e as segment_end, n as number_of_points, crossing_count, " + _F5("duration_seconds=secs; avg_speed; max_speed; speed_variance; path_length=path; displacement=disp; trajectory_curvature=curve; path_tortuosity=curve; heading_variance; mean_heading_change=mean_turn; loop_count=loops; turn_density=density; stationary_ratio=stationary; distance_to_boundary; anchor_duration; loiter_duration") + " from feats"),
+    "segment_features": with_(FEATURES, "select segment_id, mmsi, w as window_minutes, s as segment_start, e as segment_end, n as number_of_points, crossing_count, round(secs, 6) as duration_seconds, " + _F5("avg_speed; max_speed; speed_variance; path_length=path; displacement=disp; trajectory_curvature=curve; path_tortuosity=curve; heading_variance; mean_heading_change=mean_turn; loop_count=loops; turn_density=density; stationary_ratio=stationary; distance_to_boundary; anchor_duration; loiter_duration") + " from feats"),
     "fishing_intervals": with_(EFFORT, "select mmsi, d as start_timestamp, d + interval 1 day as end_timestamp, true as is_fishing, round(hours, 9) as fishing_hours, round(least(0.95, 0.70 + greatest(0, least(6, hours)) / 6 * 0.25), 9) as label_confidence from effort where hours >= 0.5"),
     "situation_labels": with_(LABELLED, "select segment_id, mmsi, segment_start, segment_end, situation_label, case situation_label when 'Fishing' then 0.95 when 'Anchorage' then 0.9 when 'Prolonged Boundary Presence' then 0.85 when 'Boundary Crossing' then 0.8 when 'Transit' then 0.75 else 0.25 end::double as label_confidence, case situation_label when 'Fishing' then 'fishing_label' when 'Unknown' then 'default' else 'rule' end as label_source from labelled"),
     "label_counts": with_(LABELLED, "select situation_label, count(*) as n from labelled group by 1"),

@@ -142,8 +142,12 @@ def q_distance_to_boundary(spark, sf_dir):
     return rounded(geometry.distance_km(base, _edges(spark), "segment_id", "centroid_longitude", "centroid_latitude"), 5)
 
 
+def _rounded_features(f: DataFrame) -> DataFrame:
+    return f.select(*[F.round(c, 6 if c == "duration_seconds" else 5).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes])
+
+
 def q_segment_features(spark, sf_dir):
-    return rounded(_features(spark, sf_dir), 5)
+    return _rounded_features(_features(spark, sf_dir))
 
 
 def q_fishing_intervals(spark, sf_dir):

@@ -107,7 +107,7 @@ def plan(docs: DataFrame, shards: int = 8, seed: int = 17, max_repeats: int = 3)
     # at most BLOCKS rows per source, whatever the number of documents
     at = at.join(sums, (F.col("number") == F.col("n")) & (F.col("block") == F.col("b")), "left")
     # the part of one block per source: its documents by key while they fit, then, four times, the one that fits best
-    part = at.filter("extra = 'part' and size > 0").select("number", "doc_id", "text_hash", "key", "size", "left")
+    part = at.filter("extra = 'part' and size > 0").groupBy("number", "doc_id", "text_hash", "key", "left").agg(F.sum("size").alias("size"))  # equal rows go together
     fill = Window.partitionBy("number").orderBy("key", "doc_id", "text_hash")
     part = part.withColumn("through", F.sum("size").over(fill)).withColumn("in1", F.col("through") <= F.col("left"))
     one = Window.partitionBy("number")

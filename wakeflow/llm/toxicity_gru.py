@@ -171,6 +171,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = 8, batch: int = 256,
     m["chars"][~known] = 0
     moment, square, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
     use = fit.copy()
+    batch = min(batch, max(16, int(fit.sum()) // 40))  # small samples take as many steps
     for epoch in range(epochs):
         if epoch >= 2:  # of toxic documents, only the windows near their best
             score = _logits(m, embed(m, words, ids, word_first), index, size)

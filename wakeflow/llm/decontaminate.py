@@ -98,8 +98,8 @@ class Index:
             if n > 0:
                 dense = at[need - 1 :] - at[:n] <= window
                 mark = np.zeros(len(at) + 1, np.int32)
-                np.add.at(mark, np.flatnonzero(dense), 1)
-                np.add.at(mark, np.flatnonzero(dense) + need, -1)
+                mark[:n] = dense
+                mark[need : need + n] -= dense
                 keep |= np.cumsum(mark[:-1]) > 0
         at, where = at[keep], where[keep]
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -125,44 +125,60 @@ class Index:
         key = np.concatenate([band, band - 1]) + 2  # overlapping bands: [b, b + 2) widths
         doc2, item2 = np.concatenate([doc, doc]), np.concatenate([item, item])
         key = (key.clip(0) * n_docs + doc2) * n_items + item2
-        key, times = np.unique(key, return_counts=True)
+        # a place of the item counts once in a band, however many places of the text repeat it
+        longest = int(np.diff(self.offsets).max()) + 1
+        key = np.sort(key * longest + np.concatenate([self.pos[posting], self.pos[posting]]))
+        key = key[np.append(True, key[1:] != key[:-1])[: len(key)]] // longest
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        key, times = key[first], np.diff(np.append(first, len(key)))
         item, doc, band = key % n_items, key // n_items % n_docs, key // n_items // n_docs - 2
         good = times >= self.need[item]
-        for i, d, b in zip(item[good], doc[good], band[good], strict=True):
-            w = int(self.k[i]) + 1
-            m = int(self.offsets[i + 1] - self.offsets[i])
-            lo = max(0, int(b) * w)
-            text = data[offsets[d] + lo : min(offsets[d + 1], offsets[d] + (int(b) + 2) * w + m + w)]
-            best = align(self.data[self.offsets[i] : self.offsets[i + 1]], text, int(b) * w - lo, 2 * w, int(self.k[i]))
-            if best is not None:
-                yield int(d), int(i), best[0], lo + best[1], lo + best[2]
-
-
-def align(item: np.ndarray, text: np.ndarray, shift: int, band: int, k: int):
-    """(distance, start, end) of the best place of ``item`` in ``text`` within the band of diagonals [shift - k, shift + band + k), or None if over k edits."""
-    m, lo = len(item), shift - k - 1
+        item, doc, band = item[good], doc[good], band[good]
+        w, m = self.k[item] + 1, self.offsets[item + 1] - self.offsets[item]
+        lo = np.maximum(0, band * w)
+        begin, end = offsets[doc] + lo, np.minimum(offsets[doc + 1], offsets[doc] + (band + 2) * w + m + w)
+        for i in range(0, len(item), 256):
+            c = slice(i, i + 256)
+            found = align(self.data, self.offsets[item[c]], m[c], data, begin[c], np.maximum(end[c] - begin[c], 0), band[c] * w[c] - lo[c], 2 * w[c], self.k[item[c]])
+            for at in np.flatnonzero(found[0] <= self.k[item[c]]):
+                yield int(doc[i + at]), int(item[i + at]), int(found[0][at]), int(lo[i + at] + found[1][at]), int(lo[i + at] + found[2][at])
+
+
+def align(items, item_at, m, data, text_at, length, shift, band, k):
+    """(distance, start, end) of each item's best place in its text, within the band of diagonals [shift - k - 1, shift + band + k + 1].
+
+    All candidates advance by one item byte at a time, side by side: the longest first,
+    so that those which go on are a prefix. Items are items[item_at : item_at + m], texts
+    data[text_at : text_at + length].
+    """
+    order = np.argsort(-m, kind="stable")
+    item_at, m, text_at, length, shift, band, k = (x[order] for x in (item_at, m, text_at, length, shift, band, k))
     width = band + 2 * k + 3
-    big = m + len(text) + 1
-    column = lo + np.arange(width)  # text place before the first byte, by diagonal
-    row = np.where((column >= 0) & (column <= len(text)), 0, big)
+    steps = np.arange(int(width.max()))
+    big = int(m.max() + length.max() + width.max() + 1)
+    column = (shift - k - 1)[:, None] + steps  # text place before the first byte, by diagonal
+    own = steps < width[:, None]
+    row = np.where(own & (column >= 0) & (column <= length[:, None]), 0, big)
     start = column.copy()
-    steps = np.arange(width)
-    for i in range(m):
-        j = column + i  # text byte that diagonal compares with item[i]
-        inside = (j >= 0) & (j < len(text))
-        cost = np.where(inside, text[np.clip(j, 0, max(0, len(text) - 1))] != item[i], 1) if len(text) else np.ones(width, bool)
-        take = np.where(inside, row + cost, big)
-        drop = np.append(row[1:] + 1, big)  # item byte left out
-        drop = np.where((j >= 0) & (j <= len(text)), drop, big) if i else drop
-        here = np.where(take <= drop, take, drop)
-        origin = np.where(take <= drop, start, np.append(start[1:], 0))
-        # text byte left out: along the row
-        low = np.minimum.accumulate(here - steps)
-        source = np.maximum.accumulate(np.where(here - steps == low, steps, 0))
-        row, start = low + steps, origin[source]
-        row = np.where((j + 1 >= 0) & (j + 1 <= len(text)), row, big)
-    best = int(row.argmin())
-    return (int(row[best]), int(max(0, start[best])), int(column[best] + m)) if row[best] <= k else None
+    edge = np.full((len(m), 1), big)
+    for i in range(int(m[0])):
+        n = int(np.searchsorted(-m, -i, "left"))  # items longer than i
+        j, tl = column[:n] + i, length[:n, None]
+        inside = (j >= 0) & (j < tl)
+        other = data[np.where(inside, text_at[:n, None] + j, 0)] if len(data) else np.zeros(j.shape, np.uint8)
+        take = np.where(inside, row[:n] + (other != items[item_at[:n] + i][:, None]), big)
+        drop = np.where((j >= 0) & (j <= tl), np.concatenate([row[:n, 1:] + 1, edge[:n]], axis=1), big)  # item byte left out
+        here = np.minimum(take, drop)
+        origin = np.where(take <= drop, start[:n], np.concatenate([start[:n, 1:], edge[:n]], axis=1))
+        low = np.minimum.accumulate(here - steps, axis=1)  # text byte left out: along the row
+        source = np.maximum.accumulate(np.where(here - steps == low, steps, 0), axis=1)
+        row[:n] = np.where(own[:n] & (j + 1 >= 0) & (j + 1 <= tl), low + steps, big)
+        start[:n] = np.take_along_axis(origin, source, axis=1)
+    best, rows = row.argmin(axis=1), np.arange(len(m))
+    out = np.stack([row[rows, best], np.maximum(start[rows, best], 0), column[rows, best] + m])
+    back = np.empty_like(out)
+    back[:, order] = out
+    return back
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, slab_bytes: int = 8 << 20) -> DataFrame:

@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeflow.llm.common import cut
+from wakeflow.llm.common import written
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, comp (the smallest node that links reach) for every node of ``links`` (a, b long).
 
-    Each round takes the smallest label among a node and its neighbours, then the label of
-    that label, so rounds follow the logarithm of a component's width. Labels are
-    checkpointed each round; only a count of changes comes to the driver.
+    Each round takes the smallest label among a node and its neighbours, then twice the
+    label of that label, so rounds follow the logarithm of a component's width. Labels are
+    written each round; only whether any changed comes to the driver. With ``rounds``, the
+    labels that so many rounds reach: parts of components, for dealing work out.
     """
-    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")))
-    while True:
+    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")))
+    done = 0
+    while rounds is None or done < rounds:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
         low = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", F.col("comp"))).alias("comp"))
-        jump = labels.select(F.col("node").alias("at"), F.col("comp").alias("next"))
-        new = cut(low.join(jump, F.col("comp") == F.col("at"), "left").select("node", "old", F.least("comp", F.coalesce("next", F.col("comp"))).alias("comp")))
-        labels = new.select("node", "comp")
+        for i in range(2):
+            jump = labels.select(F.col("node").alias(f"at{i}"), F.col("comp").alias("next"))
+            low = low.join(jump, F.col("comp") == F.col(f"at{i}"), "left").select("node", "old", F.least("comp", F.coalesce("next", F.col("comp"))).alias("comp"))
+        new = written(low)
+        labels, done = new.select("node", "comp"), done + 1
         if new.filter("comp <> old").isEmpty():
-            return labels
+            break
+    return labels

@@ -35,6 +35,10 @@ from wakeflow.llm.components import components
 SHARE = 1 / 2000
 BLOCK_SHINGLES = 3_000_000
 WORDS = 4  # 64-bit words of a signature
+#: classes of a block of a large component of candidates
+BLOCK_CLASSES = 4000
+#: more (place, class) rows than this are joined by a shuffle
+BROADCAST_ROWS = 2_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,6 +223,77 @@ def _sieve(percent: int):
     return run
 
 
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that do link, by their whole sets.
+
+    Pairs are dealt by what two rounds of labels find of their component of candidates,
+    large parts by blocks of classes, so that a class's set travels to few places.
+    """
+    spark = docs.sparkSession
+    comp = components(pairs, rounds=2)
+    size = comp.groupBy("comp").agg(F.count("*").alias("size"))
+    comp = comp.join(size, "comp").select("node", "comp", F.when(F.col("size") > BLOCK_CLASSES, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_CLASSES))).otherwise(0).alias("block"))
+    dealt = pairs.join(comp, F.col("a") == F.col("node")).select("a", "b", "comp", F.col("block").alias("i"))
+    dealt = dealt.join(comp.select("node", F.col("block").alias("j")), F.col("b") == F.col("node"))
+    dealt = cut(dealt.select(F.xxhash64("comp", F.least("i", "j"), F.greatest("i", "j")).alias("place"), "a", "b"))
+    needed = cut(dealt.select("place", F.explode(F.array("a", "b")).alias("cls")).distinct())
+    if needed.count() <= BROADCAST_ROWS:
+        rows = needed.toPandas().sort_values("cls")  # under BROADCAST_ROWS
+        wanted = spark.sparkContext.broadcast((rows["cls"].to_numpy(np.int64), rows["place"].to_numpy(np.int64)))
+
+        def places(batches):
+            cls_of, place_of = wanted.value
+            known: set[int] = set()
+            for batch in _whole(batches, k, known, cls_of):
+                cls = batch.column("cls").to_numpy()
+                first, last = np.searchsorted(cls_of, cls, "left"), np.searchsorted(cls_of, cls, "right")
+                at = np.repeat(np.arange(len(cls)), last - first)
+                to = np.arange(len(at)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[at]
+                yield pa.RecordBatch.from_arrays([pa.array(place_of[to]), pa.array(cls[at]), batch.column("body").take(pa.array(at))], ["place", "cls", "body"])
+
+        sets = docs.select("text").mapInArrow(places, "place long, cls long, body binary")
+    else:  # another way beyond that size: texts meet the classes that are needed by a shuffle
+        reps = needed.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("_id")).distinct()
+        texts = docs.join(reps, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
+        sets = texts.mapInArrow(lambda batches: _whole(batches, k, set(), None), "cls long, body binary").join(needed, "cls").select("place", "cls", "body")
+    rows = sets.select("place", F.lit(0).alias("kind"), "cls", F.lit(0).cast("long").alias("b"), "body")
+    rows = rows.unionByName(dealt.select("place", F.lit(1).alias("kind"), F.col("a").alias("cls"), "b", F.lit(None).cast("binary").alias("body")))
+
+    def verify(batches):
+        at, sets = None, {}
+        for batch in batches:
+            keep = ([], [])
+            for place, kind, a, b, body in zip(*[batch.column(c).to_pylist() for c in ("place", "kind", "cls", "b")], batch.column("body"), strict=True):
+                if place != at:
+                    at, sets = place, {}
+                if kind == 0:
+                    sets[a] = np.frombuffer(body.as_py(), np.uint64)
+                    continue
+                x, y = sets[a], sets[b]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    keep[0].append(a)
+                    keep[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in keep], ["a", "b"])
+
+    return rows.repartition("place").sortWithinPartitions("place", "kind").mapInArrow(verify, "a long, b long")
+
+
+def _whole(batches, k: int, known: set[int], wanted: np.ndarray | None):
+    """cls, body of the wanted texts' sets (all if None), equal ones of a task once."""
+    for batch in batches:
+        for _, _, data, offsets in tb.chunks(batch.column("text")):
+            sets, first = shingle_sets(data, offsets, k)
+            cls = class_ids(sets, first)
+            on = np.diff(first) > 0
+            if wanted is not None:
+                at = np.minimum(np.searchsorted(wanted, cls), max(0, len(wanted) - 1))
+                on &= (wanted[at] == cls) if len(wanted) else False
+            own = [int(i) for i in np.flatnonzero(on) if int(cls[i]) not in known and not known.add(int(cls[i]))]
+            raw = sets.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(cls[own]), pa.array([raw[8 * first[i] : 8 * first[i + 1]] for i in own], pa.binary())], ["cls", "body"])
+
+
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, class_id (of equal sets), n_links (of the class with other classes) and component_id of every row."""
     spark = docs.sparkSession
@@ -240,30 +315,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     postings = _postings(docs, k, percent, frequent).repartition("token").sortWithinPartitions("token", "n", "grp", "cls")
     pairs = cut(postings.mapInArrow(_sieve(percent), "a long, b long").distinct())
 
-    # whole sets of the classes in pairs, from one document of each
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes, "cls").select(F.col("rep").alias("_id")).distinct()
-    texts = docs.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
-
-    def whole(batches):
-        for batch in batches:
-            for _, _, data, offsets in tb.chunks(batch.column("text")):
-                sets, first = shingle_sets(data, offsets, k)
-                raw = sets.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets, first)), pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["cls", "body"])
-
-    sets = cut(texts.mapInArrow(whole, "cls long, body binary").dropDuplicates(["cls"]))
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("body").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("body").alias("y")), "b")
-
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
-
-    links = cut(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    links = cut(_verified(docs, classes, pairs, k, percent))
     # rows of one doc_id and several texts tie their classes together
     tied = full.filter("doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("a", "b")
     more = full.join(tied, F.col("cls") == F.col("a"), "left_semi").select("doc_id", F.col("cls").alias("a")).join(full.select("doc_id", F.col("cls").alias("b")), "doc_id").filter("a < b").select("a", "b").distinct()

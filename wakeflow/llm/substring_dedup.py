@@ -167,16 +167,16 @@ def repeated_starts(bodies: list[bytes], often: np.ndarray, least: int) -> list[
     """For each body the starts (first, last of each run) of its strings of ``least`` bytes that start elsewhere too; ``often``: the body itself does."""
     size = np.array([len(b) for b in bodies], np.int64)
     ends = np.cumsum(size + 1)
-    s = np.ones(ends[-1] + 1, np.int64)  # 1 parts bodies, 0 ends all
+    s = np.ones(ends[-1] + 1, np.int16)  # 1 parts bodies, 0 ends all
     begin = ends - size - 1
     inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     owner = np.repeat(np.arange(len(size)), size)
     place = begin[owner] + inner
-    s[place] = np.frombuffer(b"".join(bodies), np.uint8).astype(np.int64) + 2
+    s[place] = np.frombuffer(b"".join(bodies), np.uint8).astype(np.int16) + 2
     s[-1] = 0
     flag = np.zeros(len(s), bool)
     if len(bodies) > 1 or size[0] > least:
-        plcp, phi = permuted_lcp(s, suffix_array(s))
+        plcp, phi = permuted_lcp(s, suffix_array(s), 2 * int(size.max()) + 2)  # different bodies follow equal ones
         long = np.flatnonzero(plcp >= least)
         flag[long] = True
         flag[phi[long]] = True

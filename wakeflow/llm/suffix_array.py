@@ -14,7 +14,7 @@ from wakeflow.llm import textbytes as tb
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (S-type); the last, a unique least symbol, is."""
-    step = np.sign(np.diff(s))
+    step = np.sign(np.diff(s.astype(np.int64)))
     at = np.where(step != 0, np.arange(len(step)), len(step))
     nxt = np.minimum.accumulate(at[::-1])[::-1]  # equal symbols take the type of what follows
     out = np.ones(len(s), bool)
@@ -24,7 +24,7 @@ def _types(s: np.ndarray) -> np.ndarray:
 
 def _ranks(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each item its number among the equal ones before it, and the stable order."""
-    order = np.argsort(c, kind="stable")
+    order = np.argsort(c, kind="stable")  # by radix for the 16-bit symbols of texts
     run = c[order]
     new = np.ones(len(run), bool)
     new[1:] = run[1:] != run[:-1]
@@ -59,7 +59,10 @@ def _scan(sa: np.ndarray, s: np.ndarray, wanted: np.ndarray, edge: np.ndarray, w
         k = int(np.searchsorted(live, stop))
         place = target[:k] if way == 1 else n - 1 - target[:k]
         sa[place] = before[:k]
-        np.add.at(edge, c[:k], way)
+        if len(edge) > size:
+            np.add.at(edge, c[:k], way)
+        elif k:
+            edge += way * np.bincount(c[:k], minlength=len(edge))
         at += stop
         size = min(2 * size, 1 << 16) if stop == len(here) else max(256, 2 * stop)
 
@@ -83,8 +86,8 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, heads: np.ndarray
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Sorted suffixes of s, whose last symbol is 0 and the only 0."""
-    s = s.astype(np.int64)
     n = len(s)
+    s = s.astype(np.int16 if s.max(initial=0) < 1 << 15 else np.int64)
     if n == 1:
         return np.zeros(1, np.int64)
     small = _types(s)
@@ -100,7 +103,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     stop = np.empty(n, np.int64)
     stop[lms] = np.append(lms[1:] + 1, n)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((s + 1).astype(np.uint64) * tb.powers(tb.BASE, n), out=prefix[1:])
+    np.cumsum((s.astype(np.uint64) + np.uint64(1)) * tb.powers(tb.BASE, n), out=prefix[1:])
     h = tb.slice_hash(prefix, order, stop[order])
     new = np.ones(len(order), np.int64)
     new[0] = 0
@@ -114,8 +117,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return _induce(s, small, lms, heads, ends)
 
 
-def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(plcp, phi): for each place, its suffix's predecessor in sorted order and their common prefix.
+def permuted_lcp(s: np.ndarray, sa: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(plcp, phi): for each place, its suffix's predecessor in sorted order and their common prefix; ``longest``: no prefix is longer.
 
     Only places whose left neighbours differ are compared; the others follow from the
     place before them, one less.
@@ -124,7 +127,7 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((s.astype(np.int64) + 1).astype(np.uint64) * tb.powers(tb.BASE, n), out=prefix[1:])
+    np.cumsum((s.astype(np.uint64) + np.uint64(1)) * tb.powers(tb.BASE, n), out=prefix[1:])
     p = np.arange(n)
     follows = (p > 0) & (phi > 0)
     follows[follows] = s[p[follows] - 1] == s[phi[follows] - 1]
@@ -132,7 +135,7 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     lcp = np.zeros(len(first), np.int64)
     own = np.flatnonzero(phi[first] >= 0)
     a, b = first[own], phi[first[own]]
-    step = 1 << max(0, int(n).bit_length() - 1)
+    step = 1 << max(0, int(min(n, longest or n)).bit_length() - 1)
     while step:
         l = lcp[own]
         fits = np.flatnonzero(np.maximum(a, b) + l + step <= n)

@@ -205,10 +205,10 @@ def test_jaccard_join(spark, docs, none, k, percent):
     assert jaccard_join.join(none).count() == 0
 
 
-def test_jaccard_join_without_broadcast_and_in_blocks(docs, monkeypatch):
+def test_jaccard_join_without_broadcast(docs, monkeypatch):
     want = Counter(map(tuple, jaccard_join.join(docs, 3, 60).collect()))
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 2)
+    monkeypatch.setattr(jaccard_join, "PARTS", 2)
     assert Counter(map(tuple, jaccard_join.join(docs, 3, 60).collect())) == want
 
 

@@ -5,7 +5,7 @@ equal sets are one class. Shingles are ordered from rare to frequent (those freq
 in some chunk of documents are counted over the corpus; all others come first, by
 hash), and classes with the same prefix and size form one group. Groups that share a
 prefix shingle meet in that shingle's run; sizes, positions and 256-bit parity
-signatures sieve their pairs. Pairs of groups that pass are expanded to pairs of
+signatures (1024 bits for large sets) sieve their pairs. Pairs of groups that pass are expanded to pairs of
 classes and verified on the whole sets; links between classes and equality within
 them give the components.
 
@@ -35,8 +35,10 @@ from wakeflow.llm.components import components
 SHARE = 1 / 2000
 BLOCK_SHINGLES = 3_000_000
 WORDS = 4  # 64-bit words of a signature
-#: classes of a block of a large component of candidates
-BLOCK_CLASSES = 4000
+#: sets of this size or more also carry a signature of WIDE words: a small one is full before it tells them apart
+LARGE, WIDE = 900, 16
+#: places that the pairs of one smallest candidate are dealt to
+PARTS = 4
 #: more (place, class) rows than this are joined by a shuffle
 BROADCAST_ROWS = 2_000_000
 
@@ -103,6 +105,13 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], rows["n"].to_numpy(np.int64)[order]
 
 
+def _parity(mixed: np.ndarray, doc: np.ndarray, n: int, words: int) -> np.ndarray:
+    """A signature of 64 * words bits for each of n sets: bit i is the parity of the shingles whose hash is i modulo 64 * words."""
+    width = 64 * words
+    odd = np.bincount(doc * width + (mixed % np.uint64(width)).astype(np.int64), minlength=width * n).reshape(n, words, 64) & 1
+    return (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+
+
 def _postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
     """token, n, pos, grp, cls and signature of the prefix shingles of each document that is new to its task."""
 
@@ -129,18 +138,23 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                     rank = np.where(token[at] == sets, count[at], 0)
                 order = np.lexsort((sets, rank, doc))
                 sets, pos = sets[order], np.arange(len(sets)) - np.repeat(np.cumsum(size) - size, size)
-                slot = (tb.mix64(sets) >> np.uint64(56)).astype(np.int64)
-                odd = np.bincount(doc * 256 + slot, minlength=256 * len(one)).reshape(len(one), WORDS, 64) & 1
-                bits = (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+                mixed = tb.mix64(sets)
+                bits = _parity(mixed, doc, len(one), WORDS)
+                large = size >= LARGE
+                rank = np.cumsum(large) - 1
+                wide = _parity(mixed[large[doc]], rank[doc[large[doc]]], int(large.sum()), WIDE)
                 prefix = size - (-(-percent * size // 100)) + 1  # two linked sets share one of these
                 keep = pos < prefix[doc]
                 start = np.concatenate([[0], np.cumsum(size)])[:-1]
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix64(sets))])
                 grp = tb.mix64(total[start + np.minimum(prefix, size)] - total[start] + size.astype(np.uint64)).view(np.int64)
                 doc, sets, pos = doc[keep], sets[keep], pos[keep]
-                raw = np.ascontiguousarray(bits).view(np.uint8).reshape(len(one), 8 * WORDS)[doc]
+                # the wide signature of a large set stands in place of the small one, which it folds to
+                body = [b.tobytes() for b in bits]
+                for i in np.flatnonzero(large):
+                    body[i] = wide[rank[i]].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sets.view(np.int64)), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(grp[doc]), pa.array(cls[one][doc]), pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WORDS), len(doc), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())],
+                    [pa.array(sets.view(np.int64)), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(grp[doc]), pa.array(cls[one][doc]), pa.array(body, pa.binary()).take(pa.array(doc))],
                     ["token", "n", "pos", "grp", "cls", "sig"],
                 )
 
@@ -158,19 +172,35 @@ def _sieve(percent: int):
 
     def similar(n, sig, p, q):
         """Rows p and q by what their signatures bound: they differ in at least as many shingles as bits."""
-        apart = np.bitwise_count(sig[p] ^ sig[q]).sum(axis=1)
-        good = apart <= n[p] + n[q] - 2 * need(n[p], n[q], percent)
+        most = n[p] + n[q] - 2 * need(n[p], n[q], percent)
+        small, wide, at = sig
+        good = np.bitwise_count(small[p] ^ small[q]).sum(axis=1) <= most
+        p, q, most = p[good], q[good], most[good]
+        both = np.flatnonzero((at[p] >= 0) & (at[q] >= 0))
+        good = np.ones(len(p), bool)
+        for i in range(0, len(both), 200_000):
+            b = both[i : i + 200_000]
+            good[b] = np.bitwise_count(wide[at[p[b]]] ^ wide[at[q[b]]]).sum(axis=1) <= most[b]
         return p[good], q[good]
 
-    def pairs(token, n, pos, grp, cls, sig):
+    def pairs(token, n, pos, grp, cls, raw):
         some = runs(token, cls)
-        token, n, pos, grp, cls, sig = (x[some] for x in (token, n, pos, grp, cls, sig))
+        token, n, pos, grp, cls, raw = (x[some] for x in (token, n, pos, grp, cls, raw))
         some = np.zeros(len(token), bool)
         some[:-1] = token[1:] == token[:-1]
         some[1:] |= token[1:] == token[:-1]
-        token, n, pos, grp, cls, sig = (x[some] for x in (token, n, pos, grp, cls, sig))
+        token, n, pos, grp, cls, raw = (x[some] for x in (token, n, pos, grp, cls, raw))
         if not len(token):
             return None
+        large = np.flatnonzero(n >= LARGE)
+        wide = np.frombuffer(b"".join(raw[large]), np.uint64).reshape(-1, WIDE)
+        small = np.empty((len(n), WORDS), np.uint64)
+        small[large] = np.bitwise_xor.reduce(wide.reshape(-1, WIDE // WORDS, WORDS), axis=1)
+        few = np.flatnonzero(n < LARGE)
+        small[few] = np.frombuffer(b"".join(raw[few]), np.uint64).reshape(-1, WORDS)
+        at = np.full(len(n), -1)
+        at[large] = np.arange(len(large))
+        sig = (small, wide, at)
         # groups: equal prefix and size, so equal in every run they share
         first = np.flatnonzero(runs(token, grp))
         size = np.diff(np.append(first, len(token)))
@@ -207,8 +237,9 @@ def _sieve(percent: int):
     def run(batches):
         held = None  # a run of one token may go on in the next batch
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, WORDS)
-            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "n", "pos", "grp", "cls")] + [sig]
+            raw = np.empty(batch.num_rows, object)
+            raw[:] = batch.column("sig").to_pylist()
+            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "n", "pos", "grp", "cls")] + [raw]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if not len(cols[0]):
@@ -226,16 +257,16 @@ def _sieve(percent: int):
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that do link, by their whole sets.
 
-    Pairs are dealt by what two rounds of labels find of their component of candidates,
-    large parts by blocks of classes, so that a class's set travels to few places.
+    Pairs are dealt by the smallest candidate of their first class, in a few parts, so
+    that classes with common candidates meet and a class's set travels to few places.
+    ``tree`` marks links that join parts which the place's links before them did not:
+    enough of them for components.
     """
     spark = docs.sparkSession
-    comp = components(pairs, rounds=2)
-    size = comp.groupBy("comp").agg(F.count("*").alias("size"))
-    comp = comp.join(size, "comp").select("node", "comp", F.when(F.col("size") > BLOCK_CLASSES, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_CLASSES))).otherwise(0).alias("block"))
-    dealt = pairs.join(comp, F.col("a") == F.col("node")).select("a", "b", "comp", F.col("block").alias("i"))
-    dealt = dealt.join(comp.select("node", F.col("block").alias("j")), F.col("b") == F.col("node"))
-    dealt = cut(dealt.select(F.xxhash64("comp", F.least("i", "j"), F.greatest("i", "j")).alias("place"), "a", "b"))
+    near = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = near.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("low"))
+    dealt = pairs.join(near, F.col("a") == F.col("node"))
+    dealt = cut(dealt.select(F.xxhash64("low", F.pmod(F.xxhash64("a"), F.lit(PARTS))).alias("place"), "a", "b"))
     needed = cut(dealt.select("place", F.explode(F.array("a", "b")).alias("cls")).distinct())
     if needed.count() <= BROADCAST_ROWS:
         rows = needed.toPandas().sort_values("cls")  # under BROADCAST_ROWS
@@ -260,23 +291,32 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
     rows = rows.unionByName(dealt.select("place", F.lit(1).alias("kind"), F.col("a").alias("cls"), "b", F.lit(None).cast("binary").alias("body")))
 
     def verify(batches):
-        at, sets = None, {}
+        at, sets, parent = None, {}, {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         for batch in batches:
-            keep = ([], [])
+            keep = ([], [], [])
             for place, kind, a, b, body in zip(*[batch.column(c).to_pylist() for c in ("place", "kind", "cls", "b")], batch.column("body"), strict=True):
                 if place != at:
-                    at, sets = place, {}
+                    at, sets, parent = place, {}, {}
                 if kind == 0:
                     sets[a] = np.frombuffer(body.as_py(), np.uint64)
                     continue
                 x, y = sets[a], sets[b]
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    keep[0].append(a)
-                    keep[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in keep], ["a", "b"])
+                    i, j = root(a), root(b)
+                    parent[i] = j
+                    for out, v in zip(keep, (a, b, i != j), strict=True):
+                        out.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(keep, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "tree"])
 
-    return rows.repartition("place").sortWithinPartitions("place", "kind").mapInArrow(verify, "a long, b long")
+    return rows.repartition("place").sortWithinPartitions("place", "kind").mapInArrow(verify, "a long, b long, tree boolean")
 
 
 def _whole(batches, k: int, known: set[int], wanted: np.ndarray | None):
@@ -319,7 +359,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     # rows of one doc_id and several texts tie their classes together
     tied = full.filter("doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("a", "b")
     more = full.join(tied, F.col("cls") == F.col("a"), "left_semi").select("doc_id", F.col("cls").alias("a")).join(full.select("doc_id", F.col("cls").alias("b")), "doc_id").filter("a < b").select("a", "b").distinct()
-    found = components(links.unionByName(more)).select(F.col("node").alias("cls"), "comp")
+    found = components(links.filter("tree").select("a", "b").unionByName(more)).select(F.col("node").alias("cls"), "comp")
     named = classes.join(found, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))

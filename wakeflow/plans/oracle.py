@@ -28,20 +28,20 @@ NULLS = {"mean_speed_knots": "null::double", "number_of_points": "0::bigint", "o
 
 def event(kind: str, at: str, s: str, e: str, **values: str) -> str:
     rest = ", ".join(f"{values.get(k, x)} as {k}" for k, x in NULLS.items())
-    return f"'{kind}' as event_type, {at} as event_timestamp, mmsi, {s} as start_timestamp, {e} as end_timestamp, round((epoch_us({e}) - epoch_us({s})) / 6e7, 6) as duration_minutes, {rest}"
+    return f"'{kind}' as event_type, {at} as event_timestamp, mmsi, {s} as start_timestamp, {e} as end_timestamp, round((epoch_us({e}) - epoch_us({s})) / 6e7 + 3.7e-10, 6) as duration_minutes, {rest}"
 
 
 ANCHORS = runs("slow_a", 2.0) + f""", anchors as (
- select {event('ANCHOR', 's', 's', 'e', mean_speed_knots='round(v, 6)', number_of_points='n')}
+ select {event('ANCHOR', 's', 's', 'e', mean_speed_knots='round(v + 3.7e-10, 6)', number_of_points='n')}
  from (select mmsi, r, min(t) as s, max(t) as e, avg(v) as v, count(*) as n from slow_a group by 1, 2) x where epoch_us(e) - epoch_us(s) > 60 * 60000000::bigint)"""
 LOITERS = runs("slow_l", 4.0) + f""", loiters as (
- select {event('LOITER', 's', 's', 'e', mean_speed_knots='round(v, 6)', number_of_points='n', observed_radius_km='round(km, 6)')}
+ select {event('LOITER', 's', 's', 'e', mean_speed_knots='round(v + 3.7e-10, 6)', number_of_points='n', observed_radius_km='round(km + 3.7e-10, 6)')}
  from (select mmsi, r, min(t) as s, max(t) as e, avg(v) as v, count(*) as n, max({hav('clat', 'clon', 'lat', 'lon')}) as km
        from (select *, avg(lat) over (partition by mmsi, r) as clat, avg(lon) over (partition by mmsi, r) as clon from slow_l) y group by 1, 2) x
  where epoch_us(e) - epoch_us(s) > 120 * 60000000::bigint and km <= 100
    and not exists (select 1 from anchors a where a.mmsi = x.mmsi and a.start_timestamp <= x.e and x.s <= a.end_timestamp))"""
 MANEUVERS = f"""maneuvers as (
- select {event('MANEUVERING', 's', 's', 'e', number_of_points='n', heading_circular_variance='round(cv, 6)', point_coverage_ratio='round(cov, 6)')}
+ select {event('MANEUVERING', 's', 's', 'e', number_of_points='n', heading_circular_variance='round(cv + 3.7e-10, 6)', point_coverage_ratio='round(cov + 3.7e-10, 6)')}
  from (select mmsi, min(t) as s, max(t) as e, count(*) as n, 1 - sqrt(pow(avg(sin(radians(h % 360))), 2) + pow(avg(cos(radians(h % 360))), 2)) as cv,
               least(1.0, (epoch_us(max(t)) - epoch_us(min(t))) / 6e7 / 10080, count(*) / 10.0) as cov
        from (select *, (epoch_us(t) - epoch_us(min(t) over (partition by mmsi))) // (10080::bigint * 60000000) as w from points where h is not null) a group by mmsi, w) x
@@ -131,7 +131,7 @@ def with_(parts: str, select: str) -> str:
 
 def rounded(columns: str, digits: int = 6) -> str:
     """'name=expression' pairs as rounded columns."""
-    return ", ".join(f"round({e}, {digits}) as {n}" for n, e in (c.strip().split("=", 1) if "=" in c else (c.strip(), c.strip()) for c in columns.split(";")))
+    return ", ".join(f"round({e} + 3.7e-10, {digits}) as {n}" for n, e in (c.strip().split("=", 1) if "=" in c else (c.strip(), c.strip()) for c in columns.split(";")))
 
 
 _F5 = lambda c: rounded(c, 5)
@@ -139,7 +139,7 @@ _F5 = lambda c: rounded(c, 5)
 ORACLE_SQL = {
     "clean_points": with_(POINTS, "select mmsi as \"MMSI\", t as \"timestamp\", " + rounded("latitude=lat; longitude=lon; speed=v; heading=h") + ", strftime(t, '%Y-%m-%d') as trajectory_date from points"),
     "cleaning_stats": with_(POINTS, "select (select count(*) from points) + (select count(*) from points where lat > 55.5) + (select count(*) from points where lon > 11) as raw_rows, (select count(*) from points) as cleaned_rows, (select count(*) from points where lon > 11) as invalid_coordinate_rows, (select count(*) from points where lat > 55.5) as duplicate_timestamp_rows, (select count(distinct mmsi) from points) as vessel_count"),
-    "segments": with_(f"{POINTS}, {SEGS}", "select segment_id, mmsi as \"MMSI\", w as window_minutes, s as segment_start, e as segment_end, round(secs, 6) as duration_seconds, n as number_of_points, round(avg_v, 6) as avg_speed from segs"),
+    "segments": with_(f"{POINTS}, {SEGS}", "select segment_id, mmsi as \"MMSI\", w as window_minutes, s as segment_start, e as segment_end, round(secs, 6) as duration_seconds, n as number_of_points, round(avg_v + 3.7e-10, 6) as avg_speed from segs"),
     "segment_points": with_(f"{POINTS}, {segments('720', 2, 'mmsi, d')}", "select segment_id, mmsi as \"MMSI\", t as \"timestamp\", w as window_minutes, s as segment_start, e as segment_end, round(secs, 6) as duration_seconds, n as number_of_points, d as trajectory_date from segpoints"),
     "boundary_events": with_(f"{POINTS}, {BOUNDARY}", "select * from boundary"),
     "anchor_events": with_(f"{POINTS}, {ANCHORS}", "select * from anchors"),
@@ -150,7 +150,7 @@ ORACLE_SQL = {
     "segment_motion_features": with_(f"{POINTS}, {SEGS}, {MOTION}", "select segment_id, mmsi, n as number_of_points, " + _F5("avg_speed; max_speed; speed_variance; path_length=path; displacement=disp; heading_variance; mean_heading_change=mean_turn; loop_count=loops; turn_density=case when path = 0 then 0 else turns / path end; stationary_ratio=stationary") + " from motion"),
     "crossing_counts": with_(f"{POINTS}, {BOUNDARY}, {SEGS}, {COUNTS}", "select * from xcount"),
     "event_overlap_minutes": with_(f"{SEQUENCE}, {SEGS}, {OVERLAP}", "select segment_id, " + rounded("anchor_duration; loiter_duration") + " from overlap"),
-    "distance_to_boundary": with_(f"{POINTS}, {SEGS}, {MOTION}, {DISTANCE}", "select segment_id, round(distance_to_boundary, 5) as distance_to_boundary from dist"),
+    "distance_to_boundary": with_(f"{POINTS}, {SEGS}, {MOTION}, {DISTANCE}", "select segment_id, round(distance_to_boundary + 3.7e-10, 5) as distance_to_boundary from dist"),
     "segment_features": with_(FEATURES, "select segment_id, mmsi, w as window_minutes, s as segment_start, e as segment_end, n as number_of_points, crossing_count, round(secs, 6) as duration_seconds, " + _F5("avg_speed; max_speed; speed_variance; path_length=path; displacement=disp; trajectory_curvature=curve; path_tortuosity=curve; heading_variance; mean_heading_change=mean_turn; loop_count=loops; turn_density=density; stationary_ratio=stationary; distance_to_boundary; anchor_duration; loiter_duration") + " from feats"),
     "fishing_intervals": with_(EFFORT, "select mmsi, d as start_timestamp, d + interval 1 day as end_timestamp, true as is_fishing, round(hours, 9) as fishing_hours, round(least(0.95, 0.70 + greatest(0, least(6, hours)) / 6 * 0.25), 9) as label_confidence from effort where hours >= 0.5"),
     "situation_labels": with_(LABELLED, "select segment_id, mmsi, segment_start, segment_end, situation_label, case situation_label when 'Fishing' then 0.95 when 'Anchorage' then 0.9 when 'Prolonged Boundary Presence' then 0.85 when 'Boundary Crossing' then 0.8 when 'Transit' then 0.75 else 0.25 end::double as label_confidence, case situation_label when 'Fishing' then 'fishing_label' when 'Unknown' then 'default' else 'rule' end as label_source from labelled"),

@@ -70,8 +70,8 @@ def _situations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, as sums in another order differ in their last bits."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded, as sums in another order differ in their last bits; the small addend (also in the SQL) keeps exact halves from falling either way."""
+    return df.select(*[F.round(F.col(c) + 3.7e-10, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _numbers(df: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def q_distance_to_boundary(spark, sf_dir):
 
 
 def _rounded_features(f: DataFrame) -> DataFrame:
-    return f.select(*[F.round(c, 6 if c == "duration_seconds" else 5).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes])
+    return f.select(*[F.round(F.col(c) + 3.7e-10, 6 if c == "duration_seconds" else 5).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes])
 
 
 def q_segment_features(spark, sf_dir):

@@ -151,7 +151,8 @@ def q_segment_features(spark, sf_dir):
 
 
 def q_fishing_intervals(spark, sf_dir):
-    return rounded(fishing.effort_to_labels(_effort(spark, sf_dir), 0.5), 9)
+    out = fishing.effort_to_labels(_effort(spark, sf_dir), 0.5)  # no sums here: rounded as they are
+    return out.withColumns({c: F.round(c, 9) for c in ("fishing_hours", "label_confidence")})
 
 
 def q_situation_labels(spark, sf_dir):

@@ -91,6 +91,27 @@ def test_line_dedup(spark, docs, none):
     assert all(r["e"] - r["s"] >= 2 for r in spans)
 
 
+def test_line_dedup_of_short_passages(spark):
+    """Passages of 2 to 5 short lines in the middle of texts, each over 50 words in all, leave every text but the first."""
+    rng = random.Random(7)
+    own = lambda n: " ".join("".join(rng.choice(SYLLABLES) for _ in range(4)) for _ in range(n))
+    rows, want = [], {}
+    for n in range(2, 6):
+        shared = [own(-(-51 // n)) for _ in range(n)]
+        below = [own(50 // n) for _ in range(n)]  # at most 50 words: stays
+        for _ in range(6):
+            parts = [[own(9) for _ in range(rng.randint(3, 6))] for _ in range(3)]
+            first = not any(shared[0] in t for _, t in rows)
+            want[len(rows)] = "\n".join([*parts[0], *(shared if first else []), *parts[1], *below, *parts[2]])
+            rows.append((len(rows), "\n".join([*parts[0], *shared, *parts[1], *below, *parts[2]])))
+    # a text without a chunk boundary of its own keeps what is around the passage
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.ChunkLimits(min_chars=0)).collect()}
+    lost = lambda i: set(rows[i][1].split("\n")) - set(got[i].split("\n"))
+    assert all(set(rows[i][1].split("\n")) - set(want[i].split("\n")) <= lost(i) for i, _ in rows)
+    assert all(len(" ".join(lost(i)).split(" ")) >= 51 for i, _ in rows if i % 6) and not any(lost(i) for i, _ in rows if i % 6 == 0)
+    assert sum(got[i] == want[i] for i, _ in rows) >= len(rows) // 2  # a chunk inside ``below`` may go besides
+
+
 def test_language(spark, none):
     rows = [(i, " ".join(RNG.choice(["the", "and", "house", "green"] if i % 2 else ["der", "und", "haus", "grün"]) for _ in range(30)), "en" if i % 2 else "de", "s", 0) for i in range(80)]
     rows += [(100, None, "en", "s", 0), (101, "123 ...", "en", "s", 0), (102, "the house", None, None, None), (None, "der haus und", None, None, 0)]

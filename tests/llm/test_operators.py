@@ -187,6 +187,20 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.keep_good(many.withColumn("kept", F.lit("clash"))).count() == 2 and quality_rules.judge(none).count() == 0
 
 
+def test_frequent_lines_leave_the_texts(spark):
+    common, own = "Some Common line of Words", line(15)
+    rows = [(i, f"{common}\n{line(15)}", "en", "h", 9) for i in range(30)]
+    rows += [(50, f"  {common.upper()}\n\n{own}", "en", "h", 9), (51, f"{common}\n{own}", "en", "g", 9), (52, f"{common}\n{own}", "en", None, 9)]
+    blanks = "a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 4 5 6 7 8"
+    rows += [(60 + i, f"{blanks}\n{' '.join(word() + str(i) + 'xyzx' + str(j) for j in range(8))[:52]}", "en", "k", 9) for i in range(25)]
+    got = {r["doc_id"]: r for r in quality_rules.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i]["text"] == rows[i][1].split("\n")[1] and got[i]["n_chars"] == len(got[i]["text"]) for i in range(30))
+    assert got[50]["text"] == f"\n{own}" and all(got[i]["text"] == f"{common}\n{own}" and got[i]["n_chars"] == 9 for i in (51, 52))
+    for i in range(25):
+        left = len(rows[33 + i][1].split("\n")[1].replace(" ", ""))
+        assert (60 + i in got) == (left >= 40 and left >= 0.3 * (left + 34))
+
+
 def _components(rows, k, percent):
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     sets = []

@@ -8,8 +8,11 @@ keeps too few of its characters is rejected. Base rules on words stand beside it
 Defined cases: a null text has no words and fails the base rules; a null source is
 a host of its own; rows that repeat a doc_id are judged one by one, equal rows get
 equal results; an empty table gives an empty result; other columns are ignored by
-:func:`judge` and kept by :func:`keep_good`. No text is too long: arrays of a row
-are as long as its text.
+:func:`judge` and kept by :func:`keep_good`, which takes the frequent lines out of the
+texts. No text is too long: arrays of a row are as long as its text.
+
+:func:`judge` follows the query's SQL, which subtracts the removed lines' lengths with
+their blanks from word characters; :func:`keep_good` subtracts their word characters.
 
 Scale: two shuffles of (host and line hash, text hash) with partial aggregation,
 one of the line rows for the join back, none of texts. A hot line is one row per
@@ -79,18 +82,27 @@ def _base(docs: DataFrame) -> DataFrame:
     return one.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("again", "bits")
 
 
+def _line_key(line: Column) -> Column:
+    return F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), line)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row for each line of a row that is not blank: its key (of host and normalised line) and its length."""
+    """One row for each line of a row that is not blank: its key (of host and normalised line), its length and its word characters."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.transform(F.split(F.lower(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    one = docs.select("doc_id", "source", F.xxhash64(text).alias("text_hash"), F.explode(lines).alias("line"))
-    key = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "line")
-    return one.select("doc_id", "source", "text_hash", key.alias("line_key"), F.length("line").cast("long").alias("line_chars"))
+    one = docs.select("doc_id", "source", F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("as_is"), F.split(F.lower(text), "\n").alias("low"))
+    lines = F.transform("low", lambda x, i: F.struct(F.trim(x).alias("line"), F.length(F.translate(F.get(F.col("as_is"), i), " \t\n\x0b\x0c\r", "")).cast("long").alias("line_word_chars")))
+    one = one.select("doc_id", "source", "text_hash", F.explode(F.filter(lines, lambda x: x["line"] != "")).alias("l"))
+    return one.select("doc_id", "source", "text_hash", _line_key(F.col("l.line")).alias("line_key"), F.length("l.line").cast("long").alias("line_chars"), "l.line_word_chars")
 
 
 def judge(docs: DataFrame, limits: QualityLimits | None = None) -> DataFrame:
     """doc_id, text_hash, base counts, base_failed, removed_words and kept: one row per row of ``docs`` (doc_id, text, source)."""
-    limits = limits or QualityLimits()
+    columns = ["doc_id", "text_hash", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_chars"]
+    return _judged(docs, limits or QualityLimits()).select(*columns, "base_failed", "kept", F.explode(F.array_repeat(F.lit(0), F.col("rows"))).alias("copy")).drop("copy")
+
+
+def _judged(docs: DataFrame, limits: QualityLimits) -> DataFrame:
+    """The columns of :func:`judge`, ``good`` (kept by word characters) and the keys of the frequent lines: one row per doc_id, text and source, with its number of rows."""
     docs = docs.select("doc_id", "text", "source")
     base, lines = _base(docs), _lines(docs)
     hosts = docs.select("source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).groupBy("source").agg(F.count_distinct("text_hash").alias("host_documents"))
@@ -101,19 +113,28 @@ def judge(docs: DataFrame, limits: QualityLimits | None = None) -> DataFrame:
         .select("line_key")
     )
     # rows that repeat (doc_id, text, source) are summed together, so they are counted
-    removed = lines.join(frequent, "line_key").groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("source").alias("host")).agg(F.sum("line_chars").alias("removed_chars"))
+    removed = lines.join(frequent, "line_key").groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("source").alias("host")).agg(F.sum("line_chars").alias("removed_chars"), F.sum("line_word_chars").alias("removed_word_chars"), F.collect_set("line_key").alias("frequent"))
     rows = base.groupBy("doc_id", "text_hash", "source").agg(*[F.first(c).alias(c) for c in ("n_symbols", "n_words", "word_chars", "n_dup_lines", "n_repeat_words")], F.count("*").cast("int").alias("rows"))
     out = rows.join(removed, rows["doc_id"].eqNullSafe(removed["id"]) & (rows["text_hash"] == removed["hash"]) & rows["source"].eqNullSafe(removed["host"]), "left")
-    out = out.withColumn("removed_chars", F.coalesce((F.col("removed_chars") / F.col("rows")).cast("long"), F.lit(0).cast("long")))
+    for c in ("removed_chars", "removed_word_chars"):
+        out = out.withColumn(c, F.coalesce((F.col(c) / F.col("rows")).cast("long"), F.lit(0).cast("long")))
     failed = (F.col("n_words") < limits.base_words) | (100 * F.col("n_repeat_words") > limits.base_repeat_percent * F.col("n_words"))
-    left = F.col("word_chars") - F.col("removed_chars")
-    verdict = ~failed & (left >= limits.min_chars) & (left >= limits.min_share * F.col("word_chars"))
-    columns = ["doc_id", "text_hash", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_chars"]
-    return out.select(*columns, failed.alias("base_failed"), verdict.alias("kept"), F.explode(F.array_repeat(F.lit(0), F.col("rows"))).alias("copy")).drop("copy")
+
+    def verdict(removed: str) -> Column:
+        left = F.col("word_chars") - F.col(removed)
+        return ~failed & (left >= limits.min_chars) & (left >= limits.min_share * F.col("word_chars"))
+
+    return out.withColumns({"base_failed": failed, "kept": verdict("removed_chars"), "good": verdict("removed_word_chars")})
 
 
 def keep_good(docs: DataFrame, limits: QualityLimits | None = None) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, all their columns unchanged."""
-    verdict = judge(docs, limits).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_host")).distinct()
+    """The rows of ``docs`` that are good, their texts without frequent lines; n_chars, where it is a column, follows a changed text."""
+    good = _judged(docs, limits or QualityLimits()).filter("good").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_host"), F.col("frequent").alias("_frequent"))
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")) & docs["source"].eqNullSafe(F.col("_host")), "left_semi")
+    out = docs.join(good, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")) & docs["source"].eqNullSafe(F.col("_host")))
+    out = out.withColumn("_low", F.split(F.lower("text"), "\n"))
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_frequent", _line_key(F.trim(F.get(F.col("_low"), i)))))
+    changed = {"text": F.array_join(left, "\n")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[F.when(F.col("_frequent").isNull(), F.col(c)).otherwise(changed[c]).alias(c) if c in changed else F.col(c) for c in docs.columns])

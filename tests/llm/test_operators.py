@@ -142,6 +142,38 @@ def test_lattice_scores(docs, none):
     assert lattice_lm.score_held_out(none).count() == 0
 
 
+def test_lattice_of_long_words_and_pieces(spark):
+    import base64
+    import math
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(lattice_lm.VOCABULARY, "rb").read().splitlines() if x)}
+    z = sum(1 / (r + 3) for r in ranks.values())
+    logadd = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
+
+    def slow(word):
+        word, a = b" " + word, [0.0]
+        for j in range(1, len(word) + 1):
+            at = -math.inf
+            for n in range(1, j + 1):
+                if (r := ranks.get(word[j - n : j])) is not None:
+                    at = logadd(at, a[j - n] - math.log((r + 3) * z))
+            a.append(at)
+        return a[-1]
+
+    words = ["international", "relationship", "\u6f22\u5b57" * 50, "\u6f22\u5b57" * 200, "x9Qz" * 250]
+    long = next((p for p in ranks if len(p) > 20 and not set(p) & set(range(9, 14)) and 32 not in p and p.isascii() and p.decode().lower() == p.decode()), None)
+    words += [long.decode()] if long else []
+    docs = spark.createDataFrame([*[(i, w) for i, w in enumerate(words)], (100, "a b"), (101, words[4])], "doc_id long, text string")
+    for hot in (0, 400_000):
+        got = {r["doc_id"]: r["score"] for r in lattice_lm.score(docs, docs.filter("doc_id >= 100"), hot=hot).collect()}
+        n, v = 5, 4  # a, b, the long word and two ends
+        mass = n + v + 1
+        for i, w in enumerate(words):
+            own = slow(w.lower().encode()) + math.log((v + 1) / mass)
+            want = (logadd(own, math.log(1 / mass)) if w == words[4] else own) / math.log(10) + math.log10(2 / mass)
+            assert got[i] == pytest.approx(want, rel=1e-9), (w[:20], hot)
+
+
 def test_mixing(docs, none):
     out = mixing.plan(docs).collect()
     assert len(out) == docs.count() and sum(r["size"] for r in out) > 0

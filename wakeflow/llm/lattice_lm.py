@@ -34,27 +34,31 @@ from wakeflow.llm.common import cut, remainder
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 HOT = 400_000
-LONGEST_PIECE = 12
+#: no piece is left out for its length
+LONGEST_PIECE = float("inf")
+#: longer pieces are looked up where their first bytes, as many as this, begin one
+HEAD = 8
 CHUNK = 4 << 20
 
 
-def vocabulary(path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the pieces of at most LONGEST_PIECE bytes and their log scores; single bytes are always among them."""
+def vocabulary(path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the pieces, their log scores, their lengths and the sorted hashes of the first HEAD bytes of longer ones; single bytes are always among them."""
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
     for b in range(256):
         ranks.setdefault(bytes([b]), len(ranks))
-    pieces = [p for p in ranks if len(p) <= LONGEST_PIECE]
+    pieces = list(ranks)
     weight = 1.0 / (np.array([ranks[p] for p in pieces]) + 3.0)
     data = np.frombuffer(b"".join(pieces), np.uint8)
     ends = np.cumsum([len(p) for p in pieces])
-    hashes = tb.slice_hash(tb.prefix_hash(data), np.concatenate([[0], ends[:-1]]), ends)
-    order = np.argsort(hashes)
-    return hashes[order], np.log(weight / weight.sum())[order]
+    starts, prefix = np.concatenate([[0], ends[:-1]]), tb.prefix_hash(data)
+    hashes = tb.slice_hash(prefix, starts, ends)
+    order, long = np.argsort(hashes), starts[ends - starts > HEAD]
+    return hashes[order], np.log(weight / weight.sum())[order], np.unique(ends - starts), np.unique(tb.slice_hash(prefix, long, long + HEAD))
 
 
 def lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab) -> np.ndarray:
     """Log marginal probability over all segmentations of a blank and each word [start, end)."""
-    hashes, scores = vocab
+    hashes, scores, lengths, heads = vocab
     size = ends - starts + 1
     order = np.argsort(-size, kind="stable")  # long words first: those that reach a step are a prefix
     size, begin = size[order], starts[order]
@@ -69,9 +73,16 @@ def lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab) -> np
     alpha = np.full(base[-1] + len(size), -np.inf)  # one more place per word: before its first byte
     place = base[:-1] + np.arange(len(size))
     alpha[place] = 0.0
-    edges = []
-    for length in range(1, min(LONGEST_PIECE, longest) + 1):
-        at = np.flatnonzero(inner + length <= size[word])
+    edges, open_at = [], None
+    for length in lengths[lengths <= longest].tolist():
+        if length > HEAD and open_at is None:  # the few places where a longer piece may begin
+            open_at = np.flatnonzero(inner + HEAD < size[word])
+            h = tb.slice_hash(prefix, open_at, open_at + HEAD)
+            open_at = open_at[heads[np.minimum(np.searchsorted(heads, h), len(heads) - 1)] == h]
+        if length > HEAD:
+            at = open_at = open_at[inner[open_at] + length <= size[word[open_at]]]
+        else:
+            at = np.flatnonzero(inner + length <= size[word])
         h = tb.slice_hash(prefix, at, at + length)
         maybe = seen[(h >> np.uint64(43)).astype(np.int64)]
         at, h = at[maybe], h[maybe]
@@ -82,13 +93,11 @@ def lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab) -> np
     to, source, length, score = (np.concatenate(x) for x in zip(*edges, strict=True)) if edges else [np.zeros(0, np.int64)] * 4
     by = np.lexsort((length, to))
     to, source, length, score = to[by], source[by], length[by], score[by]
-    step = np.searchsorted(to * 64 + length, np.arange(longest + 2)[:, None] * 64 + np.arange(LONGEST_PIECE + 2)[None, :])
-    for t in range(1, longest + 1):
-        for n in range(1, min(LONGEST_PIECE, t) + 1):
-            a, b = step[t, n], step[t, n + 1]
-            if a < b:
-                target = source[a:b] + n
-                alpha[target] = np.logaddexp(alpha[target], alpha[source[a:b]] + score[a:b])
+    # edges of one length to one place of their words go together, places in order
+    step = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (length[1:] != length[:-1]), [True]])) if len(to) else []
+    for a, b in zip(step[:-1], step[1:], strict=True):
+        target = source[a:b] + length[a]
+        alpha[target] = np.logaddexp(alpha[target], alpha[source[a:b]] + score[a:b])
     out = np.empty(len(size))
     out[order] = alpha[place + size]
     return out
@@ -145,7 +154,8 @@ def score(docs: DataFrame, training: DataFrame, path: str = VOCABULARY, hot: int
                 is_hot = keys[at] == uniq if len(keys) else np.zeros(len(uniq), bool)
                 c = np.where(is_hot, values[at], 0.0) if len(keys) else np.zeros(len(uniq))
                 base = np.where(is_hot, np.log10((c + 0.1) / den), 0.0)
-                own = np.where(is_hot, np.log10(c / mass + (v + 1) / mass * np.exp(lat) + 1e-300), 0.0)
+                with np.errstate(divide="ignore"):  # log 0 of a word without counts
+                    own = np.where(is_hot, np.logaddexp(np.log(c / mass), np.log((v + 1) / mass) + lat) / np.log(10), 0.0)
                 size, n_docs = np.diff(first), hi - lo
                 end_base, end_own = np.log10((n_end + 0.1) / den), np.log10((n_end + (0 if n_end else 1)) / mass)
                 rid = task + row + np.arange(n_docs)
@@ -168,10 +178,13 @@ def score(docs: DataFrame, training: DataFrame, path: str = VOCABULARY, hot: int
     # a document's own row has the hash of its row number: it meets no word's count, and its sums count whatever it meets
     joined = rows.join(table, "hash", "left")
     c, tf = F.coalesce("c", F.lit(0)), F.col("tf")
+    # both shares in log space: far below the least double, a lattice still tells long words apart
+    seen, lat = F.when(c > 0, F.log(c / F.lit(mass))), F.col("lat") + F.lit(float(np.log((v + 1) / mass)))
+    mixed = F.when(c > 0, F.greatest(seen, lat) + F.log1p(F.exp(-F.abs(seen - lat)))).otherwise(lat)
     add = [
         F.when(tf.isNull(), F.col("known")).otherwise(F.when(c > 0, tf).otherwise(0)).alias("known"),
         F.when(tf.isNull(), F.col("base")).otherwise(tf * F.log10((c + F.lit(0.1)) / F.lit(den))).alias("base"),
-        F.when(tf.isNull(), F.col("own")).otherwise(tf * F.log10(c / F.lit(mass) + F.lit((v + 1) / mass) * F.exp("lat") + F.lit(1e-300))).alias("own"),
+        F.when(tf.isNull(), F.col("own")).otherwise(tf * mixed / F.lit(float(np.log(10)))).alias("own"),
     ]
     out = joined.select("rid", "doc_id", "n_tokens", *add).groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("own").alias("score"))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

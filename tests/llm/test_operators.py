@@ -279,6 +279,14 @@ def test_jaccard_join_without_broadcast(docs, monkeypatch):
     assert Counter(map(tuple, jaccard_join.join(docs, 3, 60).collect())) == want
 
 
+def test_jaccard_join_of_null_ids_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    w = line(100).split(" ")
+    rows = [(None, " ".join(w)), (None, " ".join(["other", *w[1:]])), (None, line(40)), (5, line(40))]
+    got = sorted(r["n_links"] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
+    assert got == [0, 0, 1, 1]
+
+
 def test_toxicity(spark, none):
     bad = ["idiot", "scum", "moron"]
     rows, marks = [], []

@@ -284,8 +284,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
 
         sets = docs.select("text").mapInArrow(places, "place long, cls long, body binary")
     else:  # another way beyond that size: texts meet the classes that are needed by a shuffle
-        reps = needed.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("_id")).distinct()
-        texts = docs.join(reps, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
+        reps = needed.select("cls").distinct().join(classes, "cls").select(F.col("of.doc_id").alias("_id"), F.col("of.hash").alias("_hash")).distinct()
+        texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi").select("text")
         sets = texts.mapInArrow(lambda batches: _whole(batches, k, set(), None), "cls long, body binary").join(needed, "cls").select("place", "cls", "body")
     rows = sets.select("place", F.lit(0).alias("kind"), "cls", F.lit(0).cast("long").alias("b"), "body")
     rows = rows.unionByName(dealt.select("place", F.lit(1).alias("kind"), F.col("a").alias("cls"), "b", F.lit(None).cast("binary").alias("body")))
@@ -336,8 +336,14 @@ def _whole(batches, k: int, known: set[int], wanted: np.ndarray | None):
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, class_id (of equal sets), n_links (of the class with other classes) and component_id of every row."""
+    out = _grouped(docs, k, percent, tie=True)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, tie: bool) -> DataFrame:
+    """doc_id, hash (of the text), cls, n, n_links, comp and component_id of every row; ``tie``: rows of one doc_id are one document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
 
     def label(batches):
         for batch in batches:
@@ -346,11 +352,11 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
                 sets, first = shingle_sets(data, offsets, k)
                 ids.append(class_ids(sets, first))
                 n.append(np.diff(first))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(ids)), pa.array(np.concatenate(n).astype(np.int64))], ["doc_id", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(np.concatenate(ids)), pa.array(np.concatenate(n).astype(np.int64))], ["doc_id", "hash", "cls", "n"])
 
-    rows = cut(docs.mapInArrow(label, "doc_id long, cls long, n long"))
+    rows = cut(docs.mapInArrow(label, "doc_id long, hash long, cls long, n long"))
     full = rows.filter("n > 0")
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min(_row_key()).alias("of"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, k))
     postings = _postings(docs, k, percent, frequent).repartition("token").sortWithinPartitions("token", "n", "grp", "cls")
     pairs = cut(postings.mapInArrow(_sieve(percent), "a long, b long").distinct())
@@ -359,13 +365,18 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     # rows of one doc_id and several texts tie their classes together
     tied = full.filter("doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("a", "b")
     more = full.join(tied, F.col("cls") == F.col("a"), "left_semi").select("doc_id", F.col("cls").alias("a")).join(full.select("doc_id", F.col("cls").alias("b")), "doc_id").filter("a < b").select("a", "b").distinct()
-    found = components(links.filter("tree").select("a", "b").unionByName(more)).select(F.col("node").alias("cls"), "comp")
+    edges = links.filter("tree").select("a", "b")
+    found = components(edges.unionByName(more) if tie else edges).select(F.col("node").alias("cls"), "comp")
     named = classes.join(found, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
-    final = named.join(names, "comp").join(degree, "cls", "left").select(F.col("cls").alias("c"), "component_id", "n_links")
-    out = rows.join(final, (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    final = named.join(names, "comp").join(degree, "cls", "left").select(F.col("cls").alias("c"), "comp", "component_id", "n_links")
+    return rows.join(final, (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left")
+
+
+def _row_key():
+    """Orders rows of a group: known ids first, lowest first, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

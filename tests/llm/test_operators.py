@@ -306,6 +306,20 @@ def test_toxicity(spark, none):
     assert toxicity_gru.classify(none, labels).count() == 0 and toxicity_gru.classify(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0
 
 
+def test_stages_keep_and_drop_rows_not_ids(spark):
+    schema, w = "doc_id long, text string", line(100).split(" ")
+    near, item = " ".join(["other", *w[1:]]), line(12)
+    alone, leaked, clean = line(60), f"{line(20)} {item} {line(20)}", [line(30) for _ in range(3)]
+    rows = [(None, " ".join(w)), (None, near), (None, alone), (7, alone), (8, clean[0]), (8, clean[0]), (9, clean[1]), (9, clean[2]), (None, ""), (None, None)]
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, schema)).collect())
+    first = {x for x in got if x[1] in (" ".join(w), near)}
+    assert len(first) == 1 and got == Counter([*first, (7, alone), (8, clean[0]), (9, clean[1]), (9, clean[2]), (None, ""), (None, None)])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, leaked), (None, clean[0]), (3, leaked), (3, clean[1]), (None, None)]
+    got = Counter((r["doc_id"], r["text"]) for r in decontaminate.clean(spark.createDataFrame(rows, schema), bench).collect())
+    assert got == Counter([rows[1], rows[3], rows[4]])
+
+
 def test_quality_classifier(spark, none):
     clean = [(i, line(80), "en" if i % 2 else None, "s", 0) for i in range(60)]
     junk = [(100 + i, "".join(RNG.choice("QXZ#%$!!|") for _ in range(300)), "en", "s", 0) for i in range(5)]

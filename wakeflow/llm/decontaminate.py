@@ -210,6 +210,6 @@ def _search(docs: DataFrame, index) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in whose text no item occurs."""
-    found = matches(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of ``docs`` in whose text no item occurs: by text, whatever the ids."""
+    found = matches(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hash")).distinct()
+    return docs.join(found, F.xxhash64(docs["text"]) == F.col("_hash"), "left_anti")

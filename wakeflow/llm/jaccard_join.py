@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeflow.llm import textbytes as tb
@@ -380,6 +380,12 @@ def _row_key():
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document names its component: one document of each group stays."""
-    stay = join(docs, k, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each group of near copies: a known doc_id before a null one, the lowest, then by text and the other columns. Texts without words all stay, and so do unlike texts of one doc_id."""
+    rows = _grouped(docs, k, percent, tie=False)
+    best = rows.filter("n > 0").groupBy("comp").agg(F.min(_row_key()).alias("key")).select("key.doc_id", "key.hash", F.lit(False).alias("_bare"))
+    stay = best.unionByName(rows.filter("n = 0").select("doc_id", "hash", F.lit(True).alias("_bare")).distinct())
+    stay = stay.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), "_bare")
+    out = docs.withColumn("_hash", F.xxhash64("text"))
+    out = out.join(stay, out["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+    again = Window.partitionBy(docs["doc_id"], "_hash").orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
+    return out.withColumn("_nth", F.row_number().over(again)).filter("_bare or _nth = 1").select(*docs.columns)

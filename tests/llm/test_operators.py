@@ -201,6 +201,49 @@ def test_decontamination(spark, docs, none, texts):
     assert decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_matches_against_edit_distance(spark):
+    """Items with 0 to k + 1 edits at both edges and in the middle of texts, and items under Q bytes."""
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    items = ["ijklmnopqrst uvwxyz"[: 5 * n] for n in (1, 3)] + [noise(n) for n in (40, 75, 120)] + ["Q", "q", "zyxw"]
+    rows = []
+    for item in items:
+        for edits in range(len(item) // 10 + 2):
+            for before, after in ((0, 60), (60, 0), (40, 40)):
+                text = list(item)
+                for at in rng.sample(range(len(text)), edits):
+                    text[at] = rng.choice(["", "#", text[at] + "#"])
+                rows.append((len(rows), noise(before) + "".join(text) + noise(after)))
+    rows += [(len(rows), "ends in zyx"), (len(rows) + 1, "w begins"), (len(rows) + 2, "")]
+
+    def best(item, text):
+        row = [0] * (len(text) + 1)
+        for i, a in enumerate(item, 1):
+            new = [i]
+            for j, b in enumerate(text, 1):
+                new.append(min(row[j - 1] + (a != b), row[j] + 1, new[j - 1] + 1))
+            row = new
+        return min(row)
+
+    want = set()
+    for d, text in rows:
+        for i, item in enumerate(items):
+            k = len(item) // 10
+            k = k if len(item) - 6 - 7 * k > 0 else 0
+            if (at := best(item.lower(), text.lower())) <= k:
+                want.add((d, i, at))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.matches(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == want and len(got) == len(want)
+    assert {x[2] for x in want} >= set(range(8)) and all(best(items[r["item_id"]].lower(), rows[r["doc_id"]][1].lower()[r["start"] : r["end"]]) == r["distance"] for r in got)
+
+
+def test_oracle_is_sql():
+    from wakeflow.llm.queries import ORACLE_SQL
+
+    assert all(isinstance(x, str) for x in ORACLE_SQL.values())
+
+
 def test_quality_rules(spark, docs, none):
     rows = quality_rules.judge(docs).collect()
     assert len(rows) == docs.count()

@@ -63,6 +63,13 @@ class Index:
         self.item, self.pos = item[order], (place - self.offsets[item])[order]
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self._slot(self.codes)] = True
+        # items without a q-gram, by length: their sorted bytes as numbers, and the items of each
+        self.short = {}
+        for size in range(1, Q):
+            own = np.flatnonzero(m == size)
+            if len(own):
+                code, which = np.unique(_grams(self.data)[self.offsets[:-1][own]] >> np.uint64(8 * (Q - size)), return_inverse=True)
+                self.short[size] = (code, [own[which == j] for j in range(len(code))])
         # classes of similar length, for the first sieve: window and least hits
         self.sieve = []
         long = m[m >= Q]
@@ -80,10 +87,13 @@ class Index:
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, distance, start, end) of the best occurrence of each item in each document."""
-        if not len(data) or not len(self.codes):
+        if not len(data) or not (len(self.codes) or self.short):
             return []
         data = NORMAL[data]
         code = _grams(data)
+        short = list(self._exact(code, offsets))
+        if not len(self.codes):
+            return sorted(short)
         hit = self.seen[self._slot(code)]
         for k in range(1, Q):  # q-grams do not cross documents
             e = offsets[1:] - k
@@ -110,7 +120,20 @@ class Index:
                 old = found.get((doc, item))
                 if old is None or (d, s) < old[:2]:
                     found[doc, item] = (d, s, e)
-        return [(doc, item, *x) for (doc, item), x in sorted(found.items())]
+        return sorted(short + [(doc, item, *x) for (doc, item), x in found.items()])
+
+    def _exact(self, code, offsets):
+        """The first place of each item without a q-gram in each document, as it is."""
+        for size, (keys, items) in self.short.items():
+            here = code >> np.uint64(8 * (Q - size))
+            which = np.minimum(np.searchsorted(keys, here), len(keys) - 1)
+            at = np.flatnonzero(keys[which] == here)
+            doc = np.searchsorted(offsets, at, "right") - 1
+            at, doc = (x[at + size <= offsets[doc + 1]] for x in (at, doc))
+            _, first = np.unique(doc * len(keys) + which[at], return_index=True)
+            for d, i in zip(doc[first].tolist(), at[first].tolist(), strict=True):
+                for item in items[which[i]].tolist():
+                    yield d, item, 0, int(i - offsets[d]), int(i - offsets[d] + size)
 
     def _regions(self, data, offsets, at, where):
         count = self.first[where + 1] - self.first[where]

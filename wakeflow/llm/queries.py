@@ -64,7 +64,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op6_benchmark_matches": op6_benchmark_matches,
     "op7_quality_rules": r"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
      w as (select doc_id, source, t, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda x: x <> '') as words,

@@ -315,15 +315,34 @@ def test_jaccard_join(spark, docs, none, k, percent):
     assert jaccard_join.join(none).count() == 0
 
 
-def test_jaccard_join_without_broadcast(docs, monkeypatch):
-    want = Counter(map(tuple, jaccard_join.join(docs, 3, 60).collect()))
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(jaccard_join, "PARTS", 2)
-    assert Counter(map(tuple, jaccard_join.join(docs, 3, 60).collect())) == want
-
-
-def test_jaccard_join_of_null_ids_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+def test_jaccard_join_in_parts_and_blocks(spark, docs, monkeypatch):
+    """Split runs and clumps change nothing; links are counted for every class."""
+    base, near = line(120).split(" "), []
+    for i in range(90):
+        w = list(base)
+        for _ in range(i % 12):
+            w[RNG.randrange(len(w))] = word() + "q"
+        near.append((200 + i, " ".join(w), None, None, None))
+    rows = docs.unionByName(spark.createDataFrame(near, SCHEMA))
+    plain = rows.select("doc_id", "text").collect()
+    for percent in (60, 90):
+        want = Counter(map(tuple, jaccard_join.join(rows, 3, percent).collect()))
+        assert Counter((d, n, c) for (d, n, _, _, c), k in want.items() for _ in range(k)) == _components(plain, 3, percent)
+        sets = {}
+        low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+        for r in plain:
+            w = WORDS.findall((r["text"] or "").translate(low))
+            if w:
+                sets[frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2)))] = None
+        linked = Counter(sum(x is not y and 100 * len(x & y) >= percent * len(x | y) for y in sets) for x in sets)
+        assert Counter({cls: links for (_, _, cls, links, _) in want if cls is not None}.values()) == linked
+        with monkeypatch.context() as m:
+            for name, value in (("RUN", 4), ("LONG", 3), ("MEMBERS", 7), ("SHARE", 1 / 50)):
+                m.setattr(jaccard_join, name, value)
+            assert Counter(map(tuple, jaccard_join.join(rows, 3, percent).collect())) == want
+
+
+def test_jaccard_join_of_null_ids(spark):
     w = line(100).split(" ")
     rows = [(None, " ".join(w)), (None, " ".join(["other", *w[1:]])), (None, line(40)), (5, line(40))]
     got = sorted(r["n_links"] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())

@@ -5,9 +5,10 @@ equal sets are one class. Shingles are ordered from rare to frequent (those freq
 in some chunk of documents are counted over the corpus; all others come first, by
 hash), and classes with the same prefix and size form one group. Groups that share a
 prefix shingle meet in that shingle's run; sizes, positions and 256-bit parity
-signatures (1024 bits for large sets) sieve their pairs. Pairs of groups that pass are expanded to pairs of
-classes and verified on the whole sets; links between classes and equality within
-them give the components.
+signatures (1024 bits for large sets) sieve their pairs. What the sieve passes ties
+classes into clumps: every pair that may link lies in one. A clump's members are
+expanded and all their pairs verified by the exact intersections of their whole sets;
+links between classes and equality within them give the components.
 
 Defined cases: null text and text without words give an empty set, linked with
 nothing, a component of its own; a text of fewer words than a shingle is one shingle;
@@ -15,9 +16,13 @@ rows that repeat a doc_id are one document per text and take the smallest compon
 they reach; a null doc_id is linked by its text and never names a component unless it
 is alone (then null); an empty table gives an empty result; other columns are ignored.
 
-Scale: no list of all pairs of a run is made: the sieve runs in the task on arrays and
-only what it passes leaves. Equal texts collapse before anything is paired. Frequent
-shingles are at most (average set size) / SHARE, whatever the corpus.
+Scale: no list of pairs leaves a task. The sieve sends a spanning forest of the pairs
+that pass, a clump's task one row for each member: its part and its number of links.
+Equal texts collapse before anything is paired. Runs of more than RUN documents are
+split into pairs of parts, and clumps of more than MEMBERS classes (or SHINGLES
+shingles) into pairs of blocks, each pair a key of its own; so a group of m classes
+that are near copies of one another costs m / MEMBERS copies of its texts, the price
+of deciding all its pairs. At most FREQUENT shingles are broadcast.
 """
 
 from __future__ import annotations
@@ -28,19 +33,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeflow.llm import textbytes as tb
-from wakeflow.llm.common import cut
+from wakeflow.llm.common import cut, free
 from wakeflow.llm.components import components
 
 #: a shingle is frequent if this share of a block of documents has it
 SHARE = 1 / 2000
 BLOCK_SHINGLES = 3_000_000
+#: the most frequent shingles that are told from rare ones, at most
+FREQUENT = 1_000_000
 WORDS = 4  # 64-bit words of a signature
 #: sets of this size or more also carry a signature of WIDE words: a small one is full before it tells them apart
 LARGE, WIDE = 900, 16
-#: places that the pairs of one smallest candidate are dealt to
-PARTS = 4
-#: more (place, class) rows than this are joined by a shuffle
-BROADCAST_ROWS = 2_000_000
+#: a run of more documents is split; in runs of more classes than LONG, classes that are tied already are not compared again
+RUN, LONG = 16_384, 64
+#: a clump of more classes, or more shingles, is split into blocks
+MEMBERS, SHINGLES = 4096, 4_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +104,15 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             yield flush(held, seen)
 
     n_docs = docs.count()
-    found = docs.select("text").mapInArrow(run, "token long, n long, docs long").groupBy("token").agg(F.sum("n").alias("n"))
-    # at most the average set size / SHARE rows
-    rows = found.filter(F.col("n") >= max(3, int(n_docs * SHARE))).toPandas()
+    found = cut(docs.select("text").mapInArrow(run, "token long, n long, docs long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3, int(n_docs * SHARE))))
+    # the least count of the most frequent: by a histogram of a fixed number of buckets
+    level = F.floor(F.log2("n") * 8).cast("int")
+    least, rows = None, 0
+    for at, n in sorted(((r["level"], r["count"]) for r in found.groupBy(level.alias("level")).count().collect()), reverse=True):
+        if rows + n > FREQUENT:
+            break
+        least, rows = at, rows + n
+    rows = found.filter(level >= least if least is not None else F.lit(False)).toPandas()  # at most FREQUENT rows
     token = rows["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], rows["n"].to_numpy(np.int64)[order]
@@ -113,7 +126,10 @@ def _parity(mixed: np.ndarray, doc: np.ndarray, n: int, words: int) -> np.ndarra
 
 
 def _postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """token, n, pos, grp, cls and signature of the prefix shingles of each document that is new to its task."""
+    """token, part, n, pos, grp, cls and signature of the prefix shingles of each document that is new to its task.
+
+    A frequent shingle's run has parts; a row goes to each pair of parts that has its own.
+    """
 
     def run(batches):
         token, count = frequent.value
@@ -137,32 +153,39 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                     at = np.minimum(np.searchsorted(token, sets), len(token) - 1)
                     rank = np.where(token[at] == sets, count[at], 0)
                 order = np.lexsort((sets, rank, doc))
-                sets, pos = sets[order], np.arange(len(sets)) - np.repeat(np.cumsum(size) - size, size)
+                rank, sets, pos = rank[order], sets[order], np.arange(len(sets)) - np.repeat(np.cumsum(size) - size, size)
                 mixed = tb.mix64(sets)
                 bits = _parity(mixed, doc, len(one), WORDS)
                 large = size >= LARGE
-                rank = np.cumsum(large) - 1
-                wide = _parity(mixed[large[doc]], rank[doc[large[doc]]], int(large.sum()), WIDE)
+                nth = np.cumsum(large) - 1
+                wide = _parity(mixed[large[doc]], nth[doc[large[doc]]], int(large.sum()), WIDE)
                 prefix = size - (-(-percent * size // 100)) + 1  # two linked sets share one of these
                 keep = pos < prefix[doc]
                 start = np.concatenate([[0], np.cumsum(size)])[:-1]
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix64(sets))])
                 grp = tb.mix64(total[start + np.minimum(prefix, size)] - total[start] + size.astype(np.uint64)).view(np.int64)
                 doc, sets, pos = doc[keep], sets[keep], pos[keep]
+                parts = np.maximum(1, -(-rank[keep] // RUN))
+                own = cls[one][doc].view(np.uint64) % parts.astype(np.uint64)
+                to = np.repeat(np.arange(len(parts)), parts)
+                other = np.arange(len(to)) - np.repeat(np.cumsum(parts) - parts, parts)
+                own = own[to].astype(np.int64)
+                part = np.minimum(own, other) << 20 | np.maximum(own, other)
+                doc, sets, pos = doc[to], sets[to], pos[to]
                 # the wide signature of a large set stands in place of the small one, which it folds to
                 body = [b.tobytes() for b in bits]
                 for i in np.flatnonzero(large):
-                    body[i] = wide[rank[i]].tobytes()
+                    body[i] = wide[nth[i]].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sets.view(np.int64)), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(grp[doc]), pa.array(cls[one][doc]), pa.array(body, pa.binary()).take(pa.array(doc))],
-                    ["token", "n", "pos", "grp", "cls", "sig"],
+                    [pa.array(sets.view(np.int64)), pa.array(part), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(grp[doc]), pa.array(cls[one][doc]), pa.array(body, pa.binary()).take(pa.array(doc))],
+                    ["token", "part", "n", "pos", "grp", "cls", "sig"],
                 )
 
-    return docs.select("text").mapInArrow(run, "token long, n int, pos int, grp long, cls long, sig binary")
+    return docs.select("text").mapInArrow(run, "token long, part long, n int, pos int, grp long, cls long, sig binary")
 
 
 def _sieve(percent: int):
-    """Pairs of classes that share a prefix shingle and may link; input rows are sorted by token, n, grp, cls."""
+    """Ties (a, b) of classes that share a prefix shingle and may link: a spanning forest of such pairs. Input rows are sorted by token, part, n, grp, cls."""
 
     def runs(*keys):
         """Where a new run of equal keys begins."""
@@ -171,167 +194,222 @@ def _sieve(percent: int):
         return new
 
     def similar(n, sig, p, q):
-        """Rows p and q by what their signatures bound: they differ in at least as many shingles as bits."""
+        """Which of the rows p and q may link by what their signatures bound: they differ in at least as many shingles as bits."""
         most = n[p] + n[q] - 2 * need(n[p], n[q], percent)
         small, wide, at = sig
         good = np.bitwise_count(small[p] ^ small[q]).sum(axis=1) <= most
-        p, q, most = p[good], q[good], most[good]
-        both = np.flatnonzero((at[p] >= 0) & (at[q] >= 0))
-        good = np.ones(len(p), bool)
+        both = np.flatnonzero(good & (at[p] >= 0) & (at[q] >= 0))
         for i in range(0, len(both), 200_000):
             b = both[i : i + 200_000]
             good[b] = np.bitwise_count(wide[at[p[b]]] ^ wide[at[q[b]]]).sum(axis=1) <= most[b]
-        return p[good], q[good]
-
-    def pairs(token, n, pos, grp, cls, raw):
-        some = runs(token, cls)
-        token, n, pos, grp, cls, raw = (x[some] for x in (token, n, pos, grp, cls, raw))
-        some = np.zeros(len(token), bool)
-        some[:-1] = token[1:] == token[:-1]
-        some[1:] |= token[1:] == token[:-1]
-        token, n, pos, grp, cls, raw = (x[some] for x in (token, n, pos, grp, cls, raw))
-        if not len(token):
-            return None
-        large = np.flatnonzero(n >= LARGE)
-        wide = np.frombuffer(b"".join(raw[large]), np.uint64).reshape(-1, WIDE)
-        small = np.empty((len(n), WORDS), np.uint64)
-        small[large] = np.bitwise_xor.reduce(wide.reshape(-1, WIDE // WORDS, WORDS), axis=1)
-        few = np.flatnonzero(n < LARGE)
-        small[few] = np.frombuffer(b"".join(raw[few]), np.uint64).reshape(-1, WORDS)
-        at = np.full(len(n), -1)
-        at[large] = np.arange(len(large))
-        sig = (small, wide, at)
+        return good
+
+    def group_pairs(n, pos, x, y):
+        """Which pairs of groups, by a row of each, may link by size and by what is left of their sets."""
+        return (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need(n[x], n[y], percent))
+
+    def short(run, n, pos, grp, sig):
+        """All pairs that pass, of the rows of runs of at most LONG."""
         # groups: equal prefix and size, so equal in every run they share
-        first = np.flatnonzero(runs(token, grp))
-        size = np.diff(np.append(first, len(token)))
-        p, q = [], []
+        first = np.flatnonzero(runs(run, grp))
+        size = np.diff(np.append(first, len(run)))
+        p, q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         member = np.repeat(np.arange(len(first)), size)
         i, d = np.flatnonzero(pos == 0), 1  # members of one group meet once, at their first shingle
         while len(i):
-            i = i[i + d < len(token)]
+            i = i[i + d < len(run)]
             i = i[member[i] == member[i + d]]
-            x, y = similar(n, sig, i, i + d)
-            p.append(x)
-            q.append(y)
+            good = similar(n, sig, i, i + d)
+            p.append(i[good])
+            q.append(i[good] + d)
             d += 1
         i, d = np.arange(len(first)), 1
         while len(i):
             i = i[i + d < len(first)]
             x, y = first[i], first[i + d]
-            on = (token[x] == token[y]) & (100 * n[x] >= percent * n[y])
+            on = (run[x] == run[y]) & (100 * n[x] >= percent * n[y])
             i, x, y = i[on], x[on], y[on]
-            ok = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need(n[x], n[y], percent)
+            ok = group_pairs(n, pos, x, y)
             x, y, nx, ny = x[ok], y[ok], size[i[ok]], size[i[ok] + d]
             for part in np.array_split(np.arange(len(x)), max(1, int((nx * ny).sum()) // 2_000_000)):  # expand groups, bounded
                 total = nx[part] * ny[part]
                 k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
                 width = np.repeat(ny[part], total)
-                u, v = similar(n, sig, np.repeat(x[part], total) + k // width, np.repeat(y[part], total) + k % width)
-                p.append(u)
-                q.append(v)
+                u, v = np.repeat(x[part], total) + k // width, np.repeat(y[part], total) + k % width
+                good = similar(n, sig, u, v)
+                p.append(u[good])
+                q.append(v[good])
             d += 1
-        a, b = cls[np.concatenate(p)], cls[np.concatenate(q)]
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+        return np.concatenate(p), np.concatenate(q)
+
+    def long(rows, n, pos, grp, sig):
+        """A spanning forest of the pairs that pass in one long run: from each class only to those that nothing is tied to yet."""
+        first = rows[runs(grp[rows])]
+        member = np.cumsum(runs(grp[rows])) - 1  # the group of each row of the run
+        alone = np.arange(len(rows))
+        p, q = [], []
+        while len(alone):
+            ready, alone = [alone[0]], alone[1:]
+            while ready and len(alone):
+                at = ready.pop()
+                ok = group_pairs(n, pos, np.full(len(first), rows[at]), first)
+                meets = alone[ok[member[alone]]]
+                meets = meets[similar(n, sig, np.full(len(meets), rows[at]), rows[meets])]
+                if len(meets):
+                    p.append(np.full(len(meets), rows[at]))
+                    q.append(rows[meets])
+                    ready.extend(meets.tolist())
+                    alone = np.setdiff1d(alone, meets, assume_unique=True)
+        return p, q
+
+    def ties(cols):
+        token, part, n, pos, grp, cls, raw = cols
+        some = runs(token, part, cls)
+        token, part, n, pos, grp, cls, raw = (x[some] for x in (token, part, n, pos, grp, cls, raw))
+        opens = runs(token, part) if len(token) else np.zeros(0, bool)
+        run = np.cumsum(opens) - 1
+        length = np.bincount(run, minlength=1)[run] if len(run) else run
+        some = length > 1
+        run, length, n, pos, grp, cls, raw = (x[some] for x in (run, length, n, pos, grp, cls, raw))
+        if not len(run):
+            return run, run
+        large = np.flatnonzero(n >= LARGE)
+        wide = np.frombuffer(b"".join(raw[large]), np.uint64).reshape(-1, WIDE)
+        small = np.empty((len(n), WORDS), np.uint64)
+        small[large] = np.bitwise_xor.reduce(wide.reshape(-1, WIDE // WORDS, WORDS), axis=1)
+        few = np.flatnonzero(n < LARGE)
+        small[few] = np.frombuffer(b"".join(raw[few]), np.uint64).reshape(-1, WORDS)
+        at = np.full(len(n), -1)
+        at[large] = np.arange(len(large))
+        sig = (small, wide, at)
+        brief = np.flatnonzero(length <= LONG)
+        p, q = short(run[brief], n[brief], pos[brief], grp[brief], (small[brief], wide, at[brief]))
+        p, q = [brief[p]], [brief[q]]
+        rest = np.flatnonzero(length > LONG)
+        for rows in np.split(rest, np.flatnonzero(np.diff(run[rest])) + 1) if len(rest) else []:
+            x, y = long(rows, n, pos, grp, sig)
+            p += x
+            q += y
+        return cls[np.concatenate(p)], cls[np.concatenate(q)]
 
     def run(batches):
-        held = None  # a run of one token may go on in the next batch
+        parent: dict[int, int] = {}  # of the classes that the task has tied
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def forest(cols):
+            a, b = ties(cols)
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            keep = []
+            for x, y in pair.tolist():
+                i, j = root(x), root(y)
+                if i != j:
+                    parent[i] = j
+                    keep.append((x, y))
+            keep = np.array(keep, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(keep[:, 0]), pa.array(keep[:, 1])], ["a", "b"])
+
+        held = None  # a run may go on in the next batch
         for batch in batches:
             raw = np.empty(batch.num_rows, object)
             raw[:] = batch.column("sig").to_pylist()
-            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "n", "pos", "grp", "cls")] + [raw]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "part", "n", "pos", "grp", "cls")] + [raw]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if not len(cols[0]):
                 continue
-            end = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            end = int(last[-1]) + 1 if len(last) else 0
             held = [c[end:] for c in cols]
-            if end and (out := pairs(*[c[:end] for c in cols])) is not None:
-                yield out
-        if held is not None and (out := pairs(*held)) is not None:
-            yield out
+            if end:
+                yield forest([c[:end] for c in cols])
+        if held is not None and len(held[0]):
+            yield forest(held)
 
     return run
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that do link, by their whole sets.
-
-    Pairs are dealt by the smallest candidate of their first class, in a few parts, so
-    that classes with common candidates meet and a class's set travels to few places.
-    ``tree`` marks links that join parts which the place's links before them did not:
-    enough of them for components.
-    """
-    spark = docs.sparkSession
-    near = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = near.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("low"))
-    dealt = pairs.join(near, F.col("a") == F.col("node"))
-    dealt = cut(dealt.select(F.xxhash64("low", F.pmod(F.xxhash64("a"), F.lit(PARTS))).alias("place"), "a", "b"))
-    needed = cut(dealt.select("place", F.explode(F.array("a", "b")).alias("cls")).distinct())
-    if needed.count() <= BROADCAST_ROWS:
-        rows = needed.toPandas().sort_values("cls")  # under BROADCAST_ROWS
-        wanted = spark.sparkContext.broadcast((rows["cls"].to_numpy(np.int64), rows["place"].to_numpy(np.int64)))
-
-        def places(batches):
-            cls_of, place_of = wanted.value
-            known: set[int] = set()
-            for batch in _whole(batches, k, known, cls_of):
-                cls = batch.column("cls").to_numpy()
-                first, last = np.searchsorted(cls_of, cls, "left"), np.searchsorted(cls_of, cls, "right")
-                at = np.repeat(np.arange(len(cls)), last - first)
-                to = np.arange(len(at)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[at]
-                yield pa.RecordBatch.from_arrays([pa.array(place_of[to]), pa.array(cls[at]), batch.column("body").take(pa.array(at))], ["place", "cls", "body"])
-
-        sets = docs.select("text").mapInArrow(places, "place long, cls long, body binary")
-    else:  # another way beyond that size: texts meet the classes that are needed by a shuffle
-        reps = needed.select("cls").distinct().join(classes, "cls").select(F.col("of.doc_id").alias("_id"), F.col("of.hash").alias("_hash")).distinct()
-        texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi").select("text")
-        sets = texts.mapInArrow(lambda batches: _whole(batches, k, set(), None), "cls long, body binary").join(needed, "cls").select("place", "cls", "body")
-    rows = sets.select("place", F.lit(0).alias("kind"), "cls", F.lit(0).cast("long").alias("b"), "body")
-    rows = rows.unionByName(dealt.select("place", F.lit(1).alias("kind"), F.col("a").alias("cls"), "b", F.lit(None).cast("binary").alias("body")))
-
-    def verify(batches):
-        at, sets, parent = None, {}, {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+def shared_counts(tokens: np.ndarray, first: np.ndarray, rows: np.ndarray, others: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of ``rows`` with each of ``others``; set i is tokens[first[i] : first[i + 1]]."""
+    _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]  # shingles of one set alone have none
+    owner = tb.rows_of(first)
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(rows), len(others)), np.int32)
+    n = int(column[-1]) + 1 if len(column) else 0
+    width = min(width, -(-n // 64) * 64)
+    for lo in range(0, n, max(1, width)):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        dense = np.zeros((len(first) - 1, width), bool)
+        dense[owner[a:b], column[a:b] - lo] = True
+        bits = np.packbits(dense, axis=1).view(np.uint64)
+        other = bits[others]
+        for i, row in enumerate(rows):
+            out[i] += np.bitwise_count(other & bits[row]).sum(axis=1, dtype=np.int32)
+    return out
+
+
+def _decide(k: int, percent: int):
+    """Of the texts of places, sorted by place: each class of a place with one that it is tied to by links, and its number of links there."""
+
+    def place(i, j, rows):
+        cls = np.array([c for c, _, _ in rows], np.int64)
+        side = np.array([b for _, b, _ in rows])
+        data, offsets = tb.column_bytes(pa.array([t for _, _, t in rows], pa.string()))
+        sets, first = shingle_sets(data, offsets, k)
+        n = np.diff(first)
+        x = np.flatnonzero(side == i)
+        y = x if i == j else np.flatnonzero(side == j)
+        common = shared_counts(sets, first, x, y)
+        links, label = np.zeros(len(cls), np.int64), np.arange(len(cls))
+        for at, row in enumerate(x):
+            if i == j:
+                met = y[at + 1 :][100 * common[at, at + 1 :].astype(np.int64) >= percent * (n[row] + n[y[at + 1 :]] - common[at, at + 1 :])]
+            else:
+                met = y[100 * common[at].astype(np.int64) >= percent * (n[row] + n[y] - common[at])]
+            if len(met):
+                links[row] += len(met)
+                links[met] += 1
+                join = np.unique(label[np.append(met, row)])
+                if len(join) > 1:
+                    label[np.isin(label, join)] = join[0]
+        on = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(cls[on]), pa.array(cls[label[on]]), pa.array(links[on])], ["a", "b", "links"])
 
+    def run(batches):
+        at, rows, seen = None, [], set()
         for batch in batches:
-            keep = ([], [], [])
-            for place, kind, a, b, body in zip(*[batch.column(c).to_pylist() for c in ("place", "kind", "cls", "b")], batch.column("body"), strict=True):
-                if place != at:
-                    at, sets, parent = place, {}, {}
-                if kind == 0:
-                    sets[a] = np.frombuffer(body.as_py(), np.uint64)
-                    continue
-                x, y = sets[a], sets[b]
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    i, j = root(a), root(b)
-                    parent[i] = j
-                    for out, v in zip(keep, (a, b, i != j), strict=True):
-                        out.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(keep, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "tree"])
+            for c, i, j, cls, side, text in zip(*[batch.column(c).to_pylist() for c in ("clump", "i", "j", "cls", "side")], batch.column("text"), strict=True):
+                if (c, i, j) != at:
+                    if len(rows) > 1:
+                        yield place(*at[1:], rows)
+                    at, rows, seen = (c, i, j), [], set()
+                if cls not in seen:  # rows of one text and doc_id
+                    seen.add(cls)
+                    rows.append((cls, side, text.as_py()))
+        if len(rows) > 1:
+            yield place(*at[1:], rows)
 
-    return rows.repartition("place").sortWithinPartitions("place", "kind").mapInArrow(verify, "a long, b long, tree boolean")
+    return run
 
 
-def _whole(batches, k: int, known: set[int], wanted: np.ndarray | None):
-    """cls, body of the wanted texts' sets (all if None), equal ones of a task once."""
-    for batch in batches:
-        for _, _, data, offsets in tb.chunks(batch.column("text")):
-            sets, first = shingle_sets(data, offsets, k)
-            cls = class_ids(sets, first)
-            on = np.diff(first) > 0
-            if wanted is not None:
-                at = np.minimum(np.searchsorted(wanted, cls), max(0, len(wanted) - 1))
-                on &= (wanted[at] == cls) if len(wanted) else False
-            own = [int(i) for i in np.flatnonzero(on) if int(cls[i]) not in known and not known.add(int(cls[i]))]
-            raw = sets.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(cls[own]), pa.array([raw[8 * first[i] : 8 * first[i + 1]] for i in own], pa.binary())], ["cls", "body"])
+def _links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b, links: each linked class, one that it is tied to by links, and its number of links (in parts, if its clump has blocks)."""
+    members = clumps.select("node", F.col("comp").alias("clump")).join(classes, F.col("node") == F.col("cls"))
+    size = members.groupBy("clump").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    members = members.join(size, "clump").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    members = members.select("clump", "blocks", "side", "cls", F.col("of.doc_id").alias("_id"), F.col("of.hash").alias("_hash"))
+    texts = docs.join(members, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["hash"] == F.col("_hash")))
+    dealt = texts.select("clump", "side", "cls", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("clump", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "cls", "side", "text")
+    dealt = dealt.repartition("clump", "i", "j").sortWithinPartitions("clump", "i", "j")
+    return dealt.mapInArrow(_decide(k, percent), "a long, b long, links long")
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -356,20 +434,19 @@ def _grouped(docs: DataFrame, k: int, percent: int, tie: bool) -> DataFrame:
 
     rows = cut(docs.mapInArrow(label, "doc_id long, hash long, cls long, n long"))
     full = rows.filter("n > 0")
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min(_row_key()).alias("of"))
+    classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min(_row_key()).alias("of"), F.max("n").alias("n"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, k))
-    postings = _postings(docs, k, percent, frequent).repartition("token").sortWithinPartitions("token", "n", "grp", "cls")
-    pairs = cut(postings.mapInArrow(_sieve(percent), "a long, b long").distinct())
-
-    links = cut(_verified(docs, classes, pairs, k, percent))
+    postings = _postings(docs, k, percent, frequent).repartition("token", "part").sortWithinPartitions("token", "part", "n", "grp", "cls")
+    clumps = components(cut(postings.mapInArrow(_sieve(percent), "a long, b long")))
+    links = cut(_links(docs, classes, clumps, k, percent))
     # rows of one doc_id and several texts tie their classes together
     tied = full.filter("doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("a", "b")
     more = full.join(tied, F.col("cls") == F.col("a"), "left_semi").select("doc_id", F.col("cls").alias("a")).join(full.select("doc_id", F.col("cls").alias("b")), "doc_id").filter("a < b").select("a", "b").distinct()
-    edges = links.filter("tree").select("a", "b")
+    edges = links.filter("a <> b").select("a", "b")
     found = components(edges.unionByName(more) if tie else edges).select(F.col("node").alias("cls"), "comp")
-    named = classes.join(found, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    named = classes.select("cls", "rep").join(found, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    degree = links.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("n_links"))
     final = named.join(names, "comp").join(degree, "cls", "left").select(F.col("cls").alias("c"), "comp", "component_id", "n_links")
     return rows.join(final, (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left")
 
@@ -382,10 +459,11 @@ def _row_key():
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near copies: a known doc_id before a null one, the lowest, then by text and the other columns. Texts without words all stay, and so do unlike texts of one doc_id."""
     rows = _grouped(docs, k, percent, tie=False)
-    best = rows.filter("n > 0").groupBy("comp").agg(F.min(_row_key()).alias("key")).select("key.doc_id", "key.hash", F.lit(False).alias("_bare"))
-    stay = best.unionByName(rows.filter("n = 0").select("doc_id", "hash", F.lit(True).alias("_bare")).distinct())
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), "_bare")
-    out = docs.withColumn("_hash", F.xxhash64("text"))
-    out = out.join(stay, out["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    again = Window.partitionBy(docs["doc_id"], "_hash").orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
-    return out.withColumn("_nth", F.row_number().over(again)).filter("_bare or _nth = 1").select(*docs.columns)
+    at, of, key, bare, nth = free(docs, "at", "of", "key", "bare", "nth")
+    best = rows.filter("n > 0").groupBy("comp").agg(F.min(_row_key()).alias("key")).select("key.doc_id", "key.hash", F.lit(False).alias(bare))
+    stay = best.unionByName(rows.filter("n = 0").select("doc_id", "hash", F.lit(True).alias(bare)).distinct())
+    stay = stay.select(F.col("doc_id").alias(at), F.col("hash").alias(of), bare)
+    out = docs.withColumn(key, F.xxhash64("text"))
+    out = out.join(stay, out["doc_id"].eqNullSafe(F.col(at)) & (F.col(key) == F.col(of)))
+    again = Window.partitionBy("doc_id", key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return out.withColumn(nth, F.row_number().over(again)).filter(F.col(bare) | (F.col(nth) == 1)).select(*[f"`{c}`" for c in docs.columns])

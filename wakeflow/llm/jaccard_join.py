@@ -47,7 +47,7 @@ LARGE, WIDE = 900, 16
 #: a run of more documents is split; in runs of more classes than LONG, classes that are tied already are not compared again
 RUN, LONG = 16_384, 64
 #: a clump of more classes, or more shingles, is split into blocks
-MEMBERS, SHINGLES = 4096, 4_000_000
+MEMBERS, SHINGLES = 2048, 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -361,9 +361,9 @@ def _decide(k: int, percent: int):
     def place(i, j, rows):
         cls = np.array([c for c, _, _ in rows], np.int64)
         side = np.array([b for _, b, _ in rows])
-        data, offsets = tb.column_bytes(pa.array([t for _, _, t in rows], pa.string()))
-        sets, first = shingle_sets(data, offsets, k)
-        n = np.diff(first)
+        parts = [shingle_sets(data, offsets, k) for _, _, data, offsets in tb.chunks(pa.array([t for _, _, t in rows], pa.large_string()))]
+        sets, n = np.concatenate([x for x, _ in parts]), np.concatenate([np.diff(first) for _, first in parts])
+        first = np.concatenate([[0], np.cumsum(n)])
         x = np.flatnonzero(side == i)
         y = x if i == j else np.flatnonzero(side == j)
         common = shared_counts(sets, first, x, y)

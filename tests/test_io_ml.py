@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeflow.config import Config, load_config
-from wakeflow.operators import analytics, events, ml, reports, situations
+from wakeflow.operators import analytics, clean, events, ml, reports, situations
 from wakeflow.sources import readers, sinks
 
 T0 = datetime(2024, 1, 1)
@@ -89,14 +89,49 @@ def test_tables(spark, tmp_path):
 
 def test_config(tmp_path):
     assert load_config(None) == load_config(str(tmp_path / "none.yaml")) == Config()
-    (tmp_path / "c.yaml").write_text("segmentation:\n  windows: [15]\nevents:\n  max_gap_minutes: 5\n")
+    (tmp_path / "c.yaml").write_text("segmentation:\n  window_minutes: [15]\nevent_extraction:\n  max_ais_gap_minutes: 5\n")
     c = load_config(str(tmp_path / "c.yaml"))
-    assert c.segmentation.windows == (15,) and c.events.max_gap_minutes == 5
-    (tmp_path / "c.yaml").write_text("events:\n  unknown: 1\n")
+    assert c.segmentation.window_minutes == (15,) and c.event_extraction.max_ais_gap_minutes == 5
+    (tmp_path / "c.yaml").write_text("event_extraction:\n  unknown: 1\n")
     with pytest.raises(TypeError):
         load_config(str(tmp_path / "c.yaml"))
 
 
+def test_config_sections_and_keys(tmp_path):
+    """A file with every section of the format; the confidences of its reasoner are the defaults'."""
+    (tmp_path / "c.yaml").write_text(
+        """
+input: {ais_csv_paths: [data/*.csv]}
+output: {segments_path: segments.parquet}
+schema: {required_columns: [MMSI, timestamp, latitude, longitude, speed, heading], column_aliases: {MMSI: [mmsi]}}
+cleaning: {latitude_range: [-90, 90], longitude_range: [-180, 180], duplicate_subset: [MMSI, timestamp]}
+segmentation: {window_minutes: [30, 60], min_points: 10}
+geofencing: {batch_size: 250000}
+event_extraction: {anchor_speed_knots: 0.5, max_ais_gap_minutes: 20, maneuver_min_point_coverage_ratio: 0.5, maneuver_heading_circular_variance_threshold: 0.5}
+weak_supervision: {transit_max_trajectory_curvature: 2.5, anchorage_min_anchor_duration_minutes: 20.0, boundary_crossing_min_crossings: 2, prolonged_boundary_max_distance_km: 5.0, prolonged_boundary_confidence: 0.85}
+gfw: {min_fishing_hours: 0.1}
+classifier_training: {test_size: 0.15, validation_size: 0.15, n_jobs: 1}
+situation_reasoning: {transit_max_trip_hours: 12.0, repeated_crossing_base_confidence: 0.9, prolonged_presence_confidence: 0.85}
+classifier_training: {max_majority_samples: 15000}
+"""
+    )
+    c = load_config(str(tmp_path / "c.yaml"))
+    assert c.event_extraction.max_ais_gap_minutes == 20 and c.output == {"segments_path": "segments.parquet"} and c.schema.column_aliases == {"MMSI": ["mmsi"]}
+    assert c.situation_reasoning == Config().situation_reasoning and c.weak_supervision == Config().weak_supervision
+    (tmp_path / "c.yaml").write_text("events: {anchor_speed_knots: 1}\n")
+    with pytest.raises(TypeError):
+        load_config(str(tmp_path / "c.yaml"))
+
+
+def test_files_are_cleaned_in_their_order(spark, tmp_path):
+    for name, speed in (("a", 1), ("b", 2)):
+        (tmp_path / f"{name}.csv").write_text(f"mmsi,time,lat,lon,sog,cog\n1,2024-01-01 00:00:00,1,1,{speed},0\n1,2024-01-01 00:01:00,1,1,{speed},0\n")
+    raw = clean.standardize(readers.read_csv_files(spark, [str(tmp_path / "*.csv")]))
+    rows = clean.clean(raw).collect()
+    assert len(rows) == 2 and {r["speed"] for r in rows} == {1.0} and "_order" not in clean.clean(raw).columns
+    assert clean.cleaning_stats(raw).first()["duplicate_timestamp_rows"] == 2
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b"), ("c", "a")], "t string, p string")
     m = analytics.overall_metrics(rows, "t", "p", ["a", "b", "c"]).first()

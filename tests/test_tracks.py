@@ -40,12 +40,12 @@ def test_clean_limits(spark):
 
 def test_segments_anchor_at_first_point(spark):
     points = track(spark, [(7 + i * 3, 1.0) for i in range(10)] + [(7 + 30 + i, 1.0) for i in range(9)])
-    rows = segment.segment_points(points, SegmentConfig(windows=(30, 60)))
+    rows = segment.segment_points(points, SegmentConfig(window_minutes=(30, 60)))
     got = {(r["window_minutes"], r["number_of_points"]): r["count"] for r in rows.groupBy("window_minutes", "number_of_points").count().collect()}
     assert got == {(30, 10): 10, (60, 19): 19}  # the second half hour has 9 points
     assert rows.filter("window_minutes = 30").first()["segment_id"] == "1_20240101_30min_000000_20240101T000700Z"
     midnight = track(spark, [(1435 + i, 1.0) for i in range(10)])
-    assert segment.segments(midnight, SegmentConfig(windows=(30,), min_points=5)).count() == 2
+    assert segment.segments(midnight, SegmentConfig(window_minutes=(30,), min_points=5)).count() == 2
 
 
 def test_runs_gaps_and_strict_durations(spark):

@@ -1,5 +1,7 @@
 """Geometry, transitions, features, labels, fishing and situations."""
 
+import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -140,3 +142,29 @@ def test_scalar_expressions(spark):
     ).first()
     assert r["km"] == pytest.approx(111.195, abs=1e-3) and r["a"] == "2024-01-01T00:00:00+00:00" and r["b"] == "2024-01-01T00:00:00.000005+00:00"
     assert (r["h"], r["n"], r["z"]) == ("1.2M", None, 0.0)
+
+
+def test_distance_from_near_and_far(spark):
+    """The nearest of many edges, whatever the cell in which it is found."""
+    rng = random.Random(2)
+    zones = [geometry.rectangle(x, y, x + 0.5, y + 0.3) for x, y in ((rng.uniform(-20, 20), rng.uniform(30, 60)) for _ in range(20))]
+    edges = geometry.edges_of(spark, zones)
+    at = [(i, rng.uniform(-25, 25), rng.uniform(25, 65)) for i in range(60)] + [(100, 170.0, -40.0), (101, -120.0, 10.0), (102, 0.0, 45.0), (103, None, 1.0)]
+    got = {r["k"]: r["distance_to_boundary"] for r in geometry.distance_km(spark.createDataFrame(at, "k long, x double, y double"), edges, "k", "x", "y").collect()}
+    mx, my = lambda v: 6378137.0 * math.radians(v), lambda v: 6378137.0 * math.log(math.tan(math.pi / 4 + math.radians(v) / 2))
+
+    def far(px, py, e):
+        (x1, y1), (x2, y2) = (mx(e[0]), my(e[1])), (mx(e[2]), my(e[3]))
+        t = max(0, min(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+        return math.hypot(px - x1 - t * (x2 - x1), py - y1 - t * (y2 - y1)) / 1000
+
+    sides = [(r["x1"], r["y1"], r["x2"], r["y2"]) for r in edges.collect()]
+    assert got.pop(103) is None
+    assert got == {k: pytest.approx(min(far(mx(x), my(y), e) for e in sides), rel=1e-9) for k, x, y in at if x is not None}
+
+
+def test_rules_are_expressions(spark):
+    """A rule of one's own beside the others: from the thresholds, a situation or null for each event."""
+    rule = lambda t: F.when(F.col("event_type") == "EXIT", situations.situation("Left", 0.5, F.array("as_event"), "out"))
+    e = spark.createDataFrame([("EXIT", T0, 1), ("ENTRY", T0 + timedelta(hours=1), 1)], "event_type string, event_timestamp timestamp, mmsi long")
+    assert [r["situation"] for r in situations.ordered(situations.reason(e, rules=[*situations.DEFAULT_RULES, rule])).collect()] == ["Left", "Boundary Crossing"]

@@ -25,7 +25,7 @@ def _ingest(spark, a, config):
 
 def _segment(spark, a, config):
     c = config.segmentation
-    c = replace(c, windows=tuple(a.window) if a.window else c.windows, min_points=a.min_points or c.min_points)
+    c = replace(c, window_minutes=tuple(a.window) if a.window else c.window_minutes, min_points=a.min_points or c.min_points)
     sinks.write_table(segment.segment_points(readers.read_points(spark, a.points), c), a.output)
 
 
@@ -34,10 +34,10 @@ def _boundary(spark, a, config):
 
 
 def _events(spark, a, config):
-    found = events.event_sequence(readers.read_points(spark, a.points), readers.read_boundary_events(spark, a.boundary), config.events)
+    found = events.event_sequence(readers.read_points(spark, a.points), readers.read_boundary_events(spark, a.boundary), config.event_extraction)
     found = found.orderBy("event_timestamp", "mmsi", "event_type")
     if a.output.endswith(".json"):
-        sinks.write_envelope(found, a.output, "event", thresholds=vars(config.events))
+        sinks.write_envelope(found, a.output, "event", thresholds=vars(config.event_extraction))
     else:
         sinks.write_json_lines(found, a.output)
 
@@ -58,13 +58,13 @@ def _fishing(spark, a, config):
 
 def _labels(spark, a, config):
     given = readers.read_fishing_labels(spark, a.fishing) if a.fishing else None
-    out = labels.situation_labels(spark.read.parquet(a.features), given, config.labels)
+    out = labels.situation_labels(spark.read.parquet(a.features), given, config.weak_supervision)
     sinks.write_table(out, a.output)
     labels.label_counts(spark.read.parquet(a.output)).show()
 
 
 def _reason(spark, a, config):
-    found = situations.ordered(situations.reason(_sequence(spark, a.events), config.reasoning))
+    found = situations.ordered(situations.reason(_sequence(spark, a.events), config.situation_reasoning))
     sinks.write_envelope(found, a.output, "situation") if a.output.endswith(".json") else sinks.write_table(found, a.output)
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from wakeflow.functions import exprs as X
 
 EDGE_SCHEMA = "polygon_id int, part_id int, x1 double, y1 double, x2 double, y2 double"
-#: edge tables above this many rows are not broadcast
-BROADCAST_EDGES = 200_000
+#: km of the cells in which the nearest edge is sought, one size after the other
+RINGS_KM = (120, 960, 7680)
 
 
 def edges_of(spark: SparkSession, polygons: Iterable[list[list[list[tuple[float, float]]]]]) -> DataFrame:
@@ -54,46 +54,59 @@ def rectangle(x1: float, y1: float, x2: float, y2: float) -> list[list[list[tupl
     return [[[(x1, y1), (x2, y1), (x2, y2), (x1, y2)]]]
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    """The edges, broadcast if they are few; counted, since their plan does not tell."""
-    return F.broadcast(edges) if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES else edges
+def mark_inside(points: DataFrame, edges: DataFrame, key: list[str] | None = None, cell: float = 0.25, x: str = "longitude", y: str = "latitude") -> DataFrame:
+    """``points`` with inside_eez and outside_eez: strictly inside any part (its boundary is outside).
 
+    A point meets the parts whose edges cross its row of the plane, ``cell`` degrees high:
+    one row of the edge table's side holds them all as arrays, so no point is shuffled
+    where that side is small enough for Spark to broadcast it, nor repeated where not.
+    Parts beside the point are passed over by their extent in the row.
+    """
+    low, high = F.floor(F.least("y1", "y2") / cell).cast("long"), F.floor(F.greatest("y1", "y2") / cell).cast("long")
+    parts = edges.withColumn("_row", F.explode(F.sequence(low, high))).groupBy("_row", "polygon_id", "part_id")
+    parts = parts.agg(F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east"), F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    rows = parts.groupBy("_row").agg(F.collect_list(F.struct("west", "east", "edges")).alias("_parts"))
+    px, py = F.col(x), F.col(y)
 
-def _on_edge(x: Column, y: Column) -> Column:
-    cross = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) - (F.col("y2") - F.col("y1")) * (x - F.col("x1"))
-    return (cross == 0) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & y.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
+    def crosses(e: Column) -> Column:
+        slope = (e["x2"] - e["x1"]) / F.when(e["y1"] != e["y2"], e["y2"] - e["y1"])
+        return ((e["y1"] > py) != (e["y2"] > py)) & (px < slope * (py - e["y1"]) + e["x1"])
 
+    def touches(e: Column) -> Column:
+        cross = (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
+        return (cross == 0) & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
 
-def mark_inside(points: DataFrame, edges: DataFrame, key: list[str], cell: float = 1.0, x: str = "longitude", y: str = "latitude") -> DataFrame:
-    """``points`` with inside_eez and outside_eez: strictly inside any part (its boundary is outside).
+    def holds(p: Column) -> Column:
+        return px.between(p["west"], p["east"]) & (F.size(F.filter(p["edges"], crosses)) % 2 == 1) & ~F.exists(p["edges"], touches)
 
-    A cell of the plane's rows of height ``cell`` meets only the edges that cross that
-    row, so the join is an equi-join; parity is taken by part for each distinct place.
-    """
-    places = points.select(F.col(x).alias("px"), F.col(y).alias("py")).distinct().withColumn("row", F.floor(F.col("py") / cell).cast("long"))
-    low, high = F.floor(F.least("y1", "y2") / cell).cast("long"), F.floor(F.greatest("y1", "y2") / cell).cast("long")
-    by_row = _small(edges).withColumn("row", F.explode(F.sequence(low, high)))
-    px, py = F.col("px"), F.col("py")
-    slope = (F.col("x2") - F.col("x1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1"))
-    crosses = ((F.col("y1") > py) != (F.col("y2") > py)) & (px < slope * (py - F.col("y1")) + F.col("x1"))
-    parts = places.join(by_row, "row").groupBy("px", "py", "polygon_id", "part_id").agg((F.count_if(crosses) % 2 == 1).alias("odd"), F.max(_on_edge(px, py)).alias("edge"))
-    inside = parts.filter("odd and not edge").select("px", "py").distinct().withColumn("inside_eez", F.lit(True))
-    out = points.join(inside, (F.col(x) == F.col("px")) & (F.col(y) == F.col("py")), "left").drop("px", "py")
-    out = out.withColumn("inside_eez", F.coalesce("inside_eez", F.lit(False)))
+    out = points.withColumn("_row", F.floor(py / cell).cast("long")).join(rows, "_row", "left")
+    out = out.withColumn("inside_eez", F.coalesce(F.exists("_parts", holds), F.lit(False))).drop("_row", "_parts")
     return out.withColumn("outside_eez", ~F.col("inside_eez"))
 
 
 def distance_km(points: DataFrame, edges: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """key, distance_to_boundary: least distance to an edge in Web Mercator metres / 1000.
 
-    Every point meets every edge, so edges come broadcast while they are few; beyond
-    that, Spark's nested loop still holds, split by points.
+    Edges are dealt to the cells that they may touch and to those around; a point meets
+    the edges of its cell. What it finds within a cell's width is the nearest there is.
+    Points that find nothing so near look again in larger cells, at last in the whole
+    plane: only those that are farther than the largest cell from all edges meet them all.
     """
     e = edges.select(*[X.mercator_x(c).alias(c) for c in ("x1", "x2")], *[X.mercator_y(c).alias(c) for c in ("y1", "y2")])
-    p = points.select(key, X.mercator_x(x).alias("px"), X.mercator_y(y).alias("py"))
+    rows = points.select(key, X.mercator_x(x).alias("px"), X.mercator_y(y).alias("py"), F.lit(None).cast("double").alias("d"))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     square = dx * dx + dy * dy
     t = ((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy) / F.when(square > 0, square)
     t = X.clip(F.coalesce(t, F.lit(0.0)), 0.0, 1.0)
-    d = F.sqrt(F.pow(F.col("px") - (F.col("x1") + t * dx), 2) + F.pow(F.col("py") - (F.col("y1") + t * dy), 2))
-    return p.join(_small(e), F.lit(True)).groupBy(key).agg((F.min(d) / 1000).alias("distance_to_boundary"))
+    far = F.sqrt(F.pow(F.col("px") - (F.col("x1") + t * dx), 2) + F.pow(F.col("py") - (F.col("y1") + t * dy), 2))
+    open_ = F.lit(True)
+    for km in (*RINGS_KM, None):
+        size = km and km * 1000.0
+        at = lambda c: F.floor(c / size).cast("long") if size else F.lit(0).cast("long")  # noqa: B023, E731
+        span = lambda a, b: F.explode(F.sequence(at(F.least(a, b)) - 1, at(F.greatest(a, b)) + 1) if size else F.array(F.lit(0).cast("long")))  # noqa: B023, E731
+        cells = e.withColumn("ex", span("x1", "x2")).withColumn("ey", span("y1", "y2"))
+        rows = rows.withColumns({"cx": F.when(open_, at(F.col("px"))), "cy": F.when(open_, at(F.col("py")))})  # no cell, no match
+        met = rows.join(cells, (F.col("cx") == F.col("ex")) & (F.col("cy") == F.col("ey")), "left")
+        rows = met.groupBy(key).agg(F.first("px").alias("px"), F.first("py").alias("py"), F.min(F.least("d", far)).alias("d"))
+        open_ = F.coalesce(F.col("d") > (size or 0.0), F.lit(True))
+    return rows.select(key, (F.col("d") / 1000).alias("distance_to_boundary"))

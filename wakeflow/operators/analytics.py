@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeflow.functions import exprs as X
+from wakeflow.operators.features import buckets
 
 #: Event types of a distribution, in order.
 EVENT_TYPES = ("ENTRY", "EXIT", "ANCHOR", "LOITER", "MANEUVERING", "REPEATED_CROSSING")
@@ -78,12 +79,18 @@ def nearest_points(events: DataFrame, points: DataFrame, event_key: str = "event
     return rows.select(event_key, "mmsi", F.col("t").alias("event_timestamp"), best["t"].alias("point_timestamp"), best["latitude"].alias("latitude"), best["longitude"].alias("longitude"))
 
 
-def best_situation(segments: DataFrame, situations: DataFrame, kinds: Sequence[str], buffer_minutes: int = 15) -> DataFrame:
-    """segment_id and the most confident situation of the kinds that meets it, widened by the buffer; the first by start and name on ties."""
+def best_situation(segments: DataFrame, situations: DataFrame, kinds: Sequence[str], buffer_minutes: int = 15, bucket_minutes: int = 1440) -> DataFrame:
+    """segment_id and the most confident situation of the kinds that meets it, widened by the buffer; the first by start and name on ties.
+
+    Both sides are dealt to time buckets; a pair that meets in several of them is the same
+    pair, and the best is taken all the same.
+    """
     wide = F.expr(f"interval {int(buffer_minutes)} minutes")
-    s = situations.filter(F.col("situation").isin(*kinds)).select(F.col("mmsi").alias("s_mmsi"), "situation", "confidence", F.col("start_timestamp").alias("s"), F.col("end_timestamp").alias("e"))
-    met = segments.select("segment_id", "mmsi", "segment_start", "segment_end").join(s, (F.col("mmsi") == F.col("s_mmsi")) & X.overlaps("segment_start", "segment_end", F.col("s") - wide, F.col("e") + wide))
-    best = met.groupBy("segment_id").agg(F.min_by(F.struct("situation", "confidence"), F.struct(-F.col("confidence"), "s", "situation")).alias("b"))
+    s = situations.filter(F.col("situation").isin(*kinds)).select(F.col("mmsi").alias("s_mmsi"), "situation", "confidence", F.col("start_timestamp").alias("t"), (F.col("start_timestamp") - wide).alias("s"), (F.col("end_timestamp") + wide).alias("e"))
+    s = s.select("*", buckets("s", "e", bucket_minutes).alias("s_bucket"))
+    g = segments.select("segment_id", "mmsi", "segment_start", "segment_end", buckets("segment_start", "segment_end", bucket_minutes).alias("bucket"))
+    met = g.join(s, (F.col("mmsi") == F.col("s_mmsi")) & (F.col("bucket") == F.col("s_bucket")) & X.overlaps("segment_start", "segment_end", "s", "e"))
+    best = met.groupBy("segment_id").agg(F.min_by(F.struct("situation", "confidence"), F.struct(-F.col("confidence"), "t", "situation")).alias("b"))
     return segments.select("segment_id").join(best, "segment_id", "left").select("segment_id", F.col("b.situation").alias("situation"), F.col("b.confidence").alias("confidence"))
 
 

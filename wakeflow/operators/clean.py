@@ -51,15 +51,19 @@ def moment(c: Column | str) -> Column:
 
 
 def standardize(df: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """The six standard columns, found by name or alias; others are dropped."""
+    """The six standard columns, found by name or alias, and ``_order`` if there is one; others are dropped."""
     aliases = aliases or COLUMN_ALIASES
-    return df.select(*[F.col(f"`{find_column(df, [c, *aliases.get(c, [])])}`").alias(c) for c in STANDARD_COLUMNS])
+    return df.select(*[F.col(f"`{find_column(df, [c, *aliases.get(c, [])])}`").alias(c) for c in STANDARD_COLUMNS], *_place(df))
+
+
+def _place(df: DataFrame) -> list[str]:
+    return ["_order"] if "_order" in df.columns else []
 
 
 def coerce(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
     ts = F.col("timestamp") if kinds["timestamp"] == "timestamp" else moment("timestamp")
-    return df.select(integer("MMSI").alias("MMSI"), ts.alias("timestamp"), *[number(c).alias(c) for c in STANDARD_COLUMNS[2:]])
+    return df.select(integer("MMSI").alias("MMSI"), ts.alias("timestamp"), *[number(c).alias(c) for c in STANDARD_COLUMNS[2:]], *_place(df))
 
 
 def _marked(raw: DataFrame, config: CleaningConfig) -> DataFrame:
@@ -67,9 +71,9 @@ def _marked(raw: DataFrame, config: CleaningConfig) -> DataFrame:
     rows = coerce(raw).dropna(subset=["MMSI", "timestamp", "latitude", "longitude"])
     ok = F.col("latitude").between(*config.latitude_range) & F.col("longitude").between(*config.longitude_range)
     rows = rows.withColumn("_ok", ok)
-    order = Window.partitionBy(*config.dedupe_keys, "_ok").orderBy("_order")
-    place = F.monotonically_increasing_id() if "_order" not in raw.columns else F.col("_order")
-    return rows.withColumn("_order", place).withColumn("_first", F.row_number().over(order) == 1)
+    order = Window.partitionBy(*config.duplicate_subset, "_ok").orderBy("_order")
+    rows = rows if _place(raw) else rows.withColumn("_order", F.monotonically_increasing_id())
+    return rows.withColumn("_first", F.row_number().over(order) == 1)
 
 
 def clean(raw: DataFrame, config: CleaningConfig | None = None) -> DataFrame:

@@ -1,11 +1,14 @@
 """Discrete events from points: anchoring, loitering, manoeuvring, repeated crossings.
 
 All are window functions over a vessel's track; a track is one partition of each
-window, so a vessel with very many points is the unit that cannot be split.
+window, so a vessel with very many points is the unit that cannot be split. Points are
+shuffled once, by vessel, whatever kinds of events are asked for.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from wakeflow.config import EventThresholds
 from wakeflow.functions import exprs as X
 from wakeflow.operators.clean import integer, moment, number, require
 
+#: The details of an event, in order.
 DETAILS = (
     "struct<speed_threshold_knots:double,mean_speed_knots:double,number_of_points:bigint,radius_threshold_km:double,observed_radius_km:double,"
     "window_minutes:int,heading_circular_variance:double,circular_variance_unit:string,circular_variance_threshold:double,point_coverage_ratio:double,min_point_coverage_ratio:double,"
@@ -47,82 +51,124 @@ def boundary_sequence(boundary: DataFrame) -> DataFrame:
 
 def runs(points: DataFrame, below_knots: float, max_gap_minutes: float) -> DataFrame:
     """The points slower than the threshold, with run_id: a run ends where a point is not slow or a gap is longer than allowed."""
+    return _numbered(points, {"run": below_knots}, max_gap_minutes).withColumnRenamed("run_id_run", "run_id").filter("slow_run").drop("slow_run", "new_run")
+
+
+def _numbered(points: DataFrame, limits: dict[str, float], max_gap_minutes: float) -> DataFrame:
+    """``points`` with slow_x and run_id_x for each named limit, by one sort of the tracks."""
     track = Window.partitionBy("MMSI").orderBy("timestamp")
-    slow = F.coalesce(F.col("speed") < below_knots, F.lit(False))
-    gap = X.minutes_between("timestamp", F.lag("timestamp").over(track)) > max_gap_minutes
-    rows = points.withColumn("_slow", slow)
-    new = (F.col("_slow") != F.lag("_slow", 1, False).over(track)) | F.coalesce(gap, F.lit(False))
-    rows = rows.withColumn("_new", new.cast("int"))
-    rows = rows.withColumn("run_id", F.sum("_new").over(track.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.filter("_slow").drop("_slow", "_new")
+    rows = points.withColumns({f"slow_{x}": F.coalesce(F.col("speed") < below, F.lit(False)) for x, below in limits.items()})
+    gap = F.coalesce(X.minutes_between("timestamp", F.lag("timestamp").over(track)) > max_gap_minutes, F.lit(False))
+    rows = rows.withColumns({f"new_{x}": ((F.col(f"slow_{x}") != F.lag(f"slow_{x}", 1, False).over(track)) | gap).cast("int") for x in limits})
+    return rows.withColumns({f"run_id_{x}": F.sum(f"new_{x}").over(track.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for x in limits})
+
+
+def _track_runs(points: DataFrame, t: EventThresholds, kinds: Sequence[str]) -> DataFrame:
+    """kind, MMSI, s, e, v (mean speed), n (points), km (radius), variance (of headings), coverage, m (minutes) of the runs and windows that make events of the kinds."""
+    limits = {k: v for k, v in (("ANCHOR", t.anchor_speed_knots), ("LOITER", t.loiter_speed_knots)) if k in kinds}
+    rows = _numbered(points, limits, t.max_ais_gap_minutes) if limits else points
+    member = [(k, F.col(f"slow_{k}"), F.col(f"run_id_{k}")) for k in limits]
+    if "MANEUVERING" in kinds:  # windows from the vessel's first heading on
+        has = F.col("heading").isNotNull()
+        rows = rows.withColumn("origin", F.min(F.when(has, F.col("timestamp"))).over(Window.partitionBy("MMSI")))
+        member.append(("MANEUVERING", has, F.floor((X.micros("timestamp") - X.micros("origin")) / F.lit(t.maneuver_window_minutes * 60_000_000))))
+    runs_of = F.array(*[F.when(on, F.struct(F.lit(k).alias("kind"), run.cast("long").alias("run"))) for k, on, run in member])
+    rows = rows.select("MMSI", "timestamp", "latitude", "longitude", "speed", "heading", F.explode(F.filter(runs_of, lambda x: x.isNotNull())).alias("of")).select("*", "of.*")
+    if "LOITER" in kinds:
+        one = Window.partitionBy("MMSI", "kind", "run")
+        rows = rows.withColumns({"clat": F.avg("latitude").over(one), "clon": F.avg("longitude").over(one)}).withColumn("km", X.haversine_km("clat", "clon", "latitude", "longitude"))
+    else:
+        rows = rows.withColumn("km", F.lit(None).cast("double"))
+    out = rows.groupBy("MMSI", "kind", "run").agg(F.min("timestamp").alias("s"), F.max("timestamp").alias("e"), F.avg("speed").alias("v"), F.count("*").alias("n"), F.max("km").alias("km"), X.circular_variance("heading").alias("variance"))
+    span = F.least(F.lit(1.0), X.minutes_between("e", "s") / F.lit(float(t.maneuver_window_minutes)))
+    filled = F.least(F.lit(1.0), F.col("n") / F.lit(float(max(1, int(t.maneuver_min_points)))))
+    out = out.withColumns({"m": X.minutes_between("e", "s"), "coverage": F.least(span, filled)})
+    kind, keep = F.col("kind"), F.lit(False)
+    keep |= (kind == "ANCHOR") & (F.col("m") > t.anchor_min_duration_minutes)
+    keep |= (kind == "LOITER") & (F.col("m") > t.loiter_min_duration_minutes) & (F.col("km") <= t.loiter_radius_km)
+    scattered = F.col("variance") >= t.maneuver_heading_circular_variance_threshold
+    keep |= (kind == "MANEUVERING") & (F.col("n") >= t.maneuver_min_points) & (F.col("coverage") >= min(1.0, max(0.0, t.maneuver_min_point_coverage_ratio))) & scattered
+    return out.filter(keep).drop("run")
+
 
+def _not_anchored(rows: DataFrame) -> DataFrame:
+    """``rows`` without the loitering that meets an anchoring of its vessel.
 
-def _run_events(rows: DataFrame, min_minutes: float) -> DataFrame:
-    out = rows.groupBy("MMSI", "run_id").agg(F.min("timestamp").alias("s"), F.max("timestamp").alias("e"), F.avg("speed").alias("v"), F.count("*").alias("n"), F.max("_km").alias("km") if "_km" in rows.columns else F.lit(None).cast("double").alias("km"))
-    return out.withColumn("m", X.minutes_between("e", "s")).filter(F.col("m") > min_minutes)
+    Anchorings stand at their start and loiterings at their end, so the latest end of
+    the anchorings before a loitering tells whether one meets it: no pairs are formed.
+    """
+    loiter = F.col("kind") == "LOITER"
+    before = Window.partitionBy("MMSI").orderBy(F.when(loiter, F.col("e")).otherwise(F.col("s")), loiter.cast("int")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("anchored", F.max(F.when(F.col("kind") == "ANCHOR", F.col("e"))).over(before))
+    return rows.filter(~loiter | F.col("anchored").isNull() | (F.col("anchored") < F.col("s"))).drop("anchored")
+
+
+def _as_events(rows: DataFrame, t: EventThresholds) -> DataFrame:
+    only = lambda kinds, x: F.when(F.col("kind").isin(*kinds), x)
+    slow, turn = ("ANCHOR", "LOITER"), ("MANEUVERING",)
+    details = _details(
+        speed_threshold_knots=F.when(F.col("kind") == "ANCHOR", t.anchor_speed_knots).when(F.col("kind") == "LOITER", t.loiter_speed_knots),
+        mean_speed_knots=only(slow, F.col("v")), number_of_points=F.col("n"), radius_threshold_km=only(("LOITER",), F.lit(t.loiter_radius_km)), observed_radius_km=only(("LOITER",), F.col("km")),
+        window_minutes=only(turn, F.lit(t.maneuver_window_minutes)), heading_circular_variance=only(turn, F.col("variance")), circular_variance_unit=only(turn, F.lit("0-1")),
+        circular_variance_threshold=only(turn, F.lit(t.maneuver_heading_circular_variance_threshold)), point_coverage_ratio=only(turn, F.col("coverage")), min_point_coverage_ratio=only(turn, F.lit(t.maneuver_min_point_coverage_ratio)),
+    )
+    return rows.select(F.col("kind").alias("event_type"), F.col("s").alias("event_timestamp"), F.col("MMSI").alias("mmsi"), F.col("s").alias("start_timestamp"), F.col("e").alias("end_timestamp"), F.col("m").alias("duration_minutes"), details.alias("details"))
 
 
 def anchor_events(points: DataFrame, t: EventThresholds | None = None) -> DataFrame:
+    """Slow runs that are long enough."""
     t = t or EventThresholds()
-    rows = _run_events(runs(points, t.anchor_speed_knots, t.max_gap_minutes), t.anchor_min_duration_minutes)
-    details = _details(speed_threshold_knots=F.lit(t.anchor_speed_knots), mean_speed_knots=F.col("v"), number_of_points=F.col("n"))
-    return rows.select(F.lit("ANCHOR").alias("event_type"), F.col("s").alias("event_timestamp"), F.col("MMSI").alias("mmsi"), F.col("s").alias("start_timestamp"), F.col("e").alias("end_timestamp"), F.col("m").alias("duration_minutes"), details.alias("details"))
+    return _as_events(_track_runs(points, t, ["ANCHOR"]), t)
 
 
 def loiter_events(points: DataFrame, anchors: DataFrame, t: EventThresholds | None = None) -> DataFrame:
     """Slow runs inside a small circle that meet no anchoring of their vessel."""
     t = t or EventThresholds()
-    rows = runs(points, t.loiter_speed_knots, t.max_gap_minutes)
-    one = Window.partitionBy("MMSI", "run_id")
-    rows = rows.withColumn("_lat", F.avg("latitude").over(one)).withColumn("_lon", F.avg("longitude").over(one))
-    rows = rows.withColumn("_km", X.haversine_km("_lat", "_lon", "latitude", "longitude"))
-    found = _run_events(rows, t.loiter_min_duration_minutes).filter(F.col("km") <= t.loiter_radius_km)
-    a = anchors.select(F.col("mmsi").alias("a_mmsi"), F.col("start_timestamp").alias("a_s"), F.col("end_timestamp").alias("a_e"))
-    found = found.join(a, (F.col("MMSI") == F.col("a_mmsi")) & X.overlaps("s", "e", "a_s", "a_e"), "left_anti")
-    details = _details(speed_threshold_knots=F.lit(t.loiter_speed_knots), mean_speed_knots=F.col("v"), number_of_points=F.col("n"), radius_threshold_km=F.lit(t.loiter_radius_km), observed_radius_km=F.col("km"))
-    return found.select(F.lit("LOITER").alias("event_type"), F.col("s").alias("event_timestamp"), F.col("MMSI").alias("mmsi"), F.col("s").alias("start_timestamp"), F.col("e").alias("end_timestamp"), F.col("m").alias("duration_minutes"), details.alias("details"))
+    found = _track_runs(points, t, ["LOITER"])
+    given = anchors.select(F.col("mmsi").alias("MMSI"), F.lit("ANCHOR").alias("kind"), F.col("start_timestamp").alias("s"), F.col("end_timestamp").alias("e"))
+    return _as_events(_not_anchored(found.unionByName(given, allowMissingColumns=True)).filter("kind = 'LOITER'"), t)
 
 
 def maneuver_events(points: DataFrame, t: EventThresholds | None = None) -> DataFrame:
     """Windows anchored at a vessel's first heading whose headings scatter."""
     t = t or EventThresholds()
-    rows = points.filter(F.col("heading").isNotNull())
-    origin = F.min("timestamp").over(Window.partitionBy("MMSI"))
-    rows = rows.withColumn("_w", F.floor((X.micros("timestamp") - X.micros(origin)) / F.lit(t.maneuver_window_minutes * 60_000_000)))
-    rows = rows.groupBy("MMSI", "_w").agg(F.min("timestamp").alias("s"), F.max("timestamp").alias("e"), F.count("*").alias("n"), X.circular_variance("heading").alias("variance"))
-    span = F.least(F.lit(1.0), X.minutes_between("e", "s") / F.lit(float(t.maneuver_window_minutes)))
-    filled = F.least(F.lit(1.0), F.col("n") / F.lit(float(max(1, int(t.maneuver_min_points)))))
-    rows = rows.withColumn("coverage", F.least(span, filled))
-    rows = rows.filter((F.col("n") >= t.maneuver_min_points) & (F.col("coverage") >= min(1.0, max(0.0, t.maneuver_min_coverage_ratio))) & (F.col("variance") >= t.maneuver_circular_variance))
-    details = _details(
-        window_minutes=F.lit(t.maneuver_window_minutes), heading_circular_variance=F.col("variance"), circular_variance_unit=F.lit("0-1"), circular_variance_threshold=F.lit(t.maneuver_circular_variance),
-        point_coverage_ratio=F.col("coverage"), min_point_coverage_ratio=F.lit(t.maneuver_min_coverage_ratio), number_of_points=F.col("n"),
-    )
-    return rows.select(F.lit("MANEUVERING").alias("event_type"), F.col("s").alias("event_timestamp"), F.col("MMSI").alias("mmsi"), F.col("s").alias("start_timestamp"), F.col("e").alias("end_timestamp"), X.minutes_between("e", "s").alias("duration_minutes"), details.alias("details"))
+    return _as_events(_track_runs(points, t, ["MANEUVERING"]), t)
 
 
-def repeated_crossings(boundary: DataFrame, t: EventThresholds | None = None) -> DataFrame:
-    """Every crossing that ends a window of the given hours with more than the given number of crossings.
+def _counted(crossings: DataFrame, t: EventThresholds) -> DataFrame:
+    """Crossings with n, the crossings of the hours up to each, s, the first of them, and ``repeated`` where they are too many: for the first crossing of an instant that makes them so.
 
     A range frame holds peers of the same instant, a row count up to this row must not:
     the window's first row number is taken over the range, then subtracted.
     """
-    t = t or EventThresholds()
-    rows = boundary.withColumn("us", X.micros("event_timestamp")).withColumn("rn", F.row_number().over(Window.partitionBy("mmsi").orderBy("event_timestamp", "event_type")))
+    order = Window.partitionBy("mmsi").orderBy("event_timestamp", "event_type")
+    rows = crossings.withColumns({"us": X.micros("event_timestamp"), "rn": F.row_number().over(order), "before": F.lag("event_timestamp").over(order)})
     window = Window.partitionBy("mmsi").orderBy("us").rangeBetween(-t.repeated_crossing_window_hours * 3_600_000_000, 0)
-    rows = rows.withColumn("n", F.col("rn") - F.min("rn").over(window) + 1).withColumn("s", F.min("event_timestamp").over(window)).filter(F.col("n") > t.repeated_crossing_count)
-    rows = rows.groupBy("mmsi", F.col("event_timestamp").alias("e")).agg(F.min_by("n", "rn").alias("n"), F.min("s").alias("s"))
+    rows = rows.withColumns({"n": F.col("rn") - F.min("rn").over(window) + 1, "s": F.min("event_timestamp").over(window)})
+    told = F.col("before").eqNullSafe(F.col("event_timestamp")) & (F.col("n") - 1 > t.repeated_crossing_count)
+    return rows.withColumn("repeated", (F.col("n") > t.repeated_crossing_count) & ~told)
+
+
+def _repeated(t: EventThresholds) -> Column:
+    """The event of a crossing that :func:`_counted` marks, as a struct."""
     details = _details(crossing_count=F.col("n"), crossing_threshold=F.lit(t.repeated_crossing_count), window_hours=F.lit(t.repeated_crossing_window_hours))
-    return rows.select(F.lit("REPEATED_CROSSING").alias("event_type"), F.col("e").alias("event_timestamp"), "mmsi", F.col("s").alias("start_timestamp"), F.col("e").alias("end_timestamp"), X.minutes_between("e", "s").alias("duration_minutes"), details.alias("details"))
+    values = [F.lit("REPEATED_CROSSING"), F.col("event_timestamp"), F.col("mmsi"), F.col("s"), F.col("event_timestamp"), X.minutes_between("event_timestamp", "s"), details]
+    return F.struct(*[v.alias(c) for v, c in zip(values, EVENT_COLUMNS, strict=True)])
+
+
+def repeated_crossings(boundary: DataFrame, t: EventThresholds | None = None) -> DataFrame:
+    """Every crossing that ends a window of the given hours with more than the given number of crossings."""
+    t = t or EventThresholds()
+    return _counted(boundary, t).filter("repeated").select(_repeated(t).alias("x")).select("x.*")
 
 
 def event_sequence(points: DataFrame, boundary: DataFrame, t: EventThresholds | None = None) -> DataFrame:
-    """All events of all vessels; sort by (event_timestamp, mmsi, event_type) where order matters."""
+    """All events of all vessels; sort by (event_timestamp, mmsi, event_type) where order matters.
+
+    One pass over the points and one over the crossings, each shuffled once by vessel.
+    """
     t = t or EventThresholds()
-    points = prepare_points(points)
-    crossings = boundary_sequence(boundary)
-    anchors = anchor_events(points, t)
-    out = crossings
-    for part in (anchors, loiter_events(points, anchors, t), maneuver_events(points, t), repeated_crossings(crossings, t)):
-        out = out.unionByName(part.select(*EVENT_COLUMNS))
-    return out
+    tracks = _as_events(_not_anchored(_track_runs(prepare_points(points), t, ["ANCHOR", "LOITER", "MANEUVERING"])), t)
+    both = F.array(F.struct(*EVENT_COLUMNS), F.when(F.col("repeated"), _repeated(t)))
+    crossings = _counted(boundary_sequence(boundary), t).select(F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select("x.*")
+    return crossings.unionByName(tracks)

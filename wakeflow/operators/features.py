@@ -9,6 +9,7 @@ from wakeflow.config import FeatureConfig
 from wakeflow.functions import exprs as X
 from wakeflow.functions import geometry
 from wakeflow.operators.clean import require
+from wakeflow.session import once
 
 #: The columns of a feature row, in order.
 FEATURE_COLUMNS = [
@@ -19,7 +20,10 @@ KM_PER_HOUR_PER_KNOT = 1.852
 
 
 def motion_features(points: DataFrame, config: FeatureConfig | None = None) -> DataFrame:
-    """One row per segment from its points: speeds, path, headings, centroid, first and last place."""
+    """One row per segment from its points: speeds, path, headings, centroid, first and last place.
+
+    Whether any segment has a speed decides on all of them, so the sums are checkpointed first.
+    """
     config = config or FeatureConfig()
     require(points, ["segment_id", "MMSI", "timestamp", "latitude", "longitude", "speed", "heading"], "segment points")
     track = Window.partitionBy("segment_id").orderBy("timestamp")
@@ -46,6 +50,7 @@ def motion_features(points: DataFrame, config: FeatureConfig | None = None) -> D
     rows = rows.withColumn("trajectory_curvature", X.ratio("path_length", "displacement")).withColumn("path_tortuosity", F.col("trajectory_curvature"))
     rows = rows.withColumn("loop_count", F.col("total_turn") / 360).withColumn("turn_density", X.ratio("turns", "path_length"))
     # only if no segment at all has a speed: from path and duration
+    rows = once(rows)
     none = rows.agg(F.coalesce(F.min(F.col("avg_speed").isNull().cast("int")), F.lit(0)).alias("no_speed"))
     made = X.ratio(F.col("path_length") / KM_PER_HOUR_PER_KNOT, F.col("duration_seconds") / 3600)
     rows = rows.crossJoin(F.broadcast(none))  # one row
@@ -54,7 +59,8 @@ def motion_features(points: DataFrame, config: FeatureConfig | None = None) -> D
     return rows.select(*keep, fill("avg_speed", made), fill("max_speed", made), fill("speed_variance", F.lit(0.0)))
 
 
-def _buckets(start, end, minutes: int):
+def buckets(start, end, minutes: int):
+    """A row for each stretch of so many minutes that start to end meets."""
     return F.explode(F.sequence(F.floor(X.micros(start) / (minutes * 60_000_000)), F.floor(X.micros(end) / (minutes * 60_000_000))))
 
 
@@ -64,7 +70,7 @@ def crossing_counts(segments: DataFrame, boundary: DataFrame, bucket_minutes: in
     Segments are dealt to time buckets, so that a vessel's events meet only the segments
     of their bucket.
     """
-    s = segments.select("segment_id", "mmsi", "segment_start", "segment_end", _buckets("segment_start", "segment_end", bucket_minutes).alias("bucket"))
+    s = segments.select("segment_id", "mmsi", "segment_start", "segment_end", buckets("segment_start", "segment_end", bucket_minutes).alias("bucket"))
     b = boundary.select(F.col("mmsi").alias("mmsi"), F.col("event_timestamp").alias("t"), F.floor(X.micros("event_timestamp") / (bucket_minutes * 60_000_000)).alias("bucket"))
     met = s.join(b, ["mmsi", "bucket"]).filter(F.col("t").between(F.col("segment_start"), F.col("segment_end"))).groupBy("segment_id").agg(F.count("*").alias("crossing_count"))
     return segments.select("segment_id").join(met, "segment_id", "left").select("segment_id", F.coalesce("crossing_count", F.lit(0)).cast("long").alias("crossing_count"))
@@ -76,9 +82,9 @@ def event_overlap_minutes(segments: DataFrame, events: DataFrame, bucket_minutes
     Both sides are dealt to time buckets; a pair counts in the bucket where its overlap begins.
     """
     width = bucket_minutes * 60_000_000
-    s = segments.select("segment_id", "mmsi", "segment_start", "segment_end", _buckets("segment_start", "segment_end", bucket_minutes).alias("bucket"))
+    s = segments.select("segment_id", "mmsi", "segment_start", "segment_end", buckets("segment_start", "segment_end", bucket_minutes).alias("bucket"))
     e = events.filter(F.col("event_type").isin("ANCHOR", "LOITER")).select("mmsi", "event_type", F.col("start_timestamp").alias("s"), F.col("end_timestamp").alias("e"))
-    e = e.select("*", _buckets("s", "e", bucket_minutes).alias("bucket"))
+    e = e.select("*", buckets("s", "e", bucket_minutes).alias("bucket"))
     both = s.join(e, ["mmsi", "bucket"]).filter(X.overlaps("segment_start", "segment_end", "s", "e"))
     both = both.filter(F.col("bucket") == F.floor(F.greatest(X.micros("segment_start"), X.micros("s")) / width))
     m = X.overlap_minutes("segment_start", "segment_end", "s", "e")

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from wakeflow.functions import exprs as X
 from wakeflow.operators.clean import find_column, integer, moment, number
+from wakeflow.operators.features import buckets
 
 #: Names under which effort tables carry vessel, day and hours.
 VESSEL_NAMES = ["mmsi", "ssvid", "vessel_mmsi"]
 DAY_NAMES = ["date", "day", "timestamp", "date_utc"]
 HOUR_NAMES = ["fishing_hours", "apparent_fishing_hours", "fishing_hours_sum", "hours"]
 
+DAY_MINUTES = 1440
+
 
 def effort_to_labels(effort: DataFrame, min_hours: float = 0.1) -> DataFrame:
     """mmsi, start_timestamp, end_timestamp (one day), is_fishing, fishing_hours, label_confidence."""
@@ -48,5 +51,8 @@ def fishing_segments(features: DataFrame, labels: DataFrame) -> DataFrame:
     labels = prepare_labels(labels)
     if "segment_id" in labels.columns:
         return features.select("segment_id").join(labels, "segment_id", "left_semi")
-    f = labels.select(F.col("mmsi").alias("f_mmsi"), F.col("start_timestamp").alias("f_s"), F.col("end_timestamp").alias("f_e"))
-    return features.join(f, (F.col("mmsi") == F.col("f_mmsi")) & X.overlaps("segment_start", "segment_end", "f_s", "f_e"), "left_semi").select("segment_id")
+    # both sides by day, so that a vessel's labels meet only the segments of their days
+    f = labels.select(F.col("mmsi").alias("f_mmsi"), F.col("start_timestamp").alias("f_s"), F.col("end_timestamp").alias("f_e"), buckets("start_timestamp", "end_timestamp", DAY_MINUTES).alias("f_day"))
+    s = features.select("segment_id", "mmsi", "segment_start", "segment_end", buckets("segment_start", "segment_end", DAY_MINUTES).alias("day"))
+    hit = (F.col("mmsi") == F.col("f_mmsi")) & (F.col("day") == F.col("f_day")) & X.overlaps("segment_start", "segment_end", "f_s", "f_e")
+    return s.join(f, hit, "left_semi").select("segment_id").distinct()

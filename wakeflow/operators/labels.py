@@ -18,10 +18,10 @@ def rules(t: LabelThresholds) -> list[tuple]:
     c = F.col
     no_events = (c("crossing_count") == 0) & (c("anchor_duration") == 0) & (c("loiter_duration") == 0)
     return [
-        ("Transit", t.transit_confidence, "rule", (c("avg_speed") >= t.transit_min_avg_speed) & (c("speed_variance") <= t.transit_max_speed_variance) & (c("trajectory_curvature") <= t.transit_max_curvature) & no_events, ["avg_speed", "speed_variance", "trajectory_curvature"]),
-        ("Boundary Crossing", t.boundary_crossing_confidence, "rule", c("crossing_count") >= t.boundary_crossing_min_count, ["crossing_count"]),
-        ("Prolonged Boundary Presence", t.prolonged_confidence, "rule", (c("distance_to_boundary") <= t.prolonged_max_distance_km) & (c("loiter_duration") >= t.prolonged_min_loiter_minutes), ["distance_to_boundary", "loiter_duration"]),
-        ("Anchorage", t.anchorage_confidence, "rule", c("anchor_duration") >= t.anchorage_min_minutes, ["anchor_duration"]),
+        ("Transit", t.transit_confidence, "rule", (c("avg_speed") >= t.transit_min_avg_speed) & (c("speed_variance") <= t.transit_max_speed_variance) & (c("trajectory_curvature") <= t.transit_max_trajectory_curvature) & no_events, ["avg_speed", "speed_variance", "trajectory_curvature"]),
+        ("Boundary Crossing", t.boundary_crossing_confidence, "rule", c("crossing_count") >= t.boundary_crossing_min_crossings, ["crossing_count"]),
+        ("Prolonged Boundary Presence", t.prolonged_boundary_confidence, "rule", (c("distance_to_boundary") <= t.prolonged_boundary_max_distance_km) & (c("loiter_duration") >= t.prolonged_boundary_min_loiter_duration_minutes), ["distance_to_boundary", "loiter_duration"]),
+        ("Anchorage", t.anchorage_confidence, "rule", c("anchor_duration") >= t.anchorage_min_anchor_duration_minutes, ["anchor_duration"]),
         ("Fishing", t.fishing_confidence, "fishing_label", c("_fishing"), []),
     ]
 

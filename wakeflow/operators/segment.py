@@ -23,7 +23,7 @@ def segment_points(points: DataFrame, config: SegmentConfig | None = None) -> Da
         rows = rows.withColumn("trajectory_date", F.date_format("timestamp", "yyyy-MM-dd"))
     track = Window.partitionBy(*config.track_keys)
     rows = rows.withColumn("_origin", F.min("timestamp").over(track))
-    rows = rows.withColumn("window_minutes", F.explode(F.array(*[F.lit(w) for w in config.windows])))
+    rows = rows.withColumn("window_minutes", F.explode(F.array(*[F.lit(w) for w in config.window_minutes])))
     step = F.col("window_minutes").cast("long") * 60_000_000
     rows = rows.withColumn("_index", F.floor((X.micros("timestamp") - X.micros("_origin")) / step).cast("long"))
     one = Window.partitionBy(*config.track_keys, "window_minutes", "_index")

@@ -11,13 +11,19 @@ from wakeflow.config import ReasoningThresholds
 from wakeflow.functions import exprs as X
 from wakeflow.operators.clean import integer, number, require
 
-Rule = Callable[[DataFrame, ReasoningThresholds], DataFrame]
+#: from the thresholds, a struct of :func:`situation` for each prepared event, or null where the rule finds nothing
+Rule = Callable[[ReasoningThresholds], Column]
 DWELL = ("ANCHOR", "LOITER", "REPEATED_CROSSING")
 _EVENT = ["event_type", "event_timestamp", "mmsi", "start_timestamp", "end_timestamp", "duration_minutes", "details"]
 
 
 def prepare(events: DataFrame) -> DataFrame:
-    """Events with their number in the vessel's sequence, running counts, and the next EXIT and ENTRY of each row."""
+    """Events as their vessel's sequence, with what rules look ahead to.
+
+    seq: the number in the sequence; as_event: the event as a struct; dwells: running
+    count of dwelling events; exit: the next EXIT (as_event, dwells); zone: the kind of
+    the next EXIT or ENTRY; loiters: of an ENTRY, the LOITER events before that one.
+    """
     require(events, ["event_type", "event_timestamp", "mmsi"], "events")
     rows = events
     for c, other in (("start_timestamp", "event_timestamp"), ("end_timestamp", "event_timestamp")):
@@ -26,85 +32,81 @@ def prepare(events: DataFrame) -> DataFrame:
     if "details" not in rows.columns:
         rows = rows.withColumn("details", F.lit(None).cast("struct<crossing_count:bigint>"))
     rows = rows.withColumn("event_type", F.upper("event_type")).withColumn("mmsi", integer("mmsi")).dropna(subset=["event_type", "event_timestamp", "mmsi"])
+    kind, crosses = F.col("event_type"), F.col("event_type").isin("ENTRY", "EXIT")
     order = Window.partitionBy("mmsi").orderBy("event_timestamp", "event_type", "start_timestamp", "end_timestamp")
-    rows = rows.withColumn("seq", F.row_number().over(order))
-    by_seq = Window.partitionBy("mmsi").orderBy("seq")
-    till, later = by_seq.rowsBetween(Window.unboundedPreceding, 0), by_seq.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumns({"loiters": F.sum((F.col("event_type") == "LOITER").cast("int")).over(till), "dwells": F.sum(F.col("event_type").isin(*DWELL).cast("int")).over(till)})
-    ahead = lambda kind, c: F.first(F.when(F.col("event_type") == kind, F.col(c)), ignorenulls=True).over(later)
-    rows = rows.withColumn("as_event", F.struct(*_EVENT))
-    rows = rows.withColumns({"exit_seq": ahead("EXIT", "seq"), "exit_event": ahead("EXIT", "as_event"), "exit_dwells": ahead("EXIT", "dwells"), "exit_loiters": ahead("EXIT", "loiters"), "entry_seq": ahead("ENTRY", "seq"), "entry_loiters": ahead("ENTRY", "loiters")})
-    return rows.withColumn("all_loiters", F.max("loiters").over(Window.partitionBy("mmsi")))
-
-
-def _situation(rows: DataFrame, name: str, rank: int, confidence: float, support: Column, explanation: str) -> DataFrame:
-    first, last = F.get(support, F.lit(0)), F.get(support, F.size(support) - 1)
-    return rows.select(
-        F.lit(name).alias("situation"), F.lit(float(confidence)).alias("confidence"), "mmsi",
-        first["event_timestamp"].alias("start_timestamp"), last["event_timestamp"].alias("end_timestamp"),
-        F.array_min(F.transform(support, lambda e: e["start_timestamp"])).alias("extent_start"), F.array_max(F.transform(support, lambda e: e["end_timestamp"])).alias("extent_end"),
-        support.alias("supporting_events"), F.lit(explanation).alias("explanation"), F.lit(rank).alias("rule_order"), F.col("seq").alias("seq"),
-    )
+    till = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({
+        "as_event": F.struct(*_EVENT), "seq": F.row_number().over(order),
+        "dwells": F.sum(kind.isin(*DWELL).cast("int")).over(till), "visit": F.sum(crosses.cast("int")).over(till),
+    })
+    # what follows a row is what comes before it in the order turned round
+    back = Window.partitionBy("mmsi").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"exit": F.last(F.when(kind == "EXIT", F.struct("as_event", "dwells")), ignorenulls=True).over(back), "zone": F.last(F.when(crosses, kind), ignorenulls=True).over(back)})
+    visit = Window.partitionBy("mmsi", "visit").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.withColumn("loiters", F.when(kind == "ENTRY", F.collect_list(F.when(kind == "LOITER", F.col("as_event"))).over(visit)))
+
 
+def situation(name: str, confidence: float, support: Column, explanation: str) -> Column:
+    """A situation from its supporting events, in order."""
+    return F.struct(F.lit(name).alias("situation"), F.lit(float(confidence)).alias("confidence"), support.alias("supporting_events"), F.lit(explanation).alias("explanation"))
 
-def _single(kind: str, name: str, rank: int, confidence: str, explanation: str, keep: Callable | None = None) -> Rule:
-    def rule(rows: DataFrame, t: ReasoningThresholds) -> DataFrame:
-        rows = rows.filter(F.col("event_type") == kind)
-        rows = rows.filter(keep(t)) if keep else rows
-        return _situation(rows, name, rank, getattr(t, confidence), F.array("as_event"), explanation)
+
+def _single(kind: str, name: str, confidence: str, explanation: str, keep: Callable | None = None) -> Rule:
+    def rule(t: ReasoningThresholds) -> Column:
+        on = F.col("event_type") == kind
+        return F.when(on & keep(t) if keep else on, situation(name, getattr(t, confidence), F.array("as_event"), explanation))
 
     return rule
 
 
-def prolonged_presence(rows: DataFrame, t: ReasoningThresholds) -> DataFrame:
+def prolonged_presence(t: ReasoningThresholds) -> Column:
     """ENTRY with loitering before the next EXIT or ENTRY; support: ENTRY, the loiters, the EXIT if it comes first."""
-    exit_first = F.col("exit_seq").isNotNull() & (F.col("entry_seq").isNull() | (F.col("exit_seq") < F.col("entry_seq")))
-    end = F.least("exit_seq", "entry_seq")
-    loiters = F.when(exit_first, F.col("exit_loiters")).when(F.col("entry_seq").isNotNull(), F.col("entry_loiters")).otherwise(F.col("all_loiters")) - F.col("loiters")
-    entries = rows.filter(F.col("event_type") == "ENTRY").withColumn("_end", end).withColumn("_exit_first", exit_first).filter(loiters >= t.prolonged_min_loiters)
-    inner = rows.filter(F.col("event_type") == "LOITER").select(F.col("mmsi").alias("l_mmsi"), F.col("seq").alias("l_seq"), F.col("as_event").alias("l_event"))
-    met = entries.join(inner, (F.col("mmsi") == F.col("l_mmsi")) & (F.col("l_seq") > F.col("seq")) & (F.col("_end").isNull() | (F.col("l_seq") < F.col("_end"))))
-    met = met.groupBy("mmsi", "seq").agg(F.first("as_event").alias("as_event"), F.first("exit_event").alias("exit_event"), F.first("_exit_first").alias("_x"), F.sort_array(F.collect_list(F.struct("l_seq", "l_event"))).alias("l"))
-    support = F.concat(F.array("as_event"), F.transform("l", lambda x: x["l_event"]), F.filter(F.array(F.when(F.col("_x"), F.col("exit_event"))), lambda e: e.isNotNull()))
-    return _situation(met.withColumn("_support", support), "Prolonged Boundary Presence", 1, t.prolonged_confidence, F.col("_support"), "Entry followed by loitering before the next exit")
-
-
-def boundary_crossing(rows: DataFrame, t: ReasoningThresholds) -> DataFrame:
+    end = F.when(F.col("zone") == "EXIT", F.array("exit.as_event")).otherwise(F.slice(F.array("as_event"), 1, 0))
+    found = situation("Prolonged Boundary Presence", t.prolonged_presence_confidence, F.concat(F.array("as_event"), F.col("loiters"), end), "Entry followed by loitering before the next exit")
+    return F.when((F.col("event_type") == "ENTRY") & (F.size("loiters") >= max(1, t.prolonged_presence_min_loiter_events)), found)
+
+
+def boundary_crossing(t: ReasoningThresholds) -> Column:
     """Every ENTRY, with the next EXIT anywhere later if there is one."""
-    rows = rows.filter(F.col("event_type") == "ENTRY")
-    support = F.when(F.col("exit_seq").isNull(), F.array("as_event")).otherwise(F.array("as_event", "exit_event"))
-    return _situation(rows, "Boundary Crossing", 3, t.boundary_crossing_confidence, support, "Entry into the zone, with the exit that follows")
+    support = F.when(F.col("exit").isNull(), F.array("as_event")).otherwise(F.array("as_event", "exit.as_event"))
+    return F.when(F.col("event_type") == "ENTRY", situation("Boundary Crossing", t.boundary_crossing_confidence, support, "Entry into the zone, with the exit that follows"))
 
 
-def transit(rows: DataFrame, t: ReasoningThresholds) -> DataFrame:
+def transit(t: ReasoningThresholds) -> Column:
     """ENTRY to the next EXIT within the hours, nothing that dwells between."""
-    rows = rows.filter((F.col("event_type") == "ENTRY") & (F.col("exit_dwells") == F.col("dwells")) & (X.hours_between("exit_event.event_timestamp", "event_timestamp") <= t.transit_max_hours))
-    return _situation(rows, "Transit", 5, t.transit_confidence, F.array("as_event", "exit_event"), "Entry and exit without dwelling between them")
+    soon = X.hours_between("exit.as_event.event_timestamp", "event_timestamp") <= t.transit_max_trip_hours
+    found = situation("Transit", t.transit_confidence, F.array("as_event", "exit.as_event"), "Entry and exit without dwelling between them")
+    return F.when((F.col("event_type") == "ENTRY") & (F.col("exit.dwells") == F.col("dwells")) & soon, found)
 
 
+#: in the order that decides between equals
 DEFAULT_RULES: Sequence[Rule] = (
-    _single("ANCHOR", "Anchorage", 0, "anchorage_confidence", "Anchored for long", lambda t: F.col("duration_minutes") >= t.anchorage_min_minutes),
+    _single("ANCHOR", "Anchorage", "anchorage_confidence", "Anchored for long", lambda t: F.col("duration_minutes") >= t.anchorage_min_duration_minutes),
     prolonged_presence,
-    _single("REPEATED_CROSSING", "Repeated Crossing", 2, "repeated_confidence", "Many crossings in a short time"),
+    _single("REPEATED_CROSSING", "Repeated Crossing", "repeated_crossing_base_confidence", "Many crossings in a short time"),
     boundary_crossing,
-    _single("MANEUVERING", "Maneuvering", 4, "maneuvering_confidence", "Headings scatter"),
+    _single("MANEUVERING", "Maneuvering", "maneuvering_confidence", "Headings scatter"),
     transit,
 )
 
 
 def reason(events: DataFrame, t: ReasoningThresholds | None = None, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """situation, confidence, mmsi, start_timestamp, end_timestamp (of the first and last support), supporting_events, explanation, and the support's full extent.
+    """situation, confidence, mmsi, start_timestamp, end_timestamp (of the first and last support), extent_start, extent_end, supporting_events, explanation.
 
-    Of equal (situation, vessel, start, end) the most confident stays, the earlier rule on ties.
+    Of equal (situation, vessel, start, end) the most confident stays, the earlier rule on
+    ties. All rules are read off each event in one pass: events are shuffled once, by vessel.
     """
     t = t or ReasoningThresholds()
-    rows = prepare(events)
-    found = None
-    for rule in rules or DEFAULT_RULES:
-        part = rule(rows, t)
-        found = part if found is None else found.unionByName(part)
+    found = F.array(*[F.when(x.isNotNull(), F.struct(F.lit(i).alias("rule_order"), x.alias("of"))) for i, x in enumerate(rule(t) for rule in rules or DEFAULT_RULES)])
+    rows = prepare(events).select("mmsi", "seq", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("mmsi", "seq", "x.rule_order", "x.of.*")
+    support = F.col("supporting_events")
+    rows = rows.select(
+        "situation", "confidence", "mmsi", F.get(support, F.lit(0))["event_timestamp"].alias("start_timestamp"), F.get(support, F.size(support) - 1)["event_timestamp"].alias("end_timestamp"),
+        F.array_min(F.transform(support, lambda e: e["start_timestamp"])).alias("extent_start"), F.array_max(F.transform(support, lambda e: e["end_timestamp"])).alias("extent_end"),
+        "supporting_events", "explanation", "rule_order", "seq",
+    )
     best = Window.partitionBy("situation", "mmsi", "start_timestamp", "end_timestamp").orderBy(F.desc("confidence"), "rule_order", "seq")
-    return found.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "rule_order", "seq")
+    return rows.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "rule_order", "seq")
 
 
 def ordered(situations: DataFrame) -> DataFrame:

@@ -112,11 +112,11 @@ SITUATIONS = SEQUENCE + """,
    from nx n left join sq x on x.mmsi = n.mmsi and x.q = n.xq where n.event_type = 'ENTRY'),
  found as (
   select 'Anchorage' as situation, 0.90::double as confidence, mmsi, event_timestamp as a, event_timestamp as b, start_timestamp as xa, end_timestamp as xb, 1::bigint as n, q from sq where event_type = 'ANCHOR' and duration_minutes >= 600
-  union all select 'Repeated Crossing', 0.85, mmsi, event_timestamp, event_timestamp, start_timestamp, end_timestamp, 1, q from sq where event_type = 'REPEATED_CROSSING'
+  union all select 'Repeated Crossing', 0.90, mmsi, event_timestamp, event_timestamp, start_timestamp, end_timestamp, 1, q from sq where event_type = 'REPEATED_CROSSING'
   union all select 'Maneuvering', 0.65, mmsi, event_timestamp, event_timestamp, start_timestamp, end_timestamp, 1, q from sq where event_type = 'MANEUVERING'
   union all select 'Boundary Crossing', 0.75, mmsi, event_timestamp, coalesce(xt, event_timestamp), start_timestamp, coalesce(xe, end_timestamp), case when xq is null then 1 else 2 end, q from en
   union all select 'Transit', 0.70, mmsi, event_timestamp, xt, start_timestamp, xe, 2, q from en where xq is not null and nd = 0 and (epoch_us(xt) - epoch_us(event_timestamp)) / 3.6e9 <= 12
-  union all select 'Prolonged Boundary Presence', 0.90, mmsi, event_timestamp, case when xf then xt else lt end, start_timestamp, greatest(le, case when xf then xe else end_timestamp end), 1 + nl + xf::int, q from en where nl >= 1),
+  union all select 'Prolonged Boundary Presence', 0.85, mmsi, event_timestamp, case when xf then xt else lt end, start_timestamp, greatest(le, case when xf then xe else end_timestamp end), 1 + nl + xf::int, q from en where nl >= 1),
  situ as (select * exclude (rk) from (select *, row_number() over (partition by situation, mmsi, a, b order by confidence desc, q) as rk from found) f where rk = 1)"""
 PREDICTIONS = """pred as (select o_orderpriority as t, case when o_totalprice % 3 < 1 then o_orderpriority when o_totalprice % 3 < 2 then '2-HIGH' else '5-LOW' end as p from orders),
  cls as (select unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) as class),

@@ -14,14 +14,15 @@ from wakeflow.config import EventThresholds, LabelThresholds, ReasoningThreshold
 from wakeflow.functions import geometry
 from wakeflow.operators import analytics, clean, events, features, fishing, geofence, labels, reports, segment, situations
 from wakeflow.plans.oracle import ORACLE_SQL
+from wakeflow.session import once
 
 EVENTS = EventThresholds(
-    anchor_speed_knots=2.0, anchor_min_duration_minutes=60, loiter_speed_knots=4.0, loiter_radius_km=100.0, loiter_min_duration_minutes=120, max_gap_minutes=1440,
-    maneuver_window_minutes=10080, maneuver_min_points=10, maneuver_min_coverage_ratio=0.5, maneuver_circular_variance=0.5, repeated_crossing_count=3, repeated_crossing_window_hours=24,
+    anchor_speed_knots=2.0, anchor_min_duration_minutes=60, loiter_speed_knots=4.0, loiter_radius_km=100.0, loiter_min_duration_minutes=120, max_ais_gap_minutes=1440,
+    maneuver_window_minutes=10080, maneuver_min_points=10, maneuver_min_point_coverage_ratio=0.5, maneuver_heading_circular_variance_threshold=0.5, repeated_crossing_count=3, repeated_crossing_window_hours=24,
 )
-SEGMENTS = SegmentConfig(windows=(10080, 20160), min_points=10, track_keys=("MMSI",))
-LABELS = LabelThresholds(anchorage_min_minutes=600, boundary_crossing_min_count=6, prolonged_max_distance_km=400, prolonged_min_loiter_minutes=600, transit_max_speed_variance=8.0, transit_max_curvature=30.0)
-REASONING = ReasoningThresholds(transit_max_hours=12, anchorage_min_minutes=600)
+SEGMENTS = SegmentConfig(window_minutes=(10080, 20160), min_points=10, track_keys=("MMSI",))
+LABELS = LabelThresholds(anchorage_min_anchor_duration_minutes=600, boundary_crossing_min_crossings=6, prolonged_boundary_max_distance_km=400, prolonged_boundary_min_loiter_duration_minutes=600, transit_max_speed_variance=8.0, transit_max_trajectory_curvature=30.0)
+REASONING = ReasoningThresholds(transit_max_trip_hours=12, anchorage_min_duration_minutes=600)
 ZONE = (9.0, 54.5, 11.1, 55.5)
 
 _ADAPTER = """
@@ -44,8 +45,8 @@ def _boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geofence.boundary_events(points(spark, sf_dir), _edges(spark))
 
 
-def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.event_sequence(points(spark, sf_dir), _boundary(spark, sf_dir), EVENTS)
+def _sequence(spark: SparkSession, sf_dir: str, boundary: DataFrame | None = None) -> DataFrame:
+    return events.event_sequence(points(spark, sf_dir), boundary if boundary is not None else _boundary(spark, sf_dir), EVENTS)
 
 
 def _segment_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,8 @@ def _segment_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.segment_features(_segment_points(spark, sf_dir), _boundary(spark, sf_dir), _sequence(spark, sf_dir), _edges(spark))
+    boundary = once(_boundary(spark, sf_dir))  # read three times
+    return features.segment_features(_segment_points(spark, sf_dir), boundary, _sequence(spark, sf_dir, boundary), _edges(spark))
 
 
 def _effort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +99,7 @@ def q_segments(spark, sf_dir):
 
 
 def q_segment_points(spark, sf_dir):
-    days = SegmentConfig(windows=(720,), min_points=2)
+    days = SegmentConfig(window_minutes=(720,), min_points=2)
     return rounded(segment.segment_points(points(spark, sf_dir), days).select("segment_id", "MMSI", "timestamp", "window_minutes", "segment_start", "segment_end", "duration_seconds", "number_of_points", "trajectory_date"))
 
 
@@ -195,7 +197,7 @@ def q_nearest_point_asof(spark, sf_dir):
 
 def q_segment_best_situation(spark, sf_dir):
     base = segment.segments(points(spark, sf_dir), SEGMENTS).withColumnRenamed("MMSI", "mmsi")
-    return analytics.best_situation(base, _situations(spark, sf_dir), ["Anchorage", "Repeated Crossing", "Prolonged Boundary Presence"])
+    return analytics.best_situation(base, _situations(spark, sf_dir), ["Anchorage", "Repeated Crossing", "Prolonged Boundary Presence"], bucket_minutes=10080)
 
 
 def _predictions(spark, sf_dir):

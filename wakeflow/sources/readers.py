@@ -31,7 +31,7 @@ def read_csv_files(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
     out = None
     for i, path in enumerate(paths):
         part = spark.read.csv(path, header=True, inferSchema=False)
-        part = part.withColumn("_order", F.lit(i << 40) + F.monotonically_increasing_id() % (1 << 40))
+        part = part.withColumn("_order", F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("row")))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

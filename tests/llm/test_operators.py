@@ -337,7 +337,7 @@ def test_jaccard_join_in_parts_and_blocks(spark, docs, monkeypatch):
         linked = Counter(sum(x is not y and 100 * len(x & y) >= percent * len(x | y) for y in sets) for x in sets)
         assert Counter({cls: links for (_, _, cls, links, _) in want if cls is not None}.values()) == linked
         with monkeypatch.context() as m:
-            for name, value in (("RUN", 4), ("LONG", 3), ("MEMBERS", 7), ("SHARE", 1 / 50)):
+            for name, value in (("RUN", 4), ("LONG", 3), ("MEMBERS", 7), ("SHARE", 1 / 50), ("TELLS", 5)):
                 m.setattr(jaccard_join, name, value)
             assert Counter(map(tuple, jaccard_join.join(rows, 3, percent).collect())) == want
 

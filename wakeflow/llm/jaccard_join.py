@@ -5,7 +5,8 @@ equal sets are one class. Shingles are ordered from rare to frequent (those freq
 in some chunk of documents are counted over the corpus; all others come first, by
 hash), and classes with the same prefix and size form one group. Groups that share a
 prefix shingle meet in that shingle's run; sizes, positions and 256-bit parity
-signatures (1024 bits for large sets) sieve their pairs. What the sieve passes ties
+signatures sieve their pairs. Large sets, which differ in more shingles than such a
+signature can tell, are sieved again by histograms of their shingles. What passes ties
 classes into clumps: every pair that may link lies in one. A clump's members are
 expanded and all their pairs verified by the exact intersections of their whole sets;
 links between classes and equality within them give the components.
@@ -16,7 +17,7 @@ rows that repeat a doc_id are one document per text and take the smallest compon
 they reach; a null doc_id is linked by its text and never names a component unless it
 is alone (then null); an empty table gives an empty result; other columns are ignored.
 
-Scale: no list of pairs leaves a task. The sieve sends a spanning forest of the pairs
+Scale: no list of pairs leaves a task. The sieves send spanning forests of the pairs
 that pass, a clump's task one row for each member: its part and its number of links.
 Equal texts collapse before anything is paired. Runs of more than RUN documents are
 split into pairs of parts, and clumps of more than MEMBERS classes (or SHINGLES
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeflow.llm import textbytes as tb
-from wakeflow.llm.common import cut, free
+from wakeflow.llm.common import cut, free, written
 from wakeflow.llm.components import components
 
 #: a shingle is frequent if this share of a block of documents has it
@@ -42,8 +43,11 @@ BLOCK_SHINGLES = 3_000_000
 #: the most frequent shingles that are told from rare ones, at most
 FREQUENT = 1_000_000
 WORDS = 4  # 64-bit words of a signature
-#: sets of this size or more also carry a signature of WIDE words: a small one is full before it tells them apart
-LARGE, WIDE = 900, 16
+SIGNATURE = [f"sig{i}" for i in range(WORDS)]
+#: linked sets that differ in more shingles than this may look unlike by chance alone: they are large
+TELLS = 90
+#: counts of a histogram
+COUNTS = 1024
 #: a run of more documents is split; in runs of more classes than LONG, classes that are tied already are not compared again
 RUN, LONG = 16_384, 64
 #: a clump of more classes, or more shingles, is split into blocks
@@ -82,6 +86,19 @@ def need(n1, n2, percent: int):
     return -(-percent * (n1 + n2) // (100 + percent))
 
 
+def large(n, percent: int):
+    """Whether linked sets of such a size may differ in more than TELLS shingles."""
+    return 2 * n * (100 - percent) > TELLS * (100 + percent)
+
+
+def histograms(sets: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """COUNTS counts, modulo 256, of the shingles of each of the sets ``rows`` by hash."""
+    out = np.zeros((len(rows), COUNTS), np.uint8)
+    for i, row in enumerate(rows):
+        out[i] = np.bincount((sets[first[row] : first[row + 1]] >> np.uint64(54)).astype(np.int64), minlength=COUNTS).astype(np.uint8)
+    return out
+
+
 def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and document counts of frequent shingles."""
 
@@ -156,9 +173,6 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 rank, sets, pos = rank[order], sets[order], np.arange(len(sets)) - np.repeat(np.cumsum(size) - size, size)
                 mixed = tb.mix64(sets)
                 bits = _parity(mixed, doc, len(one), WORDS)
-                large = size >= LARGE
-                nth = np.cumsum(large) - 1
-                wide = _parity(mixed[large[doc]], nth[doc[large[doc]]], int(large.sum()), WIDE)
                 prefix = size - (-(-percent * size // 100)) + 1  # two linked sets share one of these
                 keep = pos < prefix[doc]
                 start = np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -172,20 +186,16 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 own = own[to].astype(np.int64)
                 part = np.minimum(own, other) << 20 | np.maximum(own, other)
                 doc, sets, pos = doc[to], sets[to], pos[to]
-                # the wide signature of a large set stands in place of the small one, which it folds to
-                body = [b.tobytes() for b in bits]
-                for i in np.flatnonzero(large):
-                    body[i] = wide[nth[i]].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sets.view(np.int64)), pa.array(part), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(grp[doc]), pa.array(cls[one][doc]), pa.array(body, pa.binary()).take(pa.array(doc))],
-                    ["token", "part", "n", "pos", "grp", "cls", "sig"],
+                    [pa.array(sets.view(np.int64)), pa.array(part), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(grp[doc]), pa.array(cls[one][doc]), *[pa.array(bits[doc, i].view(np.int64)) for i in range(WORDS)]],
+                    ["token", "part", "n", "pos", "grp", "cls", *SIGNATURE],
                 )
 
-    return docs.select("text").mapInArrow(run, "token long, part long, n int, pos int, grp long, cls long, sig binary")
+    return docs.select("text").mapInArrow(run, "token long, part long, n int, pos int, grp long, cls long, " + ", ".join(f"{c} long" for c in SIGNATURE))
 
 
 def _sieve(percent: int):
-    """Ties (a, b) of classes that share a prefix shingle and may link: a spanning forest of such pairs. Input rows are sorted by token, part, n, grp, cls."""
+    """Ties (a, b, weak) of classes that share a prefix shingle and may link: a spanning forest of such pairs, and one of the weak ones, of large sets. Input rows are sorted by token, part, n, grp, cls."""
 
     def runs(*keys):
         """Where a new run of equal keys begins."""
@@ -195,14 +205,7 @@ def _sieve(percent: int):
 
     def similar(n, sig, p, q):
         """Which of the rows p and q may link by what their signatures bound: they differ in at least as many shingles as bits."""
-        most = n[p] + n[q] - 2 * need(n[p], n[q], percent)
-        small, wide, at = sig
-        good = np.bitwise_count(small[p] ^ small[q]).sum(axis=1) <= most
-        both = np.flatnonzero(good & (at[p] >= 0) & (at[q] >= 0))
-        for i in range(0, len(both), 200_000):
-            b = both[i : i + 200_000]
-            good[b] = np.bitwise_count(wide[at[p[b]]] ^ wide[at[q[b]]]).sum(axis=1) <= most[b]
-        return good
+        return np.bitwise_count(sig[p] ^ sig[q]).sum(axis=1) <= n[p] + n[q] - 2 * need(n[p], n[q], percent)
 
     def group_pairs(n, pos, x, y):
         """Which pairs of groups, by a row of each, may link by size and by what is left of their sets."""
@@ -263,61 +266,52 @@ def _sieve(percent: int):
         return p, q
 
     def ties(cols):
-        token, part, n, pos, grp, cls, raw = cols
+        token, part, n, pos, grp, cls, *_ = cols
         some = runs(token, part, cls)
-        token, part, n, pos, grp, cls, raw = (x[some] for x in (token, part, n, pos, grp, cls, raw))
         opens = runs(token, part) if len(token) else np.zeros(0, bool)
-        run = np.cumsum(opens) - 1
-        length = np.bincount(run, minlength=1)[run] if len(run) else run
-        some = length > 1
-        run, length, n, pos, grp, cls, raw = (x[some] for x in (run, length, n, pos, grp, cls, raw))
-        if not len(run):
-            return run, run
-        large = np.flatnonzero(n >= LARGE)
-        wide = np.frombuffer(b"".join(raw[large]), np.uint64).reshape(-1, WIDE)
-        small = np.empty((len(n), WORDS), np.uint64)
-        small[large] = np.bitwise_xor.reduce(wide.reshape(-1, WIDE // WORDS, WORDS), axis=1)
-        few = np.flatnonzero(n < LARGE)
-        small[few] = np.frombuffer(b"".join(raw[few]), np.uint64).reshape(-1, WORDS)
-        at = np.full(len(n), -1)
-        at[large] = np.arange(len(large))
-        sig = (small, wide, at)
+        run = (np.cumsum(opens) - 1)[some]
+        some = np.flatnonzero(some)[np.bincount(run, minlength=1)[run] > 1]
+        if not len(some):
+            return [np.zeros(0, np.int64)] * 3
+        run = (np.cumsum(opens) - 1)[some]
+        length = np.bincount(run)[run]
+        n, pos, grp, cls = (x[some] for x in (n, pos, grp, cls))
+        sig = np.stack([x[some] for x in cols[6:]], axis=1).view(np.uint64)
         brief = np.flatnonzero(length <= LONG)
-        p, q = short(run[brief], n[brief], pos[brief], grp[brief], (small[brief], wide, at[brief]))
+        p, q = short(run[brief], n[brief], pos[brief], grp[brief], sig[brief])
         p, q = [brief[p]], [brief[q]]
         rest = np.flatnonzero(length > LONG)
         for rows in np.split(rest, np.flatnonzero(np.diff(run[rest])) + 1) if len(rest) else []:
             x, y = long(rows, n, pos, grp, sig)
             p += x
             q += y
-        return cls[np.concatenate(p)], cls[np.concatenate(q)]
+        p, q = np.concatenate(p), np.concatenate(q)
+        return cls[p], cls[q], large(np.maximum(n[p], n[q]), percent).astype(np.int64)
 
     def run(batches):
-        parent: dict[int, int] = {}  # of the classes that the task has tied
+        parents: tuple[dict, dict] = ({}, {})  # of the classes that the task has tied, and weakly
 
-        def root(x):
+        def root(parent, x):
             while parent.setdefault(x, x) != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
         def forest(cols):
-            a, b = ties(cols)
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            a, b, weak = ties(cols)
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), weak], axis=1), axis=0) if len(a) else np.zeros((0, 3), np.int64)
             keep = []
-            for x, y in pair.tolist():
-                i, j = root(x), root(y)
+            for x, y, w in pair.tolist():
+                i, j = root(parents[w], x), root(parents[w], y)
                 if i != j:
-                    parent[i] = j
-                    keep.append((x, y))
-            keep = np.array(keep, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(keep[:, 0]), pa.array(keep[:, 1])], ["a", "b"])
+                    parents[w][i] = j
+                    keep.append((x, y, w))
+            keep = np.array(keep, np.int64).reshape(-1, 3)
+            return pa.RecordBatch.from_arrays([pa.array(keep[:, 0]), pa.array(keep[:, 1]), pa.array(keep[:, 2] > 0)], ["a", "b", "weak"])
 
         held = None  # a run may go on in the next batch
         for batch in batches:
-            raw = np.empty(batch.num_rows, object)
-            raw[:] = batch.column("sig").to_pylist()
-            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "part", "n", "pos", "grp", "cls")] + [raw]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "part", "n", "pos", "grp", "cls", *SIGNATURE)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if not len(cols[0]):
@@ -355,13 +349,58 @@ def shared_counts(tokens: np.ndarray, first: np.ndarray, rows: np.ndarray, other
     return out
 
 
+def _places(batches, columns: list[str], make):
+    """Batches of make(i, j, rows) for the rows of each place (clump, i, j), which follow one another; of rows of one class the first. A class alone has no place."""
+    at, rows, seen = None, [], set()
+    for batch in batches:
+        for c, i, j, cls, *rest in zip(*[batch.column(c).to_pylist() for c in ("clump", "i", "j", "cls", *columns)], strict=True):
+            if (c, i, j) != at:
+                if len(rows) > 1:
+                    yield make(*at[1:], rows)
+                at, rows, seen = (c, i, j), [], set()
+            if cls not in seen:
+                seen.add(cls)
+                rows.append((cls, *rest))
+    if len(rows) > 1:
+        yield make(*at[1:], rows)
+
+
+def _refine(percent: int):
+    """Of the large classes of places: ties of those that may link by their histograms, which differ by no more than the sets; a spanning forest."""
+
+    def place(i, j, rows):
+        cls, side, n = (np.array([r[c] for r in rows], np.int64) for c in range(3))
+        fine = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        coarse = fine.reshape(len(rows), -1, 8).sum(axis=2, dtype=np.uint8)
+        label, a, b = np.arange(len(rows)), [], []
+        order = np.argsort(n, kind="stable")
+        ends = np.searchsorted(n[order], n[order] * 100 // percent, "right")
+        for at, row in enumerate(order):
+            y = order[at + 1 : ends[at]]
+            y = y[label[y] != label[row]]
+            y = y if i == j else y[side[y] != side[row]]
+            most = n[row] + n[y] - 2 * need(n[row], n[y], percent)
+            for sig in (coarse, fine):
+                d = sig[y] - sig[row]
+                good = np.minimum(d, -d).sum(axis=1, dtype=np.int64) <= most
+                y, most = y[good], most[good]
+            if len(y):
+                _, first = np.unique(label[y], return_index=True)
+                for other in y[first]:
+                    a.append(cls[row])
+                    b.append(cls[other])
+                    label[label == label[other]] = label[row]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return lambda batches: _places(batches, ["side", "n", "sig"], place)
+
+
 def _decide(k: int, percent: int):
     """Of the texts of places, sorted by place: each class of a place with one that it is tied to by links, and its number of links there."""
 
     def place(i, j, rows):
-        cls = np.array([c for c, _, _ in rows], np.int64)
-        side = np.array([b for _, b, _ in rows])
-        parts = [shingle_sets(data, offsets, k) for _, _, data, offsets in tb.chunks(pa.array([t for _, _, t in rows], pa.large_string()))]
+        cls, side = (np.array([r[c] for r in rows], np.int64) for c in range(2))
+        parts = [shingle_sets(data, offsets, k) for _, _, data, offsets in tb.chunks(pa.array([r[2] for r in rows], pa.large_string()))]
         sets, n = np.concatenate([x for x, _ in parts]), np.concatenate([np.diff(first) for _, first in parts])
         first = np.concatenate([[0], np.cumsum(n)])
         x = np.flatnonzero(side == i)
@@ -382,34 +421,28 @@ def _decide(k: int, percent: int):
         on = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(cls[on]), pa.array(cls[label[on]]), pa.array(links[on])], ["a", "b", "links"])
 
-    def run(batches):
-        at, rows, seen = None, [], set()
-        for batch in batches:
-            for c, i, j, cls, side, text in zip(*[batch.column(c).to_pylist() for c in ("clump", "i", "j", "cls", "side")], batch.column("text"), strict=True):
-                if (c, i, j) != at:
-                    if len(rows) > 1:
-                        yield place(*at[1:], rows)
-                    at, rows, seen = (c, i, j), [], set()
-                if cls not in seen:  # rows of one text and doc_id
-                    seen.add(cls)
-                    rows.append((cls, side, text.as_py()))
-        if len(rows) > 1:
-            yield place(*at[1:], rows)
+    return lambda batches: _places(batches, ["side", "text"], place)
 
-    return run
+
+def _dealt(clumps: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """classes (cls, n and more) of the clumps with their clump, side and ``blocks``, of at most MEMBERS classes and ``most`` shingles."""
+    members = clumps.select("node", F.col("comp").alias("clump")).join(classes, F.col("node") == F.col("cls")).drop("node")
+    size = members.groupBy("clump").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / most)).cast("int").alias("blocks"))
+    return members.join(size, "clump").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+
+
+def _in_places(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`_dealt` once for each pair of blocks that has theirs, dealt by it."""
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    other = other.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "blocks")
+    return other.repartition("clump", "i", "j").sortWithinPartitions("clump", "i", "j")
 
 
 def _links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b, links: each linked class, one that it is tied to by links, and its number of links (in parts, if its clump has blocks)."""
-    members = clumps.select("node", F.col("comp").alias("clump")).join(classes, F.col("node") == F.col("cls"))
-    size = members.groupBy("clump").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(size, "clump").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    members = members.select("clump", "blocks", "side", "cls", F.col("of.doc_id").alias("_id"), F.col("of.hash").alias("_hash"))
-    texts = docs.join(members, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["hash"] == F.col("_hash")))
-    dealt = texts.select("clump", "side", "cls", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("clump", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "cls", "side", "text")
-    dealt = dealt.repartition("clump", "i", "j").sortWithinPartitions("clump", "i", "j")
-    return dealt.mapInArrow(_decide(k, percent), "a long, b long, links long")
+    members = _dealt(clumps, classes, SHINGLES).select("clump", "blocks", "side", "cls", F.col("of.doc_id").alias("_id"), F.col("of.hash").alias("_hash"))
+    texts = docs.join(members, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["hash"] == F.col("_hash"))).select("clump", "blocks", "side", "cls", "text")
+    return _in_places(texts).mapInArrow(_decide(k, percent), "a long, b long, links long")
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -425,19 +458,26 @@ def _grouped(docs: DataFrame, k: int, percent: int, tie: bool) -> DataFrame:
 
     def label(batches):
         for batch in batches:
-            ids, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            ids, n, sig = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for _, _, data, offsets in tb.chunks(batch.column("text")):
                 sets, first = shingle_sets(data, offsets, k)
                 ids.append(class_ids(sets, first))
                 n.append(np.diff(first))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(np.concatenate(ids)), pa.array(np.concatenate(n).astype(np.int64))], ["doc_id", "hash", "cls", "n"])
+                some = np.flatnonzero(large(n[-1] * 100 // percent, percent))  # by the largest that it may link with
+                body = dict(zip(some.tolist(), histograms(sets, first, some), strict=True))
+                sig += [body[i].tobytes() if i in body else None for i in range(len(n[-1]))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(np.concatenate(ids)), pa.array(np.concatenate(n).astype(np.int64)), pa.array(sig, pa.binary())], ["doc_id", "hash", "cls", "n", "sig"])
 
-    rows = cut(docs.mapInArrow(label, "doc_id long, hash long, cls long, n long"))
+    labelled = written(docs.mapInArrow(label, "doc_id long, hash long, cls long, n long, sig binary"))
+    rows = labelled.drop("sig")
     full = rows.filter("n > 0")
     classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min(_row_key()).alias("of"), F.max("n").alias("n"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, k))
     postings = _postings(docs, k, percent, frequent).repartition("token", "part").sortWithinPartitions("token", "part", "n", "grp", "cls")
-    clumps = components(cut(postings.mapInArrow(_sieve(percent), "a long, b long")))
+    ties = cut(postings.mapInArrow(_sieve(percent), "a long, b long, weak boolean"))
+    near = labelled.filter(F.col("sig").isNotNull()).select("cls", "n", "sig").dropDuplicates(["cls"])
+    refined = cut(_in_places(_dealt(components(ties.filter("weak").select("a", "b")), near, 1 << 62).select("clump", "blocks", "side", "cls", "n", "sig")).mapInArrow(_refine(percent), "a long, b long"))
+    clumps = components(ties.filter("not weak").select("a", "b").unionByName(refined))
     links = cut(_links(docs, classes, clumps, k, percent))
     # rows of one doc_id and several texts tie their classes together
     tied = full.filter("doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("a", "b")

@@ -72,6 +72,45 @@ def test_substrings(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substrings_of_hot_anchors_and_structured_texts(spark, monkeypatch):
+    """At the real length, over several files: variants of one passage, copies, periodic and Thue-Morse texts, with anchors split and counted apart."""
+    rng = random.Random(11)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    base, morse = own(200), "0"
+    while len(morse) < 4096:
+        morse += morse.translate({48: 49, 49: 48})
+    rows = []
+    for _ in range(120):
+        w = base.split(" ")
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(200)] = own(1)
+        cut = rng.randrange(120)
+        rows.append(f"{own(20)} {' '.join(w[cut : cut + rng.randint(20, 200)])} {own(20)}")
+    rows += [rows[0]] * 40 + [morse, morse[2048:] + own(50), morse.translate({48: 49, 49: 48})[:1500], "ab" * 700, "x" * 399, "y" * 401, own(90), None]
+    texts = [(t or "").encode() for t in rows]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(9)
+    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    short = Counter(t[i : i + 300] for t in texts for i in range(len(t) - 299))
+    want, most = set(), {}
+    for d, t in enumerate(texts):
+        gone, shared = bytearray(len(t)), bytearray(len(t))
+        for n, count, mark in ((400, seen, gone), (300, short, shared)):
+            for i in range(len(t) - n + 1):
+                if count[t[i : i + n]] > 1:
+                    mark[i : i + n] = b"\1" * n
+        want.add((d, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+        most[d] = sum(shared)
+    for limits in ({}, {"BUSY": 3, "HOT": 2, "SHARD": 2000}, {"BUSY": 3, "BROADCAST_ANCHORS": 0, "HOT": 10**6}):
+        with monkeypatch.context() as m:
+            for name, value in limits.items():
+                m.setattr(substring_dedup, name, value)
+            out = substring_dedup.remove_repeats(docs).collect()
+        assert {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == want and len(out) == len(rows)
+        bad=[(r["doc_id"],r["n_bytes"],r["n_removed"],r["n_shared"],most[r["doc_id"]]) for r in out if not r["n_removed"] <= r["n_shared"] <= most[r["doc_id"]]]
+        assert not bad, bad
+    assert sum(r["n_shared"] > r["n_removed"] for r in out) > 5
+
+
 
 def test_line_dedup(spark, docs, none):
     wide = docs.withColumn("n_lines", F.lit("clash")).withColumn("other", F.lit(1))

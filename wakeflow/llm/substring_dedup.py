@@ -10,18 +10,23 @@ bytes mark the repeated strings.
 
 Texts are UTF-8 bytes, null is empty. Equal texts are one class: if there are several
 and they have ``least`` bytes, all of each is repeated, and the class stands for them
-where others match it.
+where others match it. Beside what is removed, ``n_shared`` counts the bytes of strings
+of ``hint`` bytes, shorter than ``least``, that the same sorting finds repeated: where
+their regions meet, so at most all there are.
 
 Defined cases: null, empty and short texts keep all; rows that repeat a doc_id are
 texts of their own, so equal rows remove each other; an empty table gives an empty
 result; other columns are ignored. No text is too long; a text over the chunk size is
-a chunk.
-
-Scale: numbers of regions are shuffled by anchor, texts by class (one exchange, used
-twice), and of the regions only the distinct ones with a repeated anchor. A hot anchor,
-with more than HOT distinct regions, is dealt again by a second hash, so that its
-strings spread over shards; equal regions count once in a suffix array. A shard's
-arrays hold about SHARD bytes.
+a chunk. Hashes only bring strings together, except that regions whose 64-bit hashes
+agree, over mixed windows of bytes, count as equal.
+
+Scale: numbers of regions are written once, shuffled by anchor, texts by class (one
+exchange of one text a class and task, used twice), and of the regions only the
+distinct ones with a repeated anchor. Anchors with more than BUSY rows are not sorted in
+a task: counts of their regions come from partial aggregation. A hot anchor, with more
+than HOT distinct regions, is dealt again by a second hash, so that its strings spread
+over shards. In a shard only runs of K-grams that stand there twice are sorted, equal
+runs once. A shard's arrays hold about SHARD bytes, or those of one key.
 """
 
 from __future__ import annotations
@@ -34,11 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeflow.llm import textbytes as tb
+from wakeflow.llm.common import written
 from wakeflow.llm.suffix_array import permuted_lcp, suffix_array
 
 K = 64
 SHARD = 1 << 20
 HOT = 256
+BUSY = 2048
+#: so many busy anchors are broadcast; more are joined by a shuffle
+BROADCAST_ANCHORS = 100_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int, salt: int = 0):
@@ -47,9 +56,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int, salt: int = 0):
     n, width = len(data), least - K + 1
     if n < least:
         return none, none, none, none, none
-    prefix = tb.prefix_hash(data)
+    prefix = tb.window_hash(data)
     at = np.arange(n - K + 1)
-    h = tb.slice_hash(prefix, at, at + K)
+    h = tb.window_slices(prefix, at, at + K)
     order = tb.mix64(h ^ np.uint64(salt)) if salt else h
     bits = np.uint64(max(1, int(n).bit_length()))
     key = (order >> bits << bits) | at.astype(np.uint64)
@@ -73,7 +82,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int, salt: int = 0):
     new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     lo, hi, doc = s[first], s[np.append(first[1:], len(s)) - 1], doc[first]
-    region = tb.slice_hash(prefix, lo, hi + least)
+    region = tb.window_slices(prefix, lo, hi + least)
     return doc, h[low[first]].view(np.int64), lo - offsets[doc], hi - offsets[doc], region.view(np.int64)
 
 
@@ -139,7 +148,7 @@ def _decide(batches):
 
 
 def _cut(least: int):
-    """Cuts regions out of texts: shard, body hash, cls, lo, whether its ranges are wanted, bytes."""
+    """Cuts regions out of texts: shard, body hash, cls, lo, whether its ranges are wanted, how many starts are its own and no other region's, bytes."""
 
     def run(batches):
         for batch in batches:
@@ -148,86 +157,114 @@ def _cut(least: int):
                 text = text.as_py().encode()
                 for c in cuts:
                     body = text[c["lo"] : c["hi"] + least]
+                    starts = lambda lo, hi, n=len(text): (n if hi + least == n else hi + 1) - lo  # noqa: E731  the last region has the text's end too
                     if not c["hot"]:
-                        rows.append((c["anchor"], c["body"], cls, c["lo"], not c["same"], body))
+                        rows.append((c["anchor"], c["body"], cls, c["lo"], not c["same"], starts(c["lo"], c["hi"]), body))
                         continue
                     data = np.frombuffer(body, np.uint8)
                     _, a, lo, hi, inner = anchors(data, np.array([0, len(data)]), least, salt=0x2545F4914F6CDD1D)
                     for h, s, e, b in zip(a.tolist(), lo.tolist(), hi.tolist(), inner.tolist(), strict=True):
                         shard = int(tb.mix64(np.array([c["anchor"], h], np.int64).view(np.uint64)[:1] * np.uint64(31) + np.array([h], np.int64).view(np.uint64))[0].astype(np.int64))
-                        rows.append((shard, b, cls, c["lo"] + s, not c["same"], body[s : e + least]))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "body", "cls", "lo", "wanted", "bytes"])
+                        rows.append((shard, b, cls, c["lo"] + s, not c["same"], starts(c["lo"] + s, c["lo"] + e), body[s : e + least]))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "body", "cls", "lo", "wanted", "own", "bytes"])
 
     return run
 
 
-def repeated_starts(bodies: list[bytes], often: np.ndarray, least: int) -> list[np.ndarray]:
-    """For each body the starts (first, last of each run) of its strings of ``least`` bytes that start elsewhere too; ``often``: the body itself does."""
+def _runs(on: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of ``on`` that stays with one owner."""
+    at = np.flatnonzero(on)
+    if not len(at):
+        return at, at
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])
+    first = np.flatnonzero(new)
+    return at[first], at[np.append(first[1:], len(at)) - 1]
+
+
+def repeated_starts(bodies: list[bytes], own: list[int], lengths: list[int]) -> list[list[tuple[int, int, int]]]:
+    """For each body (length, first, last): runs of the starts of its strings of a length that start elsewhere too.
+
+    Of each body only the first ``own`` starts count; the others are those of bodies cut
+    from the same text.
+    """
+    least = min(lengths)
     size = np.array([len(b) for b in bodies], np.int64)
+    text = np.frombuffer(b"".join(bodies), np.uint8)
+    begin, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    found: list[list[tuple[int, int, int]]] = [[] for _ in bodies]
+    if len(text) < K:
+        return found
+    # a repeated string consists of repeated K-grams: runs of those are all that needs sorting
+    at = np.flatnonzero(np.arange(len(text)) - begin[owner] + K <= size[owner])
+    _, which, times = np.unique(tb.window_slices(tb.window_hash(text), at, at + K), return_inverse=True, return_counts=True)
+    on = np.zeros(len(text), bool)
+    on[at] = times[which] > 1
+    first, last = _runs(on, owner)
+    long = last - first >= least - K
+    pieces: dict[bytes, list[tuple[int, int]]] = {}
+    for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True):
+        pieces.setdefault(text[a : b + K].tobytes(), []).append((int(owner[a]), int(a - begin[owner[a]])))
+    if not pieces:
+        return found
+    names, places = list(pieces), list(pieces.values())
+    size = np.array([len(x) for x in names], np.int64)
     ends = np.cumsum(size + 1)
-    s = np.ones(ends[-1] + 1, np.int16)  # 1 parts bodies, 0 ends all
-    begin = ends - size - 1
+    s = np.ones(ends[-1] + 1, np.int16)  # 1 parts pieces, 0 ends all
+    of = np.repeat(np.arange(len(size)), size)
     inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    owner = np.repeat(np.arange(len(size)), size)
-    place = begin[owner] + inner
-    s[place] = np.frombuffer(b"".join(bodies), np.uint8).astype(np.int16) + 2
+    place = (ends - size - 1)[of] + inner
+    s[place] = np.frombuffer(b"".join(names), np.uint8).astype(np.int16) + 2
     s[-1] = 0
-    flag = np.zeros(len(s), bool)
-    if len(bodies) > 1 or size[0] > least:
-        plcp, phi = permuted_lcp(s, suffix_array(s), 2 * int(size.max()) + 2)  # different bodies follow equal ones
-        long = np.flatnonzero(plcp >= least)
-        flag[long] = True
-        flag[phi[long]] = True
-    valid = inner + least <= size[owner]
-    flag = (flag[place] | often[owner]) & valid
-    edge = np.flatnonzero(flag)
-    if not len(edge):
-        return [np.zeros((0, 2), np.int64)] * len(bodies)
-    new = np.ones(len(edge), bool)
-    new[1:] = (edge[1:] != edge[:-1] + 1) | (owner[edge[1:]] != owner[edge[:-1]])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(edge)) - 1
-    of = owner[edge[first]]
-    runs = np.stack([inner[edge[first]], inner[edge[last]]], axis=1)
-    at = np.searchsorted(of, np.arange(len(bodies) + 1))
-    return [runs[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
-def _sort(least: int):
-    """Of regions sorted by shard and body: ranges of starts of repeated strings, cls by cls."""
+    sa = suffix_array(s)
+    plcp, _ = permuted_lcp(s, sa, 2 * int(size.max()) + 2)  # different pieces follow equal ones
+    # how often each start of a piece stands in bodies as their own
+    first = np.cumsum(size) - size
+    times = np.zeros(len(of) + 1, np.int64)
+    for i, at in enumerate(places):
+        for body, shift in at:
+            n = min(own[body] - shift, int(size[i]))
+            if n > 0:
+                times[first[i]] += 1
+                times[first[i] + n] -= 1
+    times = np.cumsum(times[:-1])
+    weight = np.zeros(len(s), np.int64)
+    weight[place] = times
+    for length in lengths:
+        # suffixes with so long a common prefix stand side by side
+        group = np.empty(len(s), np.int64)
+        group[sa] = np.cumsum(plcp[sa] < length)
+        fits = inner + length <= size[of]
+        total = np.bincount(group[place[fits]], weight[place[fits]], minlength=int(group.max()) + 1)
+        flag = fits & (total[group[place]] > 1)
+        for a, b in zip(*_runs(flag, of), strict=True):
+            for body, shift in places[of[a]]:
+                end = min(int(inner[b]) + shift, own[body] - 1)
+                if end >= inner[a] + shift:
+                    found[body].append((length, int(inner[a]) + shift, end))
+    return found
+
+
+def _sort(least: int, hint: int):
+    """Of regions sorted by shard and body: byte ranges of repeated strings, cls by cls; ``cut`` for those of ``least`` bytes."""
 
     def shards(rows: list[tuple]):
-        bodies, often, of = [], [], []
-        last = None
-        for shard, body, cls, lo, wanted, data in rows:
-            if (shard, body) != last:
-                bodies.append(data)
-                often.append(False)
-                last, where = (shard, body), {(cls, lo)}
-            elif (cls, lo) in where:
-                continue
-            else:
-                where.add((cls, lo))
-                often[-1] = True
-            of.append((len(bodies) - 1, cls, lo, wanted))
-        found = repeated_starts(bodies, np.array(often), least)
-        return [(cls, lo + int(a), lo + int(b)) for i, cls, lo, wanted in of if wanted for a, b in found[i]]
+        found = repeated_starts([r[6] for r in rows], [r[5] for r in rows], [least, hint])
+        return [(cls, lo + a, lo + b + length, length == least) for (_, _, cls, lo, wanted, *_), runs in zip(rows, found, strict=True) if wanted for length, a, b in runs]
 
     def run(batches):
         held: list[tuple] = []
-        size, ready = 0, 0
+        size = 0
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("shard", "body", "cls", "lo", "wanted", "bytes")], strict=True):
-                if held and row[0] != held[-1][0]:
-                    ready = len(held)
-                    if size > SHARD:
-                        yield _ranges(shards(held))
-                        held, size = [], 0
-                if not held or row[:2] != held[-1][:2]:
-                    size += len(row[5])
-                held.append(row)
+            for row in zip(*[batch.column(c).to_pylist() for c in ("shard", "body", "cls", "lo", "wanted", "own", "bytes")], strict=True):
+                if held and row[0] != held[-1][0] and size > SHARD:
+                    yield _ranges(shards(held))
+                    held, size = [], 0
+                if not held or row[:4] != held[-1][:4]:
+                    size += len(row[6])
+                    held.append(row)
         if held:
             yield _ranges(shards(held))
 
@@ -235,56 +272,76 @@ def _sort(least: int):
 
 
 def _ranges(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["cls", "a", "b"])
-
-
-def _remove(least: int):
-    def run(batches):
-        for batch in batches:
-            out = []
-            for cls, text, ranges in zip(batch.column("cls").to_pylist(), batch.column("text"), batch.column("ranges").to_pylist(), strict=True):
-                data = np.frombuffer(text.as_py().encode(), np.uint8)
-                step = np.zeros(len(data) + 1, np.int32)
-                np.add.at(step, [r["a"] for r in ranges], 1)
-                np.add.at(step, [r["b"] + least for r in ranges], -1)
-                gone = np.cumsum(step[:-1]) > 0
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                kept = data[~gone].tobytes()
-                out.append((cls, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["cls", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return run
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.bool_())], ["cls", "a", "b", "cut"])
 
 
-def remove_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text (null where nothing was removed) of every row.
+def _remove(batches):
+    """Of texts with their byte ranges: what is left of each class."""
+    for batch in batches:
+        out = []
+        for cls, text, ranges in zip(batch.column("cls").to_pylist(), batch.column("text"), batch.column("ranges").to_pylist(), strict=True):
+            data = np.frombuffer(text.as_py().encode(), np.uint8)
+            step = np.zeros((2, len(data) + 1), np.int32)
+            for r in ranges:
+                for row in step[0 if r["cut"] else 1 :]:
+                    row[r["a"]] += 1
+                    row[r["b"]] -= 1
+            gone, shared = np.cumsum(step[:, :-1], axis=1) > 0
+            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
+            kept = data[~gone].tobytes()
+            out.append((cls, int(gone.sum()), spans, int(shared.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["cls", "n_removed", "n_spans", "n_shared", "kept_sha256", "kept"])
+
+
+def _repeated(found: DataFrame) -> DataFrame:
+    """Of regions those whose anchor stands at two places or more, as :func:`_decide` marks them."""
+    columns = "anchor long, body long, cls long, lo long, hi long, same boolean, lead boolean, hot boolean"
+    busy = written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > BUSY).select("anchor"))
+    small = busy.count() <= BROADCAST_ANCHORS
+    known = F.broadcast(busy) if small else busy
+    usual = found.join(known, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "body", "cls", "lo").mapInArrow(_decide, columns)
+    rows = found.join(known, "anchor", "left_semi")
+    # places of a region, by numbers that aggregate in part: rows that another task sent too are the same place
+    bodies = rows.groupBy("anchor", "body").agg(F.min("cls").alias("cls"), F.max("cls").alias("top"), F.min_by("lo", "cls").alias("lo"), F.min("lo").alias("low"), F.max("lo").alias("high"), F.min(F.col("hi") - F.col("lo")).alias("length"))
+    bodies = bodies.withColumn("same", (F.col("cls") < F.col("top")) | (F.col("low") < F.col("high")))
+    anchors = bodies.groupBy("anchor").agg(F.count("*").alias("bodies")).filter("bodies > 1")
+    lead = bodies.join(anchors, "anchor").select("anchor", "body", "cls", "lo", (F.col("lo") + F.col("length")).alias("hi"), "same", F.lit(True).alias("lead"), (F.col("bodies") > HOT).alias("hot"))
+    same = rows.join(bodies.filter("same").select("anchor", "body"), ["anchor", "body"]).select("anchor", "body", "cls", "lo", "hi", F.lit(True).alias("same"), F.lit(False).alias("lead"), F.lit(False).alias("hot"))
+    return usual.unionByName(lead).unionByName(same)
+
+
+def remove_repeats(docs: DataFrame, least: int = 400, hint: int = 300) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_shared, kept_sha256 and kept_text (null where nothing was removed) of every row.
 
     kept_text drops the bytes of letters that a removed run cuts apart; kept_sha256 does not.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text, hint = F.coalesce(F.col("text"), F.lit("")), min(hint, least)
     sha = F.sha2(text, 256)
     cls = F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), sha.alias("sha"), cls.alias("cls"))
-    copied = rows.filter(F.col("n_bytes") >= least).groupBy("cls").agg(F.count("*").alias("copies")).filter("copies > 1").select("cls")
+    copied = rows.filter(F.col("n_bytes") >= hint).groupBy("cls").agg(F.count("*").alias("copies")).filter("copies > 1").select("cls")
 
-    found = docs.select(text.alias("text")).filter(F.octet_length("text") >= least).mapInArrow(_regions(least), "anchor long, body long, cls long, lo long, hi long")
-    found = found.repartition("anchor").sortWithinPartitions("anchor", "body", "cls", "lo").mapInArrow(_decide, "anchor long, body long, cls long, lo long, hi long, same boolean, lead boolean, hot boolean")
-    texts = docs.select(cls.alias("cls"), text.alias("text")).filter(F.octet_length("text") >= least)
+    long = docs.select(text.alias("text")).filter(F.octet_length("text") >= least)
+    found = _repeated(written(long.mapInArrow(_regions(least), "anchor long, body long, cls long, lo long, hi long")))
+    found = written(found)
+    texts = docs.select(cls.alias("cls"), text.alias("text")).filter(F.octet_length("text") >= least).groupBy("cls").agg(F.first("text").alias("text"))
     cuts = found.filter("lead").groupBy("cls").agg(F.collect_list(F.struct("anchor", "body", "lo", "hi", "same", "hot")).alias("cuts"))
-    regions = texts.join(cuts, "cls").select("cls", "text", "cuts").mapInArrow(_cut(least), "shard long, body long, cls long, lo long, wanted boolean, bytes binary")
-    inner = regions.repartition("shard").sortWithinPartitions("shard", "body", "cls", "lo").mapInArrow(_sort(least), "cls long, a long, b long")
-    whole = found.filter("same").select("cls", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    ranges = inner.unionByName(whole).join(copied, "cls", "left_anti").groupBy("cls").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    changed = texts.join(ranges, "cls").select("cls", "text", "ranges").mapInArrow(_remove(least), "cls long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    regions = texts.join(cuts, "cls").select("cls", "text", "cuts").mapInArrow(_cut(least), "shard long, body long, cls long, lo long, wanted boolean, own long, bytes binary")
+    inner = regions.repartition("shard").sortWithinPartitions("shard", "body", "cls", "lo").mapInArrow(_sort(least, hint), "cls long, a long, b long, cut boolean")
+    whole = found.filter("same").select("cls", F.col("lo").alias("a"), (F.col("hi") + least).alias("b"), F.lit(True).alias("cut"))
+    ranges = inner.unionByName(whole).join(copied, "cls", "left_anti").groupBy("cls").agg(F.collect_set(F.struct("a", "b", "cut")).alias("ranges"))
+    changed = texts.join(ranges, "cls").select("cls", "text", "ranges").mapInArrow(_remove, "cls long, n_removed long, n_spans long, n_shared long, kept_sha256 string, kept string")
     out = rows.join(changed, "cls", "left").join(copied.withColumn("copied", F.lit(True)), "cls", "left")
-    gone = F.col("copied").isNotNull() & (F.col("n_bytes") >= least)
+    again = F.col("copied").isNotNull() & (F.col("n_bytes") >= hint)
+    gone = again & (F.col("n_bytes") >= least)
     return out.select(
         "doc_id", "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(again, F.col("n_bytes")).otherwise(F.coalesce("n_shared", F.lit(0))).cast("long").alias("n_shared"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.when(gone, "").otherwise(F.col("kept")).alias("kept_text"),
     )

@@ -84,6 +84,18 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, heads: np.ndarray
     return sa
 
 
+def _equal(s: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether s[a : a + n] and s[b : b + m] are the same, for each of the pairs."""
+    out = n == m
+    size = np.where(out, n, 0)
+    first = np.concatenate([[0], np.cumsum(size)])
+    pair = np.repeat(np.arange(len(a)), size)
+    at = np.arange(first[-1]) - first[pair]
+    unlike = np.flatnonzero(s[a[pair] + at] != s[b[pair] + at])
+    out[pair[unlike]] = False
+    return out
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Sorted suffixes of s, whose last symbol is 0 and the only 0."""
     n = len(s)
@@ -108,6 +120,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     new = np.ones(len(order), np.int64)
     new[0] = 0
     new[1:] = h[1:] != h[:-1]
+    alike = np.flatnonzero(new == 0)[1:]  # of equal hashes: compared symbol by symbol, at most all symbols once
+    new[alike] = ~_equal(s, order[alike], order[alike - 1], stop[order[alike]] - order[alike], stop[order[alike - 1]] - order[alike - 1])
     name = np.empty(n, np.int64)
     name[order] = np.cumsum(new)
     if name[order[-1]] + 1 < len(lms):
@@ -143,5 +157,12 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, longest: int | None = None) -> t
         same = tb.slice_hash(prefix, x, x + step) == tb.slice_hash(prefix, y, y + step)
         lcp[own[fits[same]]] += step
         step >>= 1
+    # hashes found the lengths; the symbols confirm them, in parts of bounded size
+    for lo in range(0, len(own), 4096):
+        some = own[lo : lo + 4096]
+        x, y, l = first[some], phi[first[some]], lcp[some]
+        for i in some[~_equal(s, x, y, l, l)]:
+            k = int(np.flatnonzero(s[first[i] : first[i] + lcp[i]] != s[phi[first[i]] : phi[first[i]] + lcp[i]])[0])
+            lcp[i] = k
     owner = np.cumsum(~follows) - 1
     return lcp[owner] - (p - first[owner]), phi

@@ -230,6 +230,45 @@ def test_mixing(docs, none):
     assert mixing.plan(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mixing_takes_what_the_tree_deals(spark, docs, monkeypatch):
+    """Every draw of the tree, and no other, takes its block's documents; each source comes near its target."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 60)), None, f"s{min(4, int(rng.expovariate(1.2)))}", 0) for i in range(3000)]
+    many = spark.createDataFrame(rows, SCHEMA)
+    dealt = []
+    monkeypatch.setattr(mixing, "BLOCKS", 16)
+    monkeypatch.setattr(mixing, "split_tree", lambda draws, shards, seed, f=mixing.split_tree: dealt.append(f(draws, shards, seed)) or dealt[-1])
+    out = mixing.plan(many).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r["source"]].append(r)
+    blocks = {}
+    for j, source in enumerate(sorted(by)):
+        rows = by[source]
+        assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 3 and rows[0]["target"] <= 3 * rows[0]["source_size"]
+        # shards take from a source in the shares of their draws: blocks have about as many words
+        words = [sum(r["size"] * r["shards"].count(k) for r in rows) for k in range(8)]
+        draws = dealt[0][:, j]
+        blocks[source] = (len(rows) // 64, draws.sum())
+        assert all((w > 0) <= (d > 0) for w, d in zip(words, draws, strict=True)) and abs(sum(words) - sum(r["taken"] for r in rows)) == 0
+    assert max(dealt[0].sum(axis=1)) - min(dealt[0].sum(axis=1)) <= 1
+    monkeypatch.setattr(mixing, "split_tree", lambda draws, shards, seed: dealt[0] * 0)
+    assert sum(r["taken"] for r in mixing.plan(many).collect()) == 0
+
+
+def test_clashing_columns_pass_through(spark, docs):
+    """Every helper name of a stage as a column of the input, of another type, comes back as it was."""
+    names = ["id", "_id", "_h", "_hash", "_spans", "_lines", "_left", "_at", "_of", "_key", "_bare", "_nth", "_host", "_frequent", "_low", "_source", "hash", "cls", "n", "key", "size", "number", "b1", "state", "comp", "text_hash", "frequent", "kept", "rep", "node"]
+    wide = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+    bench = spark.createDataFrame([(1, "no such item")], "item_id long, text string")
+    labels = spark.createDataFrame([(2, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").withColumn("id", F.lit("own id"))
+    for out in (quality_rules.keep_good(wide), line_dedup.dedup(wide), jaccard_join.one_of_each(wide), decontaminate.clean(wide, bench), mixing.mix(wide)):
+        rows = out.select(*names).distinct().collect()
+        assert [r.asDict() for r in rows] == [{c: f"own {c}" for c in names}]
+    for out in (jaccard_join.join(wide), substring_dedup.remove_repeats(wide), mixing.plan(wide), quality_rules.judge(wide), kneser_ney.classify(wide, labels), lattice_lm.score_held_out(wide), langid_crf.identify(wide), toxicity_gru.classify(wide, labels)):
+        assert out.count() == docs.count()
+
+
 def test_decontamination(spark, docs, none, texts):
     item = texts[5].split("\n")[2]
     bench = spark.createDataFrame([(1, item), (2, None), (3, "zzz"), (4, item)], "item_id long, text string")

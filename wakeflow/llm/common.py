@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wakeflow.session import shared_checkpoints
+
 #: Fixed pattern: words are runs without \x20 and \x09-\x0D.
 SPACES = "[ \\x09-\\x0D]+"
 
@@ -16,12 +17,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir, or, where that is unset (tests), to a folder of this machine."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wakeflow-"))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint."""
     shared_checkpoints(df.sparkSession)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeflow.llm import textbytes as tb
+from wakeflow.llm.common import free
 
 Q = 7
 RATE = 0.1
@@ -234,5 +235,6 @@ def _search(docs: DataFrame, index) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in whose text no item occurs: by text, whatever the ids."""
-    found = matches(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hash")).distinct()
-    return docs.join(found, F.xxhash64(docs["text"]) == F.col("_hash"), "left_anti")
+    (key,) = free(docs, "hash")
+    found = matches(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(found, F.xxhash64(docs["text"]) == F.col(key), "left_anti")

@@ -32,6 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeflow.llm.common import free
 from wakeflow.llm.quality_rules import text_words
 
 
@@ -107,17 +108,17 @@ def find(docs: DataFrame, limits: ChunkLimits | None = None) -> DataFrame:
 
 def dedup(docs: DataFrame, limits: ChunkLimits | None = None) -> DataFrame:
     """The rows of ``docs`` with repeated chunks removed from text, and n_lines and n_removed_lines."""
-    spans = find(docs, limits).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), F.col("spans").alias("_spans"))
     docs = docs.drop("n_lines", "n_removed_lines")
+    id_, h, cut, key, lines, rest = free(docs, "id", "h", "spans", "hash", "lines", "left")
+    spans = find(docs, limits).select(F.col("doc_id").alias(id_), F.col("hash").alias(h), F.col("spans").alias(cut))
     # the hash as a column: with the columns of find() alone, both joins read one shuffle of the texts
-    out = docs.withColumn("_hash", F.xxhash64("text"))
-    out = out.join(spans, out["doc_id"].eqNullSafe(F.col("_id")) & (out["_hash"] == F.col("_h")), "left")
-    out = out.withColumn("_lines", F.split("text", "\n"))
-    left = F.filter("_lines", lambda x, i: ~F.exists("_spans", lambda c: (c["s"] <= i) & (i < c["e"])))
-    out = out.withColumn("_left", F.when(F.col("_spans").isNull(), F.col("_lines")).otherwise(left))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))
-    n = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
-    n = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n)
-    gone = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise((F.size("_lines") - F.size("_left")).cast("long"))
-    order = [text.alias("text") if c == "text" else c for c in docs.columns]
+    out = docs.withColumn(key, F.xxhash64("text"))
+    out = out.join(spans, out["doc_id"].eqNullSafe(F.col(id_)) & (out[key] == F.col(h)), "left")
+    out = out.withColumn(lines, F.split("text", "\n"))
+    left = F.filter(lines, lambda x, i: ~F.exists(cut, lambda c: (c["s"] <= i) & (i < c["e"])))
+    out = out.withColumn(rest, F.when(F.col(cut).isNull(), F.col(lines)).otherwise(left))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    gone = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(rest)).cast("long")
+    order = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*order, n.alias("n_lines"), gone.alias("n_removed_lines"))

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeflow.llm.common import SPACES
+from wakeflow.llm.common import SPACES, free
 
 
 @dataclass(frozen=True)
@@ -129,12 +129,14 @@ def _judged(docs: DataFrame, limits: QualityLimits) -> DataFrame:
 
 def keep_good(docs: DataFrame, limits: QualityLimits | None = None) -> DataFrame:
     """The rows of ``docs`` that are good, their texts without frequent lines; n_chars, where it is a column, follows a changed text."""
-    good = _judged(docs, limits or QualityLimits()).filter("good").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_host"), F.col("frequent").alias("_frequent"))
+    id_, key, host, cut, low = free(docs, "id", "hash", "host", "frequent", "low")
+    good = _judged(docs, limits or QualityLimits()).filter("good").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(key), F.col("source").alias(host), F.col("frequent").alias(cut))
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    out = docs.join(good, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")) & docs["source"].eqNullSafe(F.col("_host")))
-    out = out.withColumn("_low", F.split(F.lower("text"), "\n"))
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_frequent", _line_key(F.trim(F.get(F.col("_low"), i)))))
+    out = docs.join(good, docs["doc_id"].eqNullSafe(F.col(id_)) & (text_hash == F.col(key)) & docs["source"].eqNullSafe(F.col(host)))
+    out = out.withColumn(low, F.split(F.lower("text"), "\n"))
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(cut, _line_key(F.trim(F.get(F.col(low), i)))))
     changed = {"text": F.array_join(left, "\n")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[F.when(F.col("_frequent").isNull(), F.col(c)).otherwise(changed[c]).alias(c) if c in changed else F.col(c) for c in docs.columns])
+    plain = lambda c: F.col(f"`{c}`")
+    return out.select(*[F.when(F.col(cut).isNull(), plain(c)).otherwise(changed[c]).alias(c) if c in changed else plain(c) for c in docs.columns])

@@ -100,7 +100,7 @@ def test_substrings_of_hot_anchors_and_structured_texts(spark, monkeypatch):
                     mark[i : i + n] = b"\1" * n
         want.add((d, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
         most[d] = sum(shared)
-    for limits in ({}, {"BUSY": 3, "HOT": 2, "SHARD": 2000}, {"BUSY": 3, "BROADCAST_ANCHORS": 0, "HOT": 10**6}):
+    for limits in ({}, {"HOT": 2, "SHARD": 2000}, {"HOT": 10**6}):
         with monkeypatch.context() as m:
             for name, value in limits.items():
                 m.setattr(substring_dedup, name, value)

@@ -11,8 +11,8 @@ bytes mark the repeated strings.
 Texts are UTF-8 bytes, null is empty. Equal texts are one class: if there are several
 and they have ``least`` bytes, all of each is repeated, and the class stands for them
 where others match it. Beside what is removed, ``n_shared`` counts the bytes of strings
-of ``hint`` bytes, shorter than ``least``, that the same sorting finds repeated: where
-their regions meet, so at most all there are.
+of ``hint`` bytes, shorter than ``least``, that shards find repeated by their hashes:
+where their regions meet, so at most all there are.
 
 Defined cases: null, empty and short texts keep all; rows that repeat a doc_id are
 texts of their own, so equal rows remove each other; an empty table gives an empty
@@ -20,12 +20,13 @@ result; other columns are ignored. No text is too long; a text over the chunk si
 a chunk. Hashes only bring strings together, except that regions whose 64-bit hashes
 agree, over mixed windows of bytes, count as equal.
 
-Scale: numbers of regions are written once, shuffled by anchor, texts by class (one
-exchange of one text a class and task, used twice), and of the regions only the
-distinct ones with a repeated anchor. Anchors with more than BUSY rows are not sorted in
-a task: counts of their regions come from partial aggregation. A hot anchor, with more
-than HOT distinct regions, is dealt again by a second hash, so that its strings spread
-over shards. In a shard only runs of K-grams that stand there twice are sorted, equal
+Scale: numbers of regions are written once, equal regions of a text as one row, and
+those whose anchor stands once are dropped before anything is sorted. What is counted
+by anchor or region is aggregated in part first, so a hot one is a row per map task.
+Texts are shuffled by class, one of a class and task (one exchange, used twice), and of
+the regions only the distinct ones with a repeated anchor. A hot anchor, with more than
+HOT distinct regions, is dealt again by a second hash, so that its strings spread over
+shards. In a shard only runs of ``hint``-grams that stand there twice are sorted, equal
 runs once. A shard's arrays hold about SHARD bytes, or those of one key.
 """
 
@@ -45,9 +46,6 @@ from wakeflow.llm.suffix_array import permuted_lcp, suffix_array
 K = 64
 SHARD = 1 << 20
 HOT = 256
-BUSY = 2048
-#: so many busy anchors are broadcast; more are joined by a shuffle
-BROADCAST_ANCHORS = 100_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int, salt: int = 0):
@@ -105,46 +103,31 @@ def _regions(least: int):
                         if len(known) < 1_000_000:
                             known.add(int(cls[i]))
                 keep = fresh[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(body[keep]), pa.array(cls[doc[keep]]), pa.array(lo[keep]), pa.array(hi[keep])], ["anchor", "body", "cls", "lo", "hi"])
+                yield _rows(least, cls[doc[keep]], h[keep], body[keep], lo[keep], hi[keep])
 
     return run
 
 
-def _decide(batches):
-    """Of rows sorted by anchor, body, cls, lo: those whose anchor stands at two places or more; ``same`` if the whole region does, ``lead`` for one of each body, ``hot`` anchors."""
-    held = None
-    names = ["anchor", "body", "cls", "lo", "hi"]
-
-    def emit(anchor, body, cls, lo, hi):
-        if not len(anchor):
-            return None
-        new = np.ones(len(anchor), bool)  # rows that another task sent too
-        new[1:] = (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1]) | (cls[1:] != cls[:-1]) | (lo[1:] != lo[:-1])
-        anchor, body, cls, lo, hi = (x[new] for x in (anchor, body, cls, lo, hi))
-        n = len(anchor)
-        new_a = np.ones(n, bool)
-        new_a[1:] = anchor[1:] != anchor[:-1]
-        new_b = new_a.copy()
-        new_b[1:] |= body[1:] != body[:-1]
-        run_a, run_b = np.cumsum(new_a) - 1, np.cumsum(new_b) - 1
-        rows_a, rows_b = np.bincount(run_a)[run_a], np.bincount(run_b)[run_b]
-        bodies = np.bincount(run_a, new_b)[run_a]
-        keep = rows_a > 1
-        out = [anchor, body, cls, lo, hi, rows_b > 1, new_b & (bodies > 1), bodies > HOT]
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in out], [*names, "same", "lead", "hot"])
+REGIONS = "anchor long, body long, cls long, lo long, hi long, spans array<struct<a:long,b:long>>"
 
-    for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        end = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        held = [c[end:] for c in cols]
-        if (out := emit(*[c[:end] for c in cols])) is not None:
-            yield out
-    if held is not None and (out := emit(*held)) is not None:
-        yield out
+
+def _rows(least: int, cls, anchor, body, lo, hi) -> pa.RecordBatch:
+    """One row for equal regions of a class: the first's lo and hi, and, if there are several, the byte ranges that all cover."""
+    order = np.lexsort((lo, body, anchor, cls))
+    cls, anchor, body, lo, hi = (x[order] for x in (cls, anchor, body, lo, hi))
+    new = np.ones(len(cls), bool)
+    new[1:] = (cls[1:] != cls[:-1]) | (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(cls)))
+    many = np.repeat(times > 1, times)  # of those, the ranges that do not reach the one before
+    opens = many.copy()
+    opens[1:] &= new[1:] | (lo[1:] > hi[:-1] + least)
+    begin = np.flatnonzero(opens)
+    end = np.maximum.reduceat(np.where(many, hi, -1), begin) if len(begin) else begin
+    size = np.add.reduceat(opens.astype(np.int64), first) if len(first) else first
+    offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.append(size == 0, False))
+    spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(lo[begin]), pa.array(end + least)], ["a", "b"]))
+    return pa.RecordBatch.from_arrays([*[pa.array(x[first]) for x in (anchor, body, cls, lo, hi)], spans], ["anchor", "body", "cls", "lo", "hi", "spans"])
 
 
 def _cut(least: int):
@@ -184,31 +167,34 @@ def _runs(on: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], at[np.append(first[1:], len(at)) - 1]
 
 
-def repeated_starts(bodies: list[bytes], own: list[int], lengths: list[int]) -> list[list[tuple[int, int, int]]]:
-    """For each body (length, first, last): runs of the starts of its strings of a length that start elsewhere too.
+def repeated_starts(bodies: list[bytes], own: list[int], least: int, hint: int) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
+    """For each body (first, last): runs of the starts of its strings of ``least`` bytes that start elsewhere too, by a suffix array; and of ``hint`` bytes, by hashes.
 
     Of each body only the first ``own`` starts count; the others are those of bodies cut
     from the same text.
     """
-    least = min(lengths)
-    size = np.array([len(b) for b in bodies], np.int64)
+    size, owned = np.array([len(b) for b in bodies], np.int64), np.array(own, np.int64)
     text = np.frombuffer(b"".join(bodies), np.uint8)
     begin, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
-    found: list[list[tuple[int, int, int]]] = [[] for _ in bodies]
-    if len(text) < K:
-        return found
-    # a repeated string consists of repeated K-grams: runs of those are all that needs sorting
-    at = np.flatnonzero(np.arange(len(text)) - begin[owner] + K <= size[owner])
-    _, which, times = np.unique(tb.window_slices(tb.window_hash(text), at, at + K), return_inverse=True, return_counts=True)
+    long: list[list[tuple[int, int]]] = [[] for _ in bodies]
+    near: list[list[tuple[int, int]]] = [[] for _ in bodies]
+    inner = np.arange(len(text)) - begin[owner]
+    at = np.flatnonzero(inner + hint <= size[owner])
+    _, which = np.unique(tb.window_slices(tb.window_hash(text), at, at + hint), return_inverse=True)
+    mine = inner[at] < owned[owner[at]]
     on = np.zeros(len(text), bool)
-    on[at] = times[which] > 1
+    on[at] = mine & (np.bincount(which, mine)[which] > 1) if len(at) else False
+    for a, b in zip(*_runs(on, owner), strict=True):
+        near[owner[a]].append((int(inner[a]), int(inner[b])))
+    # a repeated string consists of repeated hint-grams: runs of those are all that needs sorting
+    on[at] = np.bincount(which)[which] > 1 if len(at) else False
     first, last = _runs(on, owner)
-    long = last - first >= least - K
+    some = last - first >= least - hint
     pieces: dict[bytes, list[tuple[int, int]]] = {}
-    for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True):
-        pieces.setdefault(text[a : b + K].tobytes(), []).append((int(owner[a]), int(a - begin[owner[a]])))
+    for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True):
+        pieces.setdefault(text[a : b + hint].tobytes(), []).append((int(owner[a]), int(inner[a])))
     if not pieces:
-        return found
+        return long, near
     names, places = list(pieces), list(pieces.values())
     size = np.array([len(x) for x in names], np.int64)
     ends = np.cumsum(size + 1)
@@ -218,41 +204,37 @@ def repeated_starts(bodies: list[bytes], own: list[int], lengths: list[int]) ->
     place = (ends - size - 1)[of] + inner
     s[place] = np.frombuffer(b"".join(names), np.uint8).astype(np.int16) + 2
     s[-1] = 0
-    sa = suffix_array(s)
-    plcp, _ = permuted_lcp(s, sa, 2 * int(size.max()) + 2)  # different pieces follow equal ones
     # how often each start of a piece stands in bodies as their own
     first = np.cumsum(size) - size
     times = np.zeros(len(of) + 1, np.int64)
-    for i, at in enumerate(places):
-        for body, shift in at:
+    for i, found in enumerate(places):
+        for body, shift in found:
             n = min(own[body] - shift, int(size[i]))
             if n > 0:
                 times[first[i]] += 1
                 times[first[i] + n] -= 1
-    times = np.cumsum(times[:-1])
     weight = np.zeros(len(s), np.int64)
-    weight[place] = times
-    for length in lengths:
-        # suffixes with so long a common prefix stand side by side
-        group = np.empty(len(s), np.int64)
-        group[sa] = np.cumsum(plcp[sa] < length)
-        fits = inner + length <= size[of]
-        total = np.bincount(group[place[fits]], weight[place[fits]], minlength=int(group.max()) + 1)
-        flag = fits & (total[group[place]] > 1)
-        for a, b in zip(*_runs(flag, of), strict=True):
-            for body, shift in places[of[a]]:
-                end = min(int(inner[b]) + shift, own[body] - 1)
-                if end >= inner[a] + shift:
-                    found[body].append((length, int(inner[a]) + shift, end))
-    return found
+    weight[place] = np.cumsum(times[:-1])
+    sa = suffix_array(s)
+    plcp, _ = permuted_lcp(s, sa, 2 * int(size.max()) + 2)  # different pieces follow equal ones
+    group = np.empty(len(s), np.int64)  # suffixes with so long a common prefix stand side by side
+    group[sa] = np.cumsum(plcp[sa] < least)
+    fits = inner + least <= size[of]
+    total = np.bincount(group[place[fits]], weight[place[fits]], minlength=int(group.max()) + 1)
+    for a, b in zip(*_runs(fits & (total[group[place]] > 1), of), strict=True):
+        for body, shift in places[of[a]]:
+            end = min(int(inner[b]) + shift, own[body] - 1)
+            if end >= inner[a] + shift:
+                long[body].append((int(inner[a]) + shift, end))
+    return long, near
 
 
 def _sort(least: int, hint: int):
     """Of regions sorted by shard and body: byte ranges of repeated strings, cls by cls; ``cut`` for those of ``least`` bytes."""
 
     def shards(rows: list[tuple]):
-        found = repeated_starts([r[6] for r in rows], [r[5] for r in rows], [least, hint])
-        return [(cls, lo + a, lo + b + length, length == least) for (_, _, cls, lo, wanted, *_), runs in zip(rows, found, strict=True) if wanted for length, a, b in runs]
+        found = repeated_starts([r[6] for r in rows], [r[5] for r in rows], least, hint)
+        return [(cls, lo + a, lo + b + n, n == least) for n, runs in zip((least, hint), found, strict=True) for (_, _, cls, lo, wanted, *_), own in zip(rows, runs, strict=True) if wanted for a, b in own]
 
     def run(batches):
         held: list[tuple] = []
@@ -296,21 +278,17 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["cls", "n_removed", "n_spans", "n_shared", "kept_sha256", "kept"])
 
 
-def _repeated(found: DataFrame) -> DataFrame:
-    """Of regions those whose anchor stands at two places or more, as :func:`_decide` marks them."""
-    columns = "anchor long, body long, cls long, lo long, hi long, same boolean, lead boolean, hot boolean"
-    busy = written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > BUSY).select("anchor"))
-    small = busy.count() <= BROADCAST_ANCHORS
-    known = F.broadcast(busy) if small else busy
-    usual = found.join(known, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "body", "cls", "lo").mapInArrow(_decide, columns)
-    rows = found.join(known, "anchor", "left_semi")
-    # places of a region, by numbers that aggregate in part: rows that another task sent too are the same place
-    bodies = rows.groupBy("anchor", "body").agg(F.min("cls").alias("cls"), F.max("cls").alias("top"), F.min_by("lo", "cls").alias("lo"), F.min("lo").alias("low"), F.max("lo").alias("high"), F.min(F.col("hi") - F.col("lo")).alias("length"))
-    bodies = bodies.withColumn("same", (F.col("cls") < F.col("top")) | (F.col("low") < F.col("high")))
+def _repeated(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of regions the rows whose region stands at two places or more; and one place of each region whose anchor has other regions too (``same``: it is one of those; ``hot``: there are many)."""
+    place = F.xxhash64("cls", "body")
+    again = found.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max(F.col("spans").isNotNull().cast("int")).alias("many"))
+    rows = written(found.join(again.filter("low < high or many = 1").select("anchor"), "anchor", "left_semi"))
+    bodies = rows.groupBy("anchor", "body").agg(F.min("cls").alias("cls"), F.max("cls").alias("top"), F.min_by("lo", "cls").alias("lo"), F.min(F.col("hi") - F.col("lo")).alias("length"), F.max(F.col("spans").isNotNull().cast("int")).alias("many"))
+    bodies = bodies.withColumn("same", (F.col("cls") < F.col("top")) | (F.col("many") == 1))
     anchors = bodies.groupBy("anchor").agg(F.count("*").alias("bodies")).filter("bodies > 1")
-    lead = bodies.join(anchors, "anchor").select("anchor", "body", "cls", "lo", (F.col("lo") + F.col("length")).alias("hi"), "same", F.lit(True).alias("lead"), (F.col("bodies") > HOT).alias("hot"))
-    same = rows.join(bodies.filter("same").select("anchor", "body"), ["anchor", "body"]).select("anchor", "body", "cls", "lo", "hi", F.lit(True).alias("same"), F.lit(False).alias("lead"), F.lit(False).alias("hot"))
-    return usual.unionByName(lead).unionByName(same)
+    lead = bodies.join(anchors, "anchor").select("anchor", "body", "cls", "lo", (F.col("lo") + F.col("length")).alias("hi"), "same", (F.col("bodies") > HOT).alias("hot"))
+    same = rows.join(bodies.filter("same").select("anchor", "body"), ["anchor", "body"], "left_semi")
+    return same, lead
 
 
 def remove_repeats(docs: DataFrame, least: int = 400, hint: int = 300) -> DataFrame:
@@ -325,14 +303,15 @@ def remove_repeats(docs: DataFrame, least: int = 400, hint: int = 300) -> DataFr
     copied = rows.filter(F.col("n_bytes") >= hint).groupBy("cls").agg(F.count("*").alias("copies")).filter("copies > 1").select("cls")
 
     long = docs.select(text.alias("text")).filter(F.octet_length("text") >= least)
-    found = _repeated(written(long.mapInArrow(_regions(least), "anchor long, body long, cls long, lo long, hi long")))
-    found = written(found)
+    same, lead = _repeated(written(long.mapInArrow(_regions(least), REGIONS)))
     texts = docs.select(cls.alias("cls"), text.alias("text")).filter(F.octet_length("text") >= least).groupBy("cls").agg(F.first("text").alias("text"))
-    cuts = found.filter("lead").groupBy("cls").agg(F.collect_list(F.struct("anchor", "body", "lo", "hi", "same", "hot")).alias("cuts"))
+    cuts = lead.groupBy("cls").agg(F.collect_list(F.struct("anchor", "body", "lo", "hi", "same", "hot")).alias("cuts"))
     regions = texts.join(cuts, "cls").select("cls", "text", "cuts").mapInArrow(_cut(least), "shard long, body long, cls long, lo long, wanted boolean, own long, bytes binary")
     inner = regions.repartition("shard").sortWithinPartitions("shard", "body", "cls", "lo").mapInArrow(_sort(least, hint), "cls long, a long, b long, cut boolean")
-    whole = found.filter("same").select("cls", F.col("lo").alias("a"), (F.col("hi") + least).alias("b"), F.lit(True).alias("cut"))
-    ranges = inner.unionByName(whole).join(copied, "cls", "left_anti").groupBy("cls").agg(F.collect_set(F.struct("a", "b", "cut")).alias("ranges"))
+    cut = lambda a, b, on: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), on.alias("cut"))
+    whole = F.coalesce(F.transform("spans", lambda x: cut(x["a"], x["b"], F.lit(True))), F.array(cut(F.col("lo"), F.col("hi") + least, F.lit(True))))
+    parts = inner.select("cls", F.array(cut(F.col("a"), F.col("b"), F.col("cut"))).alias("r")).unionByName(same.select("cls", whole.alias("r")))
+    ranges = parts.join(copied, "cls", "left_anti").groupBy("cls").agg(F.flatten(F.collect_list("r")).alias("ranges"))
     changed = texts.join(ranges, "cls").select("cls", "text", "ranges").mapInArrow(_remove, "cls long, n_removed long, n_spans long, n_shared long, kept_sha256 string, kept string")
     out = rows.join(changed, "cls", "left").join(copied.withColumn("copied", F.lit(True)), "cls", "left")
     again = F.col("copied").isNotNull() & (F.col("n_bytes") >= hint)

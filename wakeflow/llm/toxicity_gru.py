@@ -5,8 +5,12 @@ n-grams and prefixes. Two gated recurrent layers read a window of WINDOW words i
 both directions; attention pools their states into one logit. The windows of a text
 overlap by half and cover all of it; the document's score is its highest window's.
 Training (backpropagation through time, Adam) takes a bounded sample of labelled
-documents; after the first epochs a toxic document teaches only by its windows that
-already score highest, since the label says that some window is toxic, not which.
+documents; a toxic document teaches only by its windows that already score highest,
+since the label says that some window is toxic, not which. The first component of an embedding starts from the evidence of the sample, how far the
+share of toxic documents that have the word or n-gram lies from that of the others, so
+that few toxic documents suffice. Scores become probabilities by a scale and shift
+fitted to the scores of documents that FOLDS networks have not seen, and shifted from
+the label shares of the sample to those of all labelled documents.
 
 Defined cases: a text without words (null, empty) scores 0; without labelled rows of
 both kinds the network is not trained and all scores are 0; rows whose label is null
@@ -30,6 +34,7 @@ from wakeflow.llm.common import remainder
 
 WINDOW, STRIDE = 32, 16
 SLOTS, DIM, HIDDEN, ATTEND = 1 << 13, 6, 8, 8
+FOLDS = 3
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -144,78 +149,111 @@ def _new_model(rng) -> dict:
     return m | {"a": rng.normal(0, 0.3, (2 * HIDDEN, ATTEND)), "ac": np.zeros(ATTEND), "av": rng.normal(0, 0.3, ATTEND), "o": rng.normal(0, 0.3, 2 * HIDDEN), "oc": np.zeros(1)}
 
 
-def train(texts: list[str], toxic: list[int], epochs: int = 8, batch: int = 256, seed: int = 3) -> dict | None:
+def _evidence(doc: np.ndarray, slot: np.ndarray, toxic: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """For each slot, by how many standard errors, beyond 3, the share of toxic documents of ``keep`` with it lies from that of the others; over 4 and within 2."""
+    pair = np.unique(doc[keep[doc]].astype(np.int64) * SLOTS + slot[keep[doc]])
+    count = [np.bincount((pair % SLOTS)[toxic[pair // SLOTS] == y], minlength=SLOTS) for y in (0, 1)]
+    n0, n1 = (max(1, int((keep & (toxic == y)).sum())) for y in (0, 1))
+    p = (count[0] + count[1]) / (n0 + n1)
+    z = (count[1] / n1 - count[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
+    return np.clip(np.sign(z) * np.maximum(np.abs(z) - 3, 0) / 4, -2, 2)
+
+
+def train(texts: list[str], toxic: list[int], totals: tuple[int, int] | None = None, epochs: int = 8, batch: int = 256, seed: int = 3) -> dict | None:
     """The network, learned from a sample of documents; None without both labels.
 
-    A fifth of the sample is kept from the weights: it sets the scale and shift that turn
-    a document's highest logit into a probability (``scale``).
+    Its scale turns a document's highest logit into a probability: so that documents that
+    were not learned from, in one of FOLDS networks each, are toxic as often as it says.
+    ``totals``: how many documents of labels 0 and 1 the sample stands for.
     """
     data, offsets = tb.column_bytes(pa.array(texts, pa.string()))
     data = tb.LOWER[data]
     starts, ends, first = tb.words(data, offsets)
     doc, begin, size = windows_of(first, WINDOW)
-    rng = np.random.default_rng(seed)
-    aside = rng.permutation(len(texts)) % 5 == 0
-    label = np.asarray(toxic)[doc] if len(doc) else np.zeros(0)
-    fit = ~aside[doc] if len(doc) else np.zeros(0, bool)
-    if not (label[fit] == 1).any() or not (label[fit] == 0).any():
+    rng, toxic = np.random.default_rng(seed), np.asarray(toxic, np.int64)
+    label = toxic[doc] if len(doc) else np.zeros(0)
+    if not (label == 1).any() or not (label == 0).any():
         return None
     prefix = tb.prefix_hash(data)
     _, at, inverse, seen = np.unique(tb.slice_hash(prefix, starts, ends), return_index=True, return_inverse=True, return_counts=True)
     words, ids, word_first = word_inputs(data, prefix, starts[at], ends[at])
     index = inverse[np.minimum(begin[:, None] + np.arange(WINDOW), len(inverse) - 1)]
-    m = {k: v.astype(np.float32) for k, v in _new_model(rng).items()}
     # words too rare to learn from have no embedding of their own; their characters speak for them
     common = np.bincount(words, seen, SLOTS) >= 5
     known = np.bincount(ids, minlength=SLOTS) > 0
-    m["chars"][~known] = 0
-    moment, square, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
-    use = fit.copy()
-    batch = min(batch, max(16, int(fit.sum()) // 40))  # small samples take as many steps
-    for epoch in range(epochs):
-        if epoch >= 2:  # of toxic documents, only the windows near their best
-            score = _logits(m, embed(m, words, ids, word_first), index, size)
-            best = np.full(len(texts), -np.inf)
-            np.maximum.at(best, doc, score)
-            use = fit & ((label == 0) | (score >= best[doc] - 1))
-        weight = np.where(label == 1, 0.4 / max(1, (use & (label == 1)).sum()), 0.6 / (fit & (label == 0)).sum()) * use.sum()
-        order = rng.permutation(np.flatnonzero(use))
-        for i in range(0, len(order), batch):
-            own = order[i : i + batch]
-            local, place = np.unique(index[own], return_inverse=True)
-            place = place.reshape(len(own), WINDOW)
-            count = word_first[local + 1] - word_first[local]
-            lf = np.concatenate([[0], np.cumsum(count)])
-            f = np.arange(lf[-1]) - np.repeat(lf[:-1], count) + np.repeat(word_first[local], count)
-            x = embed(m, words[local], ids[f], lf).astype(np.float32)
-            cache = forward(m, x, place, size[own], keep=True)
-            d = ((_sigmoid(cache[0]) - label[own]) * weight[own] / len(own)).astype(np.float32)
-            g, d_x = backward(m, x, place, size[own], cache, d)
-            per = d_x[:, DIM:] / count[:, None]
-            lo = np.repeat(np.arange(len(local)), count)
-            g["words"] = np.stack([np.bincount(words[local], d_x[:, j], SLOTS) for j in range(DIM)], axis=1) * common[:, None]
-            g["chars"] = np.stack([np.bincount(ids[f], per[lo, j], SLOTS) for j in range(DIM)], axis=1)
-            step += 1
-            for k, v in m.items():
-                grad = (g[k] + 1e-5 * v).astype(np.float32)
-                moment[k] = 0.9 * moment[k] + 0.1 * grad
-                square[k] = 0.99 * square[k] + 0.01 * grad**2
-                v -= 0.01 * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
-    m["chars"][~known] = 0
-    m["words"][~common] = 0
-    # the share of documents, so that 0.5 is where label 1 becomes likelier
-    doc, begin, size = windows_of(first)
-    index = inverse[np.minimum(begin[:, None] + np.arange(WINDOW), len(inverse) - 1)]
-    best = np.full(len(texts), -np.inf)
-    np.maximum.at(best, doc, _logits(m, embed(m, words, ids, word_first), index, size))
-    on = aside & np.isfinite(best)
-    z, y = best[on], np.asarray(toxic)[on]
+    word_doc = tb.rows_of(first)
+    uses = np.unique(word_doc * len(at) + inverse)  # a word of a document once
+    use_doc, use_word = uses // len(at), uses % len(at)
+    per = np.diff(word_first)[use_word]
+    char_doc = np.repeat(use_doc, per)
+    char_slot = ids[np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(word_first[use_word], per)]
+
+    def fit(keep: np.ndarray) -> dict:
+        m = {k: v.astype(np.float32) for k, v in _new_model(rng).items()}
+        m["words"][:, 0] = _evidence(use_doc, words[use_word], toxic, keep) * common
+        m["chars"][:, 0] = _evidence(char_doc, char_slot, toxic, keep)
+        m["chars"][~known] = 0
+        moment, square, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
+        own = keep[doc]
+        use, rows = own.copy(), min(batch, max(16, int(own.sum()) // 40))  # small samples take as many steps
+        for epoch in range(epochs):
+            if epoch != 1:  # of toxic documents, only the windows near their best: at first by evidence
+                x = embed(m, words, ids, word_first)
+                score = _logits(m, x, index, size) if epoch else np.where(np.arange(WINDOW) < size[:, None], 2 * np.maximum(x[index, 0], x[index, DIM]), -9).max(axis=1)
+                best = np.full(len(texts), -np.inf)
+                np.maximum.at(best, doc, score)
+                use = own & ((label == 0) | (score >= best[doc] - 1))
+            weight = np.where(label == 1, 0.4 / max(1, (use & (label == 1)).sum()), 0.6 / max(1, (own & (label == 0)).sum())) * use.sum()
+            order = rng.permutation(np.flatnonzero(use))
+            for i in range(0, len(order), rows):
+                some = order[i : i + rows]
+                local, place = np.unique(index[some], return_inverse=True)
+                place = place.reshape(len(some), WINDOW)
+                count = word_first[local + 1] - word_first[local]
+                lf = np.concatenate([[0], np.cumsum(count)])
+                f = np.arange(lf[-1]) - np.repeat(lf[:-1], count) + np.repeat(word_first[local], count)
+                x = embed(m, words[local], ids[f], lf).astype(np.float32)
+                cache = forward(m, x, place, size[some], keep=True)
+                d = ((_sigmoid(cache[0]) - label[some]) * weight[some] / len(some)).astype(np.float32)
+                g, d_x = backward(m, x, place, size[some], cache, d)
+                share = d_x[:, DIM:] / count[:, None]
+                lo = np.repeat(np.arange(len(local)), count)
+                g["words"] = np.stack([np.bincount(words[local], d_x[:, j], SLOTS) for j in range(DIM)], axis=1) * common[:, None]
+                g["chars"] = np.stack([np.bincount(ids[f], share[lo, j], SLOTS) for j in range(DIM)], axis=1)
+                step += 1
+                for k, v in m.items():
+                    grad = (g[k] + 1e-5 * v).astype(np.float32)
+                    moment[k] = 0.9 * moment[k] + 0.1 * grad
+                    square[k] = 0.99 * square[k] + 0.01 * grad**2
+                    v -= 0.01 * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
+        m["chars"][~known] = 0
+        m["words"][~common] = 0
+        return m
+
+    # highest logits of documents by networks that have not seen them, over windows as they are scored
+    all_doc, all_begin, all_size = windows_of(first)
+    all_index = inverse[np.minimum(all_begin[:, None] + np.arange(WINDOW), len(inverse) - 1)]
+    fold = np.empty(len(texts), np.int64)
+    for y in (0, 1):  # each fold has its share of either label
+        own = rng.permutation(np.flatnonzero(toxic == y))
+        fold[own] = np.arange(len(own)) % FOLDS
+    z = np.full(len(texts), -np.inf)
+    for k in range(FOLDS):
+        if len(np.unique(label[fold[doc] != k])) < 2:
+            continue
+        m = fit(fold != k)
+        some = np.flatnonzero(fold[all_doc] == k)
+        np.maximum.at(z, all_doc[some], _logits(m, embed(m, words, ids, word_first), all_index[some], all_size[some]))
+    on = np.isfinite(z)
+    z, y = z[on], toxic[on]
     a, b = 1.0, 0.0
     if (y == 1).any() and (y == 0).any():
         for _ in range(2000):
             e = _sigmoid(a * z + b) - y
             a, b = max(0.05, a - 0.1 * ((e * z).mean() / max(1.0, (z * z).mean()) + 1e-3 * (a - 1))), b - 0.1 * e.mean()
-    return m | {"scale": np.array([a, b], np.float32)}
+    if totals and min(totals) > 0 and len(np.unique(y)) == 2:  # the shares of the sample are not those of the documents
+        b += np.log(totals[1] / totals[0]) - np.log((y == 1).sum() / (y == 0).sum())
+    return fit(np.ones(len(texts), bool)) | {"scale": np.array([a, b], np.float32)}
 
 
 def _logits(m: dict, x: np.ndarray, index: np.ndarray, size: np.ndarray, part: int = 8192) -> np.ndarray:
@@ -223,9 +261,10 @@ def _logits(m: dict, x: np.ndarray, index: np.ndarray, size: np.ndarray, part: i
     return np.concatenate([np.zeros(0, np.float32), *[forward(m, x, index[i : i + part], size[i : i + part]) for i in range(0, len(size), part)]])
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) -> tuple[list[str], list[int]]:
-    """Texts and labels: at most per_class toxic documents and twice as many others, none over ``longest`` characters."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) -> tuple[list[str], list[int], tuple[int, int]]:
+    """Texts and labels: at most per_class toxic documents and twice as many others, none over ``longest`` characters; and how many documents have label 0 and 1."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(remainder(F.col("doc_id"), 5) != 0)
+    count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     pick = None
     for label in (0, 1):
         own = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class * (2 - label))
@@ -233,7 +272,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) ->
     pick = pick.withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", "text").filter(F.length("text").between(1, longest)).join(F.broadcast(pick), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").limit(4 * per_class).collect()
     rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows)
-    return [r[1] for r in rows], [r[2] for r in rows]
+    return [r[1] for r in rows], [r[2] for r in rows], (count.get(0, 0), count.get(1, 0))
 
 
 def predict(docs: DataFrame, model) -> DataFrame:

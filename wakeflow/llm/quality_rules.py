@@ -11,8 +11,7 @@ equal results; an empty table gives an empty result; other columns are ignored b
 :func:`judge` and kept by :func:`keep_good`, which takes the frequent lines out of the
 texts. No text is too long: arrays of a row are as long as its text.
 
-:func:`judge` follows the query's SQL, which subtracts the removed lines' lengths with
-their blanks from word characters; :func:`keep_good` subtracts their word characters.
+What is removed and left is measured in word characters.
 
 Scale: two shuffles of (host and line hash, text hash) with partial aggregation,
 one of the line rows for the join back, none of texts. A hot line is one row per
@@ -87,22 +86,22 @@ def _line_key(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row for each line of a row that is not blank: its key (of host and normalised line), its length and its word characters."""
+    """One row for each line of a row that is not blank: its key (of host and normalised line) and its word characters."""
     text = F.coalesce(F.col("text"), F.lit(""))
     one = docs.select("doc_id", "source", F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("as_is"), F.split(F.lower(text), "\n").alias("low"))
-    lines = F.transform("low", lambda x, i: F.struct(F.trim(x).alias("line"), F.length(F.translate(F.get(F.col("as_is"), i), " \t\n\x0b\x0c\r", "")).cast("long").alias("line_word_chars")))
+    lines = F.transform("low", lambda x, i: F.struct(F.trim(x).alias("line"), F.length(F.translate(F.get(F.col("as_is"), i), " \t\n\x0b\x0c\r", "")).cast("long").alias("chars")))
     one = one.select("doc_id", "source", "text_hash", F.explode(F.filter(lines, lambda x: x["line"] != "")).alias("l"))
-    return one.select("doc_id", "source", "text_hash", _line_key(F.col("l.line")).alias("line_key"), F.length("l.line").cast("long").alias("line_chars"), "l.line_word_chars")
+    return one.select("doc_id", "source", "text_hash", _line_key(F.col("l.line")).alias("line_key"), F.col("l.chars").alias("line_chars"))
 
 
 def judge(docs: DataFrame, limits: QualityLimits | None = None) -> DataFrame:
-    """doc_id, text_hash, base counts, base_failed, removed_words and kept: one row per row of ``docs`` (doc_id, text, source)."""
+    """doc_id, text_hash, base counts, removed_chars, base_failed and kept: one row per row of ``docs`` (doc_id, text, source)."""
     columns = ["doc_id", "text_hash", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_chars"]
     return _judged(docs, limits or QualityLimits()).select(*columns, "base_failed", "kept", F.explode(F.array_repeat(F.lit(0), F.col("rows"))).alias("copy")).drop("copy")
 
 
 def _judged(docs: DataFrame, limits: QualityLimits) -> DataFrame:
-    """The columns of :func:`judge`, ``good`` (kept by word characters) and the keys of the frequent lines: one row per doc_id, text and source, with its number of rows."""
+    """The columns of :func:`judge` and the keys of the frequent lines: one row per doc_id, text and source, with its number of rows."""
     docs = docs.select("doc_id", "text", "source")
     base, lines = _base(docs), _lines(docs)
     hosts = docs.select("source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).groupBy("source").agg(F.count_distinct("text_hash").alias("host_documents"))
@@ -113,24 +112,19 @@ def _judged(docs: DataFrame, limits: QualityLimits) -> DataFrame:
         .select("line_key")
     )
     # rows that repeat (doc_id, text, source) are summed together, so they are counted
-    removed = lines.join(frequent, "line_key").groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("source").alias("host")).agg(F.sum("line_chars").alias("removed_chars"), F.sum("line_word_chars").alias("removed_word_chars"), F.collect_set("line_key").alias("frequent"))
+    removed = lines.join(frequent, "line_key").groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("source").alias("host")).agg(F.sum("line_chars").alias("removed_chars"), F.collect_set("line_key").alias("frequent"))
     rows = base.groupBy("doc_id", "text_hash", "source").agg(*[F.first(c).alias(c) for c in ("n_symbols", "n_words", "word_chars", "n_dup_lines", "n_repeat_words")], F.count("*").cast("int").alias("rows"))
     out = rows.join(removed, rows["doc_id"].eqNullSafe(removed["id"]) & (rows["text_hash"] == removed["hash"]) & rows["source"].eqNullSafe(removed["host"]), "left")
-    for c in ("removed_chars", "removed_word_chars"):
-        out = out.withColumn(c, F.coalesce((F.col(c) / F.col("rows")).cast("long"), F.lit(0).cast("long")))
+    out = out.withColumn("removed_chars", F.coalesce((F.col("removed_chars") / F.col("rows")).cast("long"), F.lit(0).cast("long")))
     failed = (F.col("n_words") < limits.base_words) | (100 * F.col("n_repeat_words") > limits.base_repeat_percent * F.col("n_words"))
-
-    def verdict(removed: str) -> Column:
-        left = F.col("word_chars") - F.col(removed)
-        return ~failed & (left >= limits.min_chars) & (left >= limits.min_share * F.col("word_chars"))
-
-    return out.withColumns({"base_failed": failed, "kept": verdict("removed_chars"), "good": verdict("removed_word_chars")})
+    left = F.col("word_chars") - F.col("removed_chars")
+    return out.withColumns({"base_failed": failed, "kept": ~failed & (left >= limits.min_chars) & (left >= limits.min_share * F.col("word_chars"))})
 
 
 def keep_good(docs: DataFrame, limits: QualityLimits | None = None) -> DataFrame:
-    """The rows of ``docs`` that are good, their texts without frequent lines; n_chars, where it is a column, follows a changed text."""
+    """The rows of ``docs`` that are kept, their texts without frequent lines; n_chars, where it is a column, follows a changed text."""
     id_, key, host, cut, low = free(docs, "id", "hash", "host", "frequent", "low")
-    good = _judged(docs, limits or QualityLimits()).filter("good").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(key), F.col("source").alias(host), F.col("frequent").alias(cut))
+    good = _judged(docs, limits or QualityLimits()).filter("kept").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(key), F.col("source").alias(host), F.col("frequent").alias(cut))
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     out = docs.join(good, docs["doc_id"].eqNullSafe(F.col(id_)) & (text_hash == F.col(key)) & docs["source"].eqNullSafe(F.col(host)))
     out = out.withColumn(low, F.split(F.lower("text"), "\n"))

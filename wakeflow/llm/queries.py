@@ -74,11 +74,12 @@ with d as (select doc_id, source, coalesce(text, '') as t from documents),
      win as (select doc_id, i, array_to_string(words[i:i+4], ' ') as g from (select doc_id, words, unnest(range(1, n_words - 3)) as i from base where n_words >= 5)),
      again as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from win) where n > 1),
      rep as (select doc_id, sum(least(5, coalesce(nxt - i, 5))) as n_repeat_words from (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt from again) group by doc_id),
-     ln as (select doc_id, source, t, unnest(list_filter(list_transform(string_split(lower(t), chr(10)), lambda x: trim(x)), lambda x: x <> '')) as line from d),
+     ln as (select doc_id, source, t, trim(lower(x)) as line, length(regexp_replace(x, '[ \x09-\x0D]', '', 'g')) as chars
+            from (select doc_id, source, t, unnest(string_split(t, chr(10))) as x from d) where trim(lower(x)) <> ''),
      hosts as (select source, count(distinct t) as n from d group by source),
      freq as (select f.source, f.line from (select source, line, count(distinct t) as n from ln group by 1, 2) f
               join hosts h on f.source is not distinct from h.source where f.n > 20 and f.n > 0.01 * h.n),
-     rem as (select ln.doc_id, sum(length(ln.line)) as removed_chars from ln join freq on ln.line = freq.line and ln.source is not distinct from freq.source group by 1),
+     rem as (select ln.doc_id, sum(ln.chars) as removed_chars from ln join freq on ln.line = freq.line and ln.source is not distinct from freq.source group by 1),
      j as (select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(removed_chars, 0)::bigint as removed_chars
            from base b left join rep using (doc_id) left join rem using (doc_id)),
      f as (select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed from j)

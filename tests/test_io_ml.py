@@ -29,6 +29,50 @@ def test_stage_zip_and_csv(tmp_path):
         readers.stage(str(tmp_path / "none"), str(tmp_path / "raw"))
 
 
+def test_stage_keeps_equal_names_and_counts_records(tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / "src" / folder).mkdir(parents=True)
+        (tmp_path / "src" / folder / "x.csv").write_text(f'h,t\n1,"{folder}\nmore"\n2,y\n3,z\n')
+    got = readers.stage(str(tmp_path / "src"), str(tmp_path / "raw"), max_rows=2)
+    assert [p.rsplit("/", 1)[1] for p in got] == ["x.csv", "b_x.csv"]
+    assert [open(p).read() for p in got] == [f'h,t\n1,"{x}\nmore"\n2,y\n' for x in "ab"]
+
+
+def test_projections_and_simplified_rings(spark, tmp_path):
+    ring = [[0, 0], [111319.49, 0], [222638.98, 1], [222638.98, 222684.2], [0, 222684.2], [0, 0]]
+    shape = {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [ring]}}
+    crs = lambda name: {"crs": {"type": "name", "properties": {"name": name}}}
+    (tmp_path / "m.geojson").write_text(json.dumps(shape | crs("urn:ogc:def:crs:EPSG::3857")))
+    rows = readers.read_polygons(spark, str(tmp_path / "m.geojson")).agg(F.max("x1"), F.max("y1"), F.count("*")).first()
+    assert (round(rows[0], 3), round(rows[1], 3), rows[2]) == (2.0, 2.0, 5)
+    assert readers.read_polygons(spark, str(tmp_path / "m.geojson"), tolerance=0.005).count() == 4
+    (tmp_path / "m.geojson").write_text(json.dumps(shape | crs("urn:ogc:def:crs:EPSG::25832")))
+    with pytest.raises(ValueError):
+        readers.read_polygons(spark, str(tmp_path / "m.geojson"))
+
+
+def test_small_tables_are_whole_or_refused(spark, tmp_path):
+    df = spark.range(5)
+    with pytest.raises(ValueError):
+        sinks.write_csv({"t": df}, str(tmp_path / "t.csv"), limit=4)
+    with pytest.raises(ValueError):
+        sinks.markdown(df, limit=4)
+    assert len(sinks.markdown(df, limit=5).splitlines()) == 7
+
+
+def test_evaluation(spark, tmp_path):
+    from wakeflow.operators import evaluation
+
+    names = spark.createDataFrame([("Repeated Crossing",), ("Other",), (None,)], "x string")
+    got = [tuple(r) for r in names.select(evaluation.remap("x", evaluation.REASONER_TO_CLASS), evaluation.activity_of("x"), evaluation.situation_of("x")).collect()]
+    assert got == [("Boundary Crossing", "Transit", "None"), (None, "Transit", "None"), (None, "Transit", "None")]
+    said = spark.createDataFrame([("a", "a"), ("b", "a")], "t string, p string")
+    values = sinks.write_evaluation(said, "t", "p", ["a", "b"], str(tmp_path / "m.json"))
+    assert readers.read_metrics(str(tmp_path / "m.json")) == values and values["metrics"]["accuracy"] == 0.5 and len(values["classes"]) == len(values["confusion_matrix"]) == 2
+    with pytest.raises(FileNotFoundError):
+        readers.evaluation_inputs(spark, str(tmp_path), "a long", "a long")
+
+
 def test_csv_union_by_name(spark, tmp_path):
     (tmp_path / "a.csv").write_text("MMSI,LAT\n1,2\n")
     (tmp_path / "b.csv").write_text("LAT,MMSI,more\n3,4,x\n")
@@ -168,6 +212,22 @@ def test_command_line_end_to_end(spark, tmp_path):
         ["report", "--situations", p("situations.parquet"), "--output", p("reports")],
     ):
         cli.main(args)
+    rows = spark.range(90).select(F.col("id").cast("string").alias("segment_id"), (F.col("id") % 9).alias("mmsi"), *[(F.col("id") % (i + 2)).cast("double").alias(c) for i, c in enumerate(ml.FEATURES)])
+    folder = tmp_path / "evaluation"
+    rows.write.parquet(str(folder / "features.parquet"))
+    start = F.lit(T0).cast("timestamp")
+    rows.select("segment_id", "mmsi", start.alias("segment_start"), start.alias("segment_end"), F.when(F.col("mmsi") < 4, "Transit").otherwise("Anchorage").alias("situation_label")).write.parquet(str(folder / "situation_labels.parquet"))
+    for name in ("cleaned_ais", "segments"):
+        rows.limit(1).write.parquet(str(folder / f"day_{name}.parquet"))
+    sinks.write_envelope(_events(spark), str(folder / "event_sequence.json"), "event")
+    sinks.write_envelope(spark.createDataFrame([("Boundary Crossing", 0.75, 8, T0, T0)], "situation string, confidence double, mmsi long, start_timestamp timestamp, end_timestamp timestamp"), str(folder / "reasoned_situations.json"), "situation")
+    cli.main(["train", "--features", str(folder / "features.parquet"), "--labels", str(folder / "situation_labels.parquet"), "--trees", "5", "--test-size", "0.2", "--metrics", p("metrics.json"), "--output", p("model")])
+    (tmp_path / "evaluated").mkdir()
+    cli.main(["evaluate", "--folder", str(folder), "--model", p("model"), "--output", p("evaluated")])
+    audited = spark.read.parquet(p("evaluated/predictions.parquet"))
+    assert audited.count() == 10 and readers.read_metrics(p("evaluated/reasoning_metrics.json"))["total_test_segments"] == 10
+    cli.main(["compare", "--metrics", p("metrics.json"), "--output", p("table.csv")])
+    assert "this system" in (tmp_path / "table.csv").read_text()
     assert json.loads((tmp_path / "stats.json").read_text())["cleaned_rows"] == 60
     assert spark.read.parquet(p("labels.parquet")).count() == 5 and spark.read.text(p("reports")).count() > 0
     assert spark.read.parquet(p("features.parquet")).filter("crossing_count > 0").count() > 0

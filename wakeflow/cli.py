@@ -8,12 +8,14 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from wakeflow.config import load_config
-from wakeflow.operators import analytics, clean, events, features, fishing, geofence, labels, ml, reports, segment, situations
+from wakeflow.operators import analytics, clean, evaluation, events, features, fishing, geofence, labels, ml, reports, segment, situations
 from wakeflow.session import session
 from wakeflow.sources import readers, sinks
 
 _EVENT = f"event_type string, event_timestamp timestamp, mmsi long, start_timestamp timestamp, end_timestamp timestamp, duration_minutes double, details {events.DETAILS}"
 
+_SITUATION = "situation string, confidence double, mmsi long, start_timestamp timestamp, end_timestamp timestamp"
+
 
 def _ingest(spark, a, config):
     files = readers.stage(a.source, a.raw_dir, a.max_rows, a.replace_raw) if a.raw_dir else [a.source]
@@ -73,13 +75,42 @@ def _report(spark, a, config):
 
 
 def _train(spark, a, config):
-    rows = analytics.stratified_split(ml.training_rows(spark.read.parquet(a.features), spark.read.parquet(a.labels)), "label", "segment_id").cache()
-    train, test = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
-    model = ml.search(train) if a.tune else ml.fit(train, trees=a.trees)
+    c = config.classifier_training
+    test_size, validation_size = (x if x is not None else y for x, y in ((a.test_size, c.test_size), (a.validation_size, c.validation_size)))
+    rows = ml.training_rows(spark.read.parquet(a.features), spark.read.parquet(a.labels))
+    rows = analytics.sample_groups(rows, "label", "segment_id", c.max_majority_samples)
+    rows = analytics.stratified_split(rows, "label", "segment_id", (1 - test_size - validation_size, validation_size, test_size)).cache()
+    train, validation, test = (rows.filter(F.col("split") == x) for x in ("train", "validation", "test"))
+    if a.model == "best":
+        models = {x: ml.fit(train, model=x, trees=a.trees) for x in ("forest", "boosted")}
+        model = models[ml.best_model(models, validation)]
+    else:
+        model = ml.search(train) if a.tune else ml.fit(train, model=a.model, trees=a.trees)
     model.write().overwrite().save(a.output)
     classes = [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]
     if a.metrics:
-        sinks.write_metrics(analytics.overall_metrics(ml.predict(model, test), "label", "predicted", classes), a.metrics)
+        sinks.write_evaluation(ml.predict(model, test), "label", "predicted", classes, a.metrics)
+
+
+def _evaluate(spark, a, config):
+    """Predictions of a saved model and of the reasoner, side by side, for the segments of test vessels."""
+    t = readers.evaluation_inputs(spark, a.folder, _EVENT, _SITUATION)
+    model = ml.load(a.model)
+    rows = analytics.vessel_split(ml.training_rows(t["features"], t["labels"])).filter("split = 'test'")
+    said = ml.predict(model, rows).select("segment_id", evaluation.activity_of("predicted").alias("predicted"))
+    audited = evaluation.audit(t["labels"].join(rows.select("segment_id"), "segment_id", "left_semi"), {"rf": said}, t["situations"])
+    sinks.write_table(audited, f"{a.output}/predictions.parquet")
+    audited = spark.read.parquet(f"{a.output}/predictions.parquet")
+    sinks.write_evaluation(audited, "ground_truth_activity", "rf_predicted_activity", evaluation.ACTIVITY_CLASSES, f"{a.output}/classification_metrics.json")
+    sinks.write_metrics(evaluation.context_metrics(audited), f"{a.output}/reasoning_metrics.json")
+
+
+def _compare(spark, a, config):
+    """A table of prior results, read from JSON, above this system's metrics."""
+    found = readers.read_metrics(a.metrics)["metrics"]
+    own = spark.createDataFrame([("this system", float(found["accuracy"]), float(found["macro_f1"]))], "system string, accuracy double, f1 double")
+    table = analytics.comparison_table(spark, readers.read_metrics(a.prior) if a.prior else [], own, 4)
+    sinks.write_csv({"classifiers": table}, a.output)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -107,7 +138,11 @@ def parser() -> argparse.ArgumentParser:
     command("labels", _labels, "features", fishing=str)
     command("reason", _reason, "events")
     command("report", _report, "situations")
-    command("train", _train, "features", "labels", metrics=str, tune=bool).add_argument("--trees", type=int, default=200)
+    train = command("train", _train, "features", "labels", metrics=str, tune=bool, test_size=float, validation_size=float)
+    train.add_argument("--trees", type=int, default=200)
+    train.add_argument("--model", choices=("forest", "boosted", "best"), default="forest")
+    command("evaluate", _evaluate, "folder", "model")
+    command("compare", _compare, "metrics", prior=str)
     return top
 
 

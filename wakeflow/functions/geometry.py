@@ -6,6 +6,7 @@ part share its id, so that holes cancel by parity; overlapping parts do not.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 
@@ -54,6 +55,31 @@ def rectangle(x1: float, y1: float, x2: float, y2: float) -> list[list[list[tupl
     return [[[(x1, y1), (x2, y1), (x2, y2), (x1, y2)]]]
 
 
+def degrees(x: float, y: float) -> tuple[float, float]:
+    """Web Mercator metres as longitude and latitude."""
+    return math.degrees(x / X.MERCATOR_M), math.degrees(2 * math.atan(math.exp(y / X.MERCATOR_M)) - math.pi / 2)
+
+
+def simplified_ring(ring: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """The ring without the points that lie within ``tolerance`` of what is left; a ring keeps four points at least."""
+    keep, stack = {0, len(ring) - 1, len(ring) // 2}, [(0, len(ring) // 2), (len(ring) // 2, len(ring) - 1)]
+    while stack:
+        a, b = stack.pop()
+        (x1, y1), (x2, y2) = ring[a], ring[b]
+        dx, dy = x2 - x1, y2 - y1
+        best, at = -1.0, None
+        for i in range(a + 1, b):
+            px, py = ring[i][0] - x1, ring[i][1] - y1
+            t = min(1.0, max(0.0, (px * dx + py * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+            off = math.hypot(px - t * dx, py - t * dy)
+            if off > best:
+                best, at = off, i
+        if at is not None and best > tolerance:
+            keep.add(at)
+            stack += [(a, at), (at, b)]
+    return [ring[i] for i in sorted(keep)] if len(keep) >= 4 else ring
+
+
 def mark_inside(points: DataFrame, edges: DataFrame, key: list[str] | None = None, cell: float = 0.25, x: str = "longitude", y: str = "latitude") -> DataFrame:
     """``points`` with inside_eez and outside_eez: strictly inside any part (its boundary is outside).
 

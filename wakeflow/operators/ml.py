@@ -8,12 +8,14 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakeflow.operators.analytics import overall_metrics
+
 #: Inputs that do not give the rules' answers away; the rest is optional.
 FEATURES = ["duration_seconds", "number_of_points", "avg_speed", "max_speed", "speed_variance", "path_length", "displacement", "heading_variance", "mean_heading_change"]
 ALL_FEATURES = [*FEATURES, "trajectory_curvature", "path_tortuosity", "loop_count", "turn_density", "stationary_ratio", "crossing_count", "distance_to_boundary", "anchor_duration", "loiter_duration"]
@@ -61,21 +63,32 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select("segment_id", "mmsi", "label", F.get(names, F.col("prediction").cast("int")).alias("predicted"))
 
 
+class MacroF1(Evaluator):
+    """The mean of the classes' F1, of the classes that occur."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        pairs = dataset.select(F.col("label_index").cast("string").alias("t"), F.col("prediction").cast("string").alias("p"))
+        classes = [r["t"] for r in pairs.select("t").distinct().collect()]  # one row a class
+        return overall_metrics(pairs, "t", "p", classes).first()["macro_f1"] if classes else 0.0
+
+
+def load(path: str) -> PipelineModel:
+    """A model that the train command saved."""
+    return PipelineModel.load(path)
+
+
 def search(rows: DataFrame, draws: int = 30, folds: int = 3, seed: int = 42, inputs: Sequence[str] = FEATURES) -> PipelineModel:
-    """The best of random draws of forest settings by cross-validated F1."""
+    """The best of random draws of forest settings by cross-validated macro F1."""
     whole = pipeline("forest", inputs, seed)
     forest = whole.getStages()[-1]
-    grid = list(itertools.product((50, 100, 200), (5, 10, 20), (1, 2, 4)))
+    grid = list(itertools.product((50, 100, 200), (5, 10, 20), (1, 2, 4), (0.6, 0.8, 1.0)))
     picks = random.Random(seed).sample(grid, min(draws, len(grid)))
-    maps = [{forest.numTrees: a, forest.maxDepth: b, forest.minInstancesPerNode: c} for a, b, c in picks]
-    scorer = MulticlassClassificationEvaluator(labelCol="label_index", metricName="f1")
-    return CrossValidator(estimator=whole, estimatorParamMaps=maps, evaluator=scorer, numFolds=folds, seed=seed).fit(balanced(rows)).bestModel
+    maps = [{forest.numTrees: a, forest.maxDepth: b, forest.minInstancesPerNode: c, forest.subsamplingRate: d} for a, b, c, d in picks]
+    return CrossValidator(estimator=whole, estimatorParamMaps=maps, evaluator=MacroF1(), numFolds=folds, seed=seed).fit(balanced(rows)).bestModel
 
 
 def best_model(models: dict[str, PipelineModel], validation: DataFrame) -> str:
     """The name of the model with the highest macro F1 on the validation rows."""
-    from wakeflow.operators.analytics import overall_metrics
-
     classes = [r["label"] for r in validation.select("label").distinct().orderBy("label").collect()]
     score = {k: overall_metrics(predict(m, validation), "label", "predicted", classes).first()["macro_f1"] for k, m in models.items()}
     return max(sorted(score), key=score.get)

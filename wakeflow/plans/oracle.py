@@ -125,6 +125,19 @@ PREDICTIONS = """pred as (select o_orderpriority as t, case when o_totalprice %
  fin as (select *, case when pr + re = 0 then 0 else 2 * pr * re / (pr + re) end as f1 from met)"""
 
 
+AUDIT = LABELLED + ", " + SITUATIONS.removeprefix(SEQUENCE + ",").strip() + """,
+ best as (select segment_id, situation from (select l.segment_id, s.situation, row_number() over (partition by l.segment_id order by s.confidence desc, s.a, s.situation) as rk
+   from labelled l join situ s on s.mmsi = l.mmsi and s.situation in ('Boundary Crossing', 'Prolonged Boundary Presence', 'Repeated Crossing') and s.a - interval 15 minutes <= l.segment_end and l.segment_start <= s.b + interval 15 minutes) z where rk = 1),
+ audit as (select segment_id, mmsi, situation_label, situation_label as ground_truth, case when situation_label = 'Anchorage' then 'Anchorage' else 'Transit' end as ground_truth_activity,
+   case when situation_label in ('Boundary Crossing', 'Prolonged Boundary Presence') then situation_label else 'None' end as ground_truth_situation, p as rf_predicted_activity,
+   coalesce(situation, p) as proposed_predictions, coalesce(situation, 'None') as proposed_context_prediction
+   from (select *, case when substr(segment_id, length(segment_id) - 2, 1) < '5' then 'Transit' else 'Anchorage' end as p from labelled left join best using (segment_id)) y)"""
+
+
+def iso(t: str) -> str:
+    return f"strftime({t}, '%Y-%m-%dT%H:%M:%S') || case when epoch_us({t}) % 1000000 = 0 then '' else strftime({t}, '.%f') end || '+00:00'"
+
+
 def with_(parts: str, select: str) -> str:
     return f"with {parts}\n{select}"
 
@@ -170,4 +183,20 @@ ORACLE_SQL = {
     "chord_deviation": with_(f"{POINTS}, {SEGS}, ab as (select *, arg_min(lat, t) over q as la, arg_min(lon, t) over q as oa, arg_max(lat, t) over q as lb, arg_max(lon, t) over q as ob from segpoints window q as (partition by segment_id)), xy as (select *, (ob - oa) * cos(radians(lat)) * 111.32 as dx, (lb - la) * 110.57 as dy, (lon - oa) * cos(radians(lat)) * 111.32 as px, (lat - la) * 110.57 as py from ab), tu as (select *, case when dx * dx + dy * dy > 0 then greatest(0, least(1, (px * dx + py * dy) / (dx * dx + dy * dy))) else 0 end as tt, coalesce((epoch_us(t) - epoch_us(s)) / nullif(epoch_us(e) - epoch_us(s), 0), 0) as uu from xy)", "select segment_id, " + _F5("mean_spatial_km=avg(sqrt(pow(px - tt * dx, 2) + pow(py - tt * dy, 2))); max_spatial_km=max(sqrt(pow(px - tt * dx, 2) + pow(py - tt * dy, 2))); mean_temporal_km=avg(sqrt(pow(px - uu * dx, 2) + pow(py - uu * dy, 2))); max_temporal_km=max(sqrt(pow(px - uu * dx, 2) + pow(py - uu * dy, 2)))") + " from tu group by 1"),
     "vessel_paths": with_(POINTS, "select mmsi as \"MMSI\", count(*) as n, round(arg_min(lat, t), 6) as first_latitude, round(arg_max(lon, t), 6) as last_longitude from points group by 1"),
     "inside_zone": with_(POINTS, f"select {INSIDE} as inside_eez, not {INSIDE} as outside_eez, count(*) as n from points group by 1, 2"),
+    "stratified_split": "with k as (select o_orderpriority as label, (row_number() over (partition by o_orderpriority order by o_orderkey) - 0.5) / count(*) over (partition by o_orderpriority) as q from orders) select label, case when q <= 0.7 then 'train' when q <= 0.7::double + 0.15::double then 'validation' else 'test' end as split, count(*) as n from k group by 1, 2",
+    "vessel_split": "with v as (select count(distinct o_custkey) as k, greatest(1, floor(count(distinct o_custkey) * 0.15::double)::bigint) as t from orders) select 'test' as split, t as vessels from v union all select 'train', k - t from v",
+    "group_sample": "select o_orderpriority as label, case when o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM') then least(500, count(*)) else count(*) end as n from orders group by 1",
+    "label_remaps": with_(SITUATIONS, "select situation, case situation when 'Repeated Crossing' then 'Boundary Crossing' when 'Maneuvering' then 'Transit' else situation end as class, case situation when 'Anchorage' then 'Anchorage' when 'Maneuvering' then null else 'Transit' end as activity, case when situation in ('Boundary Crossing', 'Prolonged Boundary Presence') then situation else 'None' end as target, count(*) as n from situ group by 1"),
+    "speed_without_speeds": with_(f"{POINTS}, {SEGS}, {MOTION}", "select segment_id, " + _F5("avg_speed=case when secs = 0 then 0 else path / 1.852 / (secs / 3600) end; max_speed=case when secs = 0 then 0 else path / 1.852 / (secs / 3600) end; speed_variance=0.0::double") + " from motion"),
+    "feature_profile": with_(f"{POINTS}, {SEGS}, {MOTION}, long as (select 'avg_speed' as c, avg_speed as x from motion union all select 'path_length', path from motion union all select 'number_of_points', n from motion)", "select c as \"column\", count(x) as \"count\", " + rounded("mean=avg(x); std=stddev_samp(x); min=min(x); p25=quantile_cont(x, 0.25); p50=quantile_cont(x, 0.5); p75=quantile_cont(x, 0.75); max=max(x)", 4) + " from long group by 1"),
+    "rule_hits": with_(FEATURES, "select 'avg_speed >= 5' as rule, count(*) filter (avg_speed >= 5) as hits from feats union all select 'anchor_duration >= 600', count(*) filter (anchor_duration >= 600) from feats union all select 'loiter_duration >= 600', count(*) filter (loiter_duration >= 600) from feats union all select 'crossing_count >= 6', count(*) filter (crossing_count >= 6) from feats union all select 'distance_to_boundary <= 400', count(*) filter (distance_to_boundary <= 400) from feats"),
+    "rule_details": with_(LABELLED, "select segment_id, " + rounded("avg_speed=case when situation_label = 'Transit' then avg_speed end; speed_variance=case when situation_label = 'Transit' then speed_variance end; trajectory_curvature=case when situation_label = 'Transit' then curve end; crossing_count=case when situation_label = 'Boundary Crossing' then crossing_count::double end; distance_to_boundary=case when situation_label = 'Prolonged Boundary Presence' then distance_to_boundary end; anchor_duration=case when situation_label = 'Anchorage' then anchor_duration end; loiter_duration=case when situation_label = 'Prolonged Boundary Presence' then loiter_duration end", 4) + " from labelled join feats using (segment_id)"),
+    "predictions_audit": with_(AUDIT, "select * from audit"),
+    "context_metrics": with_(AUDIT, "select count(*) as total_test_segments, count(*) filter (proposed_context_prediction <> 'None') as enriched_segments, " + rounded("context_coverage_ratio=count(*) filter (proposed_context_prediction <> 'None') / count(*)") + ", count(*) filter (proposed_context_prediction = 'Boundary Crossing') as boundary_crossing_situations_detected, count(*) filter (proposed_context_prediction = 'Prolonged Boundary Presence') as prolonged_presence_situations_detected, count(*) filter (proposed_context_prediction = 'Repeated Crossing') as repeated_crossing_situations_detected from audit"),
+    "comparison_table": with_(SEQUENCE, "select 'prior work' as system, 338000000::bigint as points, 53000000::bigint as events, 84.0::double as reduction_percent union all select 'this system', p, e, round(100 * (p - e) / p, 2) from (select (select count(*) from points) as p, (select count(*) from sequence) as e) x"),
+    "event_json": with_(SEQUENCE, f"select event_type, {iso('event_timestamp')} as event_timestamp, mmsi, {iso('start_timestamp')} as start_timestamp, {iso('end_timestamp')} as end_timestamp, duration_minutes, crossing_count from sequence"),
+    "points_written": with_(POINTS, "select mmsi as \"MMSI\", t as \"timestamp\", " + rounded("latitude=lat; longitude=lon") + " from points where mmsi between 1 and 39"),
+    "boundary_written": with_(f"{POINTS}, {BOUNDARY}", "select * from boundary"),
+    "human_numbers": with_(POINTS, "select mmsi as \"MMSI\", case when n >= 1e6 then printf('%.1fM', n / 1e6) when n >= 1e3 then printf('%.1fK', n / 1e3) else printf('%.0f', n) end as text from (select mmsi, (count(*) * 100)::double as n, row_number() over (order by count(*) desc, mmsi) as rk from points group by 1) x where rk <= 20"),
+    "carried_state": with_(f"{POINTS}, {BOUNDARY}", "select * from boundary"),
 }

@@ -7,14 +7,17 @@ are scaled; the defaults in :mod:`wakeflow.config` are for real position reports
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeflow.config import EventThresholds, LabelThresholds, ReasoningThresholds, SegmentConfig
-from wakeflow.functions import geometry
-from wakeflow.operators import analytics, clean, events, features, fishing, geofence, labels, reports, segment, situations
+from wakeflow.functions import exprs, geometry
+from wakeflow.operators import analytics, clean, evaluation, events, features, fishing, geofence, labels, ml, reports, segment, situations
 from wakeflow.plans.oracle import ORACLE_SQL
-from wakeflow.session import once
+from wakeflow.session import once, shared_checkpoints
+from wakeflow.sources import readers, sinks
 
 EVENTS = EventThresholds(
     anchor_speed_knots=2.0, anchor_min_duration_minutes=60, loiter_speed_knots=4.0, loiter_radius_km=100.0, loiter_min_duration_minutes=120, max_ais_gap_minutes=1440,
@@ -251,5 +254,105 @@ def q_boundary_events(spark, sf_dir):
     return _boundary(spark, sf_dir)
 
 
+def _labelled(spark, sf_dir):
+    """Orders as labelled rows of vessels: for splits and samples, which ask for no tracks."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"), F.col("o_custkey").alias("mmsi"))
+
+
+def q_stratified_split(spark, sf_dir):
+    return analytics.stratified_split(_labelled(spark, sf_dir), "label", "id").groupBy("label", "split").agg(F.count("*").alias("n"))
+
+
+def q_vessel_split(spark, sf_dir):
+    return analytics.vessel_split(_labelled(spark, sf_dir)).groupBy("split").agg(F.count_distinct("mmsi").alias("vessels"))
+
+
+def q_group_sample(spark, sf_dir):
+    return analytics.sample_groups(_labelled(spark, sf_dir), "label", "id", 500, capped=PRIORITIES[:3]).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def q_label_remaps(spark, sf_dir):
+    s = _situations(spark, sf_dir).groupBy("situation").agg(F.count("*").alias("n"))
+    return s.select("situation", evaluation.remap("situation", evaluation.REASONER_TO_CLASS).alias("class"), evaluation.remap("situation", evaluation.SITUATION_TO_ACTIVITY).alias("activity"), evaluation.situation_of("situation").alias("target"), "n")
+
+
+def q_speed_without_speeds(spark, sf_dir):
+    bare = _segment_points(spark, sf_dir).withColumn("speed", F.lit(None).cast("double"))
+    return rounded(features.motion_features(bare).select("segment_id", "avg_speed", "max_speed", "speed_variance"), 5)
+
+
+def q_feature_profile(spark, sf_dir):
+    f = features.motion_features(_segment_points(spark, sf_dir))
+    return rounded(evaluation.profile(f, ["avg_speed", "path_length", "number_of_points"]), 4)
+
+
+def q_rule_hits(spark, sf_dir):
+    return evaluation.rule_hits(_features(spark, sf_dir), LABELS)
+
+
+def q_rule_details(spark, sf_dir):
+    d = F.from_json("rule_details", "avg_speed double, speed_variance double, trajectory_curvature double, crossing_count double, distance_to_boundary double, anchor_duration double, loiter_duration double")
+    rows = _labels(spark, sf_dir).select("segment_id", d.alias("d")).select("segment_id", "d.*")
+    return rounded(rows, 4)
+
+
+def q_predictions_audit(spark, sf_dir):
+    given = _labels(spark, sf_dir)
+    said = given.select("segment_id", F.when(F.col("segment_id").substr(-3, 1) < "5", "Transit").otherwise("Anchorage").alias("predicted"))
+    return evaluation.audit(given, {"rf": said}, _situations(spark, sf_dir), bucket_minutes=10080)
+
+
+def q_context_metrics(spark, sf_dir):
+    return rounded(evaluation.context_metrics(q_predictions_audit(spark, sf_dir)))
+
+
+def q_comparison_table(spark, sf_dir):
+    e = analytics.reduction(points(spark, sf_dir), _sequence(spark, sf_dir)).select(F.lit("this system").alias("system"), "points", "events", "reduction_percent")
+    return analytics.comparison_table(spark, [{"system": "prior work", "points": 338000000, "events": 53000000, "reduction_percent": 84.0}], e)
+
+
+def q_event_json(spark, sf_dir):
+    """Events written as JSON lines and read again; times as text."""
+    folder = f"{shared_checkpoints(spark)}/events-{uuid.uuid4().hex}"
+    sinks.write_json_lines(_numbers(_sequence(spark, sf_dir)), folder)
+    return spark.read.schema("event_type string, event_timestamp string, mmsi long, start_timestamp string, end_timestamp string, duration_minutes double, crossing_count long").json(folder)
+
+
+def q_points_written(spark, sf_dir):
+    """Cleaned points written by date and read again: some columns of some vessels."""
+    folder = f"{shared_checkpoints(spark)}/points-{uuid.uuid4().hex}.parquet"
+    sinks.write_points(clean.clean(points(spark, sf_dir)), folder)
+    return rounded(readers.read_points(spark, folder, ["MMSI", "timestamp", "latitude", "longitude"], vessels=range(1, 40)))
+
+
+def q_boundary_written(spark, sf_dir):
+    """Zone entries and exits written and read again, with those that no file holds."""
+    folder = f"{shared_checkpoints(spark)}/boundary-{uuid.uuid4().hex}.parquet"
+    sinks.write_table(_boundary(spark, sf_dir), folder)
+    return readers.read_boundary_events(spark, folder).unionByName(readers.read_boundary_events(spark, f"{folder}-none"))
+
+
+def q_human_numbers(spark, sf_dir):
+    return analytics.top_vessels(points(spark, sf_dir), 20).select("MMSI", exprs.human(F.col("n") * 100).alias("text"))
+
+
+def q_carried_state(spark, sf_dir):
+    """Transitions of two batches, the second continued from the states after the first."""
+    marked = geofence.classify(points(spark, sf_dir), _edges(spark))
+    half = F.col("timestamp") < F.lit("2024-01-15").cast("timestamp")
+    none = spark.createDataFrame([], "mmsi long, inside boolean")
+    first, states = geofence.transitions_with_state(marked.filter(half), none)
+    return first.unionByName(geofence.transitions_with_state(marked.filter(~half), states)[0])
+
+
+def q_forest_predictions(spark, sf_dir):
+    """A small forest learned from segments of some vessels and applied to those of others."""
+    rows = ml.training_rows(_features(spark, sf_dir), _labels(spark, sf_dir))
+    split = analytics.vessel_split(once(rows))
+    model = ml.fit(split.filter("split = 'train'"), trees=10, depth=5)
+    return ml.predict(model, split.filter("split = 'test'"))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 __all__ = ["ORACLE_SQL", "QUERIES", "points"]

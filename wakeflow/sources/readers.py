@@ -104,40 +104,49 @@ def read_effort(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stage(source: str, raw_dir: str, max_rows: int | None = None, replace: bool = False) -> list[str]:
-    """Copies CSV files of a file, ZIP or folder into raw_dir (a member as {zip}_{member}), at most max_rows rows each."""
+    """Copies CSV files of a file, ZIP or folder into raw_dir (a member as {zip}_{member}), at most max_rows records each. Of equal names the later ones are told by their folders."""
     src, out = Path(source), Path(raw_dir)
     if not src.exists():
         raise FileNotFoundError(source)
     out.mkdir(parents=True, exist_ok=True)
     staged: list[str] = []
 
-    def put(lines, name: str) -> None:
+    def put(lines, name: str, place: Path) -> None:
         target = out / name
+        if str(target) in staged:
+            target = out / "_".join([*place.relative_to(src).parent.parts, name])
         if target.exists() and not replace:
             staged.append(str(target))
             return
         with target.open("wb") as f:
-            for i, line in enumerate(lines):
-                if max_rows is not None and i > max_rows:  # the header and max_rows rows
+            records, quoted = 0, False  # a record goes on while a quote is open
+            for line in lines:
+                if max_rows is not None and records > max_rows:  # the header and max_rows records
                     break
                 f.write(line)
+                quoted ^= line.count(b'"') % 2 == 1
+                records += not quoted
         staged.append(str(target))
 
     for path in sorted(p for p in (src.rglob("*") if src.is_dir() else [src]) if p.suffix.lower() in (".csv", ".zip")):
         if path.suffix.lower() == ".csv":
             with path.open("rb") as f:
-                put(f, path.name)
+                put(f, path.name, path)
         else:
             with zipfile.ZipFile(path) as z:
                 for member in sorted(z.namelist()):
                     if member.lower().endswith(".csv"):
                         with z.open(member) as f:
-                            put(f, f"{path.stem}_{Path(member).name}")
+                            put(f, f"{path.stem}_{Path(member).name}", path)
     return staged
 
 
-def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Edge table of the polygons of a GeoJSON, WKT (one a line) or shapefile, in degrees; ValueError if there are none."""
+def read_polygons(spark: SparkSession, path: str, tolerance: float = 0.0) -> DataFrame:
+    """Edge table of the polygons of a GeoJSON, WKT (one a line) or shapefile, in degrees, rings simplified to ``tolerance`` degrees.
+
+    ValueError if there are none, or if the file names a projection other than Web Mercator,
+    which is turned into degrees.
+    """
     file = Path(path)
     if file.suffix in (".json", ".geojson"):
         data = json.loads(file.read_text())
@@ -149,9 +158,54 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
         polygons = [geometry.parse_wkt(line) for line in file.read_text().splitlines() if line.strip().upper().startswith(("POLYGON", "MULTIPOLYGON"))]
     if not polygons:
         raise ValueError(f"{path} holds no polygons")
+    if _projected(file):
+        polygons = [[[[geometry.degrees(*p) for p in ring] for ring in part] for part in parts] for parts in polygons]
+    if tolerance:
+        polygons = [[[geometry.simplified_ring(ring, tolerance) for ring in part] for part in parts] for parts in polygons]
     return geometry.edges_of(spark, polygons)
 
 
+def _projected(file: Path) -> bool:
+    """Whether a polygon file is in Web Mercator metres and not in degrees, by its .prj or its crs member."""
+    name = ""
+    if file.suffix == ".shp" and file.with_suffix(".prj").exists():
+        name = file.with_suffix(".prj").read_text().strip()
+        if not name.upper().startswith(("PROJCS", "PROJCRS")):
+            return False
+    elif file.suffix in (".json", ".geojson"):
+        name = str((json.loads(file.read_text()).get("crs") or {}).get("properties", {}).get("name", ""))
+    if not name or "CRS84" in name or "4326" in name and not name.upper().startswith("PROJ"):
+        return False
+    if "3857" in name or "Mercator_Auxiliary_Sphere" in name or "Pseudo-Mercator" in name:
+        return True
+    raise ValueError(f"{file}: coordinates in {name[:60]} are not read, only degrees and Web Mercator")
+
+
+def evaluation_inputs(spark: SparkSession, folder: str, event_schema: str, situation_schema: str) -> dict[str, DataFrame]:
+    """The tables of an evaluation by name: points, segments, events, features, labels, situations.
+
+    A file is sought under its plain name, else under one that ends in it, the first by
+    name. FileNotFoundError names a missing one; situations are never made up.
+    """
+    # File names of the stages' outputs.
+    names = {"points": "cleaned_ais.parquet", "segments": "segments.parquet", "events": "event_sequence.json", "features": "features.parquet", "labels": "situation_labels.parquet", "situations": "reasoned_situations.json"}
+    out = {}
+    for table, name in names.items():
+        path = f"{folder}/{name}"
+        if not exists(spark, path):
+            path = next(iter(sorted(glob(f"{folder}/*_{name}"))), None)
+        if path is None:
+            raise FileNotFoundError(f"{folder}/{name}, or *_{name}")
+        schema = {"events": event_schema, "situations": situation_schema}.get(table)
+        out[table] = read_envelope(spark, path, table, schema, missing_ok=False) if schema else spark.read.parquet(path)
+    return out
+
+
+def read_metrics(path: str) -> dict:
+    """A metrics file, as :func:`wakeflow.sources.sinks.write_metrics` writes it."""
+    return json.loads(Path(path).read_text())
+
+
 def _shapefile(data: bytes):
     """Polygon records of the public .shp format: each ring a list of points, all rings one part."""
     at = 100

@@ -21,6 +21,7 @@ words, and it grows with the corpus. Row sums come back by row number, never tex
 from __future__ import annotations
 
 import base64
+import os
 from pathlib import Path
 
 import numpy as np
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from wakeflow.llm import textbytes as tb
 from wakeflow.llm.common import cut, remainder
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: where no ``path`` is given: a vocabulary file of a public tokenizer, in the format of ranks (base64 piece, rank)
+VOCABULARY = os.environ.get("WAKEFLOW_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 HOT = 400_000
 #: no piece is left out for its length
 LONGEST_PIECE = float("inf")
@@ -42,7 +44,9 @@ CHUNK = 4 << 20
 
 
 def vocabulary(path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of the pieces, their log scores, their lengths and the sorted hashes of the first HEAD bytes of longer ones; single bytes are always among them."""
+    """Sorted hashes of the pieces, their log scores, their lengths and the sorted hashes of the first HEAD bytes of longer ones; single bytes are always among them. Read by the driver."""
+    if not Path(path).exists():
+        raise FileNotFoundError(f"{path}: give the path of a vocabulary file, or name it in WAKEFLOW_VOCABULARY")
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
     for b in range(256):
         ranks.setdefault(bytes([b]), len(ranks))

@@ -195,7 +195,7 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
 
 
 def _sieve(percent: int):
-    """Ties (a, b, weak) of classes that share a prefix shingle and may link: a spanning forest of such pairs, and one of the weak ones, of large sets. Input rows are sorted by token, part, n, grp, cls."""
+    """Ties (a, b, weak) of classes that share a prefix shingle and may link: a spanning forest of the task's pairs, and one of the weak ones, of large sets. Input rows are sorted by token, part, n, grp, cls."""
 
     def runs(*keys):
         """Where a new run of equal keys begins."""
@@ -297,17 +297,12 @@ def _sieve(percent: int):
                 x = parent[x]
             return x
 
-        def forest(cols):
+        def tie(cols):
             a, b, weak = ties(cols)
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), weak], axis=1), axis=0) if len(a) else np.zeros((0, 3), np.int64)
-            keep = []
             for x, y, w in pair.tolist():
                 i, j = root(parents[w], x), root(parents[w], y)
-                if i != j:
-                    parents[w][i] = j
-                    keep.append((x, y, w))
-            keep = np.array(keep, np.int64).reshape(-1, 3)
-            return pa.RecordBatch.from_arrays([pa.array(keep[:, 0]), pa.array(keep[:, 1]), pa.array(keep[:, 2] > 0)], ["a", "b", "weak"])
+                parents[w][max(i, j)] = min(i, j)
 
         held = None  # a run may go on in the next batch
         for batch in batches:
@@ -320,9 +315,15 @@ def _sieve(percent: int):
             end = int(last[-1]) + 1 if len(last) else 0
             held = [c[end:] for c in cols]
             if end:
-                yield forest([c[:end] for c in cols])
+                tie([c[:end] for c in cols])
         if held is not None and len(held[0]):
-            yield forest(held)
+            tie(held)
+        # stars about the smallest class: tasks that tie the same classes send the same ties
+        for weak, parent in enumerate(parents):
+            stars = [(x, root(parent, x)) for x in parent]
+            for i in range(0, len(stars), 100_000):
+                part = np.array([x for x in stars[i : i + 100_000] if x[0] != x[1]], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(np.full(len(part), weak > 0))], ["a", "b", "weak"])
 
     return run
 
@@ -474,7 +475,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, tie: bool) -> DataFrame:
     classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min(_row_key()).alias("of"), F.max("n").alias("n"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, k))
     postings = _postings(docs, k, percent, frequent).repartition("token", "part").sortWithinPartitions("token", "part", "n", "grp", "cls")
-    ties = cut(postings.mapInArrow(_sieve(percent), "a long, b long, weak boolean"))
+    ties = cut(postings.mapInArrow(_sieve(percent), "a long, b long, weak boolean").distinct())
     near = labelled.filter(F.col("sig").isNotNull()).select("cls", "n", "sig").dropDuplicates(["cls"])
     refined = cut(_in_places(_dealt(components(ties.filter("weak").select("a", "b")), near, 1 << 62).select("clump", "blocks", "side", "cls", "n", "sig")).mapInArrow(_refine(percent), "a long, b long"))
     clumps = components(ties.filter("not weak").select("a", "b").unionByName(refined))

@@ -10,6 +10,7 @@ import math
 import re
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from wakeflow.functions import exprs as X
 
 EDGE_SCHEMA = "polygon_id int, part_id int, x1 double, y1 double, x2 double, y2 double"
 #: km of the cells in which the nearest edge is sought, one size after the other
-RINGS_KM = (120, 960, 7680)
+RINGS_KM = (120, 960, 7680, 1_000_000)
 
 
 def edges_of(spark: SparkSession, polygons: Iterable[list[list[list[tuple[float, float]]]]]) -> DataFrame:
@@ -28,7 +29,11 @@ def edges_of(spark: SparkSession, polygons: Iterable[list[list[list[tuple[float,
             for ring in rings:
                 ring = [*ring, ring[0]] if ring and ring[0] != ring[-1] else ring
                 rows += [(i, j, float(a[0]), float(a[1]), float(b[0]), float(b[1])) for a, b in zip(ring, ring[1:], strict=False)]
-    return spark.createDataFrame(rows, EDGE_SCHEMA)
+    kinds = [pa.int32(), pa.int32(), *[pa.float64()] * 4]
+    names = [f.split(" ")[0] for f in EDGE_SCHEMA.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    # an Arrow table is a local relation: its size is known to the planner
+    return spark.createDataFrame(pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names))
 
 
 def parse_wkt(text: str) -> list[list[list[tuple[float, float]]]]:
@@ -126,13 +131,13 @@ def distance_km(points: DataFrame, edges: DataFrame, key: str, x: str, y: str) -
     t = X.clip(F.coalesce(t, F.lit(0.0)), 0.0, 1.0)
     far = F.sqrt(F.pow(F.col("px") - (F.col("x1") + t * dx), 2) + F.pow(F.col("py") - (F.col("y1") + t * dy), 2))
     open_ = F.lit(True)
-    for km in (*RINGS_KM, None):
-        size = km and km * 1000.0
-        at = lambda c: F.floor(c / size).cast("long") if size else F.lit(0).cast("long")  # noqa: B023, E731
-        span = lambda a, b: F.explode(F.sequence(at(F.least(a, b)) - 1, at(F.greatest(a, b)) + 1) if size else F.array(F.lit(0).cast("long")))  # noqa: B023, E731
+    for km in RINGS_KM:  # the last is wider than the plane
+        size = km * 1000.0
+        at = lambda c: F.floor(c / size).cast("long")  # noqa: B023, E731
+        span = lambda a, b: F.explode(F.sequence(at(F.least(a, b)) - 1, at(F.greatest(a, b)) + 1))  # noqa: B023, E731
         cells = e.withColumn("ex", span("x1", "x2")).withColumn("ey", span("y1", "y2"))
         rows = rows.withColumns({"cx": F.when(open_, at(F.col("px"))), "cy": F.when(open_, at(F.col("py")))})  # no cell, no match
         met = rows.join(cells, (F.col("cx") == F.col("ex")) & (F.col("cy") == F.col("ey")), "left")
         rows = met.groupBy(key).agg(F.first("px").alias("px"), F.first("py").alias("py"), F.min(F.least("d", far)).alias("d"))
-        open_ = F.coalesce(F.col("d") > (size or 0.0), F.lit(True))
+        open_ = F.coalesce(F.col("d") > size, F.lit(True))
     return rows.select(key, (F.col("d") / 1000).alias("distance_to_boundary"))

@@ -51,11 +51,10 @@ def motion_features(points: DataFrame, config: FeatureConfig | None = None) -> D
     rows = rows.withColumn("loop_count", F.col("total_turn") / 360).withColumn("turn_density", X.ratio("turns", "path_length"))
     # only if no segment at all has a speed: from path and duration
     rows = once(rows)
-    none = rows.agg(F.coalesce(F.min(F.col("avg_speed").isNull().cast("int")), F.lit(0)).alias("no_speed"))
+    unknown = rows.filter(F.col("avg_speed").isNotNull()).isEmpty()
     made = X.ratio(F.col("path_length") / KM_PER_HOUR_PER_KNOT, F.col("duration_seconds") / 3600)
-    rows = rows.crossJoin(F.broadcast(none))  # one row
-    fill = lambda c, x: F.when(F.col("no_speed") == 1, x).otherwise(F.col(c)).alias(c)
-    keep = [c for c in rows.columns if c not in ("avg_speed", "max_speed", "speed_variance", "no_speed", "total_turn", "turns")]
+    fill = lambda c, x: (x if unknown else F.col(c)).alias(c)
+    keep = [c for c in rows.columns if c not in ("avg_speed", "max_speed", "speed_variance", "total_turn", "turns")]
     return rows.select(*keep, fill("avg_speed", made), fill("max_speed", made), fill("speed_variance", F.lit(0.0)))
 
 

@@ -199,7 +199,7 @@ def q_nearest_point_asof(spark, sf_dir):
 
 
 def q_segment_best_situation(spark, sf_dir):
-    base = segment.segments(points(spark, sf_dir), SEGMENTS).withColumnRenamed("MMSI", "mmsi")
+    base = once(segment.segments(points(spark, sf_dir), SEGMENTS)).withColumnRenamed("MMSI", "mmsi")
     return analytics.best_situation(base, _situations(spark, sf_dir), ["Anchorage", "Repeated Crossing", "Prolonged Boundary Presence"], bucket_minutes=10080)
 
 

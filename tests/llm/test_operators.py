@@ -104,7 +104,7 @@ def test_substrings_of_hot_anchors_and_structured_texts(spark, monkeypatch):
         with monkeypatch.context() as m:
             for name, value in limits.items():
                 m.setattr(substring_dedup, name, value)
-            out = substring_dedup.remove_repeats(docs).collect()
+            out = substring_dedup.remove_repeats(docs, hint=300).collect()
         assert {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == want and len(out) == len(rows)
         bad=[(r["doc_id"],r["n_bytes"],r["n_removed"],r["n_shared"],most[r["doc_id"]]) for r in out if not r["n_removed"] <= r["n_shared"] <= most[r["doc_id"]]]
         assert not bad, bad

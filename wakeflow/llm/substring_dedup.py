@@ -291,7 +291,7 @@ def _repeated(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return same, lead
 
 
-def remove_repeats(docs: DataFrame, least: int = 400, hint: int = 300) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 400, hint: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, n_shared, kept_sha256 and kept_text (null where nothing was removed) of every row.
 
     kept_text drops the bytes of letters that a removed run cuts apart; kept_sha256 does not.

@@ -19,8 +19,8 @@ the same doc_id and other texts are documents of their own; a null doc_id comes
 an empty table gives an empty result; other columns stay unless they clash with the
 names added here, which win.
 
-Scale: one row of numbers per chunk or window is shuffled for the counts (with partial
-aggregation, so a hot chunk is a row per map task) and one for the join back, which
+Scale: one row of numbers per chunk or window is written once, and shuffled for the
+counts (with partial aggregation, so a hot chunk is a row per map task) and one for the join back, which
 AQE may split. Texts are shuffled by document only; repeated runs are cut out of
 them for the comparison. Nothing is collected.
 """
@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeflow.llm.common import free
+from wakeflow.llm.common import free, written
 from wakeflow.llm.quality_rules import text_words
 
 
@@ -78,7 +78,7 @@ def find(docs: DataFrame, limits: ChunkLimits | None = None) -> DataFrame:
     """doc_id, hash and ``spans`` (array of line ranges to remove) of the documents that lose lines."""
     limits = limits or ChunkLimits()
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    items = _items(docs, limits, windows=True)
+    items = written(_items(docs, limits, windows=True))  # counted, and joined with the counts
     first = items.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "hash", "s", "e")).alias("first")).filter("times > 1")
     marked = items.join(first, "key")
     repeat = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")) & (F.col("s") == F.col("first.s")) & (F.col("e") == F.col("first.e")))

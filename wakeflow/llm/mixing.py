@@ -28,7 +28,6 @@ the documents of 1 / BLOCKS**LEVELS of a source.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 from pyspark.sql import DataFrame, Window

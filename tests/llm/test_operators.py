@@ -488,3 +488,24 @@ def test_pipeline(spark, docs, none, texts, tmp_path):
     assert Counter((r["doc_id"], r["mix_copy"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == once
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_components(spark, none):
+    from wakeflow.llm.components import components
+
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(0, 60)] + [(200 + rng.randrange(80), 200 + rng.randrange(80)) for _ in range(70)] + [(500, 499 - i) for i in range(30)] + [(7, 7), (500, 490)]
+    parent = {x: x for e in links for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        i, j = sorted((root(a), root(b)))
+        parent[j] = i
+    alone = {x for x in parent if not any(x in e and e[0] != e[1] for e in links)}
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in parent if x not in alone}
+    assert components(none.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))).count() == 0

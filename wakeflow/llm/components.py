@@ -1,4 +1,4 @@
-"""Connected components of links by label propagation with pointer jumping."""
+"""Connected components of links by contraction."""
 
 from __future__ import annotations
 
@@ -8,25 +8,29 @@ from pyspark.sql import functions as F
 from wakeflow.llm.common import written
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
-    """node, comp (the smallest node that links reach) for every node of ``links`` (a, b long).
+def components(links: DataFrame) -> DataFrame:
+    """node, comp (the smallest node that links reach) for every node that ``links`` (a, b long) tie to another.
 
-    Each round takes the smallest label among a node and its neighbours, then twice the
-    label of that label, so rounds follow the logarithm of a component's width. Labels are
-    written each round; only whether any changed comes to the driver. With ``rounds``, the
-    labels that so many rounds reach: parts of components, for dealing work out.
+    Each round takes every node to the smallest of itself and its neighbours, and on to
+    where that one goes; links between nodes that went to one place are gone, equal ones
+    are one, and the next round sees what is left. So the rows of all rounds together
+    follow the links, and rounds the logarithm of a component's width. Tables are written
+    each round; only whether any link is left comes to the driver.
     """
-    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")))
-    done = 0
-    while rounds is None or done < rounds:
-        near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
-        low = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", F.col("comp"))).alias("comp"))
-        for i in range(2):
-            jump = labels.select(F.col("node").alias(f"at{i}"), F.col("comp").alias("next"))
-            low = low.join(jump, F.col("comp") == F.col(f"at{i}"), "left").select("node", "old", F.least("comp", F.coalesce("next", F.col("comp"))).alias("comp"))
-        new = written(low)
-        labels, done = new.select("node", "comp"), done + 1
-        if new.filter("comp <> old").isEmpty():
-            break
-    return labels
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    labels = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("low")))
+        on = low.select(F.col("node").alias("at"), F.col("low").alias("next"))
+        step = written(low.join(on, F.col("low") == F.col("at")).select("node", F.least("low", "next").alias("to")))
+        if labels is None:
+            labels = step.select("node", F.col("to").alias("comp"))
+        else:
+            moved = step.select(F.col("node").alias("at"), "to")
+            labels = written(labels.join(moved, F.col("comp") == F.col("at"), "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        for end in ("a", "b"):
+            edges = edges.join(step.withColumnRenamed("to", f"to_{end}"), F.col(end) == F.col("node")).drop("node", end)
+        edges = written(edges.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).filter("a < b").distinct())
+        if edges.isEmpty():
+            return labels

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeflow.llm import decontaminate, jaccard_join, kneser_ney, langid_crf, lattice_lm, line_dedup, mixing, quality_rules, substring_dedup, toxicity_gru
+from wakeflow.llm import decontaminate, divergence, exact_dedup, jaccard_join, kneser_ney, langid_crf, lattice_lm, lexical_search, line_dedup, mixing, quality_rules, substring_dedup, toxicity_gru
 from wakeflow.llm.common import read
 
 
@@ -50,6 +50,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(read(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -61,6 +73,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL = {
@@ -86,5 +101,49 @@ with d as (select doc_id, source, coalesce(text, '') as t from documents),
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words, base_failed,
        (not base_failed and word_chars - removed_chars >= 40 and word_chars - removed_chars >= 0.3 * word_chars) as kept, removed_chars
 from f
+""",
+    "op11_exact_dedup": r"""
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+       doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
+from d
+""",
+    "op12_source_divergence": r"""
+with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+     tok as (select doc_id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+     kept as (select lang, term from tok group by all having count(distinct doc_id) >= 10),
+     v as (select lang, count(*) as v from kept group by all),
+     grp as (select g.lang, g.source, coalesce(v.v, 0) as v from (select distinct lang, source from d) g left join v on g.lang = v.lang),
+     c as (select tok.lang, tok.source, tok.term, count(*) as c from tok join kept on tok.lang = kept.lang and tok.term = kept.term group by all),
+     n as (select lang, source, sum(c)::bigint as n from c group by all),
+     ln as (select lang, term, sum(c)::bigint as c from c group by all),
+     lt as (select lang, sum(c)::bigint as n from ln group by all),
+     p as (select g.lang, g.source, k.term, coalesce(c.c, 0) as c, 1 + (1000000000 * (coalesce(c.c, 0) + 2)) // (coalesce(n.n, 0) + 2 * g.v) as p
+           from grp g join kept k on g.lang = k.lang
+           left join n on n.lang = g.lang and n.source = g.source
+           left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+     q as (select ln.lang, ln.term, 1 + (1000000000 * (ln.c + 2)) // (lt.n + 2 * v.v) as q from ln join lt on ln.lang = lt.lang join v on v.lang = ln.lang),
+     f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value
+           from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+     pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0) as value
+              from grp a join grp b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+     term as (select p.lang, p.source, 'term' as part, p.term as item, ((p.p - q.q) * (p.p - q.q) // (p.p + q.q)) as value
+              from p join q on p.lang = q.lang and p.term = q.term where p.c > 0 and p.p > q.q),
+     r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from pair union all select * from term))
+select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 10
+""",
+    "op13_lexical_search": r"""
+with d as (select row_number() over () as row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+     tok as (select row, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+     len as (select row, count(*) as n from tok group by all),
+     total as (select count(*) as n, sum(n)::bigint as l from len),
+     tf as (select row, doc_id, term, count(*) as tf from tok group by all),
+     q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+     w as (select term, floor(1000 * ln((2 * total.n + 2)::double / (2 * count(*) + 1)))::bigint as w from tf, total group by term, total.n),
+     s as (select q.item_id, tf.row, tf.doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (100 - 50 + (50 * len.n * total.n) // total.l))))::bigint as score
+           from q join tf on q.term = tf.term join w on w.term = q.term join len on len.row = tf.row, total group by all),
+     r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 50
 """,
 }

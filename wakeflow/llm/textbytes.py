@@ -133,3 +133,28 @@ def sum_by(first: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of ``values`` by document."""
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     return total[first[1:]] - total[first[:-1]]
+
+
+#: Terms are runs of ASCII letters and bytes outside ASCII, with digits or without.
+LETTERS = np.arange(256) >= 128
+LETTERS[65:91] = LETTERS[97:123] = True
+LETTERS_DIGITS = LETTERS.copy()
+LETTERS_DIGITS[48:58] = True
+
+
+def terms(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The runs of bytes of a ``kind`` in order, A-Z lower-cased, as a dictionary array of the very strings, and the first of each document."""
+    inside = kind[data]
+    starts, ends, first = spans(data, offsets, inside)
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    flat = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(LOWER[data[inside]])])
+    return flat.dictionary_encode(), first
+
+
+def term_counts(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Distinct terms by document: document, code, occurrences; the terms by code; the number of terms of each document."""
+    found, first = terms(data, offsets, kind)
+    size = max(1, len(found.dictionary))
+    key, times = np.unique(rows_of(first) * size + found.indices.to_numpy(), return_counts=True)
+    return key // size, key % size, times, found.dictionary, np.diff(first)

@@ -45,7 +45,7 @@ def digest(text: Column) -> Column:
 def heavy_digests(keys: DataFrame) -> DataFrame:
     """The at most HEAVY digests with the largest counters (hex strings in ``heavy``)."""
     parts = keys.select(F.hex("digest").alias("heavy"), F.spark_partition_id().alias("part")).groupBy((F.col("part") % FAN_IN).alias("part"))
-    merged = parts.agg(F.expr(f"approx_top_k_accumulate(heavy, {TRACKED})").alias("s")).groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"))
+    merged = parts.agg(F.expr(f"approx_top_k_accumulate(heavy, {TRACKED})").alias("s")).groupBy(F.lit("all").alias("all")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"))
     return merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {HEAVY})")).alias("e")).select("e.item").withColumnRenamed("item", "heavy").filter("heavy is not null")
 
 

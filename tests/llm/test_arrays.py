@@ -2,6 +2,7 @@
 
 import base64
 import math
+import random
 import re
 
 import numpy as np
@@ -165,3 +166,64 @@ def test_shingles():
     assert list(np.diff(first)) == [2, 2, 1, 0, 2]
     cls = jaccard_join.class_ids(sets, first)
     assert cls[0] == cls[1] and len(set(cls[[0, 2, 4]])) == 3
+
+
+def _distance(item: bytes, text: bytes) -> int:
+    """Least edits of ``item`` against any part of ``text``."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item):
+        last, row = row, [i + 1]
+        for j, b in enumerate(text):
+            row.append(min(last[j] + (a != b), last[j + 1] + 1, row[j] + 1))
+    return min(row)
+
+
+@pytest.mark.parametrize(("postings", "often"), [(1_000_000, 256), (40, 256), (40, 3), (1_000_000, 3)])
+def test_items_of_many_lengths_and_stock_phrases(postings, often, monkeypatch):
+    """Long items beside short ones, a phrase that items share, an item that repeats itself: each as edit distance has it."""
+    monkeypatch.setattr(decontaminate, "POSTINGS", postings)
+    monkeypatch.setattr(decontaminate, "OFTEN", often)
+    rng = random.Random(4)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    stock = "what is the right answer to this one: "
+    items = [own(rng.randint(31, 90)) for _ in range(12)] + [stock + own(rng.randint(20, 60)) for _ in range(12)] + [own(600), "ab" * 60, own(12)]
+    texts = []
+    for i, t in enumerate(items):
+        b = list(t)
+        for _ in range(len(t) // (9 if i % 5 == 4 else 20) if len(t) > 30 else 0):
+            b[rng.randrange(len(b))] = rng.choice(["", "x", "yz"])
+        texts.append(own(rng.randint(0, 50)) + "".join(b) + own(rng.randint(0, 50)))
+    texts += ["ab" * 45, stock * 3, own(200)]
+    got = {(d, i): x for d, i, x, *_ in decontaminate.Index(list(enumerate(items))).search(*tb.column_bytes(pa.array(texts)))}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            k = len(x) // 10 if len(x) - 6 - len(x) // 10 * 7 > 0 else 0
+            if (e := _distance(x.encode(), t.encode())) <= k:
+                want[d, i] = e
+    assert got == want and len(want) > 20
+
+
+def test_a_long_item_hides_no_short_one():
+    """Many short items beside one of 120,000 bytes, in a text of 900 KB: no number in the search overflows."""
+    rng = np.random.default_rng(2)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    item, long, text = (letters[rng.integers(0, 26, n)].tobytes().decode() for n in (30, 120_000, 900_000))
+    items = [(i, letters[rng.integers(0, 26, 30)].tobytes().decode()) for i in range(50_000)] + [(10**6, item), (10**6 + 1, long)]
+    found = decontaminate.Index(items).search(*tb.column_bytes(pa.array([text[:800_000] + item + text[800_000:]])))
+    assert [(f[1], f[2], f[3]) for f in found] == [(50_000, 0, 800_000)]
+
+
+def test_a_phrase_of_all_items_stays_in_bounds(monkeypatch):
+    """Many items of one stock phrase against its many places: postings are expanded part by part."""
+    monkeypatch.setattr(decontaminate, "POSTINGS", 5000)
+    monkeypatch.setattr(decontaminate, "OFTEN", 50)
+    parts, counted = [], decontaminate.Index._counted
+    monkeypatch.setattr(decontaminate.Index, "_counted", lambda self, offsets, at, begin, count: parts.append(count.sum()) or counted(self, offsets, at, begin, count))
+    rng = random.Random(8)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    stock = "which of these is the best answer "
+    items = [(i, stock + own(60)) for i in range(300)]
+    text = " ".join(stock + own(30) for _ in range(40)) + items[77][1] + own(5)
+    found = decontaminate.Index(items).search(*tb.column_bytes(pa.array([text])))
+    assert [(f[1], f[2]) for f in found] == [(77, 0)] and len(parts) > 5 and max(parts) <= 5000

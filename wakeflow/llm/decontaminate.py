@@ -12,8 +12,14 @@ about 30 bytes) are looked up as they are, without edits; null items are skipped
 repeated rows give repeated results; equal items each match; an empty table on either
 side gives an empty result; other columns are ignored.
 
-Scale: texts are read once in Arrow batches and never shuffled. Items are broadcast in
-slabs of at most ``slab_bytes``; a larger benchmark takes more passes, not more memory.
+Scale: texts are read once a slab in Arrow batches and never shuffled. Items are broadcast in
+slabs of about ``slab_bytes`` (some 30 bytes a byte of text), one at a time: a slab's
+matches are written and its broadcast released before the next is indexed, so a larger
+benchmark takes more passes, not more memory. Equal items are one entry. Of grams that very
+many items share, an item leaves out as many as its bound allows and lowers the bound by
+their number; what is found so must meet the whole bound before it is aligned. Postings are
+expanded in parts of at most POSTINGS and candidates aligned in parts of CELLS, so a
+phrase of all items costs time, not memory.
 """
 
 from __future__ import annotations
@@ -24,12 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeflow.llm import textbytes as tb
-from wakeflow.llm.common import free
+from wakeflow.llm.common import free, written
 
 Q = 7
 RATE = 0.1
 NORMAL = tb.LOWER.copy()
 NORMAL[tb.SPACE] = 32
+#: postings that are expanded, and cells of an alignment that are held, at once
+POSTINGS = 1_000_000
+CELLS = 2_000_000
+#: places of a gram in the items of a slab from which on items do without it if they can
+OFTEN = 256
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
 
 
@@ -46,8 +57,11 @@ class Index:
     """q-grams of a slab of items: sorted codes, their places, and budgets."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.data, self.offsets = tb.column_bytes(pa.array([t for _, t in items], pa.string()))
+        same: dict[str, list[int | None]] = {}
+        for i, t in items:
+            same.setdefault(t, []).append(i)
+        self.ids = list(same.values())  # of each text
+        self.data, self.offsets = tb.column_bytes(pa.array(list(same), pa.string()))
         self.data = NORMAL[self.data]
         m = np.diff(self.offsets)
         self.k = np.floor(RATE * m).astype(np.int64)
@@ -58,10 +72,23 @@ class Index:
         item = np.repeat(np.arange(len(m)), m)
         full = place + Q <= self.offsets[1:][item] if len(place) else np.zeros(0, bool)
         code, place, item = _grams(self.data)[full], place[full], item[full]
-        order = np.argsort(code, kind="stable")
-        self.codes, self.first = np.unique(code[order], return_index=True)
-        self.first = np.append(self.first, len(order))
-        self.item, self.pos = item[order], (place - self.offsets[item])[order]
+        order = np.argsort(code, kind="stable")  # by gram, item and place
+        self.codes, gram = np.unique(code[order], return_inverse=True)
+        item, pos = item[order], (place - self.offsets[item])[order]
+        # grams of very many places are left out of an item's bound, the most frequent first, as long as one is needed
+        times = np.bincount(gram, minlength=1)[gram] if len(gram) else gram
+        often = np.flatnonzero(times > OFTEN)
+        often = often[np.lexsort((gram[often], -times[often], item[often]))]
+        nth = np.arange(len(often)) - np.searchsorted(item[often], item[often])
+        left_out = often[nth < self.need[item[often]] - 1]
+        self.least = self.need - np.bincount(item[left_out], minlength=len(m))
+        kept = np.ones(len(order), bool)
+        kept[left_out] = False
+        gram, item, pos = gram[kept], item[kept], pos[kept]
+        here, gram = np.unique(gram, return_inverse=True)
+        self.codes = self.codes[here]
+        self.item, self.pos = item.astype(np.int32), pos.astype(np.int32)
+        self.order = gram.astype(np.int64) * len(self.ids) + self.item
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self._slot(self.codes)] = True
         # items without a q-gram, by length: their sorted bytes as numbers, and the items of each
@@ -79,7 +106,7 @@ class Index:
             hi = int(lo * 1.3) + 1
             own = np.flatnonzero((m >= lo) & (m < hi))
             if len(own):
-                self.sieve.append((int((m[own] + self.k[own]).max()), int(self.need[own].min())))
+                self.sieve.append((int((m[own] + self.k[own]).max()), int(self.least[own].min())))
             lo = hi
 
     @staticmethod
@@ -114,13 +141,11 @@ class Index:
                 keep |= np.cumsum(mark[:-1]) > 0
         at, where = at[keep], where[keep]
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for i in range(0, len(at), 100_000):  # bounded expansion; runs overlap by the longest item
-            longest = int(np.diff(self.offsets).max())
-            end = int(np.searchsorted(at, at[min(i + 99_999, len(at) - 1)] + 3 * longest))
-            for doc, item, d, s, e in self._regions(data, offsets, at[i:end], where[i:end]):
-                old = found.get((doc, item))
-                if old is None or (d, s) < old[:2]:
-                    found[doc, item] = (d, s, e)
+        for doc, item, band in self._bands(offsets, at, where, 0, len(self.ids)):
+            for d, i, distance, s, e in self._aligned(data, offsets, doc, item, band):
+                old = found.get((d, i))
+                if old is None or (distance, s) < old[:2]:
+                    found[d, i] = (distance, s, e)
         return sorted(short + [(doc, item, *x) for (doc, item), x in found.items()])
 
     def _exact(self, code, offsets):
@@ -136,36 +161,82 @@ class Index:
                 for item in items[which[i]].tolist():
                     yield d, item, 0, int(i - offsets[d]), int(i - offsets[d] + size)
 
-    def _regions(self, data, offsets, at, where):
-        count = self.first[where + 1] - self.first[where]
-        posting = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[where], count)
+    def _bands(self, offsets, at, where, lo, hi):
+        """(documents, items, bands) that meet the bound, of the items lo to hi - 1: in parts of at most POSTINGS postings.
+
+        Postings are halved by items, and those of a single item by places of the text. Where
+        even an item and a text not much longer than it have more, the item repeats itself:
+        all its bands there are taken, for alignment decides.
+        """
+        if not len(at):
+            return
+        grams, which = np.unique(where, return_inverse=True)
+        base = grams.astype(np.int64) * len(self.ids)
+        begin, end = np.searchsorted(self.order, base + lo), np.searchsorted(self.order, base + hi)
+        count = (end - begin)[which]
+        if count.sum() <= POSTINGS:
+            yield from self._counted(offsets, at, begin[which], count)
+        elif hi - lo > 1:
+            some = count > 0
+            for a, b in ((lo, (lo + hi) // 2), ((lo + hi) // 2, hi)):
+                yield from self._bands(offsets, at[some], where[some], a, b)
+        else:
+            at, where = at[count > 0], where[count > 0]
+            m = int(self.offsets[lo + 1] - self.offsets[lo])
+            middle = (at[0] + at[-1]) // 2
+            if at[-1] - at[0] > 16 * m:
+                for part in (at <= middle + 2 * m, at >= middle - 2 * m):  # an occurrence stands in one of them
+                    yield from self._bands(offsets, at[part], where[part], lo, hi)
+            else:
+                doc = np.unique(np.searchsorted(offsets, at, "right") - 1)
+                w = int(self.k[lo]) + 1
+                for d in doc.tolist():
+                    own = at[(at >= offsets[d]) & (at < offsets[d + 1])] - offsets[d]
+                    band = np.arange((own[0] - m) // w - 1, own[-1] // w + 1)
+                    yield np.full(len(band), d), np.full(len(band), lo), band
+
+    def _counted(self, offsets, at, begin, count):
+        posting = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
         at = np.repeat(at, count)
-        item = self.item[posting]
+        item, pos = self.item[posting].astype(np.int64), self.pos[posting].astype(np.int64)
         doc = np.searchsorted(offsets, at, "right") - 1
-        width = self.k[item] + 1
-        diagonal = at - offsets[doc] - self.pos[posting]  # place of the item's start in the document
-        band = np.floor_divide(diagonal, width)
-        n_docs, n_items = len(offsets), len(self.ids)
-        key = np.concatenate([band, band - 1]) + 2  # overlapping bands: [b, b + 2) widths
-        doc2, item2 = np.concatenate([doc, doc]), np.concatenate([item, item])
-        key = (key.clip(0) * n_docs + doc2) * n_items + item2
-        # a place of the item counts once in a band, however many places of the text repeat it
-        longest = int(np.diff(self.offsets).max()) + 1
-        key = np.sort(key * longest + np.concatenate([self.pos[posting], self.pos[posting]]))
-        key = key[np.append(True, key[1:] != key[:-1])[: len(key)]] // longest
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        key, times = key[first], np.diff(np.append(first, len(key)))
-        item, doc, band = key % n_items, key // n_items % n_docs, key // n_items // n_docs - 2
-        good = times >= self.need[item]
-        item, doc, band = item[good], doc[good], band[good]
+        band = np.floor_divide(at - offsets[doc] - pos, self.k[item] + 1)  # of the place of the item's start in the document
+        # overlapping bands: [b, b + 2) widths. A place of the item counts once in a band, however many places of the text repeat it
+        pair = np.concatenate([doc * len(self.ids) + item] * 2)
+        band, pos = np.concatenate([band, band - 1]), np.concatenate([pos, pos])
+        order = np.lexsort((pos, band, pair))
+        pair, band, pos = pair[order], band[order], pos[order]
+        group = np.append(True, (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])) if len(pair) else np.zeros(0, bool)
+        new = group.copy()
+        new[1:] |= pos[1:] != pos[:-1]
+        first = np.flatnonzero(group)
+        times = np.add.reduceat(new.astype(np.int64), first) if len(first) else first
+        good = first[times >= self.least[pair[first] % len(self.ids)]]
+        if len(good):
+            yield pair[good] // len(self.ids), pair[good] % len(self.ids), band[good]
+
+    def _shares(self, text, item):
+        own = self.data[self.offsets[item] : self.offsets[item + 1]]
+        return self.least[item] == self.need[item] or np.isin(_grams(own)[: len(own) - Q + 1], _grams(text)[: max(0, len(text) - Q + 1)]).sum() >= self.need[item]
+
+    def _aligned(self, data, offsets, doc, item, band):
+        """(document, item, distance, start, end) of the bands in which the item occurs."""
         w, m = self.k[item] + 1, self.offsets[item + 1] - self.offsets[item]
         lo = np.maximum(0, band * w)
         begin, end = offsets[doc] + lo, np.minimum(offsets[doc + 1], offsets[doc] + (band + 2) * w + m + w)
-        for i in range(0, len(item), 256):
-            c = slice(i, i + 256)
+        order, at = np.argsort(w, kind="stable"), 0
+        if (self.least < self.need)[item].any():  # found by some of their grams: the bound on all of them comes first
+            order = order[[self._shares(data[begin[c] : end[c]], item[c]) for c in order]]
+        while at < len(order):
+            # as many candidates side by side as CELLS hold
+            size = min(256, len(order) - at)
+            while size > 1 and size * (4 * int(w[order[at + size - 1]]) + 3) > CELLS:
+                size //= 2
+            c = order[at : at + size]
             found = align(self.data, self.offsets[item[c]], m[c], data, begin[c], np.maximum(end[c] - begin[c], 0), band[c] * w[c] - lo[c], 2 * w[c], self.k[item[c]])
-            for at in np.flatnonzero(found[0] <= self.k[item[c]]):
-                yield int(doc[i + at]), int(item[i + at]), int(found[0][at]), int(lo[i + at] + found[1][at]), int(lo[i + at] + found[2][at])
+            for i in np.flatnonzero(found[0] <= self.k[item[c]]):
+                yield int(doc[c[i]]), int(item[c[i]]), int(found[0][i]), int(lo[c[i]] + found[1][i]), int(lo[c[i]] + found[2][i])
+            at += size
 
 
 def align(items, item_at, m, data, text_at, length, shift, band, k):
@@ -185,7 +256,17 @@ def align(items, item_at, m, data, text_at, length, shift, band, k):
     row = np.where(own & (column >= 0) & (column <= length[:, None]), 0, big)
     start = column.copy()
     edge = np.full((len(m), 1), big)
+    out = np.full((3, len(m)), big)
+    of = np.arange(len(m))
     for i in range(int(m[0])):
+        if i % 16 == 15:  # whose best is over its budget already goes; whose item has ended stays
+            on = (row.min(axis=1) <= k) | (m <= i)
+            if not on.any():
+                break
+            if not on.all():
+                of, item_at, m, text_at, length, k, row, start, column, own, edge = (x[on] for x in (of, item_at, m, text_at, length, k, row, start, column, own, edge))
+            if m[0] <= i:
+                break
         n = int(np.searchsorted(-m, -i, "left"))  # items longer than i
         j, tl = column[:n] + i, length[:n, None]
         inside = (j >= 0) & (j < tl)
@@ -199,10 +280,8 @@ def align(items, item_at, m, data, text_at, length, shift, band, k):
         row[:n] = np.where(own[:n] & (j + 1 >= 0) & (j + 1 <= tl), low + steps, big)
         start[:n] = np.take_along_axis(origin, source, axis=1)
     best, rows = row.argmin(axis=1), np.arange(len(m))
-    out = np.stack([row[rows, best], np.maximum(start[rows, best], 0), column[rows, best] + m])
-    back = np.empty_like(out)
-    back[:, order] = out
-    return back
+    out[:, order[of]] = np.stack([row[rows, best], np.maximum(start[rows, best], 0), column[rows, best] + m])
+    return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, slab_bytes: int = 8 << 20) -> DataFrame:
@@ -214,7 +293,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, slab_bytes: int = 8 << 20) ->
     out = spark.createDataFrame([], SCHEMA)
     for slab in range(slabs):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slabs)) == slab).collect()  # about slab_bytes
-        out = out.unionByName(_search(docs, spark.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in own)))))
+        index = spark.sparkContext.broadcast(Index(sorted(((r["item_id"], r["text"]) for r in own), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))))
+        out = out.unionByName(written(_search(docs, index)))
+        index.unpersist()
     return out
 
 
@@ -223,10 +304,10 @@ def _search(docs: DataFrame, index) -> DataFrame:
         for batch in batches:
             ids, rows = batch.column("doc_id"), []
             for lo, _, data, offsets in tb.chunks(batch.column("text"), 1 << 20):
-                rows += [(lo + d, i, dist, s, e) for d, i, dist, s, e in index.value.search(data, offsets)]
+                rows += [(lo + d, own, dist, s, e) for d, i, dist, s, e in index.value.search(data, offsets) for own in index.value.ids[i]]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(cols[0], pa.int64())), pa.array([index.value.ids[i] for i in cols[1]], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
+                [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
                 ["doc_id", "item_id", "distance", "start", "end"],
             )
 

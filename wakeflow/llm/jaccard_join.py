@@ -1,7 +1,7 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document is the set of its distinct word shingles, by 64-bit hashes. Documents of
-equal sets are one class. Shingles are ordered from rare to frequent (those frequent
+equal sets are one class, by two such hashes of the whole set. Shingles are ordered from rare to frequent (those frequent
 in some chunk of documents are counted over the corpus; all others come first, by
 hash), and classes with the same prefix and size form one group. Groups that share a
 prefix shingle meet in that shingle's run; sizes, positions and 256-bit parity
@@ -28,6 +28,8 @@ of deciding all its pairs. At most FREQUENT shingles are broadcast.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -48,6 +50,8 @@ SIGNATURE = [f"sig{i}" for i in range(WORDS)]
 TELLS = 90
 #: counts of a histogram
 COUNTS = 1024
+#: bits of a set's hash that are its class
+CLASS_BITS = 64
 #: a run of more documents is split; in runs of more classes than LONG, classes that are tied already are not compared again
 RUN, LONG = 16_384, 64
 #: a clump of more classes, or more shingles, is split into blocks
@@ -75,10 +79,26 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return out, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def class_ids(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64-bit hash of each set."""
+def class_ids(sets: np.ndarray, first: np.ndarray, renamed: dict[tuple[int, int], int] | None = None, bits: int = CLASS_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set. The first is its class, but for those ``renamed`` by both."""
     total = tb.sum_by(first, tb.mix64(sets ^ np.uint64(0x5851F42D4C957F2D)))
-    return tb.mix64(total + np.diff(first).astype(np.uint64)).view(np.int64)
+    cls = tb.mix64(total + np.diff(first).astype(np.uint64)).view(np.int64) >> np.int64(64 - bits)
+    check = tb.mix64(tb.sum_by(first, tb.mix64(sets * np.uint64(0xFF51AFD7ED558CCD) ^ np.uint64(0x14057B7EF767814F)))).view(np.int64)
+    if renamed:
+        cls = np.array([renamed.get(x, x[0]) for x in zip(cls.tolist(), check.tolist(), strict=True)], np.int64)
+    return cls, check
+
+
+def _renamed(labelled: DataFrame) -> dict[tuple[int, int], int]:
+    """New classes of the sets whose class has other sets too, by their second hash: one in 2^64 pairs of sets, so a few hundred of 10^11 sets."""
+    full = labelled.filter("n > 0").select("cls", "check")
+    shared = full.groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a < b").select("cls")
+    found = sorted((r["cls"], r["check"]) for r in full.join(shared, "cls", "left_semi").distinct().collect())
+    taken = {c for c, _ in found}
+    out, free_ = {}, itertools.count()
+    for pair in found:
+        out[pair] = next(x for x in (int(tb.mix64(np.array([i], np.uint64))[0].astype(np.int64)) for i in free_) if x not in taken)
+    return out
 
 
 def need(n1, n2, percent: int):
@@ -142,11 +162,12 @@ def _parity(mixed: np.ndarray, doc: np.ndarray, n: int, words: int) -> np.ndarra
     return (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
 
 
-def _postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
+def _postings(docs: DataFrame, k: int, percent: int, frequent, renamed) -> DataFrame:
     """token, part, n, pos, grp, cls and signature of the prefix shingles of each document that is new to its task.
 
     A frequent shingle's run has parts; a row goes to each pair of parts that has its own.
     """
+    bits = CLASS_BITS
 
     def run(batches):
         token, count = frequent.value
@@ -154,7 +175,7 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in tb.chunks(batch.column("text")):
                 sets, first = shingle_sets(data, offsets, k)
-                cls, n = class_ids(sets, first), np.diff(first)
+                cls, n = class_ids(sets, first, renamed, bits)[0], np.diff(first)
                 _, one = np.unique(cls, return_index=True)
                 one = np.array([i for i in one if n[i] and int(cls[i]) not in known], np.int64)
                 if len(known) < 1_000_000:
@@ -172,7 +193,7 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 order = np.lexsort((sets, rank, doc))
                 rank, sets, pos = rank[order], sets[order], np.arange(len(sets)) - np.repeat(np.cumsum(size) - size, size)
                 mixed = tb.mix64(sets)
-                bits = _parity(mixed, doc, len(one), WORDS)
+                sig = _parity(mixed, doc, len(one), WORDS)
                 prefix = size - (-(-percent * size // 100)) + 1  # two linked sets share one of these
                 keep = pos < prefix[doc]
                 start = np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -187,7 +208,7 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 part = np.minimum(own, other) << 20 | np.maximum(own, other)
                 doc, sets, pos = doc[to], sets[to], pos[to]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sets.view(np.int64)), pa.array(part), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(grp[doc]), pa.array(cls[one][doc]), *[pa.array(bits[doc, i].view(np.int64)) for i in range(WORDS)]],
+                    [pa.array(sets.view(np.int64)), pa.array(part), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(grp[doc]), pa.array(cls[one][doc]), *[pa.array(sig[doc, i].view(np.int64)) for i in range(WORDS)]],
                     ["token", "part", "n", "pos", "grp", "cls", *SIGNATURE],
                 )
 
@@ -456,25 +477,31 @@ def _grouped(docs: DataFrame, k: int, percent: int, tie: bool) -> DataFrame:
     """doc_id, hash (of the text), cls, n, n_links, comp and component_id of every row; ``tie``: rows of one doc_id are one document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
+    bits = CLASS_BITS
 
     def label(batches):
         for batch in batches:
-            ids, n, sig = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            ids, n, sig = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int64)], []
             for _, _, data, offsets in tb.chunks(batch.column("text")):
                 sets, first = shingle_sets(data, offsets, k)
-                ids.append(class_ids(sets, first))
+                ids.append(np.stack(class_ids(sets, first, bits=bits)))
                 n.append(np.diff(first))
                 some = np.flatnonzero(large(n[-1] * 100 // percent, percent))  # by the largest that it may link with
                 body = dict(zip(some.tolist(), histograms(sets, first, some), strict=True))
                 sig += [body[i].tobytes() if i in body else None for i in range(len(n[-1]))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(np.concatenate(ids)), pa.array(np.concatenate(n).astype(np.int64)), pa.array(sig, pa.binary())], ["doc_id", "hash", "cls", "n", "sig"])
-
-    labelled = written(docs.mapInArrow(label, "doc_id long, hash long, cls long, n long, sig binary"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *map(pa.array, np.concatenate(ids, axis=1)), pa.array(np.concatenate(n).astype(np.int64)), pa.array(sig, pa.binary())], ["doc_id", "hash", "cls", "check", "n", "sig"])
+
+    labelled = written(docs.mapInArrow(label, "doc_id long, hash long, cls long, check long, n long, sig binary"))
+    renamed = _renamed(labelled)
+    if renamed:
+        other = F.create_map(*[F.lit(x) for (c, check), new in renamed.items() for x in (f"{c}:{check}", new)])
+        labelled = labelled.withColumn("cls", F.coalesce(F.try_element_at(other, F.concat_ws(":", "cls", "check")), "cls"))
+    labelled = labelled.drop("check")
     rows = labelled.drop("sig")
     full = rows.filter("n > 0")
     classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min(_row_key()).alias("of"), F.max("n").alias("n"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, k))
-    postings = _postings(docs, k, percent, frequent).repartition("token", "part").sortWithinPartitions("token", "part", "n", "grp", "cls")
+    postings = _postings(docs, k, percent, frequent, renamed).repartition("token", "part").sortWithinPartitions("token", "part", "n", "grp", "cls")
     ties = cut(postings.mapInArrow(_sieve(percent), "a long, b long, weak boolean").distinct())
     near = labelled.filter(F.col("sig").isNotNull()).select("cls", "n", "sig").dropDuplicates(["cls"])
     refined = cut(_in_places(_dealt(components(ties.filter("weak").select("a", "b")), near, 1 << 62).select("clump", "blocks", "side", "cls", "n", "sig")).mapInArrow(_refine(percent), "a long, b long"))

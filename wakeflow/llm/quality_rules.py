@@ -63,12 +63,13 @@ def _base(docs: DataFrame) -> DataFrame:
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"),
+        F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"), "w",
     )
     windows = F.transform("hashes", lambda h, i: F.xxhash64(h, *[F.get(F.col("hashes"), i + k) for k in range(1, 5)]))
     one = one.withColumn("windows", F.slice(windows, F.lit(1), F.greatest(F.col("n_words") - 4, F.lit(0)).cast("int"))).drop("hashes")
     # Most texts repeat no window. In the others, window hashes give their lowest
-    # bits to the position, so that one sort of numbers puts equal windows side by side.
+    # bits to the position, so that one sort of numbers puts windows that may be equal
+    # side by side; of these, which are few, the words are compared.
     bits = F.length(F.bin("n_words")).cast("int")
     packed = F.transform("windows", lambda h, i: F.call_function("shiftleft", F.call_function("shiftright", h, F.col("bits")), F.col("bits")).bitwiseOR(i.cast("long")))
     one = one.withColumn("bits", bits).withColumn("sorted", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(packed))).drop("windows")
@@ -76,7 +77,11 @@ def _base(docs: DataFrame) -> DataFrame:
     same = lambda x, j: F.coalesce(high(F.get(F.col("sorted"), j)) == high(x), F.lit(False))
     again = F.filter("sorted", lambda x, j: same(x, j + 1) | F.when(j > 0, same(x, j - 1)).otherwise(False))
     position = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1)
-    one = one.withColumn("again", F.sort_array(F.transform(again, position))).drop("sorted")
+    named = F.transform(F.transform(again, position), lambda p: F.struct(F.array_join(F.slice("w", p.cast("int") + 1, F.lit(5)), " ").alias("words"), p.alias("p")))
+    one = one.withColumn("named", F.sort_array(named)).drop("sorted", "w")
+    words = lambda j: F.get(F.col("named"), j)["words"]
+    equal = F.filter("named", lambda x, j: F.coalesce(words(j + 1) == x["words"], F.lit(False)) | F.when(j > 0, words(j - 1) == x["words"]).otherwise(False))
+    one = one.withColumn("again", F.sort_array(F.transform(equal, lambda x: x["p"]))).drop("named")
     covered = F.aggregate(F.transform("again", lambda p, j: F.least(F.lit(5).cast("long"), F.coalesce(F.get(F.col("again"), j + 1) - p, F.lit(5).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b)
     return one.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("again", "bits")
 

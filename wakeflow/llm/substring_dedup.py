@@ -17,8 +17,9 @@ where their regions meet, so at most all there are.
 Defined cases: null, empty and short texts keep all; rows that repeat a doc_id are
 texts of their own, so equal rows remove each other; an empty table gives an empty
 result; other columns are ignored. No text is too long; a text over the chunk size is
-a chunk. Hashes only bring strings together, except that regions whose 64-bit hashes
-agree, over mixed windows of bytes, count as equal.
+a chunk. A class is the head of a text's SHA-256; where it heads several texts, these get
+classes by their whole digests. Hashes only bring strings together, except that regions
+with a common K-gram whose 64-bit hashes agree, over mixed windows of bytes, count as equal.
 
 Scale: numbers of regions are written once, equal regions of a text as one row, and
 those whose anchor stands once are dropped before anything is sorted. What is counted
@@ -46,6 +47,8 @@ from wakeflow.llm.suffix_array import permuted_lcp, suffix_array
 K = 64
 SHARD = 1 << 20
 HOT = 256
+#: hexadecimal digits of a text's SHA-256 that are its class
+CLASS_DIGITS = 15
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int, salt: int = 0):
@@ -84,21 +87,31 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int, salt: int = 0):
     return doc, h[low[first]].view(np.int64), lo - offsets[doc], hi - offsets[doc], region.view(np.int64)
 
 
-def _class(text: bytes) -> int:
-    return int(hashlib.sha256(text).hexdigest()[:15], 16)
+def _class(text: bytes, digits: int, renamed: dict[str, int]) -> int:
+    sha = hashlib.sha256(text).hexdigest()
+    return renamed.get(sha) or int(sha[:digits], 16)
 
 
-def _regions(least: int):
+def _renamed(rows: DataFrame) -> dict[str, int]:
+    """Classes, below -1, of the texts whose first digits stand for other texts too: about one in 2^61 pairs of texts, so a few thousand of 10^11 texts."""
+    shared = rows.groupBy("cls").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).filter("a < b").select("cls")
+    found = rows.join(shared, "cls", "left_semi").select("sha").distinct()
+    return {sha: -2 - i for i, sha in enumerate(sorted(r["sha"] for r in found.collect()))}
+
+
+def _regions(least: int, renamed: dict[str, int]):
+    digits = CLASS_DIGITS
+
     def run(batches):
         known: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in tb.chunks(batch.column("text"), 1 << 20):
                 size = np.diff(offsets)
-                cls = np.array([_class(data[a:b].tobytes()) if b - a >= least else -1 for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
+                cls = np.array([_class(data[a:b].tobytes(), digits, renamed) if b - a >= least else -1 for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
                 doc, h, lo, hi, body = anchors(data, offsets, least)
                 fresh = np.zeros(len(size), bool)  # equal texts in one task: the first
                 for i in range(len(size)):
-                    if cls[i] >= 0 and int(cls[i]) not in known:
+                    if cls[i] != -1 and int(cls[i]) not in known:
                         fresh[i] = True
                         if len(known) < 1_000_000:
                             known.add(int(cls[i]))
@@ -298,12 +311,17 @@ def remove_repeats(docs: DataFrame, least: int = 400, hint: int = 256) -> DataFr
     """
     text, hint = F.coalesce(F.col("text"), F.lit("")), min(hint, least)
     sha = F.sha2(text, 256)
-    cls = F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), sha.alias("sha"), cls.alias("cls"))
+    cls = F.conv(F.substring(sha, 1, CLASS_DIGITS), 16, 10).cast("long")
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), sha.alias("sha"), cls.alias("cls")))
+    renamed = _renamed(rows)
+    if renamed:
+        other = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair])
+        cls = F.coalesce(F.try_element_at(other, sha), cls).cast("long")
+        rows = rows.withColumn("cls", F.coalesce(F.try_element_at(other, F.col("sha")), F.col("cls")).cast("long"))
     copied = rows.filter(F.col("n_bytes") >= hint).groupBy("cls").agg(F.count("*").alias("copies")).filter("copies > 1").select("cls")
 
     long = docs.select(text.alias("text")).filter(F.octet_length("text") >= least)
-    same, lead = _repeated(written(long.mapInArrow(_regions(least), REGIONS)))
+    same, lead = _repeated(written(long.mapInArrow(_regions(least, renamed), REGIONS)))
     texts = docs.select(cls.alias("cls"), text.alias("text")).filter(F.octet_length("text") >= least).groupBy("cls").agg(F.first("text").alias("text"))
     cuts = lead.groupBy("cls").agg(F.collect_list(F.struct("anchor", "body", "lo", "hi", "same", "hot")).alias("cuts"))
     regions = texts.join(cuts, "cls").select("cls", "text", "cuts").mapInArrow(_cut(least), "shard long, body long, cls long, lo long, wanted boolean, own long, bytes binary")

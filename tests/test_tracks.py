@@ -116,3 +116,71 @@ def test_empty_inputs(spark):
     boundary = spark.createDataFrame([], "event_type string, event_timestamp timestamp, mmsi long")
     assert events.event_sequence(none, boundary).count() == 0
     assert segment.segments(none).count() == 0
+
+
+def _hot(rng, n=4000, others=100):
+    """A vessel with nearly all points over a year, with silences longer than a piece, beside small ones."""
+    rows = []
+    for mmsi, count in ((1, n), *((m, 10) for m in range(2, 2 + others // 10))):
+        at = T0
+        for _ in range(count):
+            at += timedelta(minutes=rng.choice([1, 7, 12, 31]) if rng.random() < 0.995 else rng.choice([20_000, 45_000]))
+            rows.append((mmsi, at, 50 + rng.gauss(0, 0.003), 5 + rng.gauss(0, 0.003), rng.choice([0.1, 0.2, 1.5, None, 8.0]), rng.choice([None, 1.0, 100.0, 200.0])))
+    return rows
+
+
+@pytest.mark.parametrize("minutes", [60, 10_080])
+def test_runs_and_flags_in_pieces(spark, minutes):
+    """Pieces shorter than gaps, and longer: as one scan of the whole track has it."""
+    from wakeflow.operators import pieces
+
+    rng = random.Random(12)
+    rows = _hot(rng)
+    df = spark.createDataFrame(rows, COLUMNS).withColumn("slow", F.coalesce(F.col("speed") < 0.5, F.lit(False))).withColumn("fast", F.coalesce(F.col("speed") > 1, F.lit(False)))
+    got = pieces.runs(df, "MMSI", "timestamp", ["slow", "fast"], 30, minutes, since=F.col("heading").isNotNull())
+    got = pieces.previous(got, "MMSI", "timestamp", ["fast", "heading"], "before", minutes)
+    want, state = {}, {}
+    for m, at, _, _, speed, heading in sorted(rows, key=lambda r: (r[0], r[1])):
+        last, slow, fast, i, j, origin, before = state.get(m, (None, False, False, 0, 0, None, None))
+        now = (speed is not None and speed < 0.5, speed is not None and speed > 1)
+        gap = last is not None and at - last > timedelta(minutes=30)
+        i, j = i + (now[0] != slow or gap), j + (now[1] != fast or gap)
+        origin = origin or (at if heading is not None else None)
+        want[m, at] = (i, j, before)
+        state[m] = (at, *now, i, j, origin, (now[1], heading))
+    rows = got.collect()
+    assert {(r["MMSI"], r["timestamp"].replace(tzinfo=T0.tzinfo)): (r["run_slow"], r["run_fast"], tuple(r["before"]) if r["before"] else None) for r in rows} == want
+    assert {(r["MMSI"], r["origin"].replace(tzinfo=T0.tzinfo)) for r in rows} == {(m, s[5]) for m, s in state.items()}
+
+
+def test_a_hot_vessel_is_spread_over_tasks(spark, monkeypatch):
+    """With 97 % of the points in one vessel, the largest partition of the scan holds a small share."""
+    from wakeflow.operators import pieces
+
+    rows = spark.createDataFrame(_hot(random.Random(1)), COLUMNS).withColumn("slow", F.coalesce(F.col("speed") < 0.5, F.lit(False)))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in pieces.runs(rows, "MMSI", "timestamp", ["slow"], 30, 600).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 3 * sum(sizes) / 16
+
+
+@pytest.mark.parametrize("minutes", [60, 10_080])
+def test_nearest_points_over_empty_pieces(spark, minutes):
+    """The last point before and the first after come from pieces far away too; ties in a second and between both sides."""
+    from wakeflow.operators import analytics
+
+    rng = random.Random(7)
+    points = [(m, T0 + timedelta(seconds=rng.choice([5, 5000, 400_000]) * rng.randrange(40), microseconds=rng.choice([0, 1, 500_000])), rng.random(), rng.random()) for m in (1, 1, 1, 2) for _ in range(30)]
+    points = list({(p[0], p[1]): p for p in points}.values())
+    events_ = [(i, rng.choice([1, 1, 2, 3]), T0 + timedelta(seconds=rng.choice([5, 2500, 200_000]) * rng.randrange(-5, 90))) for i in range(150)]
+    got = analytics.nearest_points(spark.createDataFrame(events_, "event_id long, mmsi long, event_timestamp timestamp"), spark.createDataFrame(points, "MMSI long, timestamp timestamp, latitude double, longitude double"), minutes=minutes)
+    sec = lambda t: int((t - T0).total_seconds() // 1)
+    want = {}
+    for i, m, at in events_:
+        near = sorted((abs(sec(p[1]) - sec(at)), sec(p[1]), p[1], p[2]) for p in points if p[0] == m)
+        want[i] = near[0][2:] if near else (None, None)
+    assert {r["event_id"]: (r["point_timestamp"] and r["point_timestamp"].replace(tzinfo=T0.tzinfo), r["latitude"]) for r in got.collect()} == want

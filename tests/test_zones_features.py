@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeflow.config import LabelThresholds
-from wakeflow.functions import exprs, geometry
+from wakeflow.functions import exprs, geometry, nearest
 from wakeflow.operators import analytics, features, fishing, geofence, labels, situations
 
 T0 = datetime(2024, 1, 1)
@@ -150,7 +150,7 @@ def test_distance_from_near_and_far(spark):
     zones = [geometry.rectangle(x, y, x + 0.5, y + 0.3) for x, y in ((rng.uniform(-20, 20), rng.uniform(30, 60)) for _ in range(20))]
     edges = geometry.edges_of(spark, zones)
     at = [(i, rng.uniform(-25, 25), rng.uniform(25, 65)) for i in range(60)] + [(100, 170.0, -40.0), (101, -120.0, 10.0), (102, 0.0, 45.0), (103, None, 1.0)]
-    got = {r["k"]: r["distance_to_boundary"] for r in geometry.distance_km(spark.createDataFrame(at, "k long, x double, y double"), edges, "k", "x", "y").collect()}
+    got = {r["k"]: r["distance_to_boundary"] for r in nearest.distance_km(spark.createDataFrame(at, "k long, x double, y double"), edges, "k", "x", "y").collect()}
     mx, my = lambda v: 6378137.0 * math.radians(v), lambda v: 6378137.0 * math.log(math.tan(math.pi / 4 + math.radians(v) / 2))
 
     def far(px, py, e):

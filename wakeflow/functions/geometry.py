@@ -1,4 +1,4 @@
-"""Polygons as edge tables, point-in-polygon by ray casting, nearest boundary by segments.
+"""Polygons as edge tables, point-in-polygon by ray casting; the nearest edge is in :mod:`wakeflow.functions.nearest`.
 
 An edge table has polygon_id, part_id, x1, y1, x2, y2 (longitude, latitude). Rings of one
 part share its id, so that holes cancel by parity; overlapping parts do not.
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from wakeflow.functions import exprs as X
 
 EDGE_SCHEMA = "polygon_id int, part_id int, x1 double, y1 double, x2 double, y2 double"
-#: km of the cells in which the nearest edge is sought, one size after the other
-RINGS_KM = (120, 960, 7680, 1_000_000)
 
 
 def edges_of(spark: SparkSession, polygons: Iterable[list[list[list[tuple[float, float]]]]]) -> DataFrame:
@@ -113,31 +111,3 @@ def mark_inside(points: DataFrame, edges: DataFrame, key: list[str] | None = Non
     out = points.withColumn("_row", F.floor(py / cell).cast("long")).join(rows, "_row", "left")
     out = out.withColumn("inside_eez", F.coalesce(F.exists("_parts", holds), F.lit(False))).drop("_row", "_parts")
     return out.withColumn("outside_eez", ~F.col("inside_eez"))
-
-
-def distance_km(points: DataFrame, edges: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """key, distance_to_boundary: least distance to an edge in Web Mercator metres / 1000.
-
-    Edges are dealt to the cells that they may touch and to those around; a point meets
-    the edges of its cell. What it finds within a cell's width is the nearest there is.
-    Points that find nothing so near look again in larger cells, at last in the whole
-    plane: only those that are farther than the largest cell from all edges meet them all.
-    """
-    e = edges.select(*[X.mercator_x(c).alias(c) for c in ("x1", "x2")], *[X.mercator_y(c).alias(c) for c in ("y1", "y2")])
-    rows = points.select(key, X.mercator_x(x).alias("px"), X.mercator_y(y).alias("py"), F.lit(None).cast("double").alias("d"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    square = dx * dx + dy * dy
-    t = ((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy) / F.when(square > 0, square)
-    t = X.clip(F.coalesce(t, F.lit(0.0)), 0.0, 1.0)
-    far = F.sqrt(F.pow(F.col("px") - (F.col("x1") + t * dx), 2) + F.pow(F.col("py") - (F.col("y1") + t * dy), 2))
-    open_ = F.lit(True)
-    for km in RINGS_KM:  # the last is wider than the plane
-        size = km * 1000.0
-        at = lambda c: F.floor(c / size).cast("long")  # noqa: B023, E731
-        span = lambda a, b: F.explode(F.sequence(at(F.least(a, b)) - 1, at(F.greatest(a, b)) + 1))  # noqa: B023, E731
-        cells = e.withColumn("ex", span("x1", "x2")).withColumn("ey", span("y1", "y2"))
-        rows = rows.withColumns({"cx": F.when(open_, at(F.col("px"))), "cy": F.when(open_, at(F.col("py")))})  # no cell, no match
-        met = rows.join(cells, (F.col("cx") == F.col("ex")) & (F.col("cy") == F.col("ey")), "left")
-        rows = met.groupBy(key).agg(F.first("px").alias("px"), F.first("py").alias("py"), F.min(F.least("d", far)).alias("d"))
-        open_ = F.coalesce(F.col("d") > size, F.lit(True))
-    return rows.select(key, (F.col("d") / 1000).alias("distance_to_boundary"))

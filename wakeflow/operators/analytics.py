@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeflow.functions import exprs as X
+from wakeflow.operators import pieces
 from wakeflow.operators.features import buckets
 
 #: Event types of a distribution, in order.
@@ -59,24 +60,32 @@ def bounds(points: DataFrame) -> DataFrame:
     return points.agg(*[f(c).alias(f"{n}_{c}") for c in ("latitude", "longitude") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))])
 
 
-def nearest_points(events: DataFrame, points: DataFrame, event_key: str = "event_id") -> DataFrame:
+def nearest_points(events: DataFrame, points: DataFrame, event_key: str = "event_id", minutes: int | None = None) -> DataFrame:
     """Each event with the place of its vessel's nearest point in whole seconds, the earlier on ties.
 
-    Events and points are laid in one order per vessel; the last point before and the
-    first after come from windows, so no pairs are formed.
+    Events and points are laid in one order per vessel and piece of time; the last point
+    before and the first after come from windows, so no pairs are formed. Where a piece
+    has none, the last point of the pieces before it and the first of those after it are
+    carried over by a summary of one row a piece.
     """
     p = points.select(F.col("MMSI").alias("mmsi"), F.col("timestamp").alias("t"), F.lit(0).alias("kind"), F.struct(F.col("timestamp").alias("t"), "latitude", "longitude").alias("p"), F.lit(None).cast(dict(events.dtypes)[event_key]).alias(event_key))
     e = events.select("mmsi", F.col("event_timestamp").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(p.schema["p"].dataType).alias("p"), event_key)
-    line = Window.partitionBy("mmsi").orderBy("sec", "kind", "t")
-    rows = p.unionByName(e).withColumn("sec", F.unix_seconds("t"))
+    rows = p.unionByName(e).withColumns({"sec": F.unix_seconds("t"), "piece": pieces.piece("t", minutes)})  # pieces are whole minutes: none cuts a second
+    line = Window.partitionBy("mmsi", "piece").orderBy("sec", "kind", "t")
+    # of several points in a second, the first; all of them stand before the second's events
+    head = F.when(F.col("kind") == 0, F.coalesce(F.lag("sec").over(line) != F.col("sec"), F.lit(True)))
+    rows = rows.withColumn("p", F.when(head, F.col("p")))
     before = F.last("p", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first("p", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
-    # of several points in the nearest earlier second, the first
-    first = F.first("p", ignorenulls=True).over(Window.partitionBy("mmsi", "sec").orderBy("kind", "t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("p", F.when(F.col("kind") == 0, first)).withColumns({"before": before, "after": after}).filter("kind = 1")
+    near = rows.withColumns({"before": before, "after": after}).filter("kind = 1")
+    ends = rows.groupBy("mmsi", "piece").agg(F.min_by("p", F.when(F.col("p").isNotNull(), F.col("sec"))).alias("first"), F.max_by("p", F.when(F.col("p").isNotNull(), F.col("sec"))).alias("last"))
+    track = Window.partitionBy("mmsi").orderBy("piece")
+    last, first = F.last("last", ignorenulls=True).over(track.rowsBetween(Window.unboundedPreceding, -1)), F.first("first", ignorenulls=True).over(track.rowsBetween(1, Window.unboundedFollowing))
+    near = near.join(ends.select("mmsi", "piece", last.alias("carried"), first.alias("coming")), ["mmsi", "piece"])
+    near = near.withColumns({"before": F.coalesce("before", "carried"), "after": F.coalesce("after", "coming")})
     gap = lambda c: F.abs(F.unix_seconds(f"{c}.t") - F.col("sec"))
     best = F.when(F.col("before").isNull() | (gap("after") < gap("before")), F.col("after")).otherwise(F.col("before"))
-    return rows.select(event_key, "mmsi", F.col("t").alias("event_timestamp"), best["t"].alias("point_timestamp"), best["latitude"].alias("latitude"), best["longitude"].alias("longitude"))
+    return near.select(event_key, "mmsi", F.col("t").alias("event_timestamp"), best["t"].alias("point_timestamp"), best["latitude"].alias("latitude"), best["longitude"].alias("longitude"))
 
 
 def best_situation(segments: DataFrame, situations: DataFrame, kinds: Sequence[str], buffer_minutes: int = 15, bucket_minutes: int = 1440) -> DataFrame:

@@ -1,8 +1,8 @@
 """Discrete events from points: anchoring, loitering, manoeuvring, repeated crossings.
 
-All are window functions over a vessel's track; a track is one partition of each
-window, so a vessel with very many points is the unit that cannot be split. Points are
-shuffled once, by vessel, whatever kinds of events are asked for.
+Runs are numbered over pieces of the tracks (:mod:`wakeflow.operators.pieces`) and
+aggregated, in part first, so a vessel with most of the points is shared by many tasks.
+Only rows of runs and crossings, which are few, are windowed by vessel.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wakeflow.config import EventThresholds
 from wakeflow.functions import exprs as X
+from wakeflow.operators import pieces
 from wakeflow.operators.clean import integer, moment, number, require
 
 #: The details of an event, in order.
@@ -51,44 +52,46 @@ def boundary_sequence(boundary: DataFrame) -> DataFrame:
 
 def runs(points: DataFrame, below_knots: float, max_gap_minutes: float) -> DataFrame:
     """The points slower than the threshold, with run_id: a run ends where a point is not slow or a gap is longer than allowed."""
-    return _numbered(points, {"run": below_knots}, max_gap_minutes).withColumnRenamed("run_id_run", "run_id").filter("slow_run").drop("slow_run", "new_run")
+    return _numbered(points, {"run": below_knots}, max_gap_minutes).withColumnRenamed("run_id_run", "run_id").filter("slow_run").drop("slow_run", "origin")
 
 
 def _numbered(points: DataFrame, limits: dict[str, float], max_gap_minutes: float) -> DataFrame:
-    """``points`` with slow_x and run_id_x for each named limit, by one sort of the tracks."""
-    track = Window.partitionBy("MMSI").orderBy("timestamp")
+    """``points`` with slow_x and run_id_x for each named limit, and origin, the time of the track's first heading, by one sort of its pieces."""
     rows = points.withColumns({f"slow_{x}": F.coalesce(F.col("speed") < below, F.lit(False)) for x, below in limits.items()})
-    gap = F.coalesce(X.minutes_between("timestamp", F.lag("timestamp").over(track)) > max_gap_minutes, F.lit(False))
-    rows = rows.withColumns({f"new_{x}": ((F.col(f"slow_{x}") != F.lag(f"slow_{x}", 1, False).over(track)) | gap).cast("int") for x in limits})
-    return rows.withColumns({f"run_id_{x}": F.sum(f"new_{x}").over(track.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for x in limits})
+    return pieces.runs(rows, "MMSI", "timestamp", [f"slow_{x}" for x in limits], max_gap_minutes, since=F.col("heading").isNotNull()).withColumnsRenamed({f"run_slow_{x}": f"run_id_{x}" for x in limits})
 
 
 def _track_runs(points: DataFrame, t: EventThresholds, kinds: Sequence[str]) -> DataFrame:
     """kind, MMSI, s, e, v (mean speed), n (points), km (radius), variance (of headings), coverage, m (minutes) of the runs and windows that make events of the kinds."""
     limits = {k: v for k, v in (("ANCHOR", t.anchor_speed_knots), ("LOITER", t.loiter_speed_knots)) if k in kinds}
-    rows = _numbered(points, limits, t.max_ais_gap_minutes) if limits else points
+    rows = _numbered(points, limits, t.max_ais_gap_minutes)
     member = [(k, F.col(f"slow_{k}"), F.col(f"run_id_{k}")) for k in limits]
     if "MANEUVERING" in kinds:  # windows from the vessel's first heading on
         has = F.col("heading").isNotNull()
-        rows = rows.withColumn("origin", F.min(F.when(has, F.col("timestamp"))).over(Window.partitionBy("MMSI")))
         member.append(("MANEUVERING", has, F.floor((X.micros("timestamp") - X.micros("origin")) / F.lit(t.maneuver_window_minutes * 60_000_000))))
     runs_of = F.array(*[F.when(on, F.struct(F.lit(k).alias("kind"), run.cast("long").alias("run"))) for k, on, run in member])
     rows = rows.select("MMSI", "timestamp", "latitude", "longitude", "speed", "heading", F.explode(F.filter(runs_of, lambda x: x.isNotNull())).alias("of")).select("*", "of.*")
-    if "LOITER" in kinds:
-        one = Window.partitionBy("MMSI", "kind", "run")
-        rows = rows.withColumns({"clat": F.avg("latitude").over(one), "clon": F.avg("longitude").over(one)}).withColumn("km", X.haversine_km("clat", "clon", "latitude", "longitude"))
-    else:
-        rows = rows.withColumn("km", F.lit(None).cast("double"))
-    out = rows.groupBy("MMSI", "kind", "run").agg(F.min("timestamp").alias("s"), F.max("timestamp").alias("e"), F.avg("speed").alias("v"), F.count("*").alias("n"), F.max("km").alias("km"), X.circular_variance("heading").alias("variance"))
+    key = ["MMSI", "kind", "run"]
+    out = rows.groupBy(*key).agg(
+        F.min("timestamp").alias("s"), F.max("timestamp").alias("e"), F.avg("speed").alias("v"), F.count("*").alias("n"), X.circular_variance("heading").alias("variance"), F.avg("latitude").alias("clat"), F.avg("longitude").alias("clon")
+    )
     span = F.least(F.lit(1.0), X.minutes_between("e", "s") / F.lit(float(t.maneuver_window_minutes)))
     filled = F.least(F.lit(1.0), F.col("n") / F.lit(float(max(1, int(t.maneuver_min_points)))))
     out = out.withColumns({"m": X.minutes_between("e", "s"), "coverage": F.least(span, filled)})
     kind, keep = F.col("kind"), F.lit(False)
     keep |= (kind == "ANCHOR") & (F.col("m") > t.anchor_min_duration_minutes)
-    keep |= (kind == "LOITER") & (F.col("m") > t.loiter_min_duration_minutes) & (F.col("km") <= t.loiter_radius_km)
+    keep |= (kind == "LOITER") & (F.col("m") > t.loiter_min_duration_minutes)
     scattered = F.col("variance") >= t.maneuver_heading_circular_variance_threshold
     keep |= (kind == "MANEUVERING") & (F.col("n") >= t.maneuver_min_points) & (F.col("coverage") >= min(1.0, max(0.0, t.maneuver_min_point_coverage_ratio))) & scattered
-    return out.filter(keep).drop("run")
+    out = out.filter(keep)
+    if "LOITER" in kinds:  # how far the points of a run that is long enough are from its middle: points meet runs, runs are never one task's
+        middle = out.filter(kind == "LOITER").select("MMSI", "run", "clat", "clon")
+        wide = rows.filter(kind == "LOITER").select("MMSI", "run", "latitude", "longitude").join(middle, ["MMSI", "run"])
+        wide = wide.groupBy("MMSI", "run").agg(F.max(X.haversine_km("clat", "clon", "latitude", "longitude")).alias("km")).withColumn("kind", F.lit("LOITER"))
+        out = out.join(wide, key, "left").filter((kind != "LOITER") | (F.col("km") <= t.loiter_radius_km))
+    else:
+        out = out.withColumn("km", F.lit(None).cast("double"))
+    return out.drop("run", "clat", "clon")
 
 
 def _not_anchored(rows: DataFrame) -> DataFrame:
@@ -103,22 +106,25 @@ def _not_anchored(rows: DataFrame) -> DataFrame:
     return rows.filter(~loiter | F.col("anchored").isNull() | (F.col("anchored") < F.col("s"))).drop("anchored")
 
 
-def _as_events(rows: DataFrame, t: EventThresholds) -> DataFrame:
+def as_events(rows: DataFrame, t: EventThresholds) -> DataFrame:
+    """Rows of kind, MMSI, s, e, v, n, km, variance, coverage, m as events. Repeated crossings stand at the last of them, all others at their start."""
     only = lambda kinds, x: F.when(F.col("kind").isin(*kinds), x)
-    slow, turn = ("ANCHOR", "LOITER"), ("MANEUVERING",)
+    slow, turn, again = ("ANCHOR", "LOITER"), ("MANEUVERING",), ("REPEATED_CROSSING",)
     details = _details(
         speed_threshold_knots=F.when(F.col("kind") == "ANCHOR", t.anchor_speed_knots).when(F.col("kind") == "LOITER", t.loiter_speed_knots),
-        mean_speed_knots=only(slow, F.col("v")), number_of_points=F.col("n"), radius_threshold_km=only(("LOITER",), F.lit(t.loiter_radius_km)), observed_radius_km=only(("LOITER",), F.col("km")),
+        mean_speed_knots=only(slow, F.col("v")), number_of_points=only((*slow, *turn), F.col("n")), radius_threshold_km=only(("LOITER",), F.lit(t.loiter_radius_km)), observed_radius_km=only(("LOITER",), F.col("km")),
         window_minutes=only(turn, F.lit(t.maneuver_window_minutes)), heading_circular_variance=only(turn, F.col("variance")), circular_variance_unit=only(turn, F.lit("0-1")),
         circular_variance_threshold=only(turn, F.lit(t.maneuver_heading_circular_variance_threshold)), point_coverage_ratio=only(turn, F.col("coverage")), min_point_coverage_ratio=only(turn, F.lit(t.maneuver_min_point_coverage_ratio)),
+        crossing_count=only(again, F.col("n")), crossing_threshold=only(again, F.lit(t.repeated_crossing_count)), window_hours=only(again, F.lit(t.repeated_crossing_window_hours)),
     )
-    return rows.select(F.col("kind").alias("event_type"), F.col("s").alias("event_timestamp"), F.col("MMSI").alias("mmsi"), F.col("s").alias("start_timestamp"), F.col("e").alias("end_timestamp"), F.col("m").alias("duration_minutes"), details.alias("details"))
+    at = F.when(F.col("kind") == "REPEATED_CROSSING", F.col("e")).otherwise(F.col("s"))
+    return rows.select(F.col("kind").alias("event_type"), at.alias("event_timestamp"), F.col("MMSI").alias("mmsi"), F.col("s").alias("start_timestamp"), F.col("e").alias("end_timestamp"), F.col("m").alias("duration_minutes"), details.alias("details"))
 
 
 def anchor_events(points: DataFrame, t: EventThresholds | None = None) -> DataFrame:
     """Slow runs that are long enough."""
     t = t or EventThresholds()
-    return _as_events(_track_runs(points, t, ["ANCHOR"]), t)
+    return as_events(_track_runs(points, t, ["ANCHOR"]), t)
 
 
 def loiter_events(points: DataFrame, anchors: DataFrame, t: EventThresholds | None = None) -> DataFrame:
@@ -126,13 +132,13 @@ def loiter_events(points: DataFrame, anchors: DataFrame, t: EventThresholds | No
     t = t or EventThresholds()
     found = _track_runs(points, t, ["LOITER"])
     given = anchors.select(F.col("mmsi").alias("MMSI"), F.lit("ANCHOR").alias("kind"), F.col("start_timestamp").alias("s"), F.col("end_timestamp").alias("e"))
-    return _as_events(_not_anchored(found.unionByName(given, allowMissingColumns=True)).filter("kind = 'LOITER'"), t)
+    return as_events(_not_anchored(found.unionByName(given, allowMissingColumns=True)).filter("kind = 'LOITER'"), t)
 
 
 def maneuver_events(points: DataFrame, t: EventThresholds | None = None) -> DataFrame:
     """Windows anchored at a vessel's first heading whose headings scatter."""
     t = t or EventThresholds()
-    return _as_events(_track_runs(points, t, ["MANEUVERING"]), t)
+    return as_events(_track_runs(points, t, ["MANEUVERING"]), t)
 
 
 def _counted(crossings: DataFrame, t: EventThresholds) -> DataFrame:
@@ -168,7 +174,7 @@ def event_sequence(points: DataFrame, boundary: DataFrame, t: EventThresholds |
     One pass over the points and one over the crossings, each shuffled once by vessel.
     """
     t = t or EventThresholds()
-    tracks = _as_events(_not_anchored(_track_runs(prepare_points(points), t, ["ANCHOR", "LOITER", "MANEUVERING"])), t)
+    tracks = as_events(_not_anchored(_track_runs(prepare_points(points), t, ["ANCHOR", "LOITER", "MANEUVERING"])), t)
     both = F.array(F.struct(*EVENT_COLUMNS), F.when(F.col("repeated"), _repeated(t)))
     crossings = _counted(boundary_sequence(boundary), t).select(F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select("x.*")
     return crossings.unionByName(tracks)

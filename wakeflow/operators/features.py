@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wakeflow.config import FeatureConfig
 from wakeflow.functions import exprs as X
-from wakeflow.functions import geometry
+from wakeflow.functions import nearest
 from wakeflow.operators.clean import require
 from wakeflow.session import once
 
@@ -97,7 +97,7 @@ def segment_features(points: DataFrame, boundary: DataFrame, events: DataFrame,
     base = motion_features(points, config)
     out = base.join(crossing_counts(base, boundary), "segment_id", "left").join(event_overlap_minutes(base, events), "segment_id", "left")
     if edges is not None:
-        out = out.join(geometry.distance_km(base, edges, "segment_id", "centroid_longitude", "centroid_latitude"), "segment_id", "left")
+        out = out.join(nearest.distance_km(base, edges, "segment_id", "centroid_longitude", "centroid_latitude"), "segment_id", "left")
     else:
         out = out.withColumn("distance_to_boundary", F.lit(None).cast("double"))
     out = out.fillna(0, ["crossing_count"]).fillna(0.0, ["anchor_duration", "loiter_duration"])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeflow.functions import geometry
+from wakeflow.operators import pieces
 from wakeflow.operators.clean import integer, moment, number, require
 
 BOUNDARY_SCHEMA = "event_type string, event_timestamp timestamp, mmsi long"
@@ -25,9 +26,8 @@ def classify(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 def transitions(classified: DataFrame) -> DataFrame:
     """event_type ('EEZ entry' or 'EEZ exit'), event_timestamp, mmsi wherever the flag differs from the vessel's previous point."""
-    vessel = Window.partitionBy("MMSI").orderBy("timestamp")
-    before = F.lag("inside_eez").over(vessel)
-    rows = classified.withColumn("_before", before).filter(F.col("_before").isNotNull() & (F.col("_before") != F.col("inside_eez")))
+    rows = pieces.previous(classified.select("MMSI", "timestamp", "inside_eez"), "MMSI", "timestamp", ["inside_eez"], "_before")
+    rows = rows.withColumn("_before", F.col("_before.inside_eez")).filter(F.col("_before").isNotNull() & (F.col("_before") != F.col("inside_eez")))
     kind = F.when(F.col("inside_eez"), "EEZ entry").otherwise("EEZ exit")
     return rows.select(kind.alias("event_type"), F.col("timestamp").alias("event_timestamp"), F.col("MMSI").alias("mmsi"))
 
@@ -38,7 +38,7 @@ def boundary_events(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 def transitions_with_state(classified: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Transitions of a batch that continues from ``states`` (mmsi, inside), and the states after it."""
-    seed = states.select(F.col("mmsi").alias("MMSI"), F.lit(None).cast("timestamp").alias("timestamp"), F.col("inside").alias("inside_eez"))
-    rows = classified.select("MMSI", "timestamp", "inside_eez").unionByName(seed)  # a null time sorts first
-    latest = rows.groupBy("MMSI").agg(F.max_by("inside_eez", F.coalesce("timestamp", F.lit("0001-01-01").cast("timestamp"))).alias("inside"))
+    seed = states.select(F.col("mmsi").alias("MMSI"), F.lit("0001-01-01").cast("timestamp").alias("timestamp"), F.col("inside").alias("inside_eez"))
+    rows = classified.select("MMSI", "timestamp", "inside_eez").unionByName(seed)  # the first of all times
+    latest = rows.groupBy("MMSI").agg(F.max_by("inside_eez", "timestamp").alias("inside"))
     return transitions(rows), latest.select(F.col("MMSI").alias("mmsi"), "inside")

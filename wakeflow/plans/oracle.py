@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from wakeflow.plans.shapes import sides
+
 R = 6371.0088
 POINTS = """points as (
  select user_id as mmsi, ts as t, 54 + (k % 10) * cast(0.2 as double) as lat, 8 + floor(k / 10) * cast(0.4 as double) as lon, value / 10 as v, k * cast(3.6 as double) as h
@@ -89,6 +91,14 @@ DISTANCE = f"""edge as (select {_M.format('x1')} as x1, {_N.format('y1')} as y1,
  dist as (select segment_id, min(sqrt(pow(px - (x1 + u * (x2 - x1)), 2) + pow(py - (y1 + u * (y2 - y1)), 2))) / 1000 as distance_to_boundary
    from (select *, greatest(0.0, least(1.0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) as u
          from (select segment_id, {_M.format('clon')} as px, {_N.format('clat')} as py from motion) p, edge) z group by 1)"""
+SIDES = "side as (select * from (values " + ", ".join(f"({i}, {j}, {', '.join(f'{v}::double' for v in xy)})" for i, j, *xy in sides()) + ") v(zone, part, x1, y1, x2, y2))"
+IN_ZONES = f"""{SIDES},
+ place as (select distinct lat, lon from points),
+ part as (select lat, lon, zone, part, sum(case when (y1 > lat) <> (y2 > lat) and lon < (x2 - x1) / (y2 - y1) * (lat - y1) + x1 then 1 else 0 end) % 2 = 1 as i,
+   bool_or((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1) = 0 and lon between least(x1, x2) and greatest(x1, x2) and lat between least(y1, y2) and greatest(y1, y2)) as on_side from place, side group by all),
+ inside as (select lat, lon, bool_or(i and not on_side) as i from part group by all),
+ crossed as (select mmsi, t, i, lag(i) over (partition by mmsi order by t) as p from points join inside using (lat, lon))"""
+ZONE_DISTANCE = DISTANCE.replace(DISTANCE[DISTANCE.index("(values") : DISTANCE.index(" v(x1, y1, x2, y2)")], "side").replace(" v(x1, y1, x2, y2)", "")
 FEATURES = ",\n".join([SEQUENCE, SEGS, MOTION, COUNTS, OVERLAP, DISTANCE]) + f""",
  feats as (select segment_id, m.mmsi, m.w, m.s, m.e, m.secs, m.n, avg_speed, max_speed, speed_variance, path, disp, {CURVE} as curve, heading_variance, mean_turn, loops,
    case when path = 0 then 0 else turns / path end as density, stationary, crossing_count, distance_to_boundary, anchor_duration, loiter_duration
@@ -160,6 +170,7 @@ ORACLE_SQL = {
     "maneuver_events": with_(f"{POINTS}, {MANEUVERS}", "select * from maneuvers"),
     "repeated_crossings": with_(f"{POINTS}, {BOUNDARY}, {REPEATED}", "select * from repeated"),
     "event_sequence": with_(SEQUENCE, "select * from sequence"),
+    "streamed_event_sequence": with_(SEQUENCE, "select * from sequence"),
     "segment_motion_features": with_(f"{POINTS}, {SEGS}, {MOTION}", "select segment_id, mmsi, n as number_of_points, " + _F5("avg_speed; max_speed; speed_variance; path_length=path; displacement=disp; heading_variance; mean_heading_change=mean_turn; loop_count=loops; turn_density=case when path = 0 then 0 else turns / path end; stationary_ratio=stationary") + " from motion"),
     "crossing_counts": with_(f"{POINTS}, {BOUNDARY}, {SEGS}, {COUNTS}", "select * from xcount"),
     "event_overlap_minutes": with_(f"{SEQUENCE}, {SEGS}, {OVERLAP}", "select segment_id, " + rounded("anchor_duration; loiter_duration") + " from overlap"),
@@ -182,6 +193,8 @@ ORACLE_SQL = {
     "confusion_matrix": with_(PREDICTIONS, "select t as truth, count(*) filter (p = '1-URGENT') as n1, count(*) filter (p = '2-HIGH') as n2, count(*) filter (p = '3-MEDIUM') as n3, count(*) filter (p = '4-NOT SPECIFIED') as n4, count(*) filter (p = '5-LOW') as n5 from pred group by 1"),
     "chord_deviation": with_(f"{POINTS}, {SEGS}, ab as (select *, arg_min(lat, t) over q as la, arg_min(lon, t) over q as oa, arg_max(lat, t) over q as lb, arg_max(lon, t) over q as ob from segpoints window q as (partition by segment_id)), xy as (select *, (ob - oa) * cos(radians(lat)) * 111.32 as dx, (lb - la) * 110.57 as dy, (lon - oa) * cos(radians(lat)) * 111.32 as px, (lat - la) * 110.57 as py from ab), tu as (select *, case when dx * dx + dy * dy > 0 then greatest(0, least(1, (px * dx + py * dy) / (dx * dx + dy * dy))) else 0 end as tt, coalesce((epoch_us(t) - epoch_us(s)) / nullif(epoch_us(e) - epoch_us(s), 0), 0) as uu from xy)", "select segment_id, " + _F5("mean_spatial_km=avg(sqrt(pow(px - tt * dx, 2) + pow(py - tt * dy, 2))); max_spatial_km=max(sqrt(pow(px - tt * dx, 2) + pow(py - tt * dy, 2))); mean_temporal_km=avg(sqrt(pow(px - uu * dx, 2) + pow(py - uu * dy, 2))); max_temporal_km=max(sqrt(pow(px - uu * dx, 2) + pow(py - uu * dy, 2)))") + " from tu group by 1"),
     "vessel_paths": with_(POINTS, "select mmsi as \"MMSI\", count(*) as n, round(arg_min(lat, t), 6) as first_latitude, round(arg_max(lon, t), 6) as last_longitude from points group by 1"),
+    "irregular_zone_crossings": with_(f"{POINTS}, {IN_ZONES}", "select case when i then 'EEZ entry' else 'EEZ exit' end as event_type, t as event_timestamp, mmsi from crossed where p is not null and p <> i"),
+    "irregular_zone_distance": with_(f"{POINTS}, {SEGS}, {MOTION}, {SIDES}, {ZONE_DISTANCE}", "select segment_id, round(distance_to_boundary + 3.7e-10, 5) as distance_to_boundary from dist"),
     "inside_zone": with_(POINTS, f"select {INSIDE} as inside_eez, not {INSIDE} as outside_eez, count(*) as n from points group by 1, 2"),
     "stratified_split": "with k as (select o_orderpriority as label, (row_number() over (partition by o_orderpriority order by o_orderkey) - 0.5) / count(*) over (partition by o_orderpriority) as q from orders) select label, case when q <= 0.7 then 'train' when q <= 0.7::double + 0.15::double then 'validation' else 'test' end as split, count(*) as n from k group by 1, 2",
     "vessel_split": "with v as (select count(distinct o_custkey) as k, greatest(1, floor(count(distinct o_custkey) * 0.15::double)::bigint) as t from orders) select 'test' as split, t as vessels from v union all select 'train', k - t from v",

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeflow.config import EventThresholds, LabelThresholds, ReasoningThresholds, SegmentConfig
-from wakeflow.functions import exprs, geometry
+from wakeflow.functions import exprs, geometry, nearest
 from wakeflow.operators import analytics, clean, evaluation, events, features, fishing, geofence, labels, ml, reports, segment, situations
 from wakeflow.plans.oracle import ORACLE_SQL
+from wakeflow.plans.shapes import ZONES
 from wakeflow.session import once, shared_checkpoints
 from wakeflow.sources import readers, sinks
+from wakeflow.streaming import files, tracks
 
 EVENTS = EventThresholds(
     anchor_speed_knots=2.0, anchor_min_duration_minutes=60, loiter_speed_knots=4.0, loiter_radius_km=100.0, loiter_min_duration_minutes=120, max_ais_gap_minutes=1440,
@@ -144,7 +146,7 @@ def q_event_overlap_minutes(spark, sf_dir):
 
 def q_distance_to_boundary(spark, sf_dir):
     base = features.motion_features(_segment_points(spark, sf_dir))
-    return rounded(geometry.distance_km(base, _edges(spark), "segment_id", "centroid_longitude", "centroid_latitude"), 5)
+    return rounded(nearest.distance_km(base, _edges(spark), "segment_id", "centroid_longitude", "centroid_latitude"), 5)
 
 
 def _rounded_features(f: DataFrame) -> DataFrame:
@@ -246,6 +248,34 @@ def q_inside_zone(spark, sf_dir):
     return p.groupBy("inside_eez", "outside_eez").agg(F.count("*").alias("n"))
 
 
+def q_irregular_zone_crossings(spark, sf_dir):
+    return geofence.boundary_events(points(spark, sf_dir), geometry.edges_of(spark, ZONES))
+
+
+def q_irregular_zone_distance(spark, sf_dir):
+    base = features.motion_features(_segment_points(spark, sf_dir))
+    return rounded(nearest.distance_km(base, geometry.edges_of(spark, ZONES), "segment_id", "centroid_longitude", "centroid_latitude", capacity=8), 5)
+
+
+def q_streamed_event_sequence(spark, sf_dir):
+    """The points as a stream of the table's files, with a last word that lets the watermark pass them all."""
+    folder = f"{shared_checkpoints(spark)}/stream-{uuid.uuid4().hex}"
+    schema = "MMSI long, timestamp timestamp, latitude double, longitude double, speed double, heading double"
+    spark.sql("select -1L as MMSI, timestamp'2999-01-01' as timestamp, 0D as latitude, 0D as longitude, 20D as speed, cast(null as double) as heading").write.parquet(f"{folder}/end")
+    table = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
+    rows = spark.sql(_ADAPTER.format(table="{table}"), table=table).unionByName(spark.readStream.schema(schema).parquet(f"{folder}/end"))
+    x, y = F.col("longitude"), F.col("latitude")
+    rows = rows.withColumn("inside_eez", (x > ZONE[0]) & (x < ZONE[2]) & (y > ZONE[1]) & (y < ZONE[3]))
+    key, value = tracks.STATE_PROVIDER
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        files.write_stream(tracks.found_stream(rows, "1 hour", EVENTS), f"{folder}/out", f"{folder}/state").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return _numbers(tracks.as_events(files.read_written(spark, f"{folder}/out", tracks.FOUND), EVENTS))
+
+
 def q_label_counts(spark, sf_dir):
     return labels.label_counts(_labels(spark, sf_dir))
 

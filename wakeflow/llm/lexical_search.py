@@ -23,7 +23,8 @@ item with all their terms; items without a term, or of which no document has one
 rows; an empty table on either side gives an empty result; other columns are ignored.
 
 Scale: an index is about a third of its texts. Items pass in slabs of about ``SLAB_BYTES``
-of text, each written before the next; none passes through the driver. A shard's hot
+of text (or one longer item), each written before the next; a slab's distinct terms, no
+longer than its text, with their items are broadcast to the index. A shard's hot
 terms are bounded by its documents, and a hot term of the corpus is spread over all shards.
 """
 
@@ -245,10 +246,10 @@ def search(index: DataFrame, items: DataFrame, k: int = 50, slab_bytes: int = SL
     out = None
     for slab in range(slabs):
         own = terms.filter(F.col("slab") == slab)
-        df = index.select("term", "n").join(own.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("df"))
+        df = index.select("term", "n").join(F.broadcast(own.select("term").distinct()), "term").groupBy("term").agg(F.sum("n").alias("df"))
         weight = F.floor(1000 * F.log((2.0 * n + 2) / (2 * F.col("df") + 1))).cast("long")
         asked = own.join(df.select("term", weight.alias("weight")), "term").filter("weight > 0").groupBy("term").agg(F.first("weight").alias("weight"), F.collect_list(F.struct("item_id")).alias("items"))
-        postings = index.join(asked.withColumn("items", F.transform("items", lambda x: x["item_id"])), "term").select(*shards.columns)
+        postings = index.join(F.broadcast(asked.withColumn("items", F.transform("items", lambda x: x["item_id"]))), "term").select(*shards.columns)
         best = postings.unionByName(shards).groupBy("shard").applyInArrow(lambda t: _search_shard(t, n, total, k), "item_id long, doc_id long, score long")
         best = written(_ranked(best, k))
         out = best if out is None else out.unionByName(best)

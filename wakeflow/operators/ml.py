@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeflow.operators.analytics import overall_metrics
+from wakeflow.operators.boosting import SoftmaxBoosting
 
 #: Inputs that do not give the rules' answers away; the rest is optional.
 FEATURES = ["duration_seconds", "number_of_points", "avg_speed", "max_speed", "speed_variance", "path_length", "displacement", "heading_variance", "mean_heading_change"]
@@ -36,7 +37,7 @@ def balanced(rows: DataFrame, label: str = "label") -> DataFrame:
 
 
 def pipeline(model: str = "forest", inputs: Sequence[str] = FEATURES, seed: int = 42, trees: int = 200, depth: int = 20) -> Pipeline:
-    """Labels, median imputing, scaling and a forest, or boosted trees one class against the rest."""
+    """Labels, median imputing, scaling and a forest, boosted trees by softmax, or (one_vs_rest) boosted trees one class against the rest."""
     filled = [f"{c}_filled" for c in inputs]
     stages = [
         StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep"),
@@ -47,9 +48,11 @@ def pipeline(model: str = "forest", inputs: Sequence[str] = FEATURES, seed: int
     if model == "forest":
         last = RandomForestClassifier(featuresCol="features", labelCol="label_index", weightCol="weight", numTrees=trees, minInstancesPerNode=2, maxDepth=min(depth, 30), seed=seed)
     elif model == "boosted":
+        last = SoftmaxBoosting(featuresCol="features", labelCol="label_index", weightCol="weight", maxIter=trees, maxDepth=min(depth, 6), stepSize=0.08, subsamplingRate=0.9, featureRate=0.9, seed=seed)
+    elif model == "one_vs_rest":
         last = OneVsRest(classifier=GBTClassifier(featuresCol="features", maxIter=trees, maxDepth=min(depth, 6), stepSize=0.08, seed=seed), featuresCol="features", labelCol="label_index", weightCol="weight")
     else:
-        raise ValueError(f"{model}: forest or boosted")
+        raise ValueError(f"{model}: forest, boosted or one_vs_rest")
     return Pipeline(stages=[*stages, last])
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import struct
 import zipfile
 from collections.abc import Sequence
 from glob import glob
@@ -12,8 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeflow.functions import geometry
 from wakeflow.operators.geofence import BOUNDARY_SCHEMA
+from wakeflow.sources.polygons import read_polygons
 
 FISHING_SCHEMA = "segment_id string"
 
@@ -24,14 +23,28 @@ def resolve(patterns: Sequence[str]) -> list[str]:
 
 
 def read_csv_files(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
-    """All files as text columns, united by name; ``_order`` keeps file and row order."""
+    """All files as text columns, united by name; ``_order`` keeps file and row order.
+
+    Files of one header are one scan, so the plan has as many as there are headers.
+    Headers are read by one job of a line a file.
+    """
     paths = resolve(patterns)
     if not paths:
         raise ValueError("no files given")
+    name = F.input_file_name()
+    if len(paths) == 1:
+        groups = {"": paths}
+    else:
+        first = spark.read.text(paths).select(name.alias("file"), "value", F.monotonically_increasing_id().alias("i")).groupBy("file").agg(F.min_by("value", "i").alias("header"))
+        groups = {}
+        for r in first.orderBy("file").collect():  # a row a file
+            groups.setdefault(r["header"], []).append(r["file"])
+        if len(groups) <= 1:
+            groups = {"": paths}
     out = None
-    for i, path in enumerate(paths):
-        part = spark.read.csv(path, header=True, inferSchema=False)
-        part = part.withColumn("_order", F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("row")))
+    for own in groups.values():
+        part = spark.read.csv(own, header=True, inferSchema=False)
+        part = part.withColumn("_order", F.struct(name.alias("file"), F.monotonically_increasing_id().alias("row")))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
@@ -141,46 +154,6 @@ def stage(source: str, raw_dir: str, max_rows: int | None = None, replace: bool
     return staged
 
 
-def read_polygons(spark: SparkSession, path: str, tolerance: float = 0.0) -> DataFrame:
-    """Edge table of the polygons of a GeoJSON, WKT (one a line) or shapefile, in degrees, rings simplified to ``tolerance`` degrees.
-
-    ValueError if there are none, or if the file names a projection other than Web Mercator,
-    which is turned into degrees.
-    """
-    file = Path(path)
-    if file.suffix in (".json", ".geojson"):
-        data = json.loads(file.read_text())
-        shapes = [f.get("geometry") for f in data.get("features", [])] if data.get("type") == "FeatureCollection" else [data.get("geometry", data)]
-        polygons = [geometry.parse_geojson(g) for g in shapes if g and g.get("type") in ("Polygon", "MultiPolygon") and g.get("coordinates")]
-    elif file.suffix == ".shp":
-        polygons = list(_shapefile(file.read_bytes()))
-    else:
-        polygons = [geometry.parse_wkt(line) for line in file.read_text().splitlines() if line.strip().upper().startswith(("POLYGON", "MULTIPOLYGON"))]
-    if not polygons:
-        raise ValueError(f"{path} holds no polygons")
-    if _projected(file):
-        polygons = [[[[geometry.degrees(*p) for p in ring] for ring in part] for part in parts] for parts in polygons]
-    if tolerance:
-        polygons = [[[geometry.simplified_ring(ring, tolerance) for ring in part] for part in parts] for parts in polygons]
-    return geometry.edges_of(spark, polygons)
-
-
-def _projected(file: Path) -> bool:
-    """Whether a polygon file is in Web Mercator metres and not in degrees, by its .prj or its crs member."""
-    name = ""
-    if file.suffix == ".shp" and file.with_suffix(".prj").exists():
-        name = file.with_suffix(".prj").read_text().strip()
-        if not name.upper().startswith(("PROJCS", "PROJCRS")):
-            return False
-    elif file.suffix in (".json", ".geojson"):
-        name = str((json.loads(file.read_text()).get("crs") or {}).get("properties", {}).get("name", ""))
-    if not name or "CRS84" in name or "4326" in name and not name.upper().startswith("PROJ"):
-        return False
-    if "3857" in name or "Mercator_Auxiliary_Sphere" in name or "Pseudo-Mercator" in name:
-        return True
-    raise ValueError(f"{file}: coordinates in {name[:60]} are not read, only degrees and Web Mercator")
-
-
 def evaluation_inputs(spark: SparkSession, folder: str, event_schema: str, situation_schema: str) -> dict[str, DataFrame]:
     """The tables of an evaluation by name: points, segments, events, features, labels, situations.
 
@@ -206,21 +179,6 @@ def read_metrics(path: str) -> dict:
     return json.loads(Path(path).read_text())
 
 
-def _shapefile(data: bytes):
-    """Polygon records of the public .shp format: each ring a list of points, all rings one part."""
-    at = 100
-    while at + 8 <= len(data):
-        size = struct.unpack(">i", data[at + 4 : at + 8])[0] * 2
-        body = data[at + 8 : at + 8 + size]
-        at += 8 + size
-        if size < 44 or struct.unpack("<i", body[:4])[0] not in (5, 15, 25):
-            continue
-        n_parts, n_points = struct.unpack("<ii", body[36:44])
-        first = [*struct.unpack(f"<{n_parts}i", body[44 : 44 + 4 * n_parts]), n_points]
-        xy = struct.unpack(f"<{2 * n_points}d", body[44 + 4 * n_parts : 44 + 4 * n_parts + 16 * n_points])
-        yield [[[(xy[2 * i], xy[2 * i + 1]) for i in range(a, b)] for a, b in zip(first, first[1:], strict=False)]]
-
-
 def near(edges: DataFrame, box: tuple[float, float, float, float], pad: float = 0.5) -> DataFrame:
     """The edges of polygons whose extent meets the padded box (x1, y1, x2, y2)."""
     extent = edges.groupBy("polygon_id").agg(F.min("x1").alias("a"), F.min("y1").alias("b"), F.max("x1").alias("c"), F.max("y1").alias("d"))

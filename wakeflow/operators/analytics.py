@@ -1,4 +1,4 @@
-"""Evaluation and map queries: distributions, ratios, as-of joins, top-1 interval joins, confusion metrics, simplification."""
+"""Evaluation and map queries: distributions, ratios, as-of joins, top-1 interval joins, confusion metrics."""
 
 from __future__ import annotations
 
@@ -119,43 +119,6 @@ def chord_deviation(segment_points: DataFrame) -> DataFrame:
     return rows.groupBy("segment_id").agg(*[f(c).alias(f"{n}_{c}_km") for c in ("spatial", "temporal") for n, f in (("mean", F.avg), ("max", F.max))])
 
 
-def simplified(points: DataFrame, tolerances: Sequence[float]) -> DataFrame:
-    """MMSI, tolerance, kept points and mean distance of the others (km): Douglas-Peucker per vessel, which no built-in function expresses."""
-    import numpy as np
-    import pandas as pd
-
-    def keep(xy: np.ndarray, tolerance: float) -> np.ndarray:
-        on, stack = np.zeros(len(xy), bool), [(0, len(xy) - 1)]
-        on[[0, -1]] = True
-        while stack:
-            a, b = stack.pop()
-            if b - a < 2:
-                continue
-            d = distance(xy[a + 1 : b], xy[a], xy[b])
-            i = int(d.argmax())
-            if d[i] > tolerance:
-                on[a + 1 + i] = True
-                stack += [(a, a + 1 + i), (a + 1 + i, b)]
-        return on
-
-    def distance(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        d = b - a
-        square = float(d @ d)
-        t = np.clip((p - a) @ d / square, 0, 1) if square else np.zeros(len(p))
-        return np.hypot(*(p - (a + t[:, None] * d)).T)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = pdf.sort_values("timestamp")[["longitude", "latitude"]].to_numpy()
-        out = []
-        for tolerance in tolerances:
-            on = np.flatnonzero(keep(xy, tolerance))
-            d = np.concatenate([distance(xy[a : b + 1], xy[a], xy[b]) for a, b in zip(on, on[1:], strict=False)] or [np.zeros(1)])
-            out.append((int(pdf["MMSI"].iloc[0]), tolerance, len(xy), len(on), float(d.mean() * 111)))
-        return pd.DataFrame(out, columns=["MMSI", "tolerance", "points", "kept", "mean_error_km"])
-
-    return points.select("MMSI", "timestamp", "latitude", "longitude").groupBy("MMSI").applyInPandas(run, "MMSI long, tolerance double, points long, kept long, mean_error_km double")
-
-
 def confusion(predictions: DataFrame, truth: str, predicted: str, classes: Sequence[str]) -> DataFrame:
     """truth and a column of counts per predicted class."""
     return predictions.groupBy(F.col(truth).alias("truth")).pivot(predicted, list(classes)).count().fillna(0)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wakeflow.config import EventThresholds, LabelThresholds, ReasoningThresholds, SegmentConfig
 from wakeflow.functions import exprs, geometry, nearest
-from wakeflow.operators import analytics, clean, evaluation, events, features, fishing, geofence, labels, ml, reports, segment, situations
+from wakeflow.operators import analytics, clean, evaluation, events, features, fishing, geofence, labels, ml, reports, segment, simplify, situations
 from wakeflow.plans.oracle import ORACLE_SQL
 from wakeflow.plans.shapes import ZONES
 from wakeflow.session import once, shared_checkpoints
@@ -231,7 +231,7 @@ def q_chord_deviation(spark, sf_dir):
 
 
 def q_track_simplification(spark, sf_dir):
-    return analytics.simplified(points(spark, sf_dir), [0.1, 0.2, 0.5])
+    return simplify.simplified(points(spark, sf_dir), [0.1, 0.2, 0.5])
 
 
 def q_vessel_paths(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeflow.functions import exprs as X
-from wakeflow.operators import pieces
+from wakeflow.operators import pieces, simplify
 from wakeflow.operators.features import buckets
 
 #: Event types of a distribution, in order.
@@ -50,9 +50,24 @@ def downsample(points: DataFrame, target: int = 300) -> DataFrame:
     return rows.filter(F.pmod("_i", "_step") == 0).drop("_i", "_step")
 
 
-def vessel_paths(points: DataFrame) -> DataFrame:
-    """MMSI and its places in time order as one array."""
-    return points.groupBy("MMSI").agg(F.transform(F.sort_array(F.collect_list(F.struct("timestamp", "latitude", "longitude"))), lambda p: F.struct(p["latitude"].alias("latitude"), p["longitude"].alias("longitude"))).alias("path"))
+def top_vessel_tracks(points: DataFrame, k: int, target: int = 300) -> DataFrame:
+    """The points of the k vessels with most points, thinned to about ``target`` each, with the vessel's rank."""
+    top = top_vessels(points, k).select("MMSI", "rank")
+    return downsample(points.join(F.broadcast(top), "MMSI"), target)  # k rows
+
+
+def vessel_paths(points: DataFrame, part: int = 10_000) -> DataFrame:
+    """MMSI, part (from 0) and the places of that part in time order as one array of at most so many; of rows with a vessel, time and place."""
+    rows = simplify.numbered(points).withColumn("part", F.floor(F.col("i") / F.lit(part)))
+    place = F.struct(F.col("y").alias("latitude"), F.col("x").alias("longitude"))
+    path = F.transform(F.sort_array(F.collect_list(F.struct("i", place.alias("p")))), lambda x: x["p"])
+    return rows.groupBy("MMSI", "part").agg(path.alias("path"))
+
+
+def segment_endpoints(segment_points: DataFrame) -> DataFrame:
+    """MMSI, segment_id, number (of the segment in the vessel's, by start) and the first and last place of each segment."""
+    one = segment_points.groupBy("MMSI", "segment_id").agg(*[f(c, "timestamp").alias(f"{n}_{c}") for n, f in (("first", F.min_by), ("last", F.max_by)) for c in ("timestamp", "latitude", "longitude")])
+    return one.withColumn("number", F.row_number().over(Window.partitionBy("MMSI").orderBy("first_timestamp", "segment_id")))  # segments of a vessel
 
 
 def bounds(points: DataFrame) -> DataFrame:
@@ -160,26 +175,43 @@ def hybrid(predictions: DataFrame, situation: str, activity: str) -> DataFrame:
     return predictions.withColumn("hybrid_prediction", F.coalesce(situation, activity))
 
 
+def _ranked(rows: DataFrame, group: str, key: str, seed: int) -> DataFrame:
+    """``rows`` with _n, the number of the row in its group (from 1) by a seeded digest of its key, and _all, the rows of the group.
+
+    A group is dealt by the head of the digest, so one with most of the rows is shared by
+    256 tasks; what stands before each part comes from a count of the parts.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    rows = rows.withColumn("_digest", digest).withColumn("_part", F.coalesce(F.substring("_digest", 1, 2), F.lit("")))
+    parts = rows.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_of")).agg(F.count("*").alias("_size"))
+    whole = Window.partitionBy("_group")
+    before = F.coalesce(F.sum("_size").over(whole.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({"_before": before, "_all": F.sum("_size").over(whole)}).drop("_size")
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group, "_part").orderBy("_digest", key)))
+    rows = rows.join(parts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    return rows.withColumn("_n", F.col("_n") + F.col("_before")).drop("_digest", "_part", "_group", "_of", "_before")
+
+
 def sample_groups(rows: DataFrame, group: str, key: str, cap: int, seed: int = 42, capped: Sequence[str] | None = None) -> DataFrame:
-    """At most ``cap`` rows of each group (or of the listed groups), by a seeded hash; nulls of the group are dropped."""
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key)
-    rows = rows.filter(F.col(group).isNotNull()).withColumn("_n", F.row_number().over(order))
+    """At most ``cap`` rows of each group (or of the listed groups), by a seeded digest; nulls of the group are dropped."""
     keep = F.col("_n") <= cap
-    return rows.filter(keep if capped is None else keep | ~F.col(group).isin(*capped)).drop("_n")
+    rows = _ranked(rows.filter(F.col(group).isNotNull()), group, key, seed)
+    return rows.filter(keep if capped is None else keep | ~F.col(group).isin(*capped)).drop("_n", "_all")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, fractions: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
     """``rows`` with split: train, validation or test, in these shares of each label."""
-    one = Window.partitionBy(label)
-    at = (F.row_number().over(one.orderBy(F.xxhash64(F.lit(seed), key), key)) - 0.5) / F.count("*").over(one)
-    return rows.withColumn("split", F.when(at <= fractions[0], "train").when(at <= fractions[0] + fractions[1], "validation").otherwise("test"))
+    at = (F.col("_n") - 0.5) / F.col("_all")
+    split = F.when(at <= fractions[0], "train").when(at <= fractions[0] + fractions[1], "validation").otherwise("test")
+    return _ranked(rows, label, key, seed).withColumn("split", split).drop("_n", "_all")
 
 
 def vessel_split(rows: DataFrame, fraction: float = 0.15, seed: int = 42, vessel: str = "mmsi") -> DataFrame:
     """``rows`` with split: whole vessels in test, max(1, int(n * fraction)) of them."""
     ids = rows.select(vessel).distinct()
     n = max(1, int(ids.count() * fraction))
-    test = ids.orderBy(F.xxhash64(F.lit(seed), vessel), vessel).limit(n).withColumn("split", F.lit("test"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(vessel).cast("string")).cast("binary"))
+    test = ids.orderBy(digest, vessel).limit(n).withColumn("split", F.lit("test"))
     return rows.join(test, vessel, "left").fillna("train", ["split"])
 
 

@@ -192,13 +192,15 @@ ORACLE_SQL = {
     "confusion_metrics": with_(PREDICTIONS + ", tot as (select count(*)::double as n, sum((t = p)::int)::double as r from pred), s as (select sum(support::double * said) as st, sum(support::double * support) as tt, sum(said::double * said) as ss, avg(pr) as mp, avg(re) as mr, avg(f1) as mf, sum(pr * support) / sum(support) as wp, sum(re * support) / sum(support) as wr, sum(f1 * support) / sum(support) as wf, avg(case when support > 0 then re end) as ba from fin)", "select " + rounded("accuracy=r / n; balanced_accuracy=ba; macro_precision=mp; macro_recall=mr; macro_f1=mf; weighted_precision=wp; weighted_recall=wr; weighted_f1=wf; cohen_kappa=(n * r - st) / (n * n - st); mcc=(n * r - st) / sqrt((n * n - tt) * (n * n - ss))") + " from tot, s"),
     "confusion_matrix": with_(PREDICTIONS, "select t as truth, count(*) filter (p = '1-URGENT') as n1, count(*) filter (p = '2-HIGH') as n2, count(*) filter (p = '3-MEDIUM') as n3, count(*) filter (p = '4-NOT SPECIFIED') as n4, count(*) filter (p = '5-LOW') as n5 from pred group by 1"),
     "chord_deviation": with_(f"{POINTS}, {SEGS}, ab as (select *, arg_min(lat, t) over q as la, arg_min(lon, t) over q as oa, arg_max(lat, t) over q as lb, arg_max(lon, t) over q as ob from segpoints window q as (partition by segment_id)), xy as (select *, (ob - oa) * cos(radians(lat)) * 111.32 as dx, (lb - la) * 110.57 as dy, (lon - oa) * cos(radians(lat)) * 111.32 as px, (lat - la) * 110.57 as py from ab), tu as (select *, case when dx * dx + dy * dy > 0 then greatest(0, least(1, (px * dx + py * dy) / (dx * dx + dy * dy))) else 0 end as tt, coalesce((epoch_us(t) - epoch_us(s)) / nullif(epoch_us(e) - epoch_us(s), 0), 0) as uu from xy)", "select segment_id, " + _F5("mean_spatial_km=avg(sqrt(pow(px - tt * dx, 2) + pow(py - tt * dy, 2))); max_spatial_km=max(sqrt(pow(px - tt * dx, 2) + pow(py - tt * dy, 2))); mean_temporal_km=avg(sqrt(pow(px - uu * dx, 2) + pow(py - uu * dy, 2))); max_temporal_km=max(sqrt(pow(px - uu * dx, 2) + pow(py - uu * dy, 2)))") + " from tu group by 1"),
-    "vessel_paths": with_(POINTS, "select mmsi as \"MMSI\", count(*) as n, round(arg_min(lat, t), 6) as first_latitude, round(arg_max(lon, t), 6) as last_longitude from points group by 1"),
+    "vessel_paths": with_(POINTS, "select mmsi as \"MMSI\", row_number() over (partition by mmsi order by t, lon, lat) - 1 as i, " + rounded("latitude=lat; longitude=lon") + " from points"),
+    "top_vessel_tracks": with_(POINTS, "select mmsi as \"MMSI\", t as \"timestamp\", " + rounded("latitude=lat; longitude=lon") + ", rank from (select *, row_number() over (partition by mmsi order by t) - 1 as i, greatest(1, count(*) over (partition by mmsi) // 20) as step from points join (select mmsi, (row_number() over (order by count(*) desc, mmsi) - 1)::int as rank from points group by 1 qualify rank < 5) top using (mmsi)) x where i % step = 0"),
+    "segment_endpoints": with_(f"{POINTS}, {SEGS}", "select mmsi as \"MMSI\", segment_id, s as first_timestamp, e as last_timestamp, " + rounded("first_latitude=la; first_longitude=oa; last_latitude=lb; last_longitude=ob") + ", (row_number() over (partition by mmsi order by s, segment_id))::int as number from (select segment_id, any_value(mmsi) as mmsi, min(t) as s, max(t) as e, arg_min(lat, t) as la, arg_min(lon, t) as oa, arg_max(lat, t) as lb, arg_max(lon, t) as ob from segpoints group by 1) x"),
     "irregular_zone_crossings": with_(f"{POINTS}, {IN_ZONES}", "select case when i then 'EEZ entry' else 'EEZ exit' end as event_type, t as event_timestamp, mmsi from crossed where p is not null and p <> i"),
     "irregular_zone_distance": with_(f"{POINTS}, {SEGS}, {MOTION}, {SIDES}, {ZONE_DISTANCE}", "select segment_id, round(distance_to_boundary + 3.7e-10, 5) as distance_to_boundary from dist"),
     "inside_zone": with_(POINTS, f"select {INSIDE} as inside_eez, not {INSIDE} as outside_eez, count(*) as n from points group by 1, 2"),
-    "stratified_split": "with k as (select o_orderpriority as label, (row_number() over (partition by o_orderpriority order by o_orderkey) - 0.5) / count(*) over (partition by o_orderpriority) as q from orders) select label, case when q <= 0.7 then 'train' when q <= 0.7::double + 0.15::double then 'validation' else 'test' end as split, count(*) as n from k group by 1, 2",
-    "vessel_split": "with v as (select count(distinct o_custkey) as k, greatest(1, floor(count(distinct o_custkey) * 0.15::double)::bigint) as t from orders) select 'test' as split, t as vessels from v union all select 'train', k - t from v",
-    "group_sample": "select o_orderpriority as label, case when o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM') then least(500, count(*)) else count(*) end as n from orders group by 1",
+    "stratified_split": "with k as (select o_orderkey as id, o_orderpriority as label, o_custkey as mmsi, (row_number() over (partition by o_orderpriority order by md5('42:' || o_orderkey), o_orderkey) - 0.5) / count(*) over (partition by o_orderpriority) as q from orders) select id, label, mmsi, case when q <= 0.7 then 'train' when q <= 0.7::double + 0.15::double then 'validation' else 'test' end as split from k",
+    "vessel_split": "with v as (select distinct o_custkey as mmsi from orders), r as (select mmsi, row_number() over (order by md5('42:' || mmsi), mmsi) as n, greatest(1, floor(count(*) over () * 0.15::double)::bigint) as t from v) select mmsi, case when n <= t then 'test' else 'train' end as split from r",
+    "group_sample": "select id, label, mmsi from (select o_orderkey as id, o_orderpriority as label, o_custkey as mmsi, row_number() over (partition by o_orderpriority order by md5('42:' || o_orderkey), o_orderkey) as n from orders) x where n <= 500 or label not in ('1-URGENT', '2-HIGH', '3-MEDIUM')",
     "label_remaps": with_(SITUATIONS, "select situation, case situation when 'Repeated Crossing' then 'Boundary Crossing' when 'Maneuvering' then 'Transit' else situation end as class, case situation when 'Anchorage' then 'Anchorage' when 'Maneuvering' then null else 'Transit' end as activity, case when situation in ('Boundary Crossing', 'Prolonged Boundary Presence') then situation else 'None' end as target, count(*) as n from situ group by 1"),
     "speed_without_speeds": with_(f"{POINTS}, {SEGS}, {MOTION}", "select segment_id, " + _F5("avg_speed=case when secs = 0 then 0 else path / 1.852 / (secs / 3600) end; max_speed=case when secs = 0 then 0 else path / 1.852 / (secs / 3600) end; speed_variance=0.0::double") + " from motion"),
     "feature_profile": with_(f"{POINTS}, {SEGS}, {MOTION}, long as (select 'avg_speed' as c, avg_speed as x from motion union all select 'path_length', path from motion union all select 'number_of_points', n from motion)", "select c as \"column\", count(x) as \"count\", " + rounded("mean=avg(x); std=stddev_samp(x); min=min(x); p25=quantile_cont(x, 0.25); p50=quantile_cont(x, 0.5); p75=quantile_cont(x, 0.75); max=max(x)", 4) + " from long group by 1"),

@@ -235,8 +235,16 @@ def q_track_simplification(spark, sf_dir):
 
 
 def q_vessel_paths(spark, sf_dir):
-    p = analytics.vessel_paths(points(spark, sf_dir))
-    return p.select("MMSI", F.size("path").cast("long").alias("n"), F.round(F.element_at("path", 1)["latitude"], 6).alias("first_latitude"), F.round(F.element_at("path", -1)["longitude"], 6).alias("last_longitude"))
+    p = analytics.vessel_paths(points(spark, sf_dir), 50)
+    return rounded(p.select("MMSI", (F.col("part") * 50).alias("base"), F.posexplode("path").alias("i", "p")).select("MMSI", (F.col("base") + F.col("i")).alias("i"), "p.latitude", "p.longitude"))
+
+
+def q_top_vessel_tracks(spark, sf_dir):
+    return rounded(analytics.top_vessel_tracks(points(spark, sf_dir), 5, 20).select("MMSI", "timestamp", "latitude", "longitude", "rank"))
+
+
+def q_segment_endpoints(spark, sf_dir):
+    return rounded(analytics.segment_endpoints(_segment_points(spark, sf_dir)))
 
 
 def q_situation_reports(spark, sf_dir):
@@ -291,15 +299,15 @@ def _labelled(spark, sf_dir):
 
 
 def q_stratified_split(spark, sf_dir):
-    return analytics.stratified_split(_labelled(spark, sf_dir), "label", "id").groupBy("label", "split").agg(F.count("*").alias("n"))
+    return analytics.stratified_split(_labelled(spark, sf_dir), "label", "id")
 
 
 def q_vessel_split(spark, sf_dir):
-    return analytics.vessel_split(_labelled(spark, sf_dir)).groupBy("split").agg(F.count_distinct("mmsi").alias("vessels"))
+    return analytics.vessel_split(_labelled(spark, sf_dir)).select("mmsi", "split").distinct()
 
 
 def q_group_sample(spark, sf_dir):
-    return analytics.sample_groups(_labelled(spark, sf_dir), "label", "id", 500, capped=PRIORITIES[:3]).groupBy("label").agg(F.count("*").alias("n"))
+    return analytics.sample_groups(_labelled(spark, sf_dir), "label", "id", 500, capped=PRIORITIES[:3])
 
 
 def q_label_remaps(spark, sf_dir):

@@ -209,7 +209,11 @@ def test_command_line_end_to_end(spark, tmp_path):
         ["features", "--segments", p("segments.parquet"), "--boundary", p("boundary.parquet"), "--events", p("events.json"), "--polygons", p("z.wkt"), "--output", p("features.parquet")],
         ["labels", "--features", p("features.parquet"), "--output", p("labels.parquet")],
         ["reason", "--events", p("events.json"), "--output", p("situations.parquet")],
+        ["reason", "--events", p("events.json"), "--output", p("situations.json")],
         ["report", "--situations", p("situations.parquet"), "--output", p("reports")],
+        ["report", "--situations", p("situations.json"), "--output", p("more_reports")],
+        ["report", "--situations", p("situations.json"), "--features", p("features.parquet"), "--output", p("full_reports")],
+        ["prepare", "--source", p("raw.csv"), "--window", "60", "--output", p("prepared")],
     ):
         cli.main(args)
     rows = spark.range(90).select(F.col("id").cast("string").alias("segment_id"), (F.col("id") % 9).alias("mmsi"), *[(F.col("id") % (i + 2)).cast("double").alias(c) for i, c in enumerate(ml.FEATURES)])
@@ -231,3 +235,18 @@ def test_command_line_end_to_end(spark, tmp_path):
     assert json.loads((tmp_path / "stats.json").read_text())["cleaned_rows"] == 60
     assert spark.read.parquet(p("labels.parquet")).count() == 5 and spark.read.text(p("reports")).count() > 0
     assert spark.read.parquet(p("features.parquet")).filter("crossing_count > 0").count() > 0
+    texts = {n: sorted(r["value"] for r in spark.read.text(p(n)).collect()) for n in ("reports", "more_reports", "full_reports")}
+    assert texts["reports"] == texts["more_reports"] != texts["full_reports"] and any("knots." in x and "passed" in x for x in texts["full_reports"])
+    assert spark.read.parquet(p("prepared/raw_cleaned_ais.parquet")).count() == 60 and json.loads((tmp_path / "prepared/raw_cleaning_stats.json").read_text())["vessel_count"] == 1
+    assert sorted(map(str, spark.read.parquet(p("prepared/raw_segments.parquet")).collect())) == sorted(map(str, spark.read.parquet(p("segments.parquet")).collect()))
+
+
+def test_facts_of_the_segment_that_shares_most_time(spark):
+    hour = lambda n: T0 + timedelta(hours=n)
+    found = spark.createDataFrame([("Transit", 1, hour(0), hour(10)), ("Transit", 2, hour(0), hour(1)), ("Prolonged Boundary Presence", 1, hour(30), hour(50)), ("Transit", None, hour(0), None)], "situation string, mmsi long, start_timestamp timestamp, end_timestamp timestamp")
+    found = found.withColumn("supporting_events", F.array().cast(f"array<struct<event_type:string,duration_minutes:double,details:{events.DETAILS}>>"))
+    known = spark.createDataFrame([("a", 1, hour(-5), hour(2), 1.0, 11.0), ("b", 1, hour(2), hour(9), 2.0, None), ("c", 1, hour(9), hour(40), 3.5, 3.0), ("d", 1, hour(40), hour(50), 4.0, 4.0)], "segment_id string, mmsi long, segment_start timestamp, segment_end timestamp, distance_to_boundary double, avg_speed double")
+    got = {(r["mmsi"], r["situation"]): (r["distance_to_boundary"], r["avg_speed"]) for r in reports.with_facts(found, known).collect()}
+    assert got == {(1, "Transit"): (2.0, None), (2, "Transit"): (None, None), (1, "Prolonged Boundary Presence"): (3.5, 3.0), (None, "Transit"): (None, None)}
+    lines = [r["report"] for r in reports.report_lines(found, known).collect()]
+    assert len(lines) == 4 and any(x.endswith("3.5 km from the boundary.") for x in lines if x) and not any("knots" in x for x in lines if x)

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import argparse
 from dataclasses import replace
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from wakeflow.config import load_config
 from wakeflow.operators import analytics, clean, evaluation, events, features, fishing, geofence, labels, ml, reports, segment, situations
-from wakeflow.session import session
+from wakeflow.session import once, session
 from wakeflow.sources import readers, sinks
 
 _EVENT = f"event_type string, event_timestamp timestamp, mmsi long, start_timestamp timestamp, end_timestamp timestamp, duration_minutes double, details {events.DETAILS}"
 
 _SITUATION = "situation string, confidence double, mmsi long, start_timestamp timestamp, end_timestamp timestamp"
+#: as ``reason`` writes them, with the events that support them
+_REASONED = f"{_SITUATION}, supporting_events array<struct<{','.join(':'.join(f.split(' ', 1)) for f in _EVENT.split(', '))}>>"
 
 
 def _ingest(spark, a, config):
@@ -31,6 +34,16 @@ def _segment(spark, a, config):
     sinks.write_table(segment.segment_points(readers.read_points(spark, a.points), c), a.output)
 
 
+def _prepare(spark, a, config):
+    """Ingest and segmentation in one command; of a source that is one file, the tables bear its name in front."""
+    stem = f"{Path(a.source).stem}_" if Path(a.source).is_file() else ""
+    points, segments, stats = (f"{a.output}/{stem}{x}" for x in ("cleaned_ais.parquet", "segments.parquet", "cleaning_stats.json"))
+    Path(a.output).mkdir(parents=True, exist_ok=True)
+    raw = a.raw_dir or f"{a.output}/raw"
+    _ingest(spark, argparse.Namespace(source=a.source, raw_dir=raw, max_rows=a.max_rows, replace_raw=a.replace_raw, output=points, stats=stats), config)
+    _segment(spark, argparse.Namespace(points=points, window=a.window, min_points=a.min_points, output=segments), config)
+
+
 def _boundary(spark, a, config):
     sinks.write_table(geofence.boundary_events(readers.read_points(spark, a.points), readers.read_polygons(spark, a.polygons)), a.output)
 
@@ -71,7 +84,9 @@ def _reason(spark, a, config):
 
 
 def _report(spark, a, config):
-    sinks.write_text(reports.report_lines(spark.read.parquet(a.situations)), "report", a.output)
+    found = spark.read.parquet(a.situations) if a.situations.rstrip("/").endswith(".parquet") else readers.read_envelope(spark, a.situations, "situations", _REASONED, missing_ok=False)
+    known = spark.read.parquet(a.features) if a.features else None
+    sinks.write_text(reports.report_lines(found, known), "report", a.output)
 
 
 def _train(spark, a, config):
@@ -79,7 +94,7 @@ def _train(spark, a, config):
     test_size, validation_size = (x if x is not None else y for x, y in ((a.test_size, c.test_size), (a.validation_size, c.validation_size)))
     rows = ml.training_rows(spark.read.parquet(a.features), spark.read.parquet(a.labels))
     rows = analytics.sample_groups(rows, "label", "segment_id", c.max_majority_samples)
-    rows = analytics.stratified_split(rows, "label", "segment_id", (1 - test_size - validation_size, validation_size, test_size)).cache()
+    rows = once(analytics.stratified_split(rows, "label", "segment_id", (1 - test_size - validation_size, validation_size, test_size)))
     train, validation, test = (rows.filter(F.col("split") == x) for x in ("train", "validation", "test"))
     if a.model == "best":
         models = {x: ml.fit(train, model=x, trees=a.trees) for x in ("forest", "boosted")}
@@ -130,6 +145,7 @@ def parser() -> argparse.ArgumentParser:
         return sub
 
     command("ingest", _ingest, "source", raw_dir=str, stats=str, max_rows=int, replace_raw=bool)
+    command("prepare", _prepare, "source", raw_dir=str, max_rows=int, replace_raw=bool, min_points=int).add_argument("--window", type=int, action="append")
     command("segment", _segment, "points", min_points=int).add_argument("--window", type=int, action="append")
     command("boundary", _boundary, "points", "polygons")
     command("events", _events, "points", boundary=str)
@@ -137,10 +153,10 @@ def parser() -> argparse.ArgumentParser:
     command("fishing", _fishing, "effort").add_argument("--min-hours", type=float, default=0.1)
     command("labels", _labels, "features", fishing=str)
     command("reason", _reason, "events")
-    command("report", _report, "situations")
+    command("report", _report, "situations", features=str)
     train = command("train", _train, "features", "labels", metrics=str, tune=bool, test_size=float, validation_size=float)
     train.add_argument("--trees", type=int, default=200)
-    train.add_argument("--model", choices=("forest", "boosted", "best"), default="forest")
+    train.add_argument("--model", choices=("forest", "boosted", "one_vs_rest", "best"), default="forest")
     command("evaluate", _evaluate, "folder", "model")
     command("compare", _compare, "metrics", prior=str)
     return top

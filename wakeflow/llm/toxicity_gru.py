@@ -262,7 +262,7 @@ def _logits(m: dict, x: np.ndarray, index: np.ndarray, size: np.ndarray, part: i
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) -> tuple[list[str], list[int], tuple[int, int]]:
-    """Texts and labels: at most per_class toxic documents and twice as many others, none over ``longest`` characters; and how many documents have label 0 and 1."""
+    """Texts and labels: at most per_class toxic documents and twice as many others, one text each (of rows that repeat an id the first by code points), none over ``longest`` characters; and how many documents have label 0 and 1."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(remainder(F.col("doc_id"), 5) != 0)
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     pick = None
@@ -270,7 +270,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) ->
         own = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class * (2 - label))
         pick = own if pick is None else pick.unionByName(own)
     pick = pick.withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, longest)).join(F.broadcast(pick), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").limit(4 * per_class).collect()
+    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, longest)).join(F.broadcast(pick), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # a row an id
     rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows)
     return [r[1] for r in rows], [r[2] for r in rows], (count.get(0, 0), count.get(1, 0))
 

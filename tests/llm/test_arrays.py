@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 
 from wakeflow.llm import decontaminate, jaccard_join, kneser_ney, langid_crf, lattice_lm, mixing, substring_dedup, suffix_array, toxicity_gru
 from wakeflow.llm import textbytes as tb
+from wakeflow.llm.queries import VOCABULARY
 
 TEXT = st.text(alphabet="ab \n\té\x0b", max_size=40)
 
@@ -76,8 +77,8 @@ def test_forward_backward_is_exact():
 
 
 def test_lattice_sums_all_segmentations():
-    vocab = lattice_lm.vocabulary()
-    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(lattice_lm.VOCABULARY, "rb").read().splitlines() if x)}
+    vocab = lattice_lm.vocabulary(VOCABULARY)
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(VOCABULARY, "rb").read().splitlines() if x)}
     weight = {p: 1 / (r + 3) for p, r in ranks.items() if len(p) <= lattice_lm.LONGEST_PIECE}
     z = sum(weight.values())
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wakeflow.llm import decontaminate, jaccard_join, kneser_ney, langid_crf, lattice_lm, line_dedup, mixing, quality_rules, substring_dedup, toxicity_gru
+from wakeflow.llm.queries import VOCABULARY
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -175,17 +176,17 @@ def test_lattice_scores(docs, none):
     n, v = sum(count.values()), len(count)
     base = sorted((d if d is not None else -1, len(w) + 1, sum(count[x] > 0 for x in [*w, None]), round(sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in [*w, None]), 6)) for d, w in ((d, WORDS.findall((t or "").translate(low))) for d, t in rows))
     for hot in (5, 400_000):
-        out = lattice_lm.score(docs, docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0), hot=hot)
+        out = lattice_lm.score(docs, docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0), VOCABULARY, hot)
         got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in out.collect())
         assert got == base and out.first()["train_tokens"] == n
-    assert lattice_lm.score_held_out(none).count() == 0
+    assert lattice_lm.score_held_out(none, VOCABULARY).count() == 0
 
 
 def test_lattice_of_long_words_and_pieces(spark):
     import base64
     import math
 
-    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(lattice_lm.VOCABULARY, "rb").read().splitlines() if x)}
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(VOCABULARY, "rb").read().splitlines() if x)}
     z = sum(1 / (r + 3) for r in ranks.values())
     logadd = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
 
@@ -204,7 +205,7 @@ def test_lattice_of_long_words_and_pieces(spark):
     words += [long.decode()] if long else []
     docs = spark.createDataFrame([*[(i, w) for i, w in enumerate(words)], (100, "a b"), (101, words[4])], "doc_id long, text string")
     for hot in (0, 400_000):
-        got = {r["doc_id"]: r["score"] for r in lattice_lm.score(docs, docs.filter("doc_id >= 100"), hot=hot).collect()}
+        got = {r["doc_id"]: r["score"] for r in lattice_lm.score(docs, docs.filter("doc_id >= 100"), VOCABULARY, hot).collect()}
         n, v = 5, 4  # a, b, the long word and two ends
         mass = n + v + 1
         for i, w in enumerate(words):
@@ -265,7 +266,7 @@ def test_clashing_columns_pass_through(spark, docs):
     for out in (quality_rules.keep_good(wide), line_dedup.dedup(wide), jaccard_join.one_of_each(wide), decontaminate.clean(wide, bench), mixing.mix(wide)):
         rows = out.select(*names).distinct().collect()
         assert [r.asDict() for r in rows] == [{c: f"own {c}" for c in names}]
-    for out in (jaccard_join.join(wide), substring_dedup.remove_repeats(wide), mixing.plan(wide), quality_rules.judge(wide), kneser_ney.classify(wide, labels), lattice_lm.score_held_out(wide), langid_crf.identify(wide), toxicity_gru.classify(wide, labels)):
+    for out in (jaccard_join.join(wide), substring_dedup.remove_repeats(wide), mixing.plan(wide), quality_rules.judge(wide), kneser_ney.classify(wide, labels), lattice_lm.score_held_out(wide, VOCABULARY), langid_crf.identify(wide), toxicity_gru.classify(wide, labels)):
         assert out.count() == docs.count()
 
 

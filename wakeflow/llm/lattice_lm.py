@@ -21,7 +21,6 @@ words, and it grows with the corpus. Row sums come back by row number, never tex
 from __future__ import annotations
 
 import base64
-import os
 from pathlib import Path
 
 import numpy as np
@@ -33,8 +32,6 @@ from pyspark.sql import functions as F
 from wakeflow.llm import textbytes as tb
 from wakeflow.llm.common import cut, remainder
 
-#: where no ``path`` is given: a vocabulary file of a public tokenizer, in the format of ranks (base64 piece, rank)
-VOCABULARY = os.environ.get("WAKEFLOW_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 HOT = 400_000
 #: no piece is left out for its length
 LONGEST_PIECE = float("inf")
@@ -43,10 +40,10 @@ HEAD = 8
 CHUNK = 4 << 20
 
 
-def vocabulary(path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of the pieces, their log scores, their lengths and the sorted hashes of the first HEAD bytes of longer ones; single bytes are always among them. Read by the driver."""
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the pieces, their log scores, their lengths and the sorted hashes of the first HEAD bytes of longer ones; single bytes are always among them. ``path`` is a vocabulary file of a public tokenizer, in the format of ranks (base64 piece, rank), read by the driver."""
     if not Path(path).exists():
-        raise FileNotFoundError(f"{path}: give the path of a vocabulary file, or name it in WAKEFLOW_VOCABULARY")
+        raise FileNotFoundError(f"{path}: no vocabulary file")
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
     for b in range(256):
         ranks.setdefault(bytes([b]), len(ranks))
@@ -126,7 +123,7 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, training: DataFrame, path: str = VOCABULARY, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``, learned from the rows of ``training``."""
     spark = docs.sparkSession
     table = cut(counts(training))
@@ -194,7 +191,7 @@ def score(docs: DataFrame, training: DataFrame, path: str = VOCABULARY, hot: int
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def score_held_out(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def score_held_out(docs: DataFrame, path: str) -> DataFrame:
     """Learn from documents whose crc32(doc_id) mod 10 is not 0, score all."""
     rest = remainder(F.col("doc_id"), 10)
     out = score(docs, docs.filter(rest != 0), path)

@@ -9,8 +9,10 @@ tree splits the vector of quotas among the output shards: at each node the left
 half of the shards gets a multivariate-hypergeometric draw from the node's vector, so
 that every draw goes to one shard and all shards get as many. A shard takes disjoint
 runs of each source's permuted blocks, and what is taken of a document is what the
-shards have drawn of its block; :func:`mix` orders documents inside a shard by a seeded
-hash. All choices follow from the seed and the rows, so reruns agree.
+shards have drawn of its block. How much that is in all follows from the quotas, which the
+tree divides and neither adds to nor takes from; which shard has it follows from the tree.
+:func:`mix` gives each draw a place in its shard by a seeded hash, and :func:`write_shards`
+writes the shards in that order. All choices follow from the seed and the rows, so reruns agree.
 
 Of the block drawn in part, parts are taken in the same way, and of the part at the
 edge parts again; of the documents at its edge those that fit.
@@ -161,3 +163,15 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 17, max_repeats: int = 3)
     same = rows["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == F.col(hash_)) & rows["source"].eqNullSafe(F.col(source_))
     out = rows.join(chosen, same).withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_shard", id_, hash_, "mix_copy"))
     return out.drop(id_, hash_, source_)
+
+
+def write_shards(docs: DataFrame, path: str, tasks: int | None = None, **options: int) -> None:
+    """The mix as Parquet, a folder for each mix_shard, its files in the shard's shuffled order.
+
+    Ranges of (shard, order) go to ``tasks`` tasks, so a shard is as many tasks' work as it
+    has rows, each file a run of its order; read by file name and row, a shard is in order.
+    """
+    rows = mix(docs, **options)
+    by = ["mix_shard", "mix_order"]
+    dealt = rows.repartitionByRange(tasks, *by) if tasks else rows.repartitionByRange(*by)
+    dealt.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("mix_shard").parquet(path)

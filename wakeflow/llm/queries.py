@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeflow.llm import decontaminate, divergence, exact_dedup, jaccard_join, kneser_ney, langid_crf, lattice_lm, lexical_search, line_dedup, mixing, quality_rules, substring_dedup, toxicity_gru
 from wakeflow.llm.common import read
 
+#: the query's vocabulary file; the operator has no default
+VOCABULARY = os.environ.get("WAKEFLOW_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
 
 def op6_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -31,7 +36,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_lm.score_held_out(read(spark, sf_dir, "documents"))
+    return lattice_lm.score_held_out(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,10 +92,24 @@ def event_overlap_minutes(segments: DataFrame, events: DataFrame, bucket_minutes
     return segments.select("segment_id").join(sums, "segment_id", "left").fillna(0.0, ["anchor_duration", "loiter_duration"])
 
 
+def crossings_and_overlaps(segments: DataFrame, boundary: DataFrame, events: DataFrame, bucket_minutes: int = 1440) -> DataFrame:
+    """segment_id, crossing_count, anchor_duration, loiter_duration of the segments that have any, as of the two functions above, by one join."""
+    width = bucket_minutes * 60_000_000
+    s = segments.select("segment_id", "mmsi", "segment_start", "segment_end", buckets("segment_start", "segment_end", bucket_minutes).alias("bucket"))
+    x = boundary.select("mmsi", F.lit("CROSSING").alias("kind"), F.col("event_timestamp").alias("s"), F.col("event_timestamp").alias("e"))
+    e = events.filter(F.col("event_type").isin("ANCHOR", "LOITER")).select("mmsi", F.col("event_type").alias("kind"), F.col("start_timestamp").alias("s"), F.col("end_timestamp").alias("e"))
+    e = x.unionByName(e).select("*", buckets("s", "e", bucket_minutes).alias("bucket"))
+    both = s.join(e, ["mmsi", "bucket"]).filter(X.overlaps("segment_start", "segment_end", "s", "e"))
+    both = both.filter(F.col("bucket") == F.floor(F.greatest(X.micros("segment_start"), X.micros("s")) / width))
+    m = X.overlap_minutes("segment_start", "segment_end", "s", "e")
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, m)), F.lit(0.0))
+    return both.groupBy("segment_id").agg(F.count_if(F.col("kind") == "CROSSING").alias("crossing_count"), total("ANCHOR").alias("anchor_duration"), total("LOITER").alias("loiter_duration"))
+
+
 def segment_features(points: DataFrame, boundary: DataFrame, events: DataFrame, edges: DataFrame | None = None, config: FeatureConfig | None = None) -> DataFrame:
     """The feature rows of segment points, boundary events and the event sequence; a null distance without polygons."""
     base = motion_features(points, config)
-    out = base.join(crossing_counts(base, boundary), "segment_id", "left").join(event_overlap_minutes(base, events), "segment_id", "left")
+    out = base.join(crossings_and_overlaps(base, boundary, events), "segment_id", "left")
     if edges is not None:
         out = out.join(nearest.distance_km(base, edges, "segment_id", "centroid_longitude", "centroid_latitude"), "segment_id", "left")
     else:

@@ -39,6 +39,8 @@ NORMAL[tb.SPACE] = 32
 #: postings that are expanded, and cells of an alignment that are held, at once
 POSTINGS = 1_000_000
 CELLS = 2_000_000
+#: of a first count of bands, a power of 2
+BUCKETS = 1 << 20
 #: places of a gram in the items of a slab from which on items do without it if they can
 OFTEN = 256
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
@@ -202,9 +204,19 @@ class Index:
         doc = np.searchsorted(offsets, at, "right") - 1
         band = np.floor_divide(at - offsets[doc] - pos, self.k[item] + 1)  # of the place of the item's start in the document
         # overlapping bands: [b, b + 2) widths. A place of the item counts once in a band, however many places of the text repeat it
-        pair = np.concatenate([doc * len(self.ids) + item] * 2)
+        pair, item = np.concatenate([doc * len(self.ids) + item] * 2), np.concatenate([item, item])
         band, pos = np.concatenate([band, band - 1]), np.concatenate([pos, pos])
-        order = np.lexsort((pos, band, pair))
+        # most bands have too few places even if all that share a bucket are theirs: these need no sorting
+        bucket = ((pair * 0x9E3779B1 + band * 0x85EBCA77) >> 7) & (BUCKETS - 1)
+        some = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS)[bucket] >= self.least[item])
+        pair, band, pos = pair[some], band[some], pos[some]
+        if not len(some):
+            return
+        low, first_pair, wide, long = int(band.min()), int(pair.min()), int(band.max() - band.min()) + 1, int(pos.max()) + 1
+        if (int(pair.max()) - first_pair + 1) * wide * long < 1 << 63:
+            order = np.argsort(((pair - first_pair) * wide + band - low) * long + pos)
+        else:
+            order = np.lexsort((pos, band, pair))
         pair, band, pos = pair[order], band[order], pos[order]
         group = np.append(True, (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])) if len(pair) else np.zeros(0, bool)
         new = group.copy()

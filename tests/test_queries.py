@@ -36,4 +36,4 @@ def test_query(spark, name):
 
 
 def test_all_queries_are_registered():
-    assert set(ORACLE_SQL) <= set(QUERIES) and set(QUERIES) - set(ORACLE_SQL) == {"track_simplification", "situation_reports", "forest_predictions"}
+    assert set(ORACLE_SQL) <= set(QUERIES) and set(QUERIES) - set(ORACLE_SQL) == {"track_simplification", "situation_reports", "forest_predictions", "boosted_predictions"}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wakeflow.config import LabelThresholds
 from wakeflow.functions import exprs, geometry, nearest
 from wakeflow.operators import analytics, features, fishing, geofence, labels, situations
+from wakeflow.operators.geofence import BOUNDARY_SCHEMA as BOUNDARY
 
 T0 = datetime(2024, 1, 1)
 HOLED = "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1))"
@@ -58,6 +59,30 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("crossed").collect())) == want and len(want) == 3
 
 
+def test_silent_vessels_are_forgotten(spark, tmp_path):
+    """Another vessel's batch, after the silence, clears the state; the next point is a first one."""
+    import time
+
+    from wakeflow.streaming import files
+    from wakeflow.streaming.boundary import boundary_stream
+
+    schema, source = "MMSI long, timestamp timestamp, inside_eez boolean", tmp_path / "in"
+    for forget, found in ((0.02, 0), (60.0, 1)):
+        query = None
+        for i, (mmsi, inside) in enumerate([(1, True), (2, True), (1, False)]):
+            spark.createDataFrame([(mmsi, T0 + timedelta(minutes=i), inside)], schema).coalesce(1).write.mode("append").parquet(f"{source}{forget}")
+            if query is None:  # with a clock's timeout batches never end: the query is watched
+                stream = boundary_stream(spark.readStream.schema(schema).parquet(f"{source}{forget}"), forget_minutes=forget)
+                query = files.write_stream(stream, str(tmp_path / f"out{forget}"), str(tmp_path / f"state{forget}"), processingTime="500 milliseconds")
+            seen, until = i, time.monotonic() + 60
+            while seen <= i and time.monotonic() < until:
+                time.sleep(0.3)
+                seen = sum(p["numInputRows"] for p in query.recentProgress)
+            time.sleep(3)
+        query.stop()
+        assert seen == 3 and files.read_written(spark, str(tmp_path / f"out{forget}"), BOUNDARY).count() == found
+
+
 def test_motion_features(spark):
     rows = [("a", 1, T0, 50.0, 5.0, 2.0, 350.0), ("a", 1, T0 + timedelta(minutes=6), 50.0, 5.1, 4.0, 10.0), ("b", 1, T0, 50.0, 5.0, None, 0.0), ("b", 1, T0 + timedelta(minutes=1), 50.0, 5.0, None, 511.0), ("c", 1, T0, 50.0, 5.0, 1.0, None)]
     got = {r["segment_id"]: r for r in features.motion_features(spark.createDataFrame(rows, "segment_id string, MMSI long, timestamp timestamp, latitude double, longitude double, speed double, heading double")).collect()}

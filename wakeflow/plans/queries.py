@@ -392,5 +392,13 @@ def q_forest_predictions(spark, sf_dir):
     return ml.predict(model, split.filter("split = 'test'"))
 
 
+def q_boosted_predictions(spark, sf_dir):
+    """As the forest, by softmax boosting."""
+    rows = ml.training_rows(_features(spark, sf_dir), _labels(spark, sf_dir))
+    split = analytics.vessel_split(once(rows))
+    model = ml.fit(split.filter("split = 'train'"), model="boosted", trees=5, depth=3)
+    return ml.predict(model, split.filter("split = 'test'"))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 __all__ = ["ORACLE_SQL", "QUERIES", "points"]

@@ -18,7 +18,7 @@ def tracks():
     for m in range(1, 4):  # walks, one on a coarse grid with many equal places and straight stretches
         x = y = 0.0
         out[m] = []
-        for _ in range(rng.randint(150, 400)):
+        for _ in range(rng.randint(120, 250)):
             x, y = x + rng.gauss(0, 0.01), y + rng.gauss(0, 0.01)
             out[m].append((round(x, 2), round(y, 2)) if m == 2 else (x, y))
     out[4] = [(0.01 * i, 0.0) for i in range(120)] + [(1.19, 0.01 * i) for i in range(100)] + [(1.19 - 0.01 * i, 0.99) for i in range(90)]  # straight

@@ -89,7 +89,7 @@ def plain_audit(rows, least, k):
     return out
 
 
-@pytest.mark.parametrize(("least", "k"), [(10, 10), (2, 3), (1000, 10)])
+@pytest.mark.parametrize(("least", "k"), [(10, 10), (1000, 10)])
 def test_audit(docs, rows, least, k):
     got = divergence.audit(docs, k, least).collect()
     want = plain_audit(rows, least, k)

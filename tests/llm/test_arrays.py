@@ -4,6 +4,7 @@ import base64
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,21 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(got, [slow(w) for w in words])
 
 
+def test_lattice_memory_is_bounded():
+    vocab = lattice_lm.vocabulary(VOCABULARY)
+    size = np.random.default_rng(0).integers(3, 12, 200_000)
+    size[777] = 3000
+    ends = np.cumsum(size)
+    data = np.random.default_rng(1).choice(np.frombuffer(b"etaoinshr", np.uint8), ends[-1])
+    tracemalloc.start()
+    got = lattice_lm.lattice(data, ends - size, ends, vocab)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    some = np.array([0, 777, 199_999])  # the same as by themselves
+    assert np.array_equal(got[some], [lattice_lm.lattice(data, ends[[i]] - size[i], ends[[i]], vocab)[0] for i in some])
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     m, x = toxicity_gru._new_model(rng), rng.normal(size=(9, 12))

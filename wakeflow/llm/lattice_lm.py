@@ -37,7 +37,9 @@ HOT = 400_000
 LONGEST_PIECE = float("inf")
 #: longer pieces are looked up where their first bytes, as many as this, begin one
 HEAD = 8
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+#: words of about so many bytes go through the lattice at once, the longest first
+SLAB = 1 << 17
 
 
 def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,10 +61,18 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 def lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab) -> np.ndarray:
     """Log marginal probability over all segmentations of a blank and each word [start, end)."""
+    order = np.argsort(starts - ends, kind="stable")  # long words first, so that only their slabs take many steps
+    slab = np.cumsum(ends[order] - starts[order] + 1) // SLAB
+    out = np.empty(len(order))
+    for part in np.split(order, np.flatnonzero(np.diff(slab)) + 1):
+        out[part] = _slab(data, starts[part], ends[part], vocab)
+    return out
+
+
+def _slab(data: np.ndarray, begin: np.ndarray, ends: np.ndarray, vocab) -> np.ndarray:
+    """:func:`lattice` of words sorted by length, the longest first: those that reach a step are a prefix."""
     hashes, scores, lengths, heads = vocab
-    size = ends - starts + 1
-    order = np.argsort(-size, kind="stable")  # long words first: those that reach a step are a prefix
-    size, begin = size[order], starts[order]
+    size = ends - begin + 1
     base = np.concatenate([[0], np.cumsum(size)])
     word = np.repeat(np.arange(len(size)), size)
     inner = np.arange(base[-1]) - base[word]
@@ -99,9 +109,7 @@ def lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab) -> np
     for a, b in zip(step[:-1], step[1:], strict=True):
         target = source[a:b] + length[a]
         alpha[target] = np.logaddexp(alpha[target], alpha[source[a:b]] + score[a:b])
-    out = np.empty(len(size))
-    out[order] = alpha[place + size]
-    return out
+    return alpha[place + size]
 
 
 def _tokens(batch_text, size=CHUNK):

@@ -175,6 +175,18 @@ def test_toxicity(spark):
         assert r["score"] == pytest.approx(sig(m["scale"][0] * best + m["scale"][1]), abs=1e-4)
 
 
+def test_quality_classifier_learns_from_all(spark, monkeypatch):
+    """The model has every trusted document of the learned share, and no other."""
+    n, learned, real = 15_000, [], kneser_ney.train
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 10 < 9).cast("int").alias("quality"))
+    monkeypatch.setattr(kneser_ney, "train", lambda texts: learned.extend(r["text"] for r in texts.collect()) or real(texts))
+    monkeypatch.setattr(kneser_ney, "MOST", 4096)  # counts are sent on and summed
+    kneser_ney.classify(docs, labels)
+    want = [i for i in range(n) if i % 10 < 9 and hash_of_int(kneser_ney.HELD_OUT, i) % kneser_ney.HELD_OUT]
+    assert len(want) > 8000 and sorted(learned) == sorted(f"text {i}" for i in want)
+
+
 def test_quality_classifier(spark):
     """Perplexities, thresholds and verdicts of the query from dictionaries of n-grams."""
     rows = [(i, line(RNG.randint(1, 40)) + RNG.choice(["", ".", " É 12"]), "en" if i % 2 else "fr", "s", 0) for i in range(80)]

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import SCHEMA
-from wakeflow.llm import divergence, exact_dedup, lexical_search
+from wakeflow.llm import common, divergence, exact_dedup, jaccard_join, lexical_search
 
 RNG = random.Random(31)
 WORDS = [f"{a}{b}{c}" for a in ("ba", "Ke", "lï", "mo") for b in ("nu", "ra") for c in ("se", "ti", "日本", "x")]
@@ -166,3 +167,37 @@ def test_empty_tables(spark, docs):
     assert exact_dedup.mark(none).count() == 0 and exact_dedup.dedup(none).count() == 0 and divergence.audit(none).count() == 0
     assert lexical_search.search(lexical_search.build(none), items).count() == 0
     assert lexical_search.search(lexical_search.build(docs), items.limit(0)).count() == 0
+
+
+def test_postings_leave_the_disk_before_texts_are_shuffled(spark, monkeypatch):
+    """Only what the sieve found is kept; its shuffle is gone when the clumps' texts are dealt."""
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(300 + i % 2))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = blocks.getAllFiles()
+        return sum(f.length() for f in map(files.apply, range(files.size())) if "shuffle" in f.getName())
+
+    sieve, links, seen = jaccard_join.cut, jaccard_join._links, {}
+
+    def after(df):
+        out = sieve(df)
+        if "weak" in out.columns:
+            seen["postings"] = held()
+        return out
+
+    def before(*args):
+        end = time.time() + 5
+        while held() > seen["postings"] // 2 and time.time() < end:  # files are deleted in the background
+            time.sleep(0.1)
+        seen["texts"] = held()
+        return links(*args)
+
+    common.release(spark)
+    time.sleep(2)
+    monkeypatch.setattr(jaccard_join, "cut", after)
+    monkeypatch.setattr(jaccard_join, "_links", before)
+    got = jaccard_join.join(docs).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got) and len(got) == 400
+    assert seen["texts"] <= seen["postings"] // 2

@@ -23,7 +23,8 @@ Equal texts collapse before anything is paired. Runs of more than RUN documents
 split into pairs of parts, and clumps of more than MEMBERS classes (or SHINGLES
 shingles) into pairs of blocks, each pair a key of its own; so a group of m classes
 that are near copies of one another costs m / MEMBERS copies of its texts, the price
-of deciding all its pairs. At most FREQUENT shingles are broadcast.
+of deciding all its pairs. At most FREQUENT shingles are broadcast. Postings leave the
+disk before texts are shuffled.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeflow.llm import textbytes as tb
-from wakeflow.llm.common import cut, free, written
+from wakeflow.llm.common import cut, free, release, written
 from wakeflow.llm.components import components
 
 #: a shingle is frequent if this share of a block of documents has it
@@ -503,10 +504,13 @@ def _grouped(docs: DataFrame, k: int, percent: int, tie: bool) -> DataFrame:
     frequent = spark.sparkContext.broadcast(_frequent(docs, k))
     postings = _postings(docs, k, percent, frequent, renamed).repartition("token", "part").sortWithinPartitions("token", "part", "n", "grp", "cls")
     ties = cut(postings.mapInArrow(_sieve(percent), "a long, b long, weak boolean").distinct())
+    del postings
     near = labelled.filter(F.col("sig").isNotNull()).select("cls", "n", "sig").dropDuplicates(["cls"])
     refined = cut(_in_places(_dealt(components(ties.filter("weak").select("a", "b")), near, 1 << 62).select("clump", "blocks", "side", "cls", "n", "sig")).mapInArrow(_refine(percent), "a long, b long"))
     clumps = components(ties.filter("not weak").select("a", "b").unionByName(refined))
+    release(spark)  # the postings' shuffle: texts are shuffled next
     links = cut(_links(docs, classes, clumps, k, percent))
+    release(spark)
     # rows of one doc_id and several texts tie their classes together
     tied = full.filter("doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("a", "b")
     more = full.join(tied, F.col("cls") == F.col("a"), "left_semi").select("doc_id", F.col("cls").alias("a")).join(full.select("doc_id", F.col("cls").alias("b")), "doc_id").filter("a < b").select("a", "b").distinct()

@@ -113,6 +113,35 @@ def test_substrings_of_hot_anchors_and_structured_texts(spark, monkeypatch):
 
 
 
+def test_passages_of_other_documents(spark, monkeypatch):
+    """51 words that stand in another document count, however short and whatever parts them; repeats within a document and 50 words do not."""
+    rng = random.Random(17)
+    own = lambda n, size=9: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, size))) for _ in range(n)]
+    tiny, short, base, loop = own(51, 2), own(51, 4), own(150), own(7)
+    rows = [own(70) + tiny + own(9), tiny, own(3) + tiny[:50] + own(60), own(90) + short, short + own(200), own(30) * 4, "ab " * 300, (own(30) + short + own(20)) * 2]
+    rows += [own(20) + loop * 20, loop * 9, loop * 9 + own(1), loop * 40 + own(5) + tiny, tiny[:40], tiny[:40], own(60, 1), []]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(150)] = own(1)[0]
+        cut = rng.randrange(80)
+        rows.append(own(12) + w[cut : cut + rng.randint(20, 150)] + own(12))
+    rows += [rows[-1]] * 3
+    texts = [r if isinstance(r, str) else "".join(x + rng.choice(" " * 6 + "\n\t") + " " * rng.randint(0, 1) for x in r) for r in rows]
+    texts += [texts[0], texts[1], texts[-1]]
+    found = [WORDS.findall(t) for t in texts]
+    seen = Counter(x for w in found for x in {tuple(w[i : i + 51]) for i in range(len(w) - 50)})
+    want = [(d, len({j for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)})) for d, w in enumerate(found)]
+    assert len(" ".join(short)) < 256 and sum(n > 0 for _, n in want) > 40 and sum(n == 0 for _, n in want) > 6
+    docs = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id long, text string").repartition(7)
+    for limits in ({}, {"HOT": 2, "SHARD": 2000}):
+        with monkeypatch.context() as m:
+            for name, value in limits.items():
+                m.setattr(substring_dedup, name, value)
+            got = [(r["doc_id"], r["n_passage_words"]) for r in substring_dedup.remove_repeats(docs).collect()]
+        assert sorted(got) == [*want, (len(texts), 0)]
+
+
 def test_line_dedup(spark, docs, none):
     wide = docs.withColumn("n_lines", F.lit("clash")).withColumn("other", F.lit(1))
     out = line_dedup.dedup(wide)

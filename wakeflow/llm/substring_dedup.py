@@ -12,14 +12,18 @@ Texts are UTF-8 bytes, null is empty. Equal texts are one class: if there are se
 and they have ``least`` bytes, all of each is repeated, and the class stands for them
 where others match it. Beside what is removed, ``n_shared`` counts the bytes of strings
 of ``hint`` bytes, shorter than ``least``, that shards find repeated by their hashes:
-where their regions meet, so at most all there are.
+where their regions meet, so at most all there are. ``n_passage_words`` counts, whole,
+the words that stand in a passage: ``passage`` words in a row, whatever white space
+parts them, that stand in another document too. Repeats within a document are none, of
+equal texts each is the other's passage, and no text of so many words is too short.
 
 Defined cases: null, empty and short texts keep all; rows that repeat a doc_id are
 texts of their own, so equal rows remove each other; an empty table gives an empty
 result; other columns are ignored. No text is too long; a text over the chunk size is
 a chunk. A class is the head of a text's SHA-256; where it heads several texts, these get
 classes by their whole digests. Hashes only bring strings together, except that regions
-with a common K-gram whose 64-bit hashes agree, over mixed windows of bytes, count as equal.
+with a common K-gram (passages: with GRAM common words) whose 64-bit hashes agree, over
+mixed windows of bytes or mixed words, count as equal.
 
 Scale: numbers of regions are written once, equal regions of a text as one row, and
 those whose anchor stands once are dropped before anything is sorted. What is counted
@@ -28,7 +32,10 @@ Texts are shuffled by class, one of a class and task (one exchange, used twice),
 the regions only the distinct ones with a repeated anchor. A hot anchor, with more than
 HOT distinct regions, is dealt again by a second hash, so that its strings spread over
 shards. In a shard only runs of ``hint``-grams that stand there twice are sorted, equal
-runs once. A shard's arrays hold about SHARD bytes, or those of one key.
+runs once. Passages go the same way beside the strings: their regions are dealt by
+GRAMs of words, an anchor must stand in two classes, and shards get the hashes of the
+passages of distinct regions, a hot anchor's one by one. A shard's arrays hold about
+SHARD bytes, or those of one key.
 """
 
 from __future__ import annotations
@@ -45,46 +52,95 @@ from wakeflow.llm.common import written
 from wakeflow.llm.suffix_array import permuted_lcp, suffix_array
 
 K = 64
+GRAM = 8
+LONG_WORD = 32
+#: the first 0 to 8 bytes of a little-endian number
+HEADS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 SHARD = 1 << 20
 HOT = 256
 #: hexadecimal digits of a text's SHA-256 that are its class
 CLASS_DIGITS = 15
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, least: int, salt: int = 0):
-    """(document, anchor hash, lo, hi, region hash): strings of a document that start at lo..hi, by place in it, and share an anchor."""
-    none = np.zeros(0, np.int64)
-    n, width = len(data), least - K + 1
-    if n < least:
-        return none, none, none, none, none
-    prefix = tb.window_hash(data)
-    at = np.arange(n - K + 1)
-    h = tb.window_slices(prefix, at, at + K)
-    order = tb.mix64(h ^ np.uint64(salt)) if salt else h
-    bits = np.uint64(max(1, int(n).bit_length()))
-    key = (order >> bits << bits) | at.astype(np.uint64)
+def _share(order: np.ndarray, offsets: np.ndarray, least: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place, lo, hi): strings of ``least`` items of a document that start at lo..hi and have the lowest of their ``width`` values of ``order`` at one place."""
+    starts = int(offsets[-1]) - least + 1
+    bits = np.uint64(max(1, int(offsets[-1]).bit_length()))
+    key = order >> bits
+    key <<= bits
+    key |= np.arange(len(order), dtype=np.uint64)
     # sliding minimum: suffix minima of one block meet prefix minima of the next
     blocks = -(-len(key) // width)
     key = np.concatenate([key, np.full(blocks * width - len(key), np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(blocks, width)
     right = np.minimum.accumulate(key, axis=1).ravel()
     left = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = n - least + 1
     low = np.minimum(left[:starts], right[width - 1 : width - 1 + starts])
     low &= (np.uint64(1) << bits) - np.uint64(1)
-    # starts whose string stays in its document
-    length = np.diff(offsets)
-    count = np.maximum(length - least + 1, 0)
-    doc = np.repeat(np.arange(len(length)), count)
-    s = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + offsets[:-1][doc]
-    low = low[s].astype(np.int64)
-    if not len(s):
+    # starts whose string stays in its document: a document's are apart from the next one's
+    count = np.maximum(np.diff(offsets) - least + 1, 0)
+    step = np.zeros(starts + 1, np.int8)
+    step[offsets[:-1][count > 0]] = 1
+    step[(offsets[:-1] + count)[count > 0]] = -1
+    inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    begin, end = inside.copy(), inside.copy()
+    change = low[1:] != low[:-1]
+    begin[1:] &= change | ~inside[:-1]
+    end[:-1] &= change | ~inside[1:]
+    lo = np.flatnonzero(begin)
+    return np.searchsorted(offsets, lo, "right") - 1, low[lo].astype(np.int64), lo, np.flatnonzero(end)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, least: int, salt: int = 0):
+    """(document, anchor hash, lo, hi, region hash): strings of a document that start at lo..hi, by place in it, and share an anchor."""
+    none = np.zeros(0, np.int64)
+    n = len(data)
+    if n < least:
         return none, none, none, none, none
-    new = np.ones(len(s), bool)
-    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    lo, hi, doc = s[first], s[np.append(first[1:], len(s)) - 1], doc[first]
+    prefix = tb.window_hash(data)
+    h = tb.windows(prefix, K)
+    doc, low, lo, hi = _share(tb.mix64(h ^ np.uint64(salt)) if salt else h, offsets, least, least - K + 1)
     region = tb.window_slices(prefix, lo, hi + least)
-    return doc, h[low[first]].view(np.int64), lo - offsets[doc], hi - offsets[doc], region.view(np.int64)
+    return doc, h[low].view(np.int64), lo - offsets[doc], hi - offsets[doc], region.view(np.int64)
+
+
+def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, mixed 8 bytes by 8; those of over LONG_WORD bytes by BLAKE2."""
+    size = end - begin
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    code = np.ndarray((len(data),), "<u8", padded, strides=(1,))
+    h = size.astype(np.uint64)
+    which = np.arange(len(size))
+    for shift in range(0, LONG_WORD, 8):
+        left = size[which] - shift
+        h[which] = tb.mix64(h[which] + (code[begin[which] + shift] & HEADS[np.minimum(left, 8)]))
+        which = which[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def passages(data: np.ndarray, offsets: np.ndarray, words: int):
+    """As :func:`anchors` for strings of ``words`` words, lo and hi being words of the document; and the function that hashes the passages at lo..hi."""
+    none = np.zeros(0, np.int64)
+    begin, end, first = tb.words(data, offsets)
+    if not len(begin) or np.diff(first).max() < words:
+        return none, none, none, none, none, None
+    prefix = np.zeros(len(begin) + 1, np.uint64)
+    np.cumsum(_word_hashes(data, begin, end) * tb.powers(tb.BASE, len(begin)), out=prefix[1:])
+
+    def hashes(s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return tb.mix64((prefix[e] - prefix[s]) * tb.powers(tb.INVERSE, len(prefix))[s])
+
+    s = np.arange(len(begin) - GRAM + 1)
+    h = hashes(s, s + GRAM)
+    doc, low, lo, hi = _share(h, first, words, words - GRAM + 1)
+    region = tb.mix64(hashes(lo, hi + words) + (hi - lo).astype(np.uint64))
+
+    def each(doc: int, lo: int, hi: int) -> np.ndarray:
+        s = np.arange(lo, hi + 1) + first[doc]
+        return hashes(s, s + words)
+
+    return doc, h[low].view(np.int64), lo - first[doc], hi - first[doc], region.view(np.int64), each
 
 
 def _class(text: bytes, digits: int, renamed: dict[str, int]) -> int:
@@ -99,7 +155,7 @@ def _renamed(rows: DataFrame) -> dict[str, int]:
     return {sha: -2 - i for i, sha in enumerate(sorted(r["sha"] for r in found.collect()))}
 
 
-def _regions(least: int, renamed: dict[str, int]):
+def _regions(least: int, passage: int, shortest: int, renamed: dict[str, int]):
     digits = CLASS_DIGITS
 
     def run(batches):
@@ -107,25 +163,26 @@ def _regions(least: int, renamed: dict[str, int]):
         for batch in batches:
             for _, _, data, offsets in tb.chunks(batch.column("text"), 1 << 20):
                 size = np.diff(offsets)
-                cls = np.array([_class(data[a:b].tobytes(), digits, renamed) if b - a >= least else -1 for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
-                doc, h, lo, hi, body = anchors(data, offsets, least)
+                cls = np.array([_class(data[a:b].tobytes(), digits, renamed) if b - a >= shortest else -1 for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
                 fresh = np.zeros(len(size), bool)  # equal texts in one task: the first
                 for i in range(len(size)):
                     if cls[i] != -1 and int(cls[i]) not in known:
                         fresh[i] = True
                         if len(known) < 1_000_000:
                             known.add(int(cls[i]))
-                keep = fresh[doc]
-                yield _rows(least, cls[doc[keep]], h[keep], body[keep], lo[keep], hi[keep])
+                for words, n, found in ((False, least, anchors), (True, passage, passages)):
+                    doc, h, lo, hi, body = found(data, offsets, n)[:5]
+                    keep = fresh[doc]
+                    yield _rows(words, n, cls[doc[keep]], h[keep], body[keep], lo[keep], hi[keep])
 
     return run
 
 
-REGIONS = "anchor long, body long, cls long, lo long, hi long, spans array<struct<a:long,b:long>>"
+REGIONS = "words boolean, anchor long, body long, cls long, lo long, hi long, spans array<struct<a:long,b:long>>"
 
 
-def _rows(least: int, cls, anchor, body, lo, hi) -> pa.RecordBatch:
-    """One row for equal regions of a class: the first's lo and hi, and, if there are several, the byte ranges that all cover."""
+def _rows(words: bool, least: int, cls, anchor, body, lo, hi) -> pa.RecordBatch:
+    """One row for equal regions of a class: the first's lo and hi, and, if there are several, the ranges of bytes or words that all cover."""
     order = np.lexsort((lo, body, anchor, cls))
     cls, anchor, body, lo, hi = (x[order] for x in (cls, anchor, body, lo, hi))
     new = np.ones(len(cls), bool)
@@ -140,31 +197,57 @@ def _rows(least: int, cls, anchor, body, lo, hi) -> pa.RecordBatch:
     size = np.add.reduceat(opens.astype(np.int64), first) if len(first) else first
     offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.append(size == 0, False))
     spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(lo[begin]), pa.array(end + least)], ["a", "b"]))
-    return pa.RecordBatch.from_arrays([*[pa.array(x[first]) for x in (anchor, body, cls, lo, hi)], spans], ["anchor", "body", "cls", "lo", "hi", "spans"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), words)), *[pa.array(x[first]) for x in (anchor, body, cls, lo, hi)], spans], ["words", "anchor", "body", "cls", "lo", "hi", "spans"])
+
+
+def _second(anchor: int, h: int) -> int:
+    """A hot anchor's shard for the second hash."""
+    return int(tb.mix64(np.array([anchor, h], np.int64).view(np.uint64)[:1] * np.uint64(31) + np.array([h], np.int64).view(np.uint64))[0].astype(np.int64))
 
 
-def _cut(least: int):
-    """Cuts regions out of texts: shard, body hash, cls, lo, whether its ranges are wanted, how many starts are its own and no other region's, bytes."""
+def _cut_passages(cls: int, text: bytes, cuts: list[dict], passage: int):
+    """Rows of :func:`_cut` for regions of passages: hashes of the passages as bytes, and all the words where the region starts."""
+    _, anchor, lo, hi, body, each = passages(np.frombuffer(text, np.uint8), np.array([0, len(text)]), passage)
+    asked = {(c["anchor"], c["body"]): c for c in cuts}
+    at: dict[tuple[int, int], list[int]] = {}
+    for i in np.flatnonzero(np.isin(body, [c["body"] for c in cuts])).tolist():
+        if (place := (int(anchor[i]), int(body[i]))) in asked:
+            at.setdefault(place, []).append(i)
+    for place, found in at.items():
+        c, hashes, los = asked[place], each(0, lo[found[0]], hi[found[0]]), lo[found]
+        if not c["hot"]:
+            yield place[0], place[1], cls, int(los[0]), not c["same"], None, hashes.tobytes(), los.tolist()
+            continue
+        for i, h in enumerate(hashes.view(np.int64).tolist()):
+            yield _second(place[0], h), h, cls, int(los[0]) + i, not c["same"], None, hashes[i].tobytes(), (los + i).tolist()
+
+
+def _cut(least: int, passage: int):
+    """Cuts regions out of texts: shard, body hash, cls, lo, whether its ranges are wanted, how many starts are its own and no other region's (null: passages), bytes, words where passages start."""
 
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
             for cls, text, cuts in zip(batch.column("cls").to_pylist(), batch.column("text"), batch.column("cuts").to_pylist(), strict=True):
                 text = text.as_py().encode()
+                worded = [c for c in cuts if c["words"]]
+                if worded:
+                    rows.extend(_cut_passages(cls, text, worded, passage))
                 for c in cuts:
+                    if c["words"]:
+                        continue
                     body = text[c["lo"] : c["hi"] + least]
                     starts = lambda lo, hi, n=len(text): (n if hi + least == n else hi + 1) - lo  # noqa: E731  the last region has the text's end too
                     if not c["hot"]:
-                        rows.append((c["anchor"], c["body"], cls, c["lo"], not c["same"], starts(c["lo"], c["hi"]), body))
+                        rows.append((c["anchor"], c["body"], cls, c["lo"], not c["same"], starts(c["lo"], c["hi"]), body, None))
                         continue
                     data = np.frombuffer(body, np.uint8)
                     _, a, lo, hi, inner = anchors(data, np.array([0, len(data)]), least, salt=0x2545F4914F6CDD1D)
                     for h, s, e, b in zip(a.tolist(), lo.tolist(), hi.tolist(), inner.tolist(), strict=True):
-                        shard = int(tb.mix64(np.array([c["anchor"], h], np.int64).view(np.uint64)[:1] * np.uint64(31) + np.array([h], np.int64).view(np.uint64))[0].astype(np.int64))
-                        rows.append((shard, b, cls, c["lo"] + s, not c["same"], starts(c["lo"] + s, c["lo"] + e), body[s : e + least]))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "body", "cls", "lo", "wanted", "own", "bytes"])
+                        rows.append((_second(c["anchor"], h), b, cls, c["lo"] + s, not c["same"], starts(c["lo"] + s, c["lo"] + e), body[s : e + least], None))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "body", "cls", "lo", "wanted", "own", "bytes", "los"])
 
     return run
 
@@ -193,7 +276,7 @@ def repeated_starts(bodies: list[bytes], own: list[int], least: int, hint: int)
     near: list[list[tuple[int, int]]] = [[] for _ in bodies]
     inner = np.arange(len(text)) - begin[owner]
     at = np.flatnonzero(inner + hint <= size[owner])
-    _, which = np.unique(tb.window_slices(tb.window_hash(text), at, at + hint), return_inverse=True)
+    _, which = np.unique(tb.windows(tb.window_hash(text), hint)[at], return_inverse=True)
     mine = inner[at] < owned[owner[at]]
     on = np.zeros(len(text), bool)
     on[at] = mine & (np.bincount(which, mine)[which] > 1) if len(at) else False
@@ -242,18 +325,50 @@ def repeated_starts(bodies: list[bytes], own: list[int], least: int, hint: int)
     return long, near
 
 
-def _sort(least: int, hint: int):
-    """Of regions sorted by shard and body: byte ranges of repeated strings, cls by cls; ``cut`` for those of ``least`` bytes."""
+def repeated_passages(rows: list[tuple], passage: int) -> list[tuple]:
+    """(cls, first word, end, None) of the passages that stand in two classes, from the rows of :func:`_cut`; a region that is not wanted stands in several."""
+    if not rows:
+        return []
+    hashes, size = np.frombuffer(b"".join(r[6] for r in rows), np.int64), np.array([len(r[6]) // 8 for r in rows])
+    owner = np.repeat(np.arange(len(rows)), size)
+    inner = np.arange(len(hashes)) - (np.cumsum(size) - size)[owner]
+    cls, wanted = np.array([r[2] for r in rows], np.int64), np.array([r[4] for r in rows])
+    order = np.lexsort((cls[owner], hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order)) - 1
+    twice = (cls[owner[order[first]]] != cls[owner[order[last]]]) | np.logical_or.reduceat(~wanted[owner[order]], first)
+    on = np.zeros(len(order), bool)
+    on[order] = np.repeat(twice, last - first + 1)
+    found = [(cls[owner[a]], lo + inner[a], lo + inner[b] + passage) for a, b in zip(*_runs(on & wanted[owner], owner), strict=True) for lo in rows[owner[a]][7]]
+    if not found:
+        return []
+    # ranges that meet, as one
+    names, which = np.unique(np.array([x[0] for x in found], np.int64), return_inverse=True)
+    a, b = np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found], np.int64)
+    far = int(b.max()) + 1
+    order = np.lexsort((a, which))
+    a, b, which = a[order] + which[order] * far, np.maximum.accumulate(b[order] + which[order] * far), which[order]
+    first = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
+    shift = which[first] * far
+    return [(*x, None) for x in zip(names[which[first]].tolist(), (a[first] - shift).tolist(), (b[np.append(first[1:], len(a)) - 1] - shift).tolist(), strict=True)]
+
+
+def _sort(least: int, hint: int, passage: int):
+    """Of regions sorted by shard and body: ranges of repeated strings, cls by cls; ``cut`` for those of ``least`` bytes, null for words of passages."""
 
     def shards(rows: list[tuple]):
+        worded = repeated_passages([r for r in rows if r[5] is None], passage)
+        rows = [r for r in rows if r[5] is not None]
         found = repeated_starts([r[6] for r in rows], [r[5] for r in rows], least, hint)
-        return [(cls, lo + a, lo + b + n, n == least) for n, runs in zip((least, hint), found, strict=True) for (_, _, cls, lo, wanted, *_), own in zip(rows, runs, strict=True) if wanted for a, b in own]
+        return worded + [(cls, lo + a, lo + b + n, n == least) for n, runs in zip((least, hint), found, strict=True) for (_, _, cls, lo, wanted, *_), own in zip(rows, runs, strict=True) if wanted for a, b in own]
 
     def run(batches):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("shard", "body", "cls", "lo", "wanted", "own", "bytes")], strict=True):
+            for row in zip(*[batch.column(c).to_pylist() for c in ("shard", "body", "cls", "lo", "wanted", "own", "bytes", "los")], strict=True):
                 if held and row[0] != held[-1][0] and size > SHARD:
                     yield _ranges(shards(held))
                     held, size = [], 0
@@ -271,45 +386,72 @@ def _ranges(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.bool_())], ["cls", "a", "b", "cut"])
 
 
-def _remove(batches):
-    """Of texts with their byte ranges: what is left of each class."""
-    for batch in batches:
-        out = []
-        for cls, text, ranges in zip(batch.column("cls").to_pylist(), batch.column("text"), batch.column("ranges").to_pylist(), strict=True):
-            data = np.frombuffer(text.as_py().encode(), np.uint8)
-            step = np.zeros((2, len(data) + 1), np.int32)
-            for r in ranges:
-                for row in step[0 if r["cut"] else 1 :]:
-                    row[r["a"]] += 1
-                    row[r["b"]] -= 1
-            gone, shared = np.cumsum(step[:, :-1], axis=1) > 0
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-            kept = data[~gone].tobytes()
-            out.append((cls, int(gone.sum()), spans, int(shared.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["cls", "n_removed", "n_spans", "n_shared", "kept_sha256", "kept"])
+def _n_words(text: bytes, ranges: list[dict]) -> int:
+    """Words that ranges of words cover; one that ends before its start covers all."""
+    if any(r["b"] < r["a"] for r in ranges):
+        data = np.frombuffer(text, np.uint8)
+        return len(tb.words(data, np.array([0, len(data)]))[0])
+    n = end = 0
+    for a, b in sorted((r["a"], r["b"]) for r in ranges):
+        n, end = n + max(0, b - max(a, end)), max(b, end)
+    return n
+
+
+def _remove(passage: int):
+    """Of texts with their ranges: what is left of each class, null if nothing goes, and its words in passages."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for cls, text, ranges in zip(batch.column("cls").to_pylist(), batch.column("text"), batch.column("ranges").to_pylist(), strict=True):
+                text = text.as_py().encode()
+                words = _n_words(text, [r for r in ranges if r["cut"] is None])
+                ranges = [r for r in ranges if r["cut"] is not None]
+                if words < passage:
+                    words = 0
+                if not ranges:
+                    out.append((cls, 0, 0, 0, None, None, words))
+                    continue
+                data = np.frombuffer(text, np.uint8)
+                step = np.zeros((2, len(data) + 1), np.int32)
+                for r in ranges:
+                    for row in step[0 if r["cut"] else 1 :]:
+                        row[r["a"]] += 1
+                        row[r["b"]] -= 1
+                gone, shared = np.cumsum(step[:, :-1], axis=1) > 0
+                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
+                kept = data[~gone].tobytes() if spans else None
+                out.append((cls, int(gone.sum()), spans, int(shared.sum()), hashlib.sha256(kept).hexdigest() if spans else None, kept.decode("utf-8", "ignore") if spans else None, words))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["cls", "n_removed", "n_spans", "n_shared", "kept_sha256", "kept", "n_passage_words"])
+
+    return run
 
 
 def _repeated(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of regions the rows whose region stands at two places or more; and one place of each region whose anchor has other regions too (``same``: it is one of those; ``hot``: there are many)."""
-    place = F.xxhash64("cls", "body")
-    again = found.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max(F.col("spans").isNotNull().cast("int")).alias("many"))
-    rows = written(found.join(again.filter("low < high or many = 1").select("anchor"), "anchor", "left_semi"))
-    bodies = rows.groupBy("anchor", "body").agg(F.min("cls").alias("cls"), F.max("cls").alias("top"), F.min_by("lo", "cls").alias("lo"), F.min(F.col("hi") - F.col("lo")).alias("length"), F.max(F.col("spans").isNotNull().cast("int")).alias("many"))
+    """Of regions the rows whose region stands at two places or more (passages: in two classes); and one place of each region whose anchor has other regions too (``same``: it is one of those; ``hot``: there are many)."""
+    place = F.when(F.col("words"), F.col("cls")).otherwise(F.xxhash64("cls", "body"))
+    many = F.max((F.col("spans").isNotNull() & ~F.col("words")).cast("int")).alias("many")
+    again = found.groupBy("words", "anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), many)
+    rows = written(found.join(again.filter("low < high or many = 1").select("words", "anchor"), ["words", "anchor"], "left_semi"))
+    bodies = rows.groupBy("words", "anchor", "body").agg(F.min("cls").alias("cls"), F.max("cls").alias("top"), F.min_by("lo", "cls").alias("lo"), F.min(F.col("hi") - F.col("lo")).alias("length"), many)
     bodies = bodies.withColumn("same", (F.col("cls") < F.col("top")) | (F.col("many") == 1))
-    anchors = bodies.groupBy("anchor").agg(F.count("*").alias("bodies")).filter("bodies > 1")
-    lead = bodies.join(anchors, "anchor").select("anchor", "body", "cls", "lo", (F.col("lo") + F.col("length")).alias("hi"), "same", (F.col("bodies") > HOT).alias("hot"))
-    same = rows.join(bodies.filter("same").select("anchor", "body"), ["anchor", "body"], "left_semi")
+    anchors = bodies.groupBy("words", "anchor").agg(F.count("*").alias("bodies")).filter("bodies > 1")
+    lead = bodies.join(anchors, ["words", "anchor"]).select("words", "anchor", "body", "cls", "lo", (F.col("lo") + F.col("length")).alias("hi"), "same", (F.col("bodies") > HOT).alias("hot"))
+    same = rows.join(bodies.filter("same").select("words", "anchor", "body"), ["words", "anchor", "body"], "left_semi")
     return same, lead
 
 
-def remove_repeats(docs: DataFrame, least: int = 400, hint: int = 256) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, n_shared, kept_sha256 and kept_text (null where nothing was removed) of every row.
+def remove_repeats(docs: DataFrame, least: int = 400, hint: int = 256, passage: int = 51) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_shared, kept_sha256, kept_text (null where nothing was removed) and n_passage_words of every row.
 
     kept_text drops the bytes of letters that a removed run cuts apart; kept_sha256 does not.
     """
+    if passage < GRAM:
+        raise ValueError(f"a passage has {GRAM} words at least")
     text, hint = F.coalesce(F.col("text"), F.lit("")), min(hint, least)
+    shortest = min(hint, 2 * passage - 1)
     sha = F.sha2(text, 256)
     cls = F.conv(F.substring(sha, 1, CLASS_DIGITS), 16, 10).cast("long")
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), sha.alias("sha"), cls.alias("cls")))
@@ -318,19 +460,21 @@ def remove_repeats(docs: DataFrame, least: int = 400, hint: int = 256) -> DataFr
         other = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair])
         cls = F.coalesce(F.try_element_at(other, sha), cls).cast("long")
         rows = rows.withColumn("cls", F.coalesce(F.try_element_at(other, F.col("sha")), F.col("cls")).cast("long"))
-    copied = rows.filter(F.col("n_bytes") >= hint).groupBy("cls").agg(F.count("*").alias("copies")).filter("copies > 1").select("cls")
-
-    long = docs.select(text.alias("text")).filter(F.octet_length("text") >= least)
-    same, lead = _repeated(written(long.mapInArrow(_regions(least, renamed), REGIONS)))
-    texts = docs.select(cls.alias("cls"), text.alias("text")).filter(F.octet_length("text") >= least).groupBy("cls").agg(F.first("text").alias("text"))
-    cuts = lead.groupBy("cls").agg(F.collect_list(F.struct("anchor", "body", "lo", "hi", "same", "hot")).alias("cuts"))
-    regions = texts.join(cuts, "cls").select("cls", "text", "cuts").mapInArrow(_cut(least), "shard long, body long, cls long, lo long, wanted boolean, own long, bytes binary")
-    inner = regions.repartition("shard").sortWithinPartitions("shard", "body", "cls", "lo").mapInArrow(_sort(least, hint), "cls long, a long, b long, cut boolean")
+    copied = rows.filter(F.col("n_bytes") >= shortest).groupBy("cls").agg(F.count("*").alias("copies")).filter("copies > 1").select("cls")
+
+    long = docs.select(text.alias("text")).filter(F.octet_length("text") >= shortest)
+    same, lead = _repeated(written(long.mapInArrow(_regions(least, passage, shortest, renamed), REGIONS)))
+    texts = docs.select(cls.alias("cls"), text.alias("text")).filter(F.octet_length("text") >= shortest).groupBy("cls").agg(F.first("text").alias("text"))
+    cuts = lead.groupBy("cls").agg(F.collect_list(F.struct("words", "anchor", "body", "lo", "hi", "same", "hot")).alias("cuts"))
+    regions = texts.join(cuts, "cls").select("cls", "text", "cuts").mapInArrow(_cut(least, passage), "shard long, body long, cls long, lo long, wanted boolean, own long, bytes binary, los array<long>")
+    inner = regions.repartition("shard").sortWithinPartitions("shard", "body", "cls", "lo").mapInArrow(_sort(least, hint, passage), "cls long, a long, b long, cut boolean")
     cut = lambda a, b, on: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), on.alias("cut"))
-    whole = F.coalesce(F.transform("spans", lambda x: cut(x["a"], x["b"], F.lit(True))), F.array(cut(F.col("lo"), F.col("hi") + least, F.lit(True))))
+    kind = F.when(~F.col("words"), True)
+    whole = F.coalesce(F.transform("spans", lambda x: cut(x["a"], x["b"], kind)), F.array(cut(F.col("lo"), F.col("hi") + F.when(F.col("words"), passage).otherwise(least), kind)))
     parts = inner.select("cls", F.array(cut(F.col("a"), F.col("b"), F.col("cut"))).alias("r")).unionByName(same.select("cls", whole.alias("r")))
-    ranges = parts.join(copied, "cls", "left_anti").groupBy("cls").agg(F.flatten(F.collect_list("r")).alias("ranges"))
-    changed = texts.join(ranges, "cls").select("cls", "text", "ranges").mapInArrow(_remove, "cls long, n_removed long, n_spans long, n_shared long, kept_sha256 string, kept string")
+    parts = parts.join(copied, "cls", "left_anti").unionByName(copied.select("cls", F.array(cut(F.lit(0), F.lit(-1), F.lit(None).cast("boolean"))).alias("r")))
+    ranges = parts.groupBy("cls").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    changed = texts.join(ranges, "cls").select("cls", "text", "ranges").mapInArrow(_remove(passage), "cls long, n_removed long, n_spans long, n_shared long, kept_sha256 string, kept string, n_passage_words long")
     out = rows.join(changed, "cls", "left").join(copied.withColumn("copied", F.lit(True)), "cls", "left")
     again = F.col("copied").isNotNull() & (F.col("n_bytes") >= hint)
     gone = again & (F.col("n_bytes") >= least)
@@ -341,4 +485,5 @@ def remove_repeats(docs: DataFrame, least: int = 400, hint: int = 256) -> DataFr
         F.when(again, F.col("n_bytes")).otherwise(F.coalesce("n_shared", F.lit(0))).cast("long").alias("n_shared"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.when(gone, "").otherwise(F.col("kept")).alias("kept_text"),
+        F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words"),
     )

@@ -57,6 +57,20 @@ def test_anchors_cover_each_string_once_and_alike(salt):
     assert all(of[0, 100 + i] == of[2, 1 + i] for i in range(201))
 
 
+def test_bodies_meet_those_of_their_shard_only():
+    """What is found does not follow from which shards are held together."""
+    rng = np.random.default_rng(4)
+    own = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    shared, long = own(300), own(450)
+    bodies = [own(20) + shared + own(200), own(10) + shared + own(200), long + own(90), own(90) + long]
+    count = [len(b) - 399 for b in bodies]
+    apart = substring_dedup.repeated_starts(bodies, count, 400, 256, [1, 2, 3, 3])
+    assert apart[1][:2] == [[], []] and apart[0] == [[], [], [(0, 50)], [(90, 140)]]
+    alone = [substring_dedup.repeated_starts(bodies[a:b], count[a:b], 400, 256) for a, b in ((0, 1), (1, 2), (2, 4))]
+    assert apart == tuple(sum((x[i] for x in alone), []) for i in (0, 1))
+    assert substring_dedup.repeated_starts(bodies, count, 400, 256, [1, 1, 3, 3])[1][:2] == [[(20, 64)], [(10, 54)]]
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     k, sizes = 3, [1, 0, 33, 70, 2]

@@ -12,7 +12,7 @@ Texts are UTF-8 bytes, null is empty. Equal texts are one class: if there are se
 and they have ``least`` bytes, all of each is repeated, and the class stands for them
 where others match it. Beside what is removed, ``n_shared`` counts the bytes of strings
 of ``hint`` bytes, shorter than ``least``, that shards find repeated by their hashes:
-where their regions meet, so at most all there are. ``n_passage_words`` counts, whole,
+where their regions meet in one shard, so at most all there are. ``n_passage_words`` counts, whole,
 the words that stand in a passage: ``passage`` words in a row, whatever white space
 parts them, that stand in another document too. Repeats within a document are none, of
 equal texts each is the other's passage, and no text of so many words is too short.
@@ -263,11 +263,11 @@ def _runs(on: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], at[np.append(first[1:], len(at)) - 1]
 
 
-def repeated_starts(bodies: list[bytes], own: list[int], least: int, hint: int) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
+def repeated_starts(bodies: list[bytes], own: list[int], least: int, hint: int, shard: list[int] | None = None) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
     """For each body (first, last): runs of the starts of its strings of ``least`` bytes that start elsewhere too, by a suffix array; and of ``hint`` bytes, by hashes.
 
     Of each body only the first ``own`` starts count; the others are those of bodies cut
-    from the same text.
+    from the same text. Bodies meet those of their shard, whichever others are at hand.
     """
     size, owned = np.array([len(b) for b in bodies], np.int64), np.array(own, np.int64)
     text = np.frombuffer(b"".join(bodies), np.uint8)
@@ -276,7 +276,10 @@ def repeated_starts(bodies: list[bytes], own: list[int], least: int, hint: int)
     near: list[list[tuple[int, int]]] = [[] for _ in bodies]
     inner = np.arange(len(text)) - begin[owner]
     at = np.flatnonzero(inner + hint <= size[owner])
-    _, which = np.unique(tb.windows(tb.window_hash(text), hint)[at], return_inverse=True)
+    grams = tb.windows(tb.window_hash(text), hint)[at]
+    if shard is not None:
+        grams ^= tb.mix64(np.array(shard, np.int64).view(np.uint64))[owner[at]]
+    _, which = np.unique(grams, return_inverse=True)
     mine = inner[at] < owned[owner[at]]
     on = np.zeros(len(text), bool)
     on[at] = mine & (np.bincount(which, mine)[which] > 1) if len(at) else False
@@ -361,7 +364,7 @@ def _sort(least: int, hint: int, passage: int):
     def shards(rows: list[tuple]):
         worded = repeated_passages([r for r in rows if r[5] is None], passage)
         rows = [r for r in rows if r[5] is not None]
-        found = repeated_starts([r[6] for r in rows], [r[5] for r in rows], least, hint)
+        found = repeated_starts([r[6] for r in rows], [r[5] for r in rows], least, hint, [r[0] for r in rows])
         return worded + [(cls, lo + a, lo + b + n, n == least) for n, runs in zip((least, hint), found, strict=True) for (_, _, cls, lo, wanted, *_), own in zip(rows, runs, strict=True) if wanted for a, b in own]
 
     def run(batches):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeflow.config import LabelThresholds
 from wakeflow.functions import exprs, geometry, nearest
-from wakeflow.operators import analytics, features, fishing, geofence, labels, situations
+from wakeflow.operators import analytics, evaluation, features, fishing, geofence, labels, situations
 from wakeflow.operators.geofence import BOUNDARY_SCHEMA as BOUNDARY
 
 T0 = datetime(2024, 1, 1)
@@ -193,3 +193,16 @@ def test_rules_are_expressions(spark):
     rule = lambda t: F.when(F.col("event_type") == "EXIT", situations.situation("Left", 0.5, F.array("as_event"), "out"))
     e = spark.createDataFrame([("EXIT", T0, 1), ("ENTRY", T0 + timedelta(hours=1), 1)], "event_type string, event_timestamp timestamp, mmsi long")
     assert [r["situation"] for r in situations.ordered(situations.reason(e, rules=[*situations.DEFAULT_RULES, rule])).collect()] == ["Left", "Boundary Crossing"]
+
+
+def test_a_mean_at_the_threshold_meets_it(spark):
+    """(5.1 + 6.8 + 3.1) / 3 is 5; as doubles added in this order it is 4.999999999999999."""
+    speeds = [5.1, 6.8, 3.1]
+    assert (5.1 + 6.8 + 3.1) / 3 < 5
+    rows = [("a", 1, T0 + timedelta(hours=i), 55.0, 10.0 + i / 10, v, 90.0) for i, v in enumerate(speeds)]
+    moved = features.motion_features(spark.createDataFrame(rows, "segment_id string, MMSI long, timestamp timestamp, latitude double, longitude double, speed double, heading double").coalesce(1))
+    f = moved.withColumns({"crossing_count": F.lit(0).cast("long"), "anchor_duration": F.lit(599.9999999999999), "loiter_duration": F.lit(0.0), "distance_to_boundary": F.lit(400.00000000000006)})
+    t = LabelThresholds(transit_min_avg_speed=5, anchorage_min_anchor_duration_minutes=600, prolonged_boundary_max_distance_km=400)
+    hits = {r["rule"]: r["hits"] for r in evaluation.rule_hits(f, t).collect()}
+    assert (hits["avg_speed >= 5"], hits["anchor_duration >= 600"], hits["distance_to_boundary <= 400"]) == (1, 1, 1)
+    assert labels.situation_labels(f.withColumn("anchor_duration", F.lit(0.0)), None, t).first()["situation_label"] == "Transit"

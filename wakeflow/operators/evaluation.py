@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeflow.config import LabelThresholds
+from wakeflow.functions import exprs as X
 from wakeflow.operators.analytics import best_situation, hybrid
 from wakeflow.operators.clean import require
 
@@ -64,11 +65,11 @@ def rule_hits(features: DataFrame, t: LabelThresholds | None = None) -> DataFram
     """rule, hits: how many segments meet each single condition of the label rules."""
     t = t or LabelThresholds()
     rules = {
-        f"avg_speed >= {t.transit_min_avg_speed:g}": F.col("avg_speed") >= t.transit_min_avg_speed,
-        f"anchor_duration >= {t.anchorage_min_anchor_duration_minutes:g}": F.col("anchor_duration") >= t.anchorage_min_anchor_duration_minutes,
-        f"loiter_duration >= {t.prolonged_boundary_min_loiter_duration_minutes:g}": F.col("loiter_duration") >= t.prolonged_boundary_min_loiter_duration_minutes,
-        f"crossing_count >= {t.boundary_crossing_min_crossings:g}": F.col("crossing_count") >= t.boundary_crossing_min_crossings,
-        f"distance_to_boundary <= {t.prolonged_boundary_max_distance_km:g}": F.col("distance_to_boundary") <= t.prolonged_boundary_max_distance_km,
+        f"avg_speed >= {t.transit_min_avg_speed:g}": X.settled("avg_speed") >= t.transit_min_avg_speed,
+        f"anchor_duration >= {t.anchorage_min_anchor_duration_minutes:g}": X.settled("anchor_duration") >= t.anchorage_min_anchor_duration_minutes,
+        f"loiter_duration >= {t.prolonged_boundary_min_loiter_duration_minutes:g}": X.settled("loiter_duration") >= t.prolonged_boundary_min_loiter_duration_minutes,
+        f"crossing_count >= {t.boundary_crossing_min_crossings:g}": X.settled("crossing_count") >= t.boundary_crossing_min_crossings,
+        f"distance_to_boundary <= {t.prolonged_boundary_max_distance_km:g}": X.settled("distance_to_boundary") <= t.prolonged_boundary_max_distance_km,
     }
     return features.agg(F.array(*[F.struct(F.lit(k).alias("rule"), F.count_if(c).alias("hits")) for k, c in rules.items()]).alias("a")).select(F.inline("a"))
 

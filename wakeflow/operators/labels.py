@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeflow.config import LabelThresholds
+from wakeflow.functions import exprs as X
 from wakeflow.operators.clean import integer, number, require
 from wakeflow.operators.fishing import fishing_segments
 
@@ -15,14 +16,14 @@ RULE_INPUTS = ["avg_speed", "speed_variance", "trajectory_curvature", "crossing_
 
 def rules(t: LabelThresholds) -> list[tuple]:
     """(label, confidence, source, condition, details) in the order that breaks ties."""
-    c = F.col
+    c = X.settled
     no_events = (c("crossing_count") == 0) & (c("anchor_duration") == 0) & (c("loiter_duration") == 0)
     return [
         ("Transit", t.transit_confidence, "rule", (c("avg_speed") >= t.transit_min_avg_speed) & (c("speed_variance") <= t.transit_max_speed_variance) & (c("trajectory_curvature") <= t.transit_max_trajectory_curvature) & no_events, ["avg_speed", "speed_variance", "trajectory_curvature"]),
         ("Boundary Crossing", t.boundary_crossing_confidence, "rule", c("crossing_count") >= t.boundary_crossing_min_crossings, ["crossing_count"]),
         ("Prolonged Boundary Presence", t.prolonged_boundary_confidence, "rule", (c("distance_to_boundary") <= t.prolonged_boundary_max_distance_km) & (c("loiter_duration") >= t.prolonged_boundary_min_loiter_duration_minutes), ["distance_to_boundary", "loiter_duration"]),
         ("Anchorage", t.anchorage_confidence, "rule", c("anchor_duration") >= t.anchorage_min_anchor_duration_minutes, ["anchor_duration"]),
-        ("Fishing", t.fishing_confidence, "fishing_label", c("_fishing"), []),
+        ("Fishing", t.fishing_confidence, "fishing_label", F.col("_fishing"), []),
     ]
 
 

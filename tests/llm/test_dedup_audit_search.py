@@ -201,3 +201,29 @@ def test_postings_leave_the_disk_before_texts_are_shuffled(spark, monkeypatch):
     got = jaccard_join.join(docs).collect()
     assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got) and len(got) == 400
     assert seen["texts"] <= seen["postings"] // 2
+
+
+def test_large_texts_that_meet_in_a_phrase_are_not_tied(spark):
+    """A chain of unlike texts, each with a phrase of the one before and one of the next: one clump of all before, compared pair by pair."""
+    phrase = lambda i: " ".join(f"p{i}x{j}" for j in range(15))
+    rows = [(i, " ".join([phrase(i), *(f"w{i}x{j}" for j in range(600)), phrase(i + 1)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    postings = jaccard_join._postings(docs, 5, 80, none, {}).repartition("token", "part").sortWithinPartitions("token", "part", "n", "grp", "cls")
+    assert postings.mapInArrow(jaccard_join._sieve(80), "a long, b long, weak boolean").distinct().count() < 15
+
+
+def test_large_sets_about_the_threshold(spark):
+    """Texts of sizes where sets begin to be met by neighbours, edited up to and beyond the threshold, against all pairs."""
+    rng, texts = random.Random(3), []
+    for size in (300, 340, 380, 420, 520, 700):
+        base = [f"a{size}x{i}" for i in range(size)]
+        for share in (0, 0.05, 0.1, 0.11, 0.115, 0.12, 0.2):
+            n = round(share * size)
+            swapped = {i: f"b{rng.random()}" for i in rng.sample(range(size), n)}
+            texts += [[swapped.get(i, w) for i, w in enumerate(base)], base[2 * n :], base + [f"c{rng.random()}" for _ in range(2 * n)]]
+    sets = [set(t) for t in texts]
+    links = [sum(100 * len(a & b) >= 80 * len(a | b) for b in {frozenset(s) for s in sets} if b != a) for a in sets]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.join(docs, 1, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == links and max(links) > 5

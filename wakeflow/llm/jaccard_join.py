@@ -6,7 +6,10 @@ in some chunk of documents are counted over the corpus; all others come first, b
 hash), and classes with the same prefix and size form one group. Groups that share a
 prefix shingle meet in that shingle's run; sizes, positions and 256-bit parity
 signatures sieve their pairs. Large sets, which differ in more shingles than such a
-signature can tell, are sieved again by histograms of their shingles. What passes ties
+signature can tell, and meet unlike ones in some shingle in any large corpus, meet by
+neighbours instead: by pairs of shingles that follow one another in a set's order of
+hashes, of which linked sets share most. They are sieved again by histograms of their
+shingles. What passes ties
 classes into clumps: every pair that may link lies in one. A clump's members are
 expanded and all their pairs verified by the exact intersections of their whole sets;
 links between classes and equality within them give the components.
@@ -23,12 +26,14 @@ Equal texts collapse before anything is paired. Runs of more than RUN documents
 split into pairs of parts, and clumps of more than MEMBERS classes (or SHINGLES
 shingles) into pairs of blocks, each pair a key of its own; so a group of m classes
 that are near copies of one another costs m / MEMBERS copies of its texts, the price
-of deciding all its pairs. At most FREQUENT shingles are broadcast. Postings leave the
-disk before texts are shuffled.
+of deciding all its pairs. At most FREQUENT shingles are broadcast. Postings are dealt in
+turns, each of some of the tokens, and leave the disk before the next and before texts are
+shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -49,10 +54,14 @@ WORDS = 4  # 64-bit words of a signature
 SIGNATURE = [f"sig{i}" for i in range(WORDS)]
 #: linked sets that differ in more shingles than this may look unlike by chance alone: they are large
 TELLS = 90
+#: the bit of a part that marks a run of neighbours
+NEXT = 1 << 60
 #: counts of a histogram
 COUNTS = 1024
 #: bits of a set's hash that are its class
 CLASS_BITS = 64
+#: percent of a large set's neighbours whose postings are on disk at once, about
+AT_ONCE = 20
 #: a run of more documents is split; in runs of more classes than LONG, classes that are tied already are not compared again
 RUN, LONG = 16_384, 64
 #: a clump of more classes, or more shingles, is split into blocks
@@ -72,8 +81,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     for i in range(k):  # short texts: the whole sequence as one
         inside = at + i < first[1:][doc]
         out = np.where(inside, tb.mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(at + i, max(0, len(h) - 1))] + np.uint64(i)), out) if len(h) else out
-    order = np.lexsort((out, doc))
-    doc, out = doc[order], out[order]
+    ends = np.cumsum(count)
+    for lo, hi in zip((ends - count).tolist(), ends.tolist(), strict=True):
+        out[lo:hi].sort()
     new = np.ones(len(out), bool)
     new[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
     doc, out = doc[new], out[new]
@@ -112,6 +122,18 @@ def large(n, percent: int):
     return 2 * n * (100 - percent) > TELLS * (100 + percent)
 
 
+def by_neighbours(n, percent: int):
+    """Whether a set of such a size may link with a large one: pairs with a large set are found by neighbours.
+
+    Neighbours are shingles that follow one another in a set's order of hashes. Of two sets
+    with c shingles in common, c - 1 neighbours are common too but for one at most for each
+    shingle that only one set has, so linked sets share most of them; unlike sets that meet
+    in a few shingles share none. Low percentages do not bound that, so shingles serve there.
+    """
+    bound = (2 * percent - 100) * percent * TELLS * (100 + percent) >= 20_000 * (100 - percent)  # one at least, for the smallest that may link with a large set
+    return large(n * 100 // percent, percent) & bound
+
+
 def histograms(sets: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """COUNTS counts, modulo 256, of the shingles of each of the sets ``rows`` by hash."""
     out = np.zeros((len(rows), COUNTS), np.uint8)
@@ -163,13 +185,26 @@ def _parity(mixed: np.ndarray, doc: np.ndarray, n: int, words: int) -> np.ndarra
     return (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
 
 
-def _postings(docs: DataFrame, k: int, percent: int, frequent, renamed) -> DataFrame:
-    """token, part, n, pos, grp, cls and signature of the prefix shingles of each document that is new to its task.
+def _postings(docs: DataFrame, k: int, percent: int, frequent, renamed, turn: int = 0, turns: int = 1) -> DataFrame:
+    """token, part, n, pos, grp, cls and signature of the prefix of each document that is new to its task: of its shingles, and of its neighbours if it may link with a large one.
 
-    A frequent shingle's run has parts; a row goes to each pair of parts that has its own.
+    A frequent token's run has parts; a row goes to each pair of parts that has its own.
+    Rows of neighbours have no signature, as it would not tell large sets. Of ``turns`` this
+    one has its share of the tokens, each with its whole run.
     """
     bits = CLASS_BITS
 
+    def first_of(token, rank, doc, held, prefix, size):
+        """Of the elements of each set, ``held`` in number and in the order of their (first) hashes, the ``prefix`` first, rare ones before others: set, token, rank, position and group."""
+        order = np.argsort(doc << 40 | rank, kind="stable")
+        token, rank, doc = token[order], rank[order], doc[order]
+        start = np.cumsum(held) - held
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix64(token))])
+        grp = tb.mix64(total[start + np.minimum(prefix, held)] - total[start] + size.astype(np.uint64)).view(np.int64)
+        pos = np.arange(len(token)) - np.repeat(start, held)
+        keep = (pos < prefix[doc]) & (tb.mix64(token) % np.uint64(turns) == turn)
+        return doc[keep], token[keep], rank[keep], pos[keep], grp[doc[keep]]
+
     def run(batches):
         token, count = frequent.value
         known: set[int] = set()
@@ -191,25 +226,25 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent, renamed) -> DataF
                 if len(token):
                     at = np.minimum(np.searchsorted(token, sets), len(token) - 1)
                     rank = np.where(token[at] == sets, count[at], 0)
-                order = np.lexsort((sets, rank, doc))
-                rank, sets, pos = rank[order], sets[order], np.arange(len(sets)) - np.repeat(np.cumsum(size) - size, size)
-                mixed = tb.mix64(sets)
-                sig = _parity(mixed, doc, len(one), WORDS)
-                prefix = size - (-(-percent * size // 100)) + 1  # two linked sets share one of these
-                keep = pos < prefix[doc]
-                start = np.concatenate([[0], np.cumsum(size)])[:-1]
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix64(sets))])
-                grp = tb.mix64(total[start + np.minimum(prefix, size)] - total[start] + size.astype(np.uint64)).view(np.int64)
-                doc, sets, pos = doc[keep], sets[keep], pos[keep]
-                parts = np.maximum(1, -(-rank[keep] // RUN))
+                paired = by_neighbours(size, percent)
+                single = ~(paired & large(size, percent))
+                sig = _parity(tb.mix64(sets), doc, len(one), WORDS)
+                pair = np.flatnonzero((doc[1:] == doc[:-1]) & paired[doc[1:]])
+                both = tb.mix64(sets[pair] * np.uint64(0x9E3779B97F4A7C15) + sets[pair + 1])
+                # linked sets share one of these: of all shingles, and of all neighbours but one for each shingle they differ in
+                alone = first_of(sets[single[doc]], rank[single[doc]], doc[single[doc]], np.where(single, size, 0), size - (-(-percent * size // 100)) + 1, size)
+                nexts = first_of(both, np.minimum(rank[pair], rank[pair + 1]), doc[pair], np.where(paired, size - 1, 0), size + 1 - (-(-(2 * percent - 100) * size // 100)), size)
+                kind = np.repeat([0, 1], [len(alone[0]), len(nexts[0])])
+                doc, sets, rank, pos, grp = (np.concatenate(x) for x in zip(alone, nexts, strict=True))
+                parts = np.maximum(1, -(-rank // RUN))
                 own = cls[one][doc].view(np.uint64) % parts.astype(np.uint64)
                 to = np.repeat(np.arange(len(parts)), parts)
                 other = np.arange(len(to)) - np.repeat(np.cumsum(parts) - parts, parts)
                 own = own[to].astype(np.int64)
-                part = np.minimum(own, other) << 20 | np.maximum(own, other)
-                doc, sets, pos = doc[to], sets[to], pos[to]
+                part = np.minimum(own, other) << 20 | np.maximum(own, other) | kind[to] * NEXT
+                doc, sets, pos, grp, kind = doc[to], sets[to], pos[to], grp[to], kind[to]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sets.view(np.int64)), pa.array(part), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(grp[doc]), pa.array(cls[one][doc]), *[pa.array(sig[doc, i].view(np.int64)) for i in range(WORDS)]],
+                    [pa.array(sets.view(np.int64)), pa.array(part), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(grp), pa.array(cls[one][doc]), *[pa.array(np.where(kind, 0, sig[doc, i].view(np.int64))) for i in range(WORDS)]],
                     ["token", "part", "n", "pos", "grp", "cls", *SIGNATURE],
                 )
 
@@ -217,7 +252,7 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent, renamed) -> DataF
 
 
 def _sieve(percent: int):
-    """Ties (a, b, weak) of classes that share a prefix shingle and may link: a spanning forest of the task's pairs, and one of the weak ones, of large sets. Input rows are sorted by token, part, n, grp, cls."""
+    """Ties (a, b, weak) of classes that share a prefix token and may link: a spanning forest of the task's pairs, and one of the weak ones, of large sets. Input rows are sorted by token, part, n, grp, cls."""
 
     def runs(*keys):
         """Where a new run of equal keys begins."""
@@ -229,11 +264,13 @@ def _sieve(percent: int):
         """Which of the rows p and q may link by what their signatures bound: they differ in at least as many shingles as bits."""
         return np.bitwise_count(sig[p] ^ sig[q]).sum(axis=1) <= n[p] + n[q] - 2 * need(n[p], n[q], percent)
 
-    def group_pairs(n, pos, x, y):
-        """Which pairs of groups, by a row of each, may link by size and by what is left of their sets."""
-        return (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need(n[x], n[y], percent))
+    def group_pairs(n, pos, kind, x, y):
+        """Which pairs of groups, by a row of each, may link by size and by what is left of their sets, or of their neighbours."""
+        least = need(n[x], n[y], percent)
+        least = np.where(kind[x], 3 * least - n[x] - n[y], least)  # neighbours in common, and 1 as there are n - 1
+        return (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= least)
 
-    def short(run, n, pos, grp, sig):
+    def short(run, n, pos, kind, grp, sig):
         """All pairs that pass, of the rows of runs of at most LONG."""
         # groups: equal prefix and size, so equal in every run they share
         first = np.flatnonzero(runs(run, grp))
@@ -254,7 +291,7 @@ def _sieve(percent: int):
             x, y = first[i], first[i + d]
             on = (run[x] == run[y]) & (100 * n[x] >= percent * n[y])
             i, x, y = i[on], x[on], y[on]
-            ok = group_pairs(n, pos, x, y)
+            ok = group_pairs(n, pos, kind, x, y)
             x, y, nx, ny = x[ok], y[ok], size[i[ok]], size[i[ok] + d]
             for part in np.array_split(np.arange(len(x)), max(1, int((nx * ny).sum()) // 2_000_000)):  # expand groups, bounded
                 total = nx[part] * ny[part]
@@ -267,7 +304,7 @@ def _sieve(percent: int):
             d += 1
         return np.concatenate(p), np.concatenate(q)
 
-    def long(rows, n, pos, grp, sig):
+    def long(rows, n, pos, kind, grp, sig):
         """A spanning forest of the pairs that pass in one long run: from each class only to those that nothing is tied to yet."""
         first = rows[runs(grp[rows])]
         member = np.cumsum(runs(grp[rows])) - 1  # the group of each row of the run
@@ -277,7 +314,7 @@ def _sieve(percent: int):
             ready, alone = [alone[0]], alone[1:]
             while ready and len(alone):
                 at = ready.pop()
-                ok = group_pairs(n, pos, np.full(len(first), rows[at]), first)
+                ok = group_pairs(n, pos, kind, np.full(len(first), rows[at]), first)
                 meets = alone[ok[member[alone]]]
                 meets = meets[similar(n, sig, np.full(len(meets), rows[at]), rows[meets])]
                 if len(meets):
@@ -297,18 +334,18 @@ def _sieve(percent: int):
             return [np.zeros(0, np.int64)] * 3
         run = (np.cumsum(opens) - 1)[some]
         length = np.bincount(run)[run]
-        n, pos, grp, cls = (x[some] for x in (n, pos, grp, cls))
+        n, pos, kind, grp, cls = (x[some] for x in (n, pos, part // NEXT, grp, cls))
         sig = np.stack([x[some] for x in cols[6:]], axis=1).view(np.uint64)
         brief = np.flatnonzero(length <= LONG)
-        p, q = short(run[brief], n[brief], pos[brief], grp[brief], sig[brief])
+        p, q = short(run[brief], n[brief], pos[brief], kind[brief], grp[brief], sig[brief])
         p, q = [brief[p]], [brief[q]]
         rest = np.flatnonzero(length > LONG)
         for rows in np.split(rest, np.flatnonzero(np.diff(run[rest])) + 1) if len(rest) else []:
-            x, y = long(rows, n, pos, grp, sig)
+            x, y = long(rows, n, pos, kind, grp, sig)
             p += x
             q += y
         p, q = np.concatenate(p), np.concatenate(q)
-        return cls[p], cls[q], large(np.maximum(n[p], n[q]), percent).astype(np.int64)
+        return cls[p], cls[q], ((kind[p] > 0) | large(np.maximum(n[p], n[q]), percent)).astype(np.int64)
 
     def run(batches):
         parents: tuple[dict, dict] = ({}, {})  # of the classes that the task has tied, and weakly
@@ -487,7 +524,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, tie: bool) -> DataFrame:
                 sets, first = shingle_sets(data, offsets, k)
                 ids.append(np.stack(class_ids(sets, first, bits=bits)))
                 n.append(np.diff(first))
-                some = np.flatnonzero(large(n[-1] * 100 // percent, percent))  # by the largest that it may link with
+                some = np.flatnonzero(large(n[-1] * 100 // percent, percent))  # as of by_neighbours: by the largest that it may link with
                 body = dict(zip(some.tolist(), histograms(sets, first, some), strict=True))
                 sig += [body[i].tobytes() if i in body else None for i in range(len(n[-1]))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *map(pa.array, np.concatenate(ids, axis=1)), pa.array(np.concatenate(n).astype(np.int64)), pa.array(sig, pa.binary())], ["doc_id", "hash", "cls", "check", "n", "sig"])
@@ -502,9 +539,13 @@ def _grouped(docs: DataFrame, k: int, percent: int, tie: bool) -> DataFrame:
     full = rows.filter("n > 0")
     classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min(_row_key()).alias("of"), F.max("n").alias("n"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, k))
-    postings = _postings(docs, k, percent, frequent, renamed).repartition("token", "part").sortWithinPartitions("token", "part", "n", "grp", "cls")
-    ties = cut(postings.mapInArrow(_sieve(percent), "a long, b long, weak boolean").distinct())
-    del postings
+    turns, found = max(1, -(-2 * (100 - percent) // AT_ONCE)), []
+    for turn in range(turns):  # no more than one turn's postings are on disk
+        postings = _postings(docs, k, percent, frequent, renamed, turn, turns).repartition("token", "part").sortWithinPartitions("token", "part", "n", "grp", "cls")
+        found.append(cut(postings.mapInArrow(_sieve(percent), "a long, b long, weak boolean").distinct()))
+        del postings
+        release(spark)
+    ties = functools.reduce(DataFrame.unionByName, found)
     near = labelled.filter(F.col("sig").isNotNull()).select("cls", "n", "sig").dropDuplicates(["cls"])
     refined = cut(_in_places(_dealt(components(ties.filter("weak").select("a", "b")), near, 1 << 62).select("clump", "blocks", "side", "cls", "n", "sig")).mapInArrow(_refine(percent), "a long, b long"))
     clumps = components(ties.filter("not weak").select("a", "b").unionByName(refined))

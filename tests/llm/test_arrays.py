@@ -258,3 +258,15 @@ def test_a_phrase_of_all_items_stays_in_bounds(monkeypatch):
     text = " ".join(stock + own(30) for _ in range(40)) + items[77][1] + own(5)
     found = decontaminate.Index(items).search(*tb.column_bytes(pa.array([text])))
     assert [(f[1], f[2]) for f in found] == [(77, 0)] and len(parts) > 5 and max(parts) <= 5000
+
+
+def test_every_byte_is_a_symbol(spark):
+    """Letters that share a class (A and F, é and ù) are told apart by the alphabet that op10 takes, whose probabilities sum to 1 too."""
+    model = kneser_ney.train(spark.createDataFrame([("THE FACADE était là " * 20,), ("A dog sat",)], "text string"), kneser_ney.BYTES)
+    tables = kneser_ney.log_tables(model)
+    for before in (b"HE ", b"FAC", b"xyz", b"\xff\xff\xff"):
+        code = np.uint32(int.from_bytes(before, "big") << 8) + np.arange(256, dtype=np.uint32)
+        assert np.exp(kneser_ney.log_probability(code, tables, 8)).sum() == pytest.approx(1, abs=2e-3)
+    data, offsets = tb.column_bytes(pa.array(["FACADE", "AFCFDE"]))
+    p = kneser_ney.log_probability(kneser_ney._codes(data, offsets, kneser_ney.BYTES), tables, 8)
+    assert kneser_ney.CLASS[ord("A")] == kneser_ney.CLASS[ord("F")] and p[:6].sum() > p[6:].sum() + 1
